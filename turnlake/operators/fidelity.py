@@ -10,12 +10,17 @@ from turnlake.operators.history import BLOCK_TURNS, HISTORY_COLUMNS, with_histor
 
 
 def grim_state(turns: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
-    """Add ``opp_defected_before``: 1 from the turn after the opponent's first defection."""
-    # A fact already holds some of these columns; its own values stay.
+    """Add ``opp_defected_before``: 1 from the turn after the opponent's first defection.
+
+    Also adds ``opponent_last_move`` to rows that lack it, so bronze rows serve as well as
+    rows of the fact, whose own values stay.
+    """
     held = {c: f"_held_{c}" for c in HISTORY_COLUMNS if c in turns.columns}
     state = with_history(turns.withColumnsRenamed(held), block_turns)
-    flag = (F.col("opp_defections_before") > 0).cast("int")
     kept = [F.col(held.get(c, c)).alias(c) for c in turns.columns]
+    if "opponent_last_move" not in held:
+        kept.append(F.col("opponent_last_move"))
+    flag = (F.col("opp_defections_before") > 0).cast("int")
     return state.select(*kept, flag.alias("opp_defected_before"))
 
 
@@ -32,13 +37,14 @@ def rule_move() -> Column:
     )
 
 
-def expected_move(fact: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
-    """The model-played turns of the fact with the rule's move beside the one played.
+def expected_move(turns: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
+    """The model-played turns with the rule's move beside the one played.
 
-    A player's type is the same for a whole perspective, so the filter may stand below the
-    window, where Catalyst would not move it.
+    ``turns`` is the fact, or bronze rows with the players' equivalents. A player's type is
+    the same for a whole perspective, so the filter may stand below the window, where
+    Catalyst would not move it.
     """
-    personas = fact.where("player_type = 'llm'")
+    personas = turns.where("player_type = 'llm'")
     return grim_state(personas, block_turns).withColumn("expected_move", rule_move())
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from turnlake.functions.turns import is_c, is_d, outcome, phi, ratio, surrogate_key, tally
 from turnlake.operators.skew import lookup_join
-from turnlake.schemas import OUTCOMES, SILVER, TURN_KEY
+from turnlake.schemas import OUTCOMES, TURN_KEY
 
 
 def dim_agent(turns: DataFrame, seed: DataFrame) -> DataFrame:
@@ -21,8 +21,8 @@ def dim_agent(turns: DataFrame, seed: DataFrame) -> DataFrame:
     return used.join(seed, "agent_name", "left").select(*seed.columns)
 
 
-def fct_turns(silver: DataFrame, seed: DataFrame) -> DataFrame:
-    """One row per (match, turn, seat) with its key and the player's rule equivalent.
+def with_equivalents(turns: DataFrame, seed: DataFrame, salt: Column) -> DataFrame:
+    """Add the player's rule equivalent; ``salt`` tells the rows of a player apart.
 
     Joining the seed gives the same rows as joining the dimension, which adds only players
     without attributes, and needs no pass over the log to list the players.
@@ -32,11 +32,14 @@ def fct_turns(silver: DataFrame, seed: DataFrame) -> DataFrame:
         F.col("coded_equivalent").alias("player_coded_equivalent"),
         F.col("equivalence").alias("player_equivalence"),
     )
-    keyed = silver.withColumn("turn_key", surrogate_key(*TURN_KEY))
-    joined = lookup_join(keyed, attributes, ["player"], salt=F.col("turn_key"))
-    return joined.select(
-        "turn_key", *silver.columns, "player_coded_equivalent", "player_equivalence"
-    )
+    joined = lookup_join(turns, attributes, ["player"], salt)
+    return joined.select(*turns.columns, *attributes.columns[1:])
+
+
+def fct_turns(silver: DataFrame, seed: DataFrame) -> DataFrame:
+    """One row per (match, turn, seat) with its key and the player's rule equivalent."""
+    keyed = silver.select(surrogate_key(*TURN_KEY).alias("turn_key"), *silver.columns)
+    return with_equivalents(keyed, seed, F.col("turn_key"))
 
 
 _MATCH = ["match_id", "seat", "repeat", "player", "player_type", "opponent"]

@@ -40,11 +40,7 @@ def numbered(
 
 
 def lookup_join(
-    rows: DataFrame,
-    table: DataFrame,
-    on: list[str],
-    salt: Column | None = None,
-    how: str = "left",
+    rows: DataFrame, table: DataFrame, on: list[str], salt: Column, how: str = "left"
 ) -> DataFrame:
     """Join many rows to a lookup table on keys of which some hold most of the rows.
 
@@ -60,17 +56,15 @@ def salted_join(
     rows: DataFrame,
     table: DataFrame,
     on: list[str],
-    salt: Column | None = None,
+    salt: Column,
     how: str = "left",
     salts: int = SALTS,
 ) -> DataFrame:
     """Join on ``on``, with each key's rows spread over ``salts`` tasks.
 
-    ``salt`` is what tells the rows of a key apart; without one, all columns together.
+    ``salt`` tells the rows of a key apart.
     """
-    spread = F.xxhash64(*rows.columns) if salt is None else F.xxhash64(salt)
-    left = rows.withColumn("_salt", F.pmod(spread, F.lit(salts)))
-    right = table.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
-    )
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(salts)))
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
+    right = table.withColumn("_salt", F.explode(numbers))
     return left.join(right, [*on, "_salt"], how).drop("_salt")

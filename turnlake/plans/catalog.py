@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from turnlake.operators import answers, bronze, fidelity, gold, quality, schedule, silver
 from turnlake.plans import report
-from turnlake.plans.pipeline import fidelity_counts
 from turnlake.schemas import TURN_KEY
 from turnlake.sources import stage, turn_log
 from turnlake.sources.decisions import paired_decisions
@@ -95,15 +94,20 @@ class Layers:
 
     @cached_property
     def expected(self) -> DataFrame:
-        return fidelity.expected_move(self.fact)
+        salt = F.concat("match_id", "seat", F.col("turn").cast("string"))
+        return fidelity.expected_move(gold.with_equivalents(self.bronze, self.seed, salt))
+
+    @cached_property
+    def followed(self) -> DataFrame:
+        return fidelity.fidelity_totals(self.expected)
 
     @cached_property
     def fidelity(self) -> DataFrame:
-        return fidelity.persona_fidelity(fidelity_counts(self.fact))
+        return fidelity.persona_fidelity(self.followed)
 
     @cached_property
     def fidelity_opp(self) -> DataFrame:
-        return fidelity.fidelity_by_opponent(fidelity_counts(self.fact))
+        return fidelity.fidelity_by_opponent(self.followed)
 
     @cached_property
     def scheduled(self) -> DataFrame:
@@ -138,7 +142,7 @@ def stream_load(layers: Layers) -> DataFrame:
     target = f"{checkpoint_folder(spark)}/turnlake/stream-{uuid.uuid4().hex}"
     for load in ("first", "second"):
         load_arrivals(
-            spark, layers.bronze_path, f"{target}/bronze", f"{target}/{load}"
+            spark, layers.bronze_path, f"{target}/bronze", f"{target}/{load}", load
         ).awaitTermination()
     loaded = turn_log.scan_turns(spark, f"{target}/bronze")
     return loaded.groupBy("match_id").agg(

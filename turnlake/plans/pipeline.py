@@ -23,20 +23,6 @@ def build_silver(
     return scan_turns(spark, silver, SILVER)
 
 
-def gold_models(silver: DataFrame, seed: DataFrame) -> dict[str, DataFrame]:
-    """Every gold model as a lazy plan over the silver turns."""
-    fact = gold.fct_turns(staged(silver), seed)
-    return {
-        "fct_turns": fact,
-        "dim_agent": gold.dim_agent(silver, seed),
-        **marts(fact, gold.match_totals(fact), fidelity_counts(fact), seed),
-    }
-
-
-def fidelity_counts(fact: DataFrame) -> DataFrame:
-    return fidelity.fidelity_totals(fidelity.expected_move(fact))
-
-
 def marts(
     fact: DataFrame, totals: DataFrame, followed: DataFrame, seed: DataFrame
 ) -> dict[str, DataFrame]:
@@ -70,7 +56,9 @@ def build_gold(
 
     fact = table(gold.fct_turns(turns, seed), "fct_turns")
     totals = table(gold.match_totals(fact), "match_totals")
-    followed = table(fidelity_counts(fact), "fidelity_totals")
+    followed = table(
+        fidelity.fidelity_totals(fidelity.expected_move(fact)), "fidelity_totals"
+    )
     tables = {"fct_turns": fact}
     # The totals list every player of the log.
     tables["dim_agent"] = table(gold.dim_agent(totals, seed), "dim_agent")

@@ -11,11 +11,15 @@ from turnlake.schemas import TURNS
 from turnlake.sources.folders import path_exists
 
 
+# Appended logs hold one folder per load.
+LOAD = T.StructField("load_id", T.StringType())
+
+
 def scan_turns(
     spark: SparkSession, path: str, schema: T.StructType = TURNS
 ) -> DataFrame:
     """The log with its declared schema: no inference, columns a file lacks read as NULL."""
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
 def typed(turns: DataFrame) -> DataFrame:
@@ -23,11 +27,19 @@ def typed(turns: DataFrame) -> DataFrame:
     return turns.withColumn("played_at", F.to_timestamp("played_at"))
 
 
-def existing_match_ids(spark: SparkSession, path: str) -> DataFrame:
-    """The matches a log holds, from that one column; none where there is no log yet."""
+def existing_match_ids(
+    spark: SparkSession, path: str, but_load: str | None = None
+) -> DataFrame:
+    """The matches a log holds, from that one column; none where there is no log yet.
+
+    ``but_load`` leaves out what that load wrote.
+    """
     if not path_exists(spark, path):
         return spark.createDataFrame([], TURNS).select("match_id")
-    return scan_turns(spark, path).select("match_id").distinct()
+    log = spark.read.schema(T.StructType([*TURNS.fields, LOAD])).parquet(path)
+    if but_load is not None:
+        log = log.where(~F.col(LOAD.name).eqNullSafe(but_load))
+    return log.select("match_id").distinct()
 
 
 def overwrite(df: DataFrame, path: str) -> None:
@@ -65,8 +77,12 @@ def unseen(
     return rows.join(new, ["match_id", "_block"], "left_semi").select(*incoming.columns)
 
 
-def append_unseen(incoming: DataFrame, path: str) -> None:
-    """Append the matches the log lacks; loading the same turns again adds nothing."""
-    spark = incoming.sparkSession
-    new = unseen(conform(incoming), existing_match_ids(spark, path))
-    new.write.mode("append").parquet(path)
+def append_unseen(incoming: DataFrame, path: str, load_id: str) -> None:
+    """Append the matches the log lacks; loading the same turns again adds nothing.
+
+    A load writes a folder of its own. Running it again under its id rebuilds that folder,
+    so a load that died half-way is repaired by repeating it. One load runs at a time.
+    """
+    recorded = existing_match_ids(incoming.sparkSession, path, but_load=load_id)
+    new = unseen(conform(incoming), recorded)
+    overwrite(new, f"{path}/{LOAD.name}={load_id}")

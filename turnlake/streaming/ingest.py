@@ -10,15 +10,16 @@ from turnlake.sources.turn_log import append_unseen
 
 
 def load_arrivals(
-    spark: SparkSession, arrivals: str, bronze: str, checkpoint: str
+    spark: SparkSession, arrivals: str, bronze: str, checkpoint: str, stream: str
 ) -> StreamingQuery:
     """Load every file that has not been loaded, then stop.
 
-    A batch that is run again after a failure finds its matches recorded and adds nothing.
+    ``stream`` names this stream among the loads of the log. A batch that is run again after
+    a failure has the same load id and rewrites what it wrote before.
     """
 
-    def load(batch: DataFrame, _: int) -> None:
-        append_unseen(batch, bronze)
+    def load(batch: DataFrame, number: int) -> None:
+        append_unseen(batch, bronze, f"{stream}-{number}")
 
     return (
         spark.readStream.schema(TURNS)
