@@ -59,13 +59,3 @@ def keyword_move(raw: Column) -> Column:
 def extract_move(raw: Column) -> Column:
     """The move the answer states, NULL where no stage reads one."""
     return F.coalesce(json_move(raw), letter_move(raw), keyword_move(raw))
-
-
-def parse_stage(raw: Column) -> Column:
-    """Name of the stage that decides the move."""
-    return (
-        F.when(json_move(raw).isNotNull(), "json")
-        .when(letter_move(raw).isNotNull(), "letter")
-        .when(keyword_move(raw).isNotNull(), "keyword")
-        .otherwise("default")
-    )

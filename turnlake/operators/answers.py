@@ -6,25 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnlake.functions import parse
-from turnlake.functions.turns import ratio, tally
+from turnlake.functions.turns import named, ratio
 from turnlake.schemas import TURN_KEY
 
-STAGES = ["json", "letter", "keyword", "default"]
-
 
 def answers(turns: DataFrame) -> DataFrame:
-    return turns.where(F.col("raw_output").isNotNull())
-
-
-def reparsed(turns: DataFrame) -> DataFrame:
-    """The move read again from each answer, with the default for answers that state none."""
-    move = parse.extract_move(F.col("raw_output"))
-    return answers(turns).select(
-        *TURN_KEY,
-        "player",
-        F.coalesce(move, F.lit(parse.DEFAULT_MOVE)).alias("parsed_move"),
-        move.isNotNull().alias("parsed_ok"),
-    )
+    return turns.where("raw_output IS NOT NULL")
 
 
 def stage_moves(turns: DataFrame) -> DataFrame:
@@ -32,37 +19,45 @@ def stage_moves(turns: DataFrame) -> DataFrame:
     raw = F.col("raw_output")
     return answers(turns).select(
         *TURN_KEY,
+        "player",
         parse.json_move(raw).alias("json_move"),
         parse.letter_move(raw).alias("letter_move"),
         parse.keyword_move(raw).alias("keyword_move"),
     )
 
 
+def reparsed(turns: DataFrame) -> DataFrame:
+    """The move read again from each answer, with the default for answers that state none."""
+    move = "coalesce(json_move, letter_move, keyword_move)"
+    return stage_moves(turns).selectExpr(
+        *TURN_KEY,
+        "player",
+        f"coalesce({move}, '{parse.DEFAULT_MOVE}') AS parsed_move",
+        f"{move} IS NOT NULL AS parsed_ok",
+    )
+
+
 def parse_audit(turns: DataFrame) -> DataFrame:
     """Answers per agent and deciding stage."""
-    stage = parse.parse_stage(F.col("raw_output")).alias("stage")
-    return (
-        answers(turns)
-        .select("player", stage)
-        .groupBy(F.col("player").alias("agent"), "stage")
-        .agg(F.count(F.lit(1)).alias("n_answers"))
-    )
+    stage = """CASE WHEN json_move IS NOT NULL THEN 'json'
+                    WHEN letter_move IS NOT NULL THEN 'letter'
+                    WHEN keyword_move IS NOT NULL THEN 'keyword'
+                    ELSE 'default' END AS stage"""
+    staged = stage_moves(turns).selectExpr("player AS agent", stage)
+    return staged.groupBy("agent", "stage").agg(*named({"n_answers": "count(*)"}))
 
 
 def justification_rate(turns: DataFrame) -> DataFrame:
     """Share of answers per agent with a justification that is not blank."""
     text = parse.text_of(parse.payload(F.col("raw_output")).getField("justification"))
-    filled = F.coalesce(text.rlike(r"\S"), F.lit(False))
-    return (
-        answers(turns)
-        .select("player", filled.alias("filled"))
-        .groupBy(F.col("player").alias("agent"))
-        .agg(
-            F.count(F.lit(1)).alias("n_answers"),
-            tally(F.col("filled")).alias("n_justified"),
-            ratio(tally(F.col("filled")), F.count(F.lit(1))).alias("taux_justification"),
-        )
-    )
+    filled = F.coalesce(text.rlike(r"\S"), F.lit(False)).alias("filled")
+    measures = {
+        "n_answers": "count(*)",
+        "n_justified": "count_if(filled)",
+        "taux_justification": ratio("count_if(filled)", "count(*)"),
+    }
+    checked = answers(turns).select(F.col("player").alias("agent"), filled)
+    return checked.groupBy("agent").agg(*named(measures))
 
 
 def payload_audit(turns: DataFrame) -> DataFrame:
@@ -71,23 +66,23 @@ def payload_audit(turns: DataFrame) -> DataFrame:
     The format is a JSON object with a required ``move`` of "C" or "D" and an optional
     ``justification`` string.
     """
-    parsed = answers(turns).select(
-        "player", parse.payload(F.col("raw_output")).alias("payload")
-    )
+    payload = parse.payload(F.col("raw_output")).alias("payload")
+    parsed = answers(turns).select("player", payload)
     move, why = F.col("payload.move"), F.col("payload.justification")
     checks = parsed.select(
-        "player",
+        F.col("player").alias("agent"),
         F.col("payload").isNotNull().alias("is_object"),
         move.isNotNull().alias("has_move"),
-        parse.is_string(move).alias("move_is_string"),
-        F.coalesce(parse.text_of(move).isin("C", "D"), F.lit(False)).alias("move_in_enum"),
+        parse.is_string(move).alias("is_text"),
+        F.coalesce(parse.text_of(move).isin("C", "D"), F.lit(False)).alias("in_enum"),
         (why.isNull() | parse.is_string(why)).alias("why_ok"),
     )
-    return checks.groupBy(F.col("player").alias("agent")).agg(
-        F.count(F.lit(1)).alias("n_answers"),
-        tally(F.col("is_object")).alias("n_object"),
-        tally(F.col("has_move")).alias("n_move"),
-        tally(F.col("move_is_string")).alias("n_move_string"),
-        tally(F.col("move_in_enum")).alias("n_move_enum"),
-        tally(F.col("move_in_enum") & F.col("why_ok")).alias("n_valid"),
-    )
+    measures = {
+        "n_answers": "count(*)",
+        "n_object": "count_if(is_object)",
+        "n_move": "count_if(has_move)",
+        "n_move_string": "count_if(is_text)",
+        "n_move_enum": "count_if(in_enum)",
+        "n_valid": "count_if(in_enum AND why_ok)",
+    }
+    return checks.groupBy("agent").agg(*named(measures))

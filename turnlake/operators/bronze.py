@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnlake.functions.turns import named
 from turnlake.schemas import PAYOFFS, TURNS, payoff_table
 
 
@@ -46,11 +47,8 @@ def build_bronze(paired: DataFrame) -> DataFrame:
 
 def observed_payoffs(turns: DataFrame) -> DataFrame:
     """Each (move, opponent move) of the log with the least and greatest gain recorded."""
-    return turns.groupBy("move", "opponent_move").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("payoff").alias("lowest"),
-        F.max("payoff").alias("highest"),
-    )
+    measures = {"n": "count(*)", "lowest": "min(payoff)", "highest": "max(payoff)"}
+    return turns.groupBy("move", "opponent_move").agg(*named(measures))
 
 
 def payoff_matrix_check(turns: DataFrame) -> DataFrame:
@@ -59,31 +57,24 @@ def payoff_matrix_check(turns: DataFrame) -> DataFrame:
     ``is_consistent`` says that every pair of moves always pays the same, and
     ``matches_declared`` that it pays what the payoff table says.
     """
-    cells = observed_payoffs(turns)
-
-    def gain(move: str, other: str) -> Column:
-        here = (F.col("move") == move) & (F.col("opponent_move") == other)
-        return F.max(F.when(here, F.col("highest")))
-
-    declared = F.lit(False)
-    for move, other, own, _ in PAYOFFS:
-        declared = declared | (
-            (F.col("move") == move)
-            & (F.col("opponent_move") == other)
-            & (F.col("lowest") == own)
-            & (F.col("highest") == own)
-        )
-    matrix = cells.agg(
-        gain("D", "C").alias("temptation"),
-        gain("C", "C").alias("reward"),
-        gain("D", "D").alias("punishment"),
-        gain("C", "D").alias("sucker"),
-        F.bool_and(F.col("lowest") == F.col("highest")).alias("is_consistent"),
-        F.bool_and(declared).alias("matches_declared"),
+
+    def gain(moves: str) -> str:
+        return f"max(CASE WHEN move || opponent_move = '{moves}' THEN highest END)"
+
+    declared = " OR ".join(
+        f"(move = '{move}' AND opponent_move = '{other}' AND highest = {own})"
+        for move, other, own, _ in PAYOFFS
     )
-    t, r, p, s = (F.col(c) for c in ("temptation", "reward", "punishment", "sucker"))
-    return matrix.select(
+    matrix = {
+        "temptation": gain("DC"),
+        "reward": gain("CC"),
+        "punishment": gain("DD"),
+        "sucker": gain("CD"),
+        "is_consistent": "bool_and(lowest = highest)",
+        "matches_declared": f"bool_and(lowest = highest AND ({declared}))",
+    }
+    return observed_payoffs(turns).agg(*named(matrix)).selectExpr(
         "*",
-        ((t > r) & (r > p) & (p > s)).alias("is_ordered"),
-        (2 * r > t + s).alias("beats_alternation"),
+        "temptation > reward AND reward > punishment AND punishment > sucker AS is_ordered",
+        "2 * reward > temptation + sucker AS beats_alternation",
     )

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from turnlake.functions.turns import is_c, is_d, ratio, tally
+from turnlake.functions.turns import named, ratio
 from turnlake.operators.history import BLOCK_TURNS, HISTORY_COLUMNS, with_history
 
 
@@ -17,26 +16,22 @@ def grim_state(turns: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
     """
     held = {c: f"_held_{c}" for c in HISTORY_COLUMNS if c in turns.columns}
     state = with_history(turns.withColumnsRenamed(held), block_turns)
-    kept = [F.col(held.get(c, c)).alias(c) for c in turns.columns]
-    if "opponent_last_move" not in held:
-        kept.append(F.col("opponent_last_move"))
-    flag = (F.col("opp_defections_before") > 0).cast("int")
-    return state.select(*kept, flag.alias("opp_defected_before"))
-
-
-def rule_move() -> Column:
-    """The move of the player's rule equivalent on the same history, NULL if not determined."""
-    rule = F.col("player_coded_equivalent")
-    mirror = F.when(F.col("turn") == 1, "C").otherwise(F.col("opponent_last_move"))
-    grim = F.when(F.col("opp_defected_before") == 1, "D").otherwise("C")
-    return (
-        F.when(rule == "tit_for_tat", mirror)
-        .when(rule == "grim_trigger", grim)
-        .when(rule == "always_cooperate", "C")
-        .when(rule == "always_defect", "D")
+    added = [] if "opponent_last_move" in held else ["opponent_last_move"]
+    return state.selectExpr(
+        *[f"{held.get(c, c)} AS {c}" for c in turns.columns],
+        *added,
+        "int(opp_defections_before > 0) AS opp_defected_before",
     )
 
 
+# The rule equivalent's move on the same history, NULL where it is not determined.
+RULE_MOVE = """CASE player_coded_equivalent
+  WHEN 'tit_for_tat' THEN if(turn = 1, 'C', opponent_last_move)
+  WHEN 'grim_trigger' THEN if(opp_defected_before = 1, 'D', 'C')
+  WHEN 'always_cooperate' THEN 'C'
+  WHEN 'always_defect' THEN 'D' END"""
+
+
 def expected_move(turns: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
     """The model-played turns with the rule's move beside the one played.
 
@@ -45,48 +40,49 @@ def expected_move(turns: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame
     Catalyst would not move it.
     """
     personas = turns.where("player_type = 'llm'")
-    return grim_state(personas, block_turns).withColumn("expected_move", rule_move())
+    return grim_state(personas, block_turns).selectExpr("*", RULE_MOVE + " AS expected_move")
 
 
 def fidelity_totals(expected: DataFrame) -> DataFrame:
     """Counts per persona and opponent, the finest grain that both fidelity marts need."""
-    must_d, must_c = is_d("expected_move"), is_c("expected_move")
+    measures = {
+        "n": "count(*)",
+        "n_expected": "count(expected_move)",
+        "n_followed": "count_if(move = expected_move)",
+        "n_must_d": "count_if(expected_move = 'D')",
+        "n_did_d": "count_if(expected_move = 'D' AND move = 'D')",
+        "n_must_c": "count_if(expected_move = 'C')",
+        "n_did_c": "count_if(expected_move = 'C' AND move = 'C')",
+        "n_parsable": "count_if(is_parsable)",
+        "n_answers": "count(is_parsable)",
+    }
     keys = ["player", "player_coded_equivalent", "player_equivalence", "opponent"]
-    return expected.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count("expected_move").alias("n_expected"),
-        tally(F.col("move") == F.col("expected_move")).alias("n_followed"),
-        tally(must_d).alias("n_must_d"),
-        tally(must_d & is_d("move")).alias("n_did_d"),
-        tally(must_c).alias("n_must_c"),
-        tally(must_c & is_c("move")).alias("n_did_c"),
-        tally(F.col("is_parsable")).alias("n_parsable"),
-        F.count("is_parsable").alias("n_answers"),
-    )
-
-
-def _rate(part: str, whole: str) -> Column:
-    return ratio(F.sum(part), F.sum(whole))
+    return expected.groupBy(*keys).agg(*named(measures))
 
 
 def persona_fidelity(totals: DataFrame) -> DataFrame:
     """Share of evaluable turns that follow the rule, overall and by what the rule demands."""
-    return totals.groupBy(
-        F.col("player").alias("persona"),
-        F.col("player_coded_equivalent").alias("coded_equivalent"),
-        F.col("player_equivalence").alias("equivalence"),
-    ).agg(
-        F.sum("n").alias("n_tours"),
-        F.sum("n_expected").alias("n_tours_evaluables"),
-        _rate("n_followed", "n_expected").alias("fidelite"),
-        _rate("n_did_d", "n_must_d").alias("riposte_attendue_respectee"),
-        _rate("n_did_c", "n_must_c").alias("cooperation_attendue_respectee"),
-        _rate("n_parsable", "n_answers").alias("taux_parsable"),
+    measures = {
+        "n_tours": "sum(n)",
+        "n_tours_evaluables": "sum(n_expected)",
+        "fidelite": ratio("sum(n_followed)", "sum(n_expected)"),
+        "riposte_attendue_respectee": ratio("sum(n_did_d)", "sum(n_must_d)"),
+        "cooperation_attendue_respectee": ratio("sum(n_did_c)", "sum(n_must_c)"),
+        "taux_parsable": ratio("sum(n_parsable)", "sum(n_answers)"),
+    }
+    keys = ["player", "player_coded_equivalent", "player_equivalence"]
+    return totals.groupBy(*keys).agg(*named(measures)).selectExpr(
+        "player AS persona",
+        "player_coded_equivalent AS coded_equivalent",
+        "player_equivalence AS equivalence",
+        *measures,
     )
 
 
 def fidelity_by_opponent(totals: DataFrame) -> DataFrame:
-    return totals.groupBy(F.col("player").alias("persona"), "opponent").agg(
-        F.sum("n").alias("n_tours"),
-        _rate("n_followed", "n_expected").alias("fidelite"),
-    )
+    measures = {
+        "n_tours": "sum(n)",
+        "fidelite": ratio("sum(n_followed)", "sum(n_expected)"),
+    }
+    sums = totals.groupBy("player", "opponent").agg(*named(measures))
+    return sums.withColumnRenamed("player", "persona")

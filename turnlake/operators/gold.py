@@ -7,39 +7,39 @@ rates are exact quotients of counts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnlake.functions.turns import is_c, is_d, outcome, phi, ratio, surrogate_key, tally
+from turnlake.functions.turns import OUTCOME, named, phi, ratio, surrogate_key
 from turnlake.operators.skew import lookup_join
 from turnlake.schemas import OUTCOMES, TURN_KEY
 
 
 def dim_agent(turns: DataFrame, seed: DataFrame) -> DataFrame:
     """Every player of the log, with the seed's attributes where the seed has them."""
-    used = turns.select(F.col("player").alias("agent_name")).distinct()
+    used = turns.selectExpr("player AS agent_name").distinct()
     return used.join(seed, "agent_name", "left").select(*seed.columns)
 
 
-def with_equivalents(turns: DataFrame, seed: DataFrame, salt: Column) -> DataFrame:
-    """Add the player's rule equivalent; ``salt`` tells the rows of a player apart.
+def with_equivalents(turns: DataFrame, seed: DataFrame, salt: str) -> DataFrame:
+    """Add the player's rule equivalent; the SQL text ``salt`` tells a player's rows apart.
 
     Joining the seed gives the same rows as joining the dimension, which adds only players
     without attributes, and needs no pass over the log to list the players.
     """
-    attributes = seed.select(
-        F.col("agent_name").alias("player"),
-        F.col("coded_equivalent").alias("player_coded_equivalent"),
-        F.col("equivalence").alias("player_equivalence"),
+    attributes = seed.selectExpr(
+        "agent_name AS player",
+        "coded_equivalent AS player_coded_equivalent",
+        "equivalence AS player_equivalence",
     )
-    joined = lookup_join(turns, attributes, ["player"], salt)
+    joined = lookup_join(turns, attributes, ["player"], F.expr(salt))
     return joined.select(*turns.columns, *attributes.columns[1:])
 
 
 def fct_turns(silver: DataFrame, seed: DataFrame) -> DataFrame:
     """One row per (match, turn, seat) with its key and the player's rule equivalent."""
-    keyed = silver.select(surrogate_key(*TURN_KEY).alias("turn_key"), *silver.columns)
-    return with_equivalents(keyed, seed, F.col("turn_key"))
+    key = surrogate_key(*TURN_KEY) + " AS turn_key"
+    return with_equivalents(silver.selectExpr(key, *silver.columns), seed, "turn_key")
 
 
 _MATCH = ["match_id", "seat", "repeat", "player", "player_type", "opponent"]
@@ -50,46 +50,36 @@ def match_totals(turns: DataFrame) -> DataFrame:
 
     Bronze rows give the columns that need no history; silver and fact rows give all.
     """
-    known = F.col("opponent_last_move").isNotNull()
-    betrayed = is_d("opponent_last_move")
-    own_c, last_c = is_c("move"), is_c("opponent_last_move")
     measures = {
-        "n": F.count(F.lit(1)),
-        "last_turn": F.max("turn"),
-        "payoff": F.sum("payoff"),
-        "n_payoff": F.count("payoff"),
-        "n_coop": tally(own_c),
-        "response_time": F.sum("response_time"),
-        "n_response_time": F.count("response_time"),
-        "n_parsable": tally(F.col("is_parsable")),
-        "n_answers": F.count("is_parsable"),
-        **{f"n_{name}": tally(outcome() == name) for name in OUTCOMES},
+        "n": "count(*)",
+        "last_turn": "max(turn)",
+        "payoff": "sum(payoff)",
+        "n_payoff": "count(payoff)",
+        "n_coop": "count_if(move = 'C')",
+        "response_time": "sum(response_time)",
+        "n_response_time": "count(response_time)",
+        "n_parsable": "count_if(is_parsable)",
+        "n_answers": "count(is_parsable)",
+        **{f"n_{name}": f"count_if({OUTCOME} = '{name}')" for name in OUTCOMES},
     }
     if "opponent_last_move" in turns.columns:
+        known = "opponent_last_move IS NOT NULL"
         measures |= {
-            "n_betrayed": tally(betrayed),
-            "n_forgave": tally(betrayed & F.col("forgave_this_turn")),
-            "n_retaliated": tally(betrayed & F.col("retaliated_this_turn")),
-            "n_known": tally(known),
-            "n_known_coop": tally(known & own_c),
-            "n_known_last_c": tally(last_c),
-            "n_known_both_c": tally(own_c & last_c),
-            "known_payoff": F.sum(F.when(known, F.col("payoff"))),
-            "n_known_payoff": F.count(F.when(known, F.col("payoff"))),
+            "n_betrayed": "count_if(opponent_last_move = 'D')",
+            "n_forgave": "count_if(opponent_last_move = 'D' AND forgave_this_turn)",
+            "n_retaliated": "count_if(opponent_last_move = 'D' AND retaliated_this_turn)",
+            "n_known": "count(opponent_last_move)",
+            "n_known_coop": f"count_if({known} AND move = 'C')",
+            "n_known_last_c": "count_if(opponent_last_move = 'C')",
+            "n_known_both_c": "count_if(opponent_last_move = 'C' AND move = 'C')",
+            "known_payoff": f"sum(CASE WHEN {known} THEN payoff END)",
+            "n_known_payoff": f"count(CASE WHEN {known} THEN payoff END)",
         }
-    return turns.groupBy(*_MATCH).agg(*[m.alias(name) for name, m in measures.items()])
+    return turns.groupBy(*_MATCH).agg(*named(measures))
 
 
-def total(name: str) -> Column:
-    return F.coalesce(F.sum(name), F.lit(0))
-
-
-def mean_payoff() -> Column:
-    return ratio(F.sum("payoff"), F.sum("n_payoff"))
-
-
-def coop_rate() -> Column:
-    return ratio(F.sum("n_coop"), F.sum("n"))
+MEAN_PAYOFF = ratio("sum(payoff)", "sum(n_payoff)")
+COOP_RATE = ratio("sum(n_coop)", "sum(n)")
 
 
 def leaderboard(totals: DataFrame, seed: DataFrame) -> DataFrame:
@@ -99,38 +89,42 @@ def leaderboard(totals: DataFrame, seed: DataFrame) -> DataFrame:
     one row per agent for the join. A self-play match counts once as a match, and both its
     seats count as turns.
     """
-    per_agent = totals.groupBy(F.col("player").alias("agent")).agg(
-        F.sum("n").alias("n_turns_joues"),
-        F.count_distinct("match_id").alias("n_matches"),
-        mean_payoff().alias("score_moyen_par_tour"),
-        F.sum("payoff").alias("score_total"),
-        coop_rate().alias("taux_cooperation"),
-        ratio(F.sum("n_forgave"), F.sum("n_betrayed")).alias("taux_pardon"),
-        ratio(F.sum("n_retaliated"), F.sum("n_betrayed")).alias("taux_riposte"),
-        ratio(F.sum("response_time"), F.sum("n_response_time")).alias(
-            "temps_moyen_reponse_s"
-        ),
-    )
-    types = seed.select(F.col("agent_name").alias("agent"), "agent_type")
-    return per_agent.join(types, "agent", "left").select(
-        "agent", "agent_type", *per_agent.columns[1:]
+    measures = {
+        "n_turns_joues": "sum(n)",
+        "n_matches": "count(DISTINCT match_id)",
+        "score_moyen_par_tour": MEAN_PAYOFF,
+        "score_total": "sum(payoff)",
+        "taux_cooperation": COOP_RATE,
+        "taux_pardon": ratio("sum(n_forgave)", "sum(n_betrayed)"),
+        "taux_riposte": ratio("sum(n_retaliated)", "sum(n_betrayed)"),
+        "temps_moyen_reponse_s": ratio("sum(response_time)", "sum(n_response_time)"),
+    }
+    per_agent = totals.groupBy("player").agg(*named(measures))
+    types = seed.selectExpr("agent_name AS player", "agent_type")
+    return per_agent.join(types, "player", "left").selectExpr(
+        "player AS agent", "agent_type", *measures
     )
 
 
 def matchup_matrix(totals: DataFrame) -> DataFrame:
-    return totals.groupBy("player", "opponent").agg(
-        F.count_distinct("match_id").alias("n_matches"),
-        mean_payoff().alias("score_moyen_par_tour"),
-        coop_rate().alias("taux_cooperation"),
-    )
+    measures = {
+        "n_matches": "count(DISTINCT match_id)",
+        "score_moyen_par_tour": MEAN_PAYOFF,
+        "taux_cooperation": COOP_RATE,
+    }
+    return totals.groupBy("player", "opponent").agg(*named(measures))
 
 
 def coop_over_time(turns: DataFrame) -> DataFrame:
     """Cooperation and score per agent and turn number; the type is the log's own."""
-    keys = [F.col("player").alias("agent"), F.col("player_type").alias("agent_type"), "turn"]
-    return turns.groupBy(*keys).agg(
-        ratio(tally(is_c("move")), F.count(F.lit(1))).alias("taux_cooperation"),
-        ratio(F.sum("payoff"), F.count("payoff")).alias("score_moyen"),
+    measures = {
+        "taux_cooperation": ratio("count_if(move = 'C')", "count(*)"),
+        "score_moyen": ratio("sum(payoff)", "count(payoff)"),
+    }
+    return (
+        turns.groupBy("player", "player_type", "turn")
+        .agg(*named(measures))
+        .selectExpr("player AS agent", "player_type AS agent_type", "turn", *measures)
     )
 
 
@@ -139,22 +133,25 @@ def reciprocity(totals: DataFrame) -> DataFrame:
 
     First turns do not count. NULL for agents whose moves, or whose opponents', never vary.
     """
-    keys = [F.col("player").alias("agent"), F.col("player_type").alias("agent_type")]
-    sums = totals.where("n_known > 0").groupBy(*keys).agg(
-        F.sum("n_known").alias("n_tours"),
-        F.sum("n_known_coop").alias("x"),
-        F.sum("n_known_last_c").alias("y"),
-        F.sum("n_known_both_c").alias("both"),
-        ratio(F.sum("known_payoff"), F.sum("n_known_payoff")).alias("score_moyen_par_tour"),
-    )
-    n, x, y, both = (F.col(c) for c in ("n_tours", "x", "y", "both"))
-    return sums.select(
-        "agent",
-        "agent_type",
-        "n_tours",
-        phi(n, both, x, y).alias("reciprocite"),
-        "score_moyen_par_tour",
-        ratio(x, n).alias("taux_cooperation"),
+    counts = {
+        "n": "sum(n_known)",
+        "own_c": "sum(n_known_coop)",
+        "last_c": "sum(n_known_last_c)",
+        "both_c": "sum(n_known_both_c)",
+        "score": ratio("sum(known_payoff)", "sum(n_known_payoff)"),
+    }
+    return (
+        totals.where("n_known > 0")
+        .groupBy("player", "player_type")
+        .agg(*named(counts))
+        .selectExpr(
+            "player AS agent",
+            "player_type AS agent_type",
+            "n AS n_tours",
+            phi("n", "both_c", "own_c", "last_c") + " AS reciprocite",
+            "score AS score_moyen_par_tour",
+            ratio("own_c", "n") + " AS taux_cooperation",
+        )
     )
 
 
@@ -164,25 +161,25 @@ def llm_vs_coded(board: DataFrame, seed: DataFrame) -> DataFrame:
     The right side is the whole leaderboard: an equivalent may be any agent.
     """
     measures = {
-        "score_moyen_par_tour": "score_moyen",
-        "taux_cooperation": "coop",
-        "taux_pardon": "pardon",
-        "taux_riposte": "riposte",
+        "score_moyen": "score_moyen_par_tour",
+        "coop": "taux_cooperation",
+        "pardon": "taux_pardon",
+        "riposte": "taux_riposte",
     }
-    personas = seed.where("agent_type = 'llm'").select(
-        F.col("agent_name").alias("persona"), "coded_equivalent"
+    personas = seed.where("agent_type = 'llm'").selectExpr(
+        "agent_name AS agent", "coded_equivalent"
     )
-    llm = board.withColumnRenamed("agent", "persona").join(personas, "persona").select(
-        "persona",
+    llm = board.join(personas, "agent").selectExpr(
+        "agent AS persona",
         "coded_equivalent",
-        *[F.col(c).alias(f"{name}_persona") for c, name in measures.items()],
+        *[f"{column} AS {name}_persona" for name, column in measures.items()],
         "temps_moyen_reponse_s",
     )
-    coded = board.select(
-        F.col("agent").alias("coded_equivalent"),
-        *[F.col(c).alias(f"{name}_code") for c, name in measures.items()],
+    coded = board.selectExpr(
+        "agent AS coded_equivalent",
+        *[f"{column} AS {name}_code" for name, column in measures.items()],
     )
-    sides = [f"{name}_{side}" for name in measures.values() for side in ("persona", "code")]
+    sides = [f"{name}_{side}" for name in measures for side in ("persona", "code")]
     return llm.join(coded, "coded_equivalent", "left").select(
         "persona", "coded_equivalent", *sides, "temps_moyen_reponse_s"
     )
@@ -190,11 +187,11 @@ def llm_vs_coded(board: DataFrame, seed: DataFrame) -> DataFrame:
 
 def outcome_counts(totals: DataFrame) -> DataFrame:
     """Turns per outcome, without the outcomes that never occur."""
-    sums = totals.agg(*[total(f"n_{name}").alias(name) for name in OUTCOMES])
+    sums = totals.agg(*named({name: f"coalesce(sum(n_{name}), 0)" for name in OUTCOMES}))
     return sums.unpivot([], OUTCOMES, "round_outcome", "n").where("n > 0")
 
 
 def silver_stats(totals: DataFrame) -> DataFrame:
     return totals.agg(
-        total("n").alias("n_rows"), F.count_distinct("match_id").alias("n_matches")
+        *named({"n_rows": "coalesce(sum(n), 0)", "n_matches": "count(DISTINCT match_id)"})
     )

@@ -2,36 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+from pyspark.sql.functions import expr
 
-from turnlake.functions.turns import is_c, is_d
 from turnlake.schemas import PERSPECTIVE
 
 # Turns of one match and seat that one task orders together.
 BLOCK_TURNS = 100_000
 
+# Running totals by name, as aggregates over turns.
+_TOTALS = {
+    "own_score": "sum(payoff)",
+    "opp_score": "sum(opponent_payoff)",
+    "own_coops": "count_if(move <=> 'C')",
+    "opp_coops": "count_if(opponent_move <=> 'C')",
+    "opp_defections": "count_if(opponent_move <=> 'D')",
+}
+
 HISTORY_COLUMNS = [
     "turns_before",
-    "own_score_before",
-    "opp_score_before",
-    "own_coops_before",
-    "opp_coops_before",
-    "opp_defections_before",
+    *[f"{name}_before" for name in _TOTALS],
     "opponent_last_move",
     "opponent_defection_streak",
 ]
 
 _AT = [*PERSPECTIVE, "_block"]
-
-# Running totals by name, as the column that each turn adds.
-_TOTALS: dict[str, Column | str] = {
-    "own_score": "payoff",
-    "opp_score": "opponent_payoff",
-    "own_coops": "_own_c",
-    "opp_coops": "_opp_c",
-    "opp_defections": "_opp_d",
-}
+_BLOCK = "PARTITION BY match_id, seat, _block ORDER BY turn"
+_MATCH = "PARTITION BY match_id, seat ORDER BY _block"
+_EARLIER = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+# Row of the block at which a run of defections by the opponent ends.
+_BREAK = "max(CASE WHEN NOT opponent_move <=> 'D' THEN _row END)"
 
 
 def with_history(turns: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
@@ -44,85 +44,60 @@ def with_history(turns: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
     A turn beyond both the block size and the declared ``n_turns`` contradicts that filter
     and fails the job rather than give a wrong state.
     """
-    local = Window.partitionBy(*_AT).orderBy("turn")
-    earlier = local.rowsBetween(Window.unboundedPreceding, -1)
-
-    rows = _blocked(turns, block_turns).withColumn("_row", F.row_number().over(local))
-    rows = rows.withColumns(
-        {
-            **{
-                f"_{name}": F.coalesce(F.sum(value).over(earlier), F.lit(0))
-                for name, value in _TOTALS.items()
-            },
-            "_last": F.lag("opponent_move").over(local),
-            "_break": F.max(F.when(~is_d("opponent_move"), F.col("_row"))).over(earlier),
-        }
+    rows = _numbered(turns, block_turns).selectExpr(
+        "*",
+        *[f"{total} OVER ({_BLOCK} {_EARLIER}) AS _{n}" for n, total in _TOTALS.items()],
+        f"lag(opponent_move) OVER ({_BLOCK}) AS _last",
+        f"{_BREAK} OVER ({_BLOCK} {_EARLIER}) AS _break",
     )
     joined = rows.join(_block_starts(turns, block_turns), _AT, "left")
-
-    started = F.coalesce(F.col("_start_rows"), F.lit(0))
-    before = started + F.col("_row") - 1
-    last_break = F.coalesce(started + F.col("_break"), F.col("_start_break"), F.lit(0))
-    history = {
-        "turns_before": before,
-        **{
-            f"{name}_before": F.coalesce(F.col(f"_start_{name}"), F.lit(0))
-            + F.col(f"_{name}")
-            for name in _TOTALS
-        },
-        "opponent_last_move": F.when(F.col("_row") == 1, F.col("_start_last")).otherwise(
-            F.col("_last")
-        ),
-        "opponent_defection_streak": (before - last_break).cast("int"),
-    }
-    return joined.select(*turns.columns, *[c.alias(n) for n, c in history.items()])
+    before = "coalesce(_start_rows, 0) + _row - 1"
+    last_break = "coalesce(coalesce(_start_rows, 0) + _break, _start_break, 0)"
+    return joined.selectExpr(
+        *turns.columns,
+        f"{before} AS turns_before",
+        *[f"coalesce(_start_{n}, 0) + coalesce(_{n}, 0) AS {n}_before" for n in _TOTALS],
+        "CASE WHEN _row = 1 THEN _start_last ELSE _last END AS opponent_last_move",
+        f"CAST({before} - {last_break} AS INT) AS opponent_defection_streak",
+    )
 
 
-def _blocked(turns: DataFrame, block_turns: int) -> DataFrame:
-    beyond = (F.col("turn") > block_turns) & (F.col("turn") > F.col("n_turns"))
-    block = F.expr(f"(turn - 1) div {block_turns}")
-    return turns.withColumns(
-        {
-            "_block": F.when(
-                beyond, F.raise_error(F.lit("turn beyond n_turns")).cast("bigint")
-            ).otherwise(block),
-            "_own_c": is_c("move").cast("int"),
-            "_opp_c": is_c("opponent_move").cast("int"),
-            "_opp_d": is_d("opponent_move").cast("int"),
-        }
+def _numbered(turns: DataFrame, block_turns: int) -> DataFrame:
+    """Add each turn's block and its row number there."""
+    beyond = f"turn > {block_turns} AND turn > n_turns"
+    block = (
+        f"CASE WHEN {beyond} THEN CAST(raise_error('turn beyond n_turns') AS BIGINT) "
+        f"ELSE (turn - 1) div {block_turns} END AS _block"
+    )
+    return turns.selectExpr("*", block).selectExpr(
+        "*", f"row_number() OVER ({_BLOCK}) AS _row"
     )
 
 
 def _block_starts(turns: DataFrame, block_turns: int) -> DataFrame:
     """State at the start of each block but the first, one row per (match, seat, block)."""
-    several = (
-        (F.col("n_turns") > block_turns)
-        | F.col("n_turns").isNull()
-        | (F.col("turn") > block_turns)
-    )
-    local = Window.partitionBy(*_AT).orderBy("turn")
+    several = f"n_turns > {block_turns} OR n_turns IS NULL OR turn > {block_turns}"
     blocks = (
-        _blocked(turns.where(several), block_turns)
-        .withColumn("_row", F.row_number().over(local))
+        _numbered(turns.where(several), block_turns)
         .groupBy(*_AT)
         .agg(
-            F.count(F.lit(1)).alias("_rows"),
-            F.max(F.when(~is_d("opponent_move"), F.col("_row"))).alias("_break"),
-            F.max_by("opponent_move", "turn").alias("_last"),
-            *[F.sum(value).alias(f"_sum_{name}") for name, value in _TOTALS.items()],
+            *map(
+                expr,
+                [
+                    "count(*) AS _rows",
+                    f"{_BREAK} AS _break",
+                    "max_by(opponent_move, turn) AS _last",
+                    *[f"{total} AS _{n}" for n, total in _TOTALS.items()],
+                ],
+            )
         )
+        .selectExpr("*", f"sum(_rows) OVER ({_MATCH} {_EARLIER}) AS _start_rows")
     )
-    order = Window.partitionBy(*PERSPECTIVE).orderBy("_block")
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_start_rows", F.sum("_rows").over(earlier))
-    ends = F.coalesce(F.col("_start_rows"), F.lit(0)) + F.col("_break")
-    return blocks.select(
+    last_break = "max(coalesce(_start_rows, 0) + _break)"
+    return blocks.selectExpr(
         *_AT,
         "_start_rows",
-        F.max(ends).over(earlier).alias("_start_break"),
-        F.lag("_last").over(order).alias("_start_last"),
-        *[
-            F.sum(f"_sum_{name}").over(earlier).alias(f"_start_{name}")
-            for name in _TOTALS
-        ],
-    ).where(F.col("_start_rows").isNotNull())
+        f"{last_break} OVER ({_MATCH} {_EARLIER}) AS _start_break",
+        f"lag(_last) OVER ({_MATCH}) AS _start_last",
+        *[f"sum(_{n}) OVER ({_MATCH} {_EARLIER}) AS _start_{n}" for n in _TOTALS],
+    ).where("_start_rows IS NOT NULL")

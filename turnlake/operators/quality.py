@@ -4,63 +4,53 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from turnlake.functions.turns import tally
+from turnlake.functions.turns import named
 from turnlake.schemas import OUTCOMES
 
 
-def _counted(df: DataFrame, test: str, model: str, failing: dict[str, Column]) -> DataFrame:
+def _counted(df: DataFrame, test: str, model: str, failing: dict[str, str]) -> DataFrame:
     """Rows that fail, per column, in one pass over the model."""
     columns = list(failing)
-    counts = df.agg(*[tally(failing[c]).alias(c) for c in columns])
-    return counts.unpivot([], columns, "column", "failures").select(
-        F.lit(test).alias("test"), F.lit(model).alias("model"), "column", "failures"
+    counts = df.agg(*named({c: f"count_if({text})" for c, text in failing.items()}))
+    return counts.unpivot([], columns, "column", "failures").selectExpr(
+        f"'{test}' AS test", f"'{model}' AS model", "column", "failures"
     )
 
 
-def _with_labels(df: DataFrame, test: str, model: str, column: str) -> DataFrame:
-    return df.select(
-        F.lit(test).alias("test"),
-        F.lit(model).alias("model"),
-        F.lit(column).alias("column"),
-        F.coalesce(F.col("failures"), F.lit(0)).cast("bigint").alias("failures"),
+def _labelled(df: DataFrame, test: str, model: str, column: str, failures: str) -> DataFrame:
+    return df.selectExpr(f"coalesce({failures}, 0) AS failures").selectExpr(
+        f"'{test}' AS test", f"'{model}' AS model", f"'{column}' AS column", "failures"
     )
 
 
 def not_null(df: DataFrame, model: str, *columns: str) -> DataFrame:
-    return _counted(df, "not_null", model, {c: F.col(c).isNull() for c in columns})
+    return _counted(df, "not_null", model, {c: f"{c} IS NULL" for c in columns})
 
 
 def accepted_values(df: DataFrame, model: str, accepted: dict[str, list[str]]) -> DataFrame:
     """NULL is no value and does not fail."""
-    return _counted(
-        df,
-        "accepted_values",
-        model,
-        {c: ~F.col(c).isin(values) for c, values in accepted.items()},
-    )
+    failing = {
+        c: f"{c} NOT IN ({', '.join(map(repr, values))})" for c, values in accepted.items()
+    }
+    return _counted(df, "accepted_values", model, failing)
 
 
 def accepted_range(
     df: DataFrame, model: str, column: str, low: float, high: float
 ) -> DataFrame:
     """Both ends are accepted; NULL does not fail."""
-    outside = (F.col(column) < low) | (F.col(column) > high)
+    outside = f"{column} < {low} OR {column} > {high}"
     return _counted(df, "accepted_range", model, {column: outside})
 
 
 def unique(df: DataFrame, model: str, column: str) -> DataFrame:
     """Values that occur more than once; copies of a value meet as partial counts."""
-    repeated = (
-        df.where(F.col(column).isNotNull())
-        .groupBy(column)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
+    counts = (
+        df.where(f"{column} IS NOT NULL").groupBy(column).agg(*named({"n": "count(*)"}))
     )
-    counted = repeated.agg(F.count(F.lit(1)).alias("failures"))
-    return _with_labels(counted, "unique", model, column)
+    return _labelled(counts, "unique", model, column, "count_if(n > 1)")
 
 
 def relationships(
@@ -68,15 +58,11 @@ def relationships(
 ) -> DataFrame:
     """Child rows whose value has no parent; counted per value before the join."""
     values = (
-        child.where(F.col(column).isNotNull())
-        .groupBy(column)
-        .agg(F.count(F.lit(1)).alias("n"))
+        child.where(f"{column} IS NOT NULL").groupBy(column).agg(*named({"n": "count(*)"}))
     )
-    known = parent.select(F.col(field).alias(column)).distinct()
+    known = parent.selectExpr(f"{field} AS {column}").distinct()
     orphans = values.join(known, column, "left_anti")
-    return _with_labels(
-        orphans.agg(F.sum("n").alias("failures")), "relationships", model, column
-    )
+    return _labelled(orphans, "relationships", model, column, "sum(n)")
 
 
 def union_tests(tests: list[DataFrame]) -> DataFrame:

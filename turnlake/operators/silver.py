@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from turnlake.functions.summary import summary_text
-from turnlake.functions.turns import is_c, is_d, outcome
+from turnlake.functions.turns import OUTCOME
 from turnlake.operators.history import BLOCK_TURNS, with_history
-from turnlake.schemas import SILVER, STAGING_COLUMNS
+from turnlake.schemas import STAGING_COLUMNS, TURNS
 
 
 def enrich(turns: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
@@ -17,20 +16,22 @@ def enrich(turns: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
     Rates divide by the turn's number, also where the log lacks earlier turns.
     """
 
-    def rate(before: str, move: str) -> Column:
-        return (F.col(before) + is_c(move).cast("int")).cast("double") / F.col("turn")
+    def rate(before: str, move: str) -> str:
+        return f"CAST({before} + int({move} <=> 'C') AS DOUBLE) / turn"
 
-    after_defection = is_d("opponent_last_move")
     derived = {
-        "own_cum_score": F.col("own_score_before") + F.col("payoff"),
-        "opp_cum_score": F.col("opp_score_before") + F.col("opponent_payoff"),
+        "own_cum_score": "own_score_before + payoff",
+        "opp_cum_score": "opp_score_before + opponent_payoff",
         "own_coop_rate": rate("own_coops_before", "move"),
         "opp_coop_rate": rate("opp_coops_before", "opponent_move"),
-        "forgave_this_turn": is_c("move") & after_defection,
-        "retaliated_this_turn": is_d("move") & after_defection,
-        "round_outcome": outcome(),
+        "opponent_last_move": "opponent_last_move",
+        "opponent_defection_streak": "opponent_defection_streak",
+        "forgave_this_turn": "move <=> 'C' AND opponent_last_move <=> 'D'",
+        "retaliated_this_turn": "move <=> 'D' AND opponent_last_move <=> 'D'",
+        "round_outcome": OUTCOME,
     }
-    return with_history(turns, block_turns).withColumns(derived).select(*SILVER.names)
+    columns = [f"{text} AS {name}" for name, text in derived.items()]
+    return with_history(turns, block_turns).selectExpr(*TURNS.names, *columns)
 
 
 def staged(silver: DataFrame) -> DataFrame:

@@ -94,7 +94,7 @@ class Layers:
 
     @cached_property
     def expected(self) -> DataFrame:
-        salt = F.concat("match_id", "seat", F.col("turn").cast("string"))
+        salt = "concat(match_id, seat, turn)"
         return fidelity.expected_move(gold.with_equivalents(self.bronze, self.seed, salt))
 
     @cached_property

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnlake.functions.turns import ratio, tally
-from turnlake.operators.gold import mean_payoff
+from turnlake.functions.turns import named, ratio
+from turnlake.operators.gold import MEAN_PAYOFF
 from turnlake.operators.skew import numbered, salted_join
 from turnlake.schemas import AGENTS
 
@@ -22,15 +22,15 @@ REPLAY_COLUMNS = ["turn", "move", "opponent_move", "payoff", "own_cum_score", "r
 
 def kpis(totals: DataFrame, board: DataFrame) -> DataFrame:
     """Header numbers: matches, longest match, agents in total and by type."""
-    agents = board.agg(
-        F.count(F.lit(1)).alias("n_agents"),
-        tally(F.col("agent_type") == "llm").alias("n_llm"),
-        tally(F.col("agent_type") == "coded").alias("n_coded"),
-    )
-    return agents.select(
-        totals.agg(F.count_distinct("match_id")).scalar().alias("n_matches"),
-        totals.agg(F.max("last_turn")).scalar().alias("max_turn"),
-        "*",
+    matches = totals.agg(*named({"n": "count(DISTINCT match_id)"})).scalar()
+    turns = totals.agg(F.max("last_turn")).scalar()
+    agents = {
+        "n_agents": "count(*)",
+        "n_llm": "count_if(agent_type = 'llm')",
+        "n_coded": "count_if(agent_type = 'coded')",
+    }
+    return board.agg(*named(agents)).select(
+        matches.alias("n_matches"), turns.alias("max_turn"), *agents
     )
 
 
@@ -191,22 +191,19 @@ def coop_unpivot(mart: DataFrame) -> DataFrame:
 
 def repeat_stddev(totals: DataFrame) -> DataFrame:
     """Spread of an agent's mean score over the repeats: the sample standard deviation."""
-    per_repeat = totals.groupBy("player", "repeat").agg(mean_payoff().alias("score"))
-    return per_repeat.groupBy(F.col("player").alias("agent")).agg(
-        F.count(F.lit(1)).alias("n_repeats"),
-        F.stddev_samp("score").alias("ecart_type"),
-    )
+    per_repeat = totals.groupBy("player", "repeat").agg(*named({"score": MEAN_PAYOFF}))
+    spread = {"n_repeats": "count(*)", "ecart_type": "stddev_samp(score)"}
+    return per_repeat.groupBy(F.col("player").alias("agent")).agg(*named(spread))
 
 
 def rank_delta(totals: DataFrame, repeat: int = 1) -> DataFrame:
     """Each agent's score and rank in one repeat and in all of them, and the changes."""
-    in_one = F.col("repeat") == repeat
-    score_one = ratio(
-        F.sum(F.when(in_one, F.col("payoff"))), F.sum(F.when(in_one, F.col("n_payoff")))
-    )
-    scores = totals.groupBy(F.col("player").alias("agent")).agg(
-        score_one.alias("one"), mean_payoff().alias("all")
-    )
+
+    def in_one(column: str) -> str:
+        return f"sum(CASE WHEN repeat = {repeat} THEN {column} END)"
+
+    measures = {"one": ratio(in_one("payoff"), in_one("n_payoff")), "all": MEAN_PAYOFF}
+    scores = totals.groupBy(F.col("player").alias("agent")).agg(*named(measures))
     # Agents in steps of a thousandth of a point, best first, so that no task ranks them all.
     ranked = numbered(
         scores.unpivot(["agent"], ["one", "all"], "subset", "score").dropna(),
@@ -216,20 +213,19 @@ def rank_delta(totals: DataFrame, repeat: int = 1) -> DataFrame:
         "rank",
     )
 
-    def of(subset: str, value: str) -> Column:
-        return F.max(F.when(F.col("subset") == subset, F.col(value)))
+    def of(subset: str, value: str) -> str:
+        return f"max(CASE WHEN subset = '{subset}' THEN {value} END)"
 
-    both = ranked.groupBy("agent").agg(
-        of("one", "rank").alias("rang_un"),
-        of("one", "score").alias("score_un"),
-        of("all", "rank").alias("rang_tous"),
-        of("all", "score").alias("score_tous"),
-    )
-    return both.withColumns(
-        {
-            "delta_rang": F.col("rang_tous") - F.col("rang_un"),
-            "delta_score": F.col("score_tous") - F.col("score_un"),
-        }
+    sides = {
+        "rang_un": of("one", "rank"),
+        "score_un": of("one", "score"),
+        "rang_tous": of("all", "rank"),
+        "score_tous": of("all", "score"),
+    }
+    return ranked.groupBy("agent").agg(*named(sides)).selectExpr(
+        "*",
+        "rang_tous - rang_un AS delta_rang",
+        "score_tous - score_un AS delta_score",
     )
 
 
@@ -238,28 +234,22 @@ def match_outliers(totals: DataFrame) -> DataFrame:
 
     A few pairs hold all matches, so the pair means are joined with salt.
     """
-    pairs = totals.groupBy("player", "opponent").agg(mean_payoff().alias("score_paire"))
-    score = ratio(F.col("payoff"), F.col("n_payoff")).alias("score_match")
-    matches = totals.select("match_id", "seat", "player", "opponent", score)
+    mean = named({"score_paire": MEAN_PAYOFF})
+    pairs = totals.groupBy("player", "opponent").agg(*mean)
+    names = ["match_id", "seat", "player", "opponent"]
+    matches = totals.selectExpr(*names, ratio("payoff", "n_payoff") + " AS score_match")
     joined = salted_join(matches, pairs, ["player", "opponent"], F.col("match_id"))
-    return joined.select(
-        *matches.columns,
-        "score_paire",
-        (F.col("score_match") - F.col("score_paire")).alias("ecart"),
+    return joined.selectExpr(
+        *names, "score_match", "score_paire", "score_match - score_paire AS ecart"
     )
 
 
 def parse_reliability(totals: DataFrame) -> DataFrame:
     """Model answers per agent and the share that could be read."""
-    answers, read = F.sum("n_answers"), F.sum("n_parsable")
-    return (
-        totals.where("player_type = 'llm'")
-        .groupBy(F.col("player").alias("agent"))
-        .agg(
-            answers.alias("n_reponses"),
-            read.alias("n_parsables"),
-            ratio(read, answers).alias("taux_parsable"),
-        )
-    )
-
-
+    measures = {
+        "n_reponses": "sum(n_answers)",
+        "n_parsables": "sum(n_parsable)",
+        "taux_parsable": ratio("sum(n_parsable)", "sum(n_answers)"),
+    }
+    answered = totals.where("player_type = 'llm'")
+    return answered.groupBy(F.col("player").alias("agent")).agg(*named(measures))
