@@ -16,7 +16,8 @@ COOPERATE_PATTERN = "(?iu)coop[ée]r"
 DEFECT_PATTERN = "(?iu)trah"
 DEFAULT_MOVE = "C"
 
-_STRICT_JSON = {"allowSingleQuotes": "false"}
+_PAYLOAD = "move variant, justification variant, _corrupt string"
+_STRICT_JSON = {"allowSingleQuotes": "false", "columnNameOfCorruptRecord": "_corrupt"}
 
 
 def payload(raw: Column) -> Column:
@@ -24,13 +25,14 @@ def payload(raw: Column) -> Column:
 
     The JSON functions ignore text after a value. Wrapping the answer as the only element
     of an array, and as the first of two, gives lengths 1 and 2 only when the answer is one
-    whole value.
+    whole value. NaN and Infinity, which are no JSON, make an answer invalid.
     """
     alone = F.json_array_length(F.concat(F.lit("["), raw, F.lit("]")))
     followed = F.json_array_length(F.concat(F.lit("["), raw, F.lit(",0]")))
     is_object = raw.rlike(r"^[ \t\r\n]*\{")
-    fields = F.from_json(raw, "move variant, justification variant", _STRICT_JSON)
-    return F.when(is_object & (alone == 1) & (followed == 2), fields)
+    fields = F.from_json(raw, _PAYLOAD, _STRICT_JSON)
+    is_valid = fields.getField("_corrupt").isNull()
+    return F.when(is_object & (alone == 1) & (followed == 2) & is_valid, fields)
 
 
 def is_string(value: Column) -> Column:
