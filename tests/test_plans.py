@@ -156,6 +156,21 @@ def test_phases_drop_agents_without_late_turns(spark):
     assert [(r.agent, r.coop_debut, r.coop_fin, r.derive) for r in got] == [("long", 1.0, 0.0, -1.0)]
 
 
+def test_presentation_order(spark):
+    rows = [("a", None), ("c", 0.5), ("b", 0.5), ("d", 0.9)]
+    mart = spark.createDataFrame(rows, "agent string, reciprocite double").selectExpr(
+        "*", "'coded' AS agent_type"
+    )
+    shown = report.presented(mart, "agg_reciprocity").collect()
+    assert [r.agent for r in shown] == ["d", "b", "c", "a"]
+
+
+def test_pivot_shows_agents_beyond_the_known_ones(spark):
+    turns = log(spark, seat_rows("m", "CD", "DD", a="newcomer", b="random"))
+    wide = report.matchup_pivot(gold.matchup_matrix(gold.match_totals(turns)))
+    assert set(wide.columns) == {"player", "newcomer", "random"}
+
+
 def test_ranks_follow_score_then_name(spark):
     rows = []
     for repeat, moves in ((1, ("CC", "DD")), (2, ("DD", "CC"))):

@@ -168,6 +168,13 @@ def test_unseen_over_blocks_of_one_long_match(spark):
     assert same(got, log(spark, seat_rows("long", "CD" * 40, "DD" * 40)))
 
 
+def test_turns_without_an_id_load_once(spark, tmp_path):
+    rows = [{**r, "match_id": None} for r in seat_rows("m", "CD", "DD")]
+    for load in ("a", "b"):
+        turn_log.append_unseen(log(spark, rows), str(tmp_path / "log"), load)
+    assert turn_log.scan_turns(spark, str(tmp_path / "log")).count() == 4
+
+
 def test_stream_loads_each_match_once(spark, tmp_path):
     arrivals, path = str(tmp_path / "in"), str(tmp_path / "log")
     rows = random_rows(6)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from turnlake.operators import answers, bronze, fidelity, gold, quality, schedule, silver
 from turnlake.plans import report
-from turnlake.schemas import TURN_KEY
+from turnlake.schemas import AGENTS, TURN_KEY
 from turnlake.sources import stage, turn_log
 from turnlake.sources.decisions import paired_decisions
 from turnlake.sources.folders import checkpoint_folder
@@ -237,7 +237,7 @@ QUERIES: dict[str, Callable[[Layers], DataFrame]] = {
     "default_match": lambda x: report.default_match(x.bronze),
     "match_replay": match_replay,
     "move_sequence": lambda x: report.move_sequence(x.bronze),
-    "matchup_pivot": lambda x: report.matchup_pivot(x.matchup),
+    "matchup_pivot": lambda x: report.matchup_pivot(x.matchup, AGENTS),
     "fidelity_heatmap": lambda x: report.fidelity_heatmap(x.fidelity_opp),
     "llm_vs_coded_gap": lambda x: report.persona_gaps(x.versus),
     "coop_unpivot": lambda x: report.coop_unpivot(x.versus),

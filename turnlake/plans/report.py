@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from turnlake.functions.turns import named, ratio
 from turnlake.operators.gold import MEAN_PAYOFF
 from turnlake.operators.skew import numbered, salted_join
-from turnlake.schemas import AGENTS
 
 PHASE_TURNS = 10
 # Rule agents that the drift report shows beside the personas.
@@ -20,6 +19,27 @@ DRIFT_RULES = ["tit_for_tat", "grim_trigger"]
 REPLAY_COLUMNS = ["turn", "move", "opponent_move", "payoff", "own_cum_score", "round_outcome"]
 
 
+# Order in which each mart is shown. Written marts have no order.
+PRESENTATION = {
+    "agg_agent_leaderboard": ["score_moyen_par_tour DESC", "agent"],
+    "agg_matchup_matrix": ["player", "score_moyen_par_tour DESC", "opponent"],
+    "agg_cooperation_over_time": ["agent", "turn", "agent_type"],
+    "agg_persona_fidelity": ["fidelite DESC", "persona"],
+    "agg_persona_fidelity_by_opponent": ["persona", "fidelite", "opponent"],
+    "agg_reciprocity": ["reciprocite DESC", "agent", "agent_type"],
+}
+
+
+def presented(mart: DataFrame, name: str) -> DataFrame:
+    """The mart in its order of presentation, rows without the measure last."""
+
+    def order(key: str) -> Column:
+        column = F.col(key.removesuffix(" DESC"))
+        return column.desc_nulls_last() if key.endswith(" DESC") else column.asc_nulls_last()
+
+    return mart.orderBy(*map(order, PRESENTATION[name]))
+
+
 def kpis(totals: DataFrame, board: DataFrame) -> DataFrame:
     """Header numbers: matches, longest match, agents in total and by type."""
     matches = totals.agg(*named({"n": "count(DISTINCT match_id)"})).scalar()
@@ -161,13 +181,11 @@ def move_sequence(turns: DataFrame, segment_turns: int = 100_000) -> DataFrame:
     return turns.groupBy("match_id", "seat", segment).agg(text.alias("sequence"))
 
 
-def wide(mart: DataFrame, row: str, column: str, value: str) -> DataFrame:
-    """The mart with one column per known agent."""
-    return mart.groupBy(row).pivot(column, AGENTS).agg(F.first(value))
-
-
-def matchup_pivot(mart: DataFrame) -> DataFrame:
-    return wide(mart, "player", "opponent", "score_moyen_par_tour")
+def matchup_pivot(mart: DataFrame, opponents: list[str] | None = None) -> DataFrame:
+    """Mean scores with one column per opponent; all opponents of the mart by default."""
+    return mart.groupBy("player").pivot("opponent", opponents).agg(
+        F.first("score_moyen_par_tour")
+    )
 
 
 def fidelity_heatmap(mart: DataFrame) -> DataFrame:

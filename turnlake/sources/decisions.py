@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnlake.operators.schedule import match_id
-from turnlake.operators.skew import numbered
+from turnlake.operators.skew import lookup_join, numbered
 from turnlake.schemas import AGENTS
 
 # Events of one user that a single task may order; a user with more is split by time.
@@ -60,51 +60,43 @@ def matches(events: DataFrame) -> DataFrame:
     return named.withColumn("match_id", ids)
 
 
-def turn_pairs(
-    events: DataFrame, heavy_events: int = HEAVY_EVENTS, slot: int = MINUTE
-) -> tuple[DataFrame, DataFrame]:
+_EVENT = "struct(event_id, ts, event_type, value)"
+_TURN = "CAST((rn + 1) div 2 AS INT) AS turn"
+
+
+def turn_pairs(events: DataFrame) -> DataFrame:
     """Rows (user_id, turn, a, b): each user's events two by two, by time and event id.
 
-    The first result holds the ordinary users, the second those with very many events.
-    A trailing odd event has no partner and is dropped. Users with more than
-    ``heavy_events`` events are numbered by time slot, so no task orders all of theirs; the
-    list of them is shorter than the number of events divided by ``heavy_events``.
+    A trailing odd event has no partner and is dropped. One task orders a user's events.
     """
-    heavy = F.broadcast(
-        events.groupBy("user_id")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > heavy_events)
-        .select("user_id")
-    )
-    event = F.struct("event_id", "ts", "event_type", "value")
-    order = [F.col("ts"), F.col("event_id")]
-    turn = F.expr("CAST((rn + 1) div 2 AS INT)").alias("turn")
-
-    per_user = Window.partitionBy("user_id").orderBy(*order)
-    light = (
-        events.join(heavy, "user_id", "left_anti")
-        .withColumns(
-            {
-                "rn": F.row_number().over(per_user),
-                "a": event,
-                "b": F.lead(event).over(per_user),
-            }
+    order = "OVER (PARTITION BY user_id ORDER BY ts, event_id)"
+    return (
+        events.selectExpr("*", f"{_EVENT} AS a")
+        .selectExpr(
+            "user_id", "a", f"row_number() {order} AS rn", f"lead(a) {order} AS b"
         )
         .where("rn % 2 = 1 AND b IS NOT NULL")
-        .select("user_id", turn, "a", "b")
+        .selectExpr("user_id", _TURN, "a", "b")
     )
+
+
+def split_turn_pairs(events: DataFrame, slot: int = MINUTE) -> DataFrame:
+    """The same rows for users with very many events: no task orders all of a user's.
+
+    Events are numbered by time slot, and the two of a turn meet on (user, turn).
+    """
     moment = F.substring(F.col("ts").cast("string"), 1, slot)
-    split = (
-        numbered(events.join(heavy, "user_id", "left_semi"), ["user_id"], order, moment, "rn")
-        .select("user_id", turn, (F.col("rn") % 2 == 1).alias("is_a"), event.alias("event"))
+    order = [F.col("ts"), F.col("event_id")]
+    return (
+        numbered(events, ["user_id"], order, moment, "rn")
+        .selectExpr("user_id", _TURN, "rn % 2 = 1 AS is_a", f"{_EVENT} AS event")
         .groupBy("user_id", "turn")
         .agg(
-            F.max(F.when(F.col("is_a"), F.col("event"))).alias("a"),
-            F.max(F.when(~F.col("is_a"), F.col("event"))).alias("b"),
+            F.expr("max(CASE WHEN is_a THEN event END) AS a"),
+            F.expr("max(CASE WHEN NOT is_a THEN event END) AS b"),
         )
         .where("b IS NOT NULL")
     )
-    return light, split
 
 
 def _side(side: str) -> list[Column]:
@@ -149,14 +141,26 @@ def _side(side: str) -> list[Column]:
 def paired_decisions(
     events: DataFrame, heavy_events: int = HEAVY_EVENTS, slot: int = MINUTE
 ) -> DataFrame:
-    """One row per turn with both seats' decisions (columns ``a_*`` and ``b_*``)."""
+    """One row per turn with both seats' decisions (columns ``a_*`` and ``b_*``).
+
+    Whether any user has more than ``heavy_events`` events is looked up first. Only such
+    users take the split way.
+    """
     events = events.select("event_id", "ts", "user_id", "event_type", "value").where(
         "user_id IS NOT NULL AND ts IS NOT NULL"
     )
-    light, split = turn_pairs(events, heavy_events, slot)
     played = matches(events)
-    heavy = F.broadcast(played.where(F.col("n_events") > heavy_events))
-    turns = light.join(played, "user_id").unionByName(split.join(heavy, "user_id"))
+    heavy = played.where(F.col("n_events") > heavy_events)
+    if heavy.isEmpty():
+        turns = turn_pairs(events).join(played, "user_id")
+    else:
+        marks = heavy.select("user_id", F.lit(True).alias("is_heavy"))
+        marked = lookup_join(events, marks, ["user_id"], F.col("event_id"))
+        few = turn_pairs(marked.where("is_heavy IS NULL").drop("is_heavy"))
+        many = split_turn_pairs(marked.where("is_heavy").drop("is_heavy"), slot)
+        turns = few.join(played, "user_id").unionByName(
+            lookup_join(many, heavy, ["user_id"], F.col("turn"), "inner")
+        )
     played_at = F.concat(
         F.replace(F.substring(F.col("a.ts").cast("string"), 1, 19), F.lit(" "), F.lit("T")),
         F.lit("+00:00"),

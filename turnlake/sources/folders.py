@@ -8,11 +8,17 @@ from pyspark.sql import SparkSession
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a new local folder only where it is unset."""
+    """The cluster's ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets a new temporary folder. A cluster needs a folder
+    that all its machines share, so there it is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
         folder = tempfile.mkdtemp(prefix="turnlake-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir()

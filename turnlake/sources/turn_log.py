@@ -70,11 +70,13 @@ def unseen(
     The ids are compared once per match and block of turns. The turns then look up their
     (match, block), so the turns of one very long match spread over its blocks.
     """
-    block = F.expr(f"turn div {block_turns}")
-    rows = incoming.withColumn("_block", block)
-    keys = rows.select("match_id", "_block").distinct()
-    new = keys.join(recorded_ids.select("match_id").distinct(), "match_id", "left_anti")
-    return rows.join(new, ["match_id", "_block"], "left_semi").select(*incoming.columns)
+    rows = incoming.withColumn("_block", F.expr(f"turn div {block_turns}")).alias("rows")
+    keys = rows.select("match_id", "_block").distinct().alias("keys")
+    ids = recorded_ids.select("match_id").distinct().alias("ids")
+    # Null-safe, so that turns without an id are kept once, too.
+    new = keys.join(ids, F.expr("keys.match_id <=> ids.match_id"), "left_anti").alias("new")
+    match = F.expr("rows.match_id <=> new.match_id AND rows._block <=> new._block")
+    return rows.join(new, match, "left_semi").select(*incoming.columns)
 
 
 def append_unseen(incoming: DataFrame, path: str, load_id: str) -> None:
