@@ -72,14 +72,13 @@ ANSWERS = {
 @pytest.fixture(scope="module")
 def parsed(spark):
     df = spark.createDataFrame([(a,) for a in ANSWERS], "raw string")
-    raw = F.col("raw")
+    read = parse.with_stages(parse.with_payload(df, "raw").select(
+        "raw", parse.is_object(F.col("payload")).alias("is_object")
+    ), "raw")
     return {
         r.raw: r
-        for r in df.select(
-            "raw",
-            parse.extract_move(raw).alias("move"),
-            parse.json_move(raw).alias("from_json"),
-            parse.payload(raw).isNotNull().alias("is_object"),
+        for r in read.selectExpr(
+            "raw", f"{parse.EXTRACTED} AS move", "json_move", "is_object"
         ).collect()
     }
 
@@ -99,10 +98,8 @@ def test_payload_is_read_only_from_a_whole_json_object(parsed, answer):
 
 
 def test_null_answer(spark):
-    row = spark.sql("SELECT CAST(NULL AS STRING) AS raw").select(
-        parse.extract_move(F.col("raw")).alias("move")
-    )
-    assert row.collect()[0].move is None
+    df = parse.with_stages(spark.sql("SELECT CAST(NULL AS STRING) AS raw"), "raw")
+    assert df.selectExpr(f"{parse.EXTRACTED} AS move").collect()[0].move is None
 
 
 def answer_log(spark, raws):

@@ -6,7 +6,7 @@ keyword of exactly one family. What no stage reads counts as ``C`` and as not pa
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Patterns of the answer formats.
@@ -25,14 +25,22 @@ def payload(raw: Column) -> Column:
 
     The JSON functions ignore text after a value. Wrapping the answer as the only element
     of an array, and as the first of two, gives lengths 1 and 2 only when the answer is one
-    whole value. NaN and Infinity, which are no JSON, make an answer invalid.
+    whole value. NaN and Infinity, which are no JSON, make an answer invalid. The field
+    ``_corrupt`` is set where the fields could not be read; see ``field``.
     """
     alone = F.json_array_length(F.concat(F.lit("["), raw, F.lit("]")))
     followed = F.json_array_length(F.concat(F.lit("["), raw, F.lit(",0]")))
     is_object = raw.rlike(r"^[ \t\r\n]*\{")
     fields = F.from_json(raw, _PAYLOAD, _STRICT_JSON)
-    is_valid = fields.getField("_corrupt").isNull()
-    return F.when(is_object & (alone == 1) & (followed == 2) & is_valid, fields)
+    return F.when(is_object & (alone == 1) & (followed == 2), fields)
+
+
+def is_object(parsed: Column) -> Column:
+    return parsed.isNotNull() & parsed.getField("_corrupt").isNull()
+
+
+def field(parsed: Column, name: str) -> Column:
+    return F.when(is_object(parsed), parsed.getField(name))
 
 
 def is_string(value: Column) -> Column:
@@ -43,8 +51,9 @@ def text_of(value: Column) -> Column:
     return F.when(is_string(value), F.try_variant_get(value, "$", "string"))
 
 
-def json_move(raw: Column) -> Column:
-    text = text_of(payload(raw).getField("move"))
+def json_move(parsed: Column) -> Column:
+    """The move of a parsed payload."""
+    text = text_of(field(parsed, "move"))
     first = F.regexp_extract(text, "(?U)" + LEADING_BLANKS + "([CDcd])", 1)
     return F.nullif(F.upper(first), F.lit(""))
 
@@ -58,6 +67,21 @@ def keyword_move(raw: Column) -> Column:
     return F.when(cooperates & ~defects, "C").when(defects & ~cooperates, "D")
 
 
-def extract_move(raw: Column) -> Column:
-    """The move the answer states, NULL where no stage reads one."""
-    return F.coalesce(json_move(raw), letter_move(raw), keyword_move(raw))
+def with_payload(answers: DataFrame, raw: str = "raw_output") -> DataFrame:
+    """Add ``payload``. A column of its own, so that its readers share one parse."""
+    return answers.withColumn("payload", payload(F.col(raw)))
+
+
+def with_stages(answers: DataFrame, raw: str = "raw_output") -> DataFrame:
+    """Add what each stage alone reads: ``json_move``, ``letter_move``, ``keyword_move``."""
+    return with_payload(answers, raw).withColumns(
+        {
+            "json_move": json_move(F.col("payload")),
+            "letter_move": letter_move(F.col(raw)),
+            "keyword_move": keyword_move(F.col(raw)),
+        }
+    ).drop("payload")
+
+
+# The move the answer states, NULL where no stage reads one.
+EXTRACTED = "coalesce(json_move, letter_move, keyword_move)"

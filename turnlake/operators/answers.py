@@ -16,24 +16,17 @@ def answers(turns: DataFrame) -> DataFrame:
 
 def stage_moves(turns: DataFrame) -> DataFrame:
     """What each stage alone reads in each answer."""
-    raw = F.col("raw_output")
-    return answers(turns).select(
-        *TURN_KEY,
-        "player",
-        parse.json_move(raw).alias("json_move"),
-        parse.letter_move(raw).alias("letter_move"),
-        parse.keyword_move(raw).alias("keyword_move"),
-    )
+    stages = ["json_move", "letter_move", "keyword_move"]
+    return parse.with_stages(answers(turns)).select(*TURN_KEY, "player", *stages)
 
 
 def reparsed(turns: DataFrame) -> DataFrame:
     """The move read again from each answer, with the default for answers that state none."""
-    move = "coalesce(json_move, letter_move, keyword_move)"
     return stage_moves(turns).selectExpr(
         *TURN_KEY,
         "player",
-        f"coalesce({move}, '{parse.DEFAULT_MOVE}') AS parsed_move",
-        f"{move} IS NOT NULL AS parsed_ok",
+        f"coalesce({parse.EXTRACTED}, '{parse.DEFAULT_MOVE}') AS parsed_move",
+        f"{parse.EXTRACTED} IS NOT NULL AS parsed_ok",
     )
 
 
@@ -49,14 +42,15 @@ def parse_audit(turns: DataFrame) -> DataFrame:
 
 def justification_rate(turns: DataFrame) -> DataFrame:
     """Share of answers per agent with a justification that is not blank."""
-    text = parse.text_of(parse.payload(F.col("raw_output")).getField("justification"))
+    text = parse.text_of(parse.field(F.col("payload"), "justification"))
     filled = F.coalesce(text.rlike(r"\S"), F.lit(False)).alias("filled")
     measures = {
         "n_answers": "count(*)",
         "n_justified": "count_if(filled)",
         "taux_justification": ratio("count_if(filled)", "count(*)"),
     }
-    checked = answers(turns).select(F.col("player").alias("agent"), filled)
+    parsed = parse.with_payload(answers(turns).select("player", "raw_output"))
+    checked = parsed.select(F.col("player").alias("agent"), filled)
     return checked.groupBy("agent").agg(*named(measures))
 
 
@@ -66,12 +60,12 @@ def payload_audit(turns: DataFrame) -> DataFrame:
     The format is a JSON object with a required ``move`` of "C" or "D" and an optional
     ``justification`` string.
     """
-    payload = parse.payload(F.col("raw_output")).alias("payload")
-    parsed = answers(turns).select("player", payload)
-    move, why = F.col("payload.move"), F.col("payload.justification")
+    parsed = parse.with_payload(answers(turns).select("player", "raw_output"))
+    payload = F.col("payload")
+    move, why = parse.field(payload, "move"), parse.field(payload, "justification")
     checks = parsed.select(
         F.col("player").alias("agent"),
-        F.col("payload").isNotNull().alias("is_object"),
+        parse.is_object(payload).alias("is_object"),
         move.isNotNull().alias("has_move"),
         parse.is_string(move).alias("is_text"),
         F.coalesce(parse.text_of(move).isin("C", "D"), F.lit(False)).alias("in_enum"),

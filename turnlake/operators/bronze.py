@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnlake.functions.turns import named
@@ -16,22 +16,23 @@ def tidy_seats(paired: DataFrame) -> DataFrame:
     """
     shared = ["match_id", "repeat", "turn", "n_turns", "run_id", "played_at"]
 
-    def side(seat: str, own: str, other: str) -> Column:
-        return F.struct(
-            F.lit(seat).alias("seat"),
-            F.col(f"{own}_player").alias("player"),
-            F.col(f"{own}_type").alias("player_type"),
-            F.col(f"{other}_player").alias("opponent"),
-            F.col(f"{other}_type").alias("opponent_type"),
-            F.col(f"{own}_move").alias("move"),
-            F.col(f"{other}_move").alias("opponent_move"),
-            F.col(f"{own}_response_time").alias("response_time"),
-            F.col(f"{own}_raw_output").alias("raw_output"),
-            F.col(f"{own}_is_parsable").alias("is_parsable"),
-        )
-
-    sides = F.explode(F.array(side("A", "a", "b"), side("B", "b", "a")))
-    return paired.select(*shared, sides.alias("side")).select(*shared, "side.*")
+    def side(seat: str, own: str, other: str) -> str:
+        columns = {
+            "seat": f"'{seat}'",
+            "player": f"{own}_player",
+            "player_type": f"{own}_type",
+            "opponent": f"{other}_player",
+            "opponent_type": f"{other}_type",
+            "move": f"{own}_move",
+            "opponent_move": f"{other}_move",
+            "response_time": f"{own}_response_time",
+            "raw_output": f"{own}_raw_output",
+            "is_parsable": f"{own}_is_parsable",
+        }
+        return "struct(" + ", ".join(f"{c} AS {n}" for n, c in columns.items()) + ")"
+
+    sides = f"explode(array({side('A', 'a', 'b')}, {side('B', 'b', 'a')})) AS side"
+    return paired.selectExpr(*shared, sides).select(*shared, "side.*")
 
 
 def payoff_join(seats: DataFrame) -> DataFrame:
@@ -42,7 +43,9 @@ def payoff_join(seats: DataFrame) -> DataFrame:
 
 def build_bronze(paired: DataFrame) -> DataFrame:
     bronze = payoff_join(tidy_seats(paired))
-    return bronze.select(*[F.col(f.name).cast(f.dataType) for f in TURNS.fields])
+    return bronze.selectExpr(
+        *[f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in TURNS.fields]
+    )
 
 
 def observed_payoffs(turns: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnlake.operators.schedule import match_id
@@ -16,16 +16,9 @@ MINUTE = 16
 # User ids per block when a pair's matches are numbered.
 USER_BLOCK = 1 << 20
 
-COOPERATIVE = ["view", "click", "purchase"]
+# Agents by index; those from FIRST_PERSONA on are model-played.
 FIRST_PERSONA = 5
-
-
-def agent_name(index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(a) for a in AGENTS]), index.cast("int") + 1)
-
-
-def agent_kind(index: Column) -> Column:
-    return F.when(index >= FIRST_PERSONA, "llm").otherwise("coded")
+_NAMES = "array(" + ", ".join(f"'{name}'" for name in AGENTS) + ")"
 
 
 def matches(events: DataFrame) -> DataFrame:
@@ -34,27 +27,27 @@ def matches(events: DataFrame) -> DataFrame:
     The ``repeat`` numbers the matches of a pair by user id. All matches fall on 36 pairs,
     so they are numbered by blocks of ids.
     """
-    first, second = F.expr("user_id % 8"), F.expr("user_id div 8 % 8")
+    first, second = "user_id % 8", "user_id div 8 % 8"
     users = (
         events.groupBy("user_id")
         .agg(F.count(F.lit(1)).alias("n_events"))
         .where("n_events >= 2")
-        .withColumns({"ia": F.least(first, second), "ib": F.greatest(first, second)})
+        .selectExpr(
+            "*",
+            f"CAST(least({first}, {second}) AS INT) AS ia",
+            f"CAST(greatest({first}, {second}) AS INT) AS ib",
+        )
     )
     block = F.expr(f"user_id div {USER_BLOCK}")
-    ranked = numbered(users, ["ia", "ib"], [F.col("user_id")], block, "repeat")
-    n_turns = F.expr("CAST(n_events div 2 AS INT)")
-    named = ranked.select(
+    named = numbered(users, ["ia", "ib"], [F.col("user_id")], block, "number").selectExpr(
         "user_id",
         "n_events",
         "ia",
         "ib",
-        F.col("repeat").cast("int").alias("repeat"),
-        n_turns.alias("n_turns"),
-        agent_name(F.col("ia")).alias("a_player"),
-        agent_name(F.col("ib")).alias("b_player"),
-        agent_kind(F.col("ia")).alias("a_type"),
-        agent_kind(F.col("ib")).alias("b_type"),
+        "CAST(number AS INT) AS repeat",
+        "CAST(n_events div 2 AS INT) AS n_turns",
+        *[f"{_NAMES}[i{s}] AS {s}_player" for s in "ab"],
+        *[f"if(i{s} >= {FIRST_PERSONA}, 'llm', 'coded') AS {s}_type" for s in "ab"],
     )
     ids = match_id(F.col("a_player"), F.col("b_player"), F.col("n_turns"), F.col("repeat"))
     return named.withColumn("match_id", ids)
@@ -99,43 +92,33 @@ def split_turn_pairs(events: DataFrame, slot: int = MINUTE) -> DataFrame:
     )
 
 
-def _side(side: str) -> list[Column]:
-    """A seat's decision, read from its event."""
-    index, kind = F.col(f"i{side}"), F.col(f"{side}_type")
-    number = F.col(f"{side}.event_id") % 10
-    is_llm = kind == "llm"
-    cooperative = F.col(f"{side}.event_type").isin(COOPERATIVE)
-    intended = (
-        F.when(index == 0, "C")
-        .when(index == 1, "D")
-        .otherwise(F.when(cooperative, "C").otherwise("D"))
-    )
-
-    def by_move(cooperates: str, defects: str) -> Column:
-        return F.when(intended == "C", cooperates).otherwise(defects)
-
-    # The shapes of a model's answer.
-    answer = (
-        F.when(number <= 4, by_move('{"move": "C"}', '{"move": "D"}'))
-        .when(
-            number == 5,
-            by_move(
-                '{"move": "cooperate", "justification": "ok"}',
-                '{"move": "defect", "justification": "ok"}',
-            ),
-        )
-        .when(number == 6, by_move("Mon choix : C", "Mon choix : D"))
-        .when(number == 7, by_move("Je vais coopérer", "Je vais trahir"))
-        .when(number == 8, "coopérer ou trahir")
-        .otherwise('{"move": "X"}')
-    )
-    parsable = ~(is_llm & (number >= 8))
-    return [
-        F.when(parsable, intended).otherwise("C").alias(f"{side}_move"),
-        F.when(is_llm, F.col(f"{side}.value")).alias(f"{side}_response_time"),
-        F.when(is_llm, answer).alias(f"{side}_raw_output"),
-        parsable.alias(f"{side}_is_parsable"),
-    ]
+# What a decision means to play, and the shapes of a model's answer by the
+# last digit of the event's id. Answers 8 and 9 state no move, which then is C.
+_INTENDED = """CASE i{s} WHEN 0 THEN 'C' WHEN 1 THEN 'D'
+  ELSE if({s}.event_type IN ('view', 'click', 'purchase'), 'C', 'D') END"""
+_IS_PARSABLE = "({s}_type = 'coded' OR {s}.event_id % 10 < 8)"
+_ANSWER = """CASE
+  WHEN {s}_type = 'coded' THEN NULL
+  WHEN {s}.event_id % 10 <= 4 THEN concat('{{"move": "', {s}_wish, '"}}')
+  WHEN {s}.event_id % 10 = 5 THEN concat('{{"move": "',
+    if({s}_wish = 'C', 'cooperate', 'defect'), '", "justification": "ok"}}')
+  WHEN {s}.event_id % 10 = 6 THEN concat('Mon choix : ', {s}_wish)
+  WHEN {s}.event_id % 10 = 7 THEN if({s}_wish = 'C', 'Je vais coopérer', 'Je vais trahir')
+  WHEN {s}.event_id % 10 = 8 THEN 'coopérer ou trahir'
+  ELSE '{{"move": "X"}}' END"""
+
+
+def _decision(s: str) -> list[str]:
+    """The columns of seat ``s``, read from its event."""
+    columns = {
+        "player": "{s}_player",
+        "type": "{s}_type",
+        "move": f"if({_IS_PARSABLE}, {{s}}_wish, 'C')",
+        "response_time": "if({s}_type = 'llm', {s}.value, NULL)",
+        "raw_output": _ANSWER,
+        "is_parsable": _IS_PARSABLE,
+    }
+    return [f"{text.format(s=s)} AS {s}_{name}" for name, text in columns.items()]
 
 
 def paired_decisions(
@@ -150,32 +133,32 @@ def paired_decisions(
         "user_id IS NOT NULL AND ts IS NOT NULL"
     )
     played = matches(events)
-    heavy = played.where(F.col("n_events") > heavy_events)
+    heavy = (
+        events.groupBy("user_id")
+        .agg(F.count(F.lit(1)).alias("n_events"))
+        .where(F.col("n_events") > heavy_events)
+    )
     if heavy.isEmpty():
         turns = turn_pairs(events).join(played, "user_id")
     else:
-        marks = heavy.select("user_id", F.lit(True).alias("is_heavy"))
+        marks = heavy.selectExpr("user_id", "true AS is_heavy")
         marked = lookup_join(events, marks, ["user_id"], F.col("event_id"))
         few = turn_pairs(marked.where("is_heavy IS NULL").drop("is_heavy"))
         many = split_turn_pairs(marked.where("is_heavy").drop("is_heavy"), slot)
+        long = played.where(F.col("n_events") > heavy_events)
         turns = few.join(played, "user_id").unionByName(
-            lookup_join(many, heavy, ["user_id"], F.col("turn"), "inner")
+            lookup_join(many, long, ["user_id"], F.col("turn"), "inner")
         )
-    played_at = F.concat(
-        F.replace(F.substring(F.col("a.ts").cast("string"), 1, 19), F.lit(" "), F.lit("T")),
-        F.lit("+00:00"),
-    )
-    return turns.select(
+    moment = "replace(substring(CAST(a.ts AS STRING), 1, 19), ' ', 'T')"
+    return turns.selectExpr(
+        "*", *[f"{_INTENDED.format(s=s)} AS {s}_wish" for s in "ab"]
+    ).selectExpr(
         "match_id",
         "repeat",
         "turn",
         "n_turns",
-        "a_player",
-        "a_type",
-        *_side("a"),
-        "b_player",
-        "b_type",
-        *_side("b"),
-        F.lit("fixture").alias("run_id"),
-        played_at.alias("played_at"),
+        *_decision("a"),
+        *_decision("b"),
+        "'fixture' AS run_id",
+        f"concat({moment}, '+00:00') AS played_at",
     )
