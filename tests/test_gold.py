@@ -205,7 +205,7 @@ def test_data_tests_find_planted_faults(spark, seed):
     assert failures(quality.relationship_tests(fact, dim)) == {
         ("relationships", "fct_turns", "player"): 7
     }
-    assert failures(quality.not_null(fact, "fct_turns", "turn_key", "player")) == {
+    assert failures(quality.row_tests(fact, "fct_turns", quality.FACT_KEYS)) == {
         ("not_null", "fct_turns", "turn_key"): 0,
         ("not_null", "fct_turns", "player"): 1,
     }

@@ -77,8 +77,9 @@ def test_pipeline_writes_what_the_queries_compute(spark, tmp_path):
         assert built.exceptAll(direct).isEmpty() and direct.exceptAll(built).isEmpty(), table
     tests = pipeline.run_tests(silver, tables).collect()
     assert len(tests) == 13 and all(r.failures == 0 for r in tests)
-    assert spark.table("stg_turns").count() == silver.count()
-    spark.sql("DROP SCHEMA marts CASCADE")
+    assert spark.table("staging.stg_turns").count() == silver.count()
+    for schema in ("staging", "marts"):
+        spark.sql(f"DROP SCHEMA {schema} CASCADE")
 
 
 def executed(df) -> str:

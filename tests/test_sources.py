@@ -12,7 +12,7 @@ from turnlake.operators import schedule
 from turnlake.operators.bronze import build_bronze
 from turnlake.operators.skew import lookup_join, numbered, salted_join
 from turnlake.schemas import AGENT_META, AGENTS, SEED, TURNS
-from turnlake.sources import stage, turn_log
+from turnlake.sources import sizing, stage, turn_log
 from turnlake.sources.decisions import paired_decisions
 from turnlake.sources.layers import as_table, as_view, drop_tables
 from turnlake.sources.seed import seed_agents
@@ -204,11 +204,29 @@ def test_seed_csv_reads_like_the_built_in_table(spark, tmp_path):
 
 
 def test_layers(spark, tmp_path):
-    df = spark.range(5)
-    as_view(df, "five")
-    assert spark.table("five").count() == 5
+    turn_log.overwrite(spark.range(5).selectExpr("id", "id * 2 AS twice"), str(tmp_path / "in"))
+    view = as_view(spark, "staging_test", "v", ["twice"], str(tmp_path / "in"))
+    assert view.columns == ["twice"] and view.count() == 5
     for expected in (5, 3):
         table = as_table(spark.range(expected), "marts_test", "t", str(tmp_path))
         assert table.count() == expected
     assert (tmp_path / "marts_test" / "t" / "_SUCCESS").exists()
     drop_tables(spark, "marts_test", ["t"])
+
+
+def test_shuffle_width_follows_the_input(spark, tmp_path, monkeypatch):
+    gib, tib = 1 << 30, 1 << 40
+    assert sizing.settings(gib, 200) == {}
+    assert sizing.settings(300 * gib, 200) == {sizing.INITIAL_PARTITIONS: "300"}
+    assert sizing.settings(300 * gib, 400) == {}
+    assert sizing.settings(100 * tib, 200) == {
+        sizing.INITIAL_PARTITIONS: "100000",
+        sizing.SPLIT_BYTES: str(512 << 20),
+    }
+    path = str(tmp_path / "log")
+    turn_log.overwrite(spark.range(1000), path)
+    monkeypatch.setattr(sizing, "PARTITION_BYTES", 100)
+    assert spark.conf.get(sizing.INITIAL_PARTITIONS, None) is None
+    with sizing.sized_for(spark, path):
+        assert int(spark.conf.get(sizing.INITIAL_PARTITIONS)) >= 10
+    assert spark.conf.get(sizing.INITIAL_PARTITIONS, None) is None

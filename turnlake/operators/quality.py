@@ -10,39 +10,39 @@ from turnlake.functions.turns import named
 from turnlake.schemas import OUTCOMES
 
 
-def _counted(df: DataFrame, test: str, model: str, failing: dict[str, str]) -> DataFrame:
-    """Rows that fail, per column, in one pass over the model."""
-    columns = list(failing)
-    counts = df.agg(*named({c: f"count_if({text})" for c, text in failing.items()}))
-    return counts.unpivot([], columns, "column", "failures").selectExpr(
-        f"'{test}' AS test", f"'{model}' AS model", "column", "failures"
-    )
-
-
-def _labelled(df: DataFrame, test: str, model: str, column: str, failures: str) -> DataFrame:
-    return df.selectExpr(f"coalesce({failures}, 0) AS failures").selectExpr(
-        f"'{test}' AS test", f"'{model}' AS model", f"'{column}' AS column", "failures"
-    )
+# A test of single rows: its name, the column, and SQL text that holds where a row fails.
+RowTest = tuple[str, str, str]
 
 
-def not_null(df: DataFrame, model: str, *columns: str) -> DataFrame:
-    return _counted(df, "not_null", model, {c: f"{c} IS NULL" for c in columns})
+def not_null(*columns: str) -> list[RowTest]:
+    return [("not_null", c, f"{c} IS NULL") for c in columns]
 
 
-def accepted_values(df: DataFrame, model: str, accepted: dict[str, list[str]]) -> DataFrame:
+def accepted_values(column: str, values: list[str]) -> list[RowTest]:
     """NULL is no value and does not fail."""
-    failing = {
-        c: f"{c} NOT IN ({', '.join(map(repr, values))})" for c, values in accepted.items()
-    }
-    return _counted(df, "accepted_values", model, failing)
+    accepted = ", ".join(f"'{v}'" for v in values)
+    return [("accepted_values", column, f"{column} NOT IN ({accepted})")]
 
 
-def accepted_range(
-    df: DataFrame, model: str, column: str, low: float, high: float
-) -> DataFrame:
+def accepted_range(column: str, low: float, high: float) -> list[RowTest]:
     """Both ends are accepted; NULL does not fail."""
-    outside = f"{column} < {low} OR {column} > {high}"
-    return _counted(df, "accepted_range", model, {column: outside})
+    return [("accepted_range", column, f"{column} < {low} OR {column} > {high}")]
+
+
+def row_tests(df: DataFrame, model: str, tests: list[RowTest]) -> DataFrame:
+    """Failing rows of each test, all counted in one pass over the model."""
+    counts = {f"c{i}": f"count_if({failing})" for i, (_, _, failing) in enumerate(tests)}
+    rows = [
+        f"struct('{test}' AS test, '{model}' AS model, '{column}' AS column, c{i} AS failures)"
+        for i, (test, column, _) in enumerate(tests)
+    ]
+    return df.agg(*named(counts)).selectExpr(f"inline(array({', '.join(rows)}))")
+
+
+def _labelled(df: DataFrame, test: str, model: str, column: str, failures: str) -> DataFrame:
+    return df.selectExpr(f"coalesce({failures}, 0) AS failures").selectExpr(
+        f"'{test}' AS test", f"'{model}' AS model", f"'{column}' AS column", "failures"
+    )
 
 
 def unique(df: DataFrame, model: str, column: str) -> DataFrame:
@@ -69,15 +69,23 @@ def union_tests(tests: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tests)
 
 
+FACT_KEYS = not_null("turn_key", "player")
+FACT_VALUES = [
+    *accepted_values("move", ["C", "D"]),
+    *accepted_values("round_outcome", OUTCOMES),
+]
+FIDELITY_RANGE = accepted_range("fidelite", 0, 1)
+
+
 def not_null_tests(
     fact: DataFrame, dim: DataFrame, fidelity: DataFrame, silver: DataFrame
 ) -> DataFrame:
     return union_tests(
         [
-            not_null(fact, "fct_turns", "turn_key", "player"),
-            not_null(dim, "dim_agent", "agent_name"),
-            not_null(fidelity, "agg_persona_fidelity", "persona"),
-            not_null(silver, "silver.turns", "match_id", "player"),
+            row_tests(fact, "fct_turns", FACT_KEYS),
+            row_tests(dim, "dim_agent", not_null("agent_name")),
+            row_tests(fidelity, "agg_persona_fidelity", not_null("persona")),
+            row_tests(silver, "silver.turns", not_null("match_id", "player")),
         ]
     )
 
@@ -93,9 +101,7 @@ def unique_tests(fact: DataFrame, dim: DataFrame, fidelity: DataFrame) -> DataFr
 
 
 def accepted_values_tests(fact: DataFrame) -> DataFrame:
-    return accepted_values(
-        fact, "fct_turns", {"move": ["C", "D"], "round_outcome": OUTCOMES}
-    )
+    return row_tests(fact, "fct_turns", FACT_VALUES)
 
 
 def relationship_tests(fact: DataFrame, dim: DataFrame) -> DataFrame:
@@ -103,19 +109,22 @@ def relationship_tests(fact: DataFrame, dim: DataFrame) -> DataFrame:
 
 
 def range_tests(fidelity: DataFrame) -> DataFrame:
-    return accepted_range(fidelity, "agg_persona_fidelity", "fidelite", 0, 1)
+    return row_tests(fidelity, "agg_persona_fidelity", FIDELITY_RANGE)
 
 
 def all_tests(
     fact: DataFrame, dim: DataFrame, fidelity: DataFrame, silver: DataFrame
 ) -> DataFrame:
-    """The 13 declared tests."""
+    """The 13 declared tests; those of single rows take one pass per model."""
     return union_tests(
         [
-            not_null_tests(fact, dim, fidelity, silver),
+            row_tests(fact, "fct_turns", [*FACT_KEYS, *FACT_VALUES]),
+            row_tests(dim, "dim_agent", not_null("agent_name")),
+            row_tests(
+                fidelity, "agg_persona_fidelity", [*not_null("persona"), *FIDELITY_RANGE]
+            ),
+            row_tests(silver, "silver.turns", not_null("match_id", "player")),
             unique_tests(fact, dim, fidelity),
-            accepted_values_tests(fact),
             relationship_tests(fact, dim),
-            range_tests(fidelity),
         ]
     )

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from turnlake.operators import fidelity, gold, quality
 from turnlake.operators.history import BLOCK_TURNS
-from turnlake.operators.silver import enrich, staged
-from turnlake.schemas import SILVER
+from turnlake.operators.silver import enrich
+from turnlake.schemas import SILVER, STAGING_COLUMNS
 from turnlake.sources.layers import as_table, as_view
 from turnlake.sources.seed import seed_agents
+from turnlake.sources.sizing import sized_for
 from turnlake.sources.turn_log import overwrite, scan_turns
 
+STAGING = "staging"
 MARTS = "marts"
 
 
@@ -19,7 +21,8 @@ def build_silver(
     spark: SparkSession, bronze: str, silver: str, block_turns: int = BLOCK_TURNS
 ) -> DataFrame:
     """Rebuild the silver log from the bronze one."""
-    overwrite(enrich(scan_turns(spark, bronze), block_turns), silver)
+    with sized_for(spark, bronze):
+        overwrite(enrich(scan_turns(spark, bronze), block_turns), silver)
     return scan_turns(spark, silver, SILVER)
 
 
@@ -48,22 +51,21 @@ def build_gold(
     cooperation over time. Everything else reads the written counts.
     """
     seed = seed_agents(spark, seed_path)
-    turns = staged(scan_turns(spark, silver, SILVER))
-    as_view(turns, "stg_turns")
+    turns = as_view(spark, STAGING, "stg_turns", STAGING_COLUMNS, silver)
 
     def table(df: DataFrame, name: str) -> DataFrame:
         return as_table(df, MARTS, name, root)
 
-    fact = table(gold.fct_turns(turns, seed), "fct_turns")
-    totals = table(gold.match_totals(fact), "match_totals")
-    followed = table(
-        fidelity.fidelity_totals(fidelity.expected_move(fact)), "fidelity_totals"
-    )
-    tables = {"fct_turns": fact}
-    # The totals list every player of the log.
-    tables["dim_agent"] = table(gold.dim_agent(totals, seed), "dim_agent")
-    for name, mart in marts(fact, totals, followed, seed).items():
-        tables[name] = table(mart, name)
+    with sized_for(spark, silver):
+        fact = table(gold.fct_turns(turns, seed), "fct_turns")
+        totals = table(gold.match_totals(fact), "match_totals")
+        expected = fidelity.expected_move(fact)
+        followed = table(fidelity.fidelity_totals(expected), "fidelity_totals")
+        tables = {"fct_turns": fact}
+        # The totals list every player of the log.
+        tables["dim_agent"] = table(gold.dim_agent(totals, seed), "dim_agent")
+        for name, mart in marts(fact, totals, followed, seed).items():
+            tables[name] = table(mart, name)
     return tables
 
 

@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def as_view(df: DataFrame, name: str) -> None:
-    df.createOrReplaceTempView(name)
+def as_view(
+    spark: SparkSession, schema: str, name: str, columns: list[str], path: str
+) -> DataFrame:
+    """Define ``schema.name`` as those columns of the Parquet files at ``path``."""
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {schema}")
+    spark.sql(
+        f"CREATE OR REPLACE VIEW {schema}.{name} AS "
+        f"SELECT {', '.join(columns)} FROM parquet.`{path}`"
+    )
+    return spark.table(f"{schema}.{name}")
 
 
 def as_table(df: DataFrame, schema: str, name: str, root: str | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from turnlake.operators.bronze import build_bronze
 from turnlake.sources.decisions import paired_decisions
 from turnlake.sources.folders import checkpoint_folder, path_exists
+from turnlake.sources.sizing import sized_for
 from turnlake.sources.turn_log import overwrite, scan_turns
 
 
@@ -26,7 +27,8 @@ def bronze_path(spark: SparkSession, folder: str) -> str:
     app = spark.sparkContext.applicationId
     path = f"{checkpoint_folder(spark)}/turnlake/{app}/{name}/bronze"
     if not path_exists(spark, f"{path}/_SUCCESS"):
-        overwrite(build_bronze(paired_decisions(events(spark, folder))), path)
+        with sized_for(spark, f"{folder}/events.parquet"):
+            overwrite(build_bronze(paired_decisions(events(spark, folder))), path)
     return path
 
 
