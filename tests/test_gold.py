@@ -198,17 +198,31 @@ def test_data_tests_find_planted_faults(spark, seed):
         ("accepted_values", "fct_turns", "move"): 1,
         ("accepted_values", "fct_turns", "round_outcome"): 0,
     }
-    assert failures(quality.unique(fact, "fct_turns", "turn_key")) == {
+    assert failures(quality.model_tests(fact, "fct_turns", [], "turn_key")) == {
         ("unique", "fct_turns", "turn_key"): 1
     }
     # Six turns of "random" and the planted one have no parent; the NULL player does not count.
     assert failures(quality.relationship_tests(fact, dim)) == {
         ("relationships", "fct_turns", "player"): 7
     }
-    assert failures(quality.row_tests(fact, "fct_turns", quality.FACT_KEYS)) == {
+    assert failures(quality.model_tests(fact, "fct_turns", quality.FACT_KEYS)) == {
         ("not_null", "fct_turns", "turn_key"): 0,
         ("not_null", "fct_turns", "player"): 1,
     }
+    assert failures(
+        quality.model_tests(fact, "f", [*quality.FACT_KEYS, *quality.FACT_VALUES], "turn_key")
+    ) == {
+        ("not_null", "f", "turn_key"): 0,
+        ("not_null", "f", "player"): 1,
+        ("accepted_values", "f", "move"): 1,
+        ("accepted_values", "f", "round_outcome"): 0,
+        ("unique", "f", "turn_key"): 1,
+    }
+    names = spark.createDataFrame([("a",), ("a",), (None,), (None,), ("b",)], "name string")
+    assert failures(quality.model_tests(names, "n", quality.not_null("name"), "name")) == {
+        ("not_null", "n", "name"): 2,
+        ("unique", "n", "name"): 1,
+    }
     values = spark.createDataFrame([(-0.1,), (0.0,), (1.0,), (1.1,), (None,)], "fidelite double")
     assert failures(quality.range_tests(values)) == {
         ("accepted_range", "agg_persona_fidelity", "fidelite"): 2

@@ -137,6 +137,12 @@ def test_append_twice_adds_nothing(spark, tmp_path):
     assert same(turn_log.scan_turns(spark, path), log(spark, rows))
 
 
+def test_copies_within_a_load_count_once(spark, tmp_path):
+    rows = random_rows(8)
+    turn_log.append_unseen(log(spark, rows + rows[:7] * 50), str(tmp_path / "log"), "a")
+    assert same(turn_log.scan_turns(spark, str(tmp_path / "log")), log(spark, rows))
+
+
 def test_repeating_a_load_repairs_it(spark, tmp_path):
     path = str(tmp_path / "log")
     turn_log.append_unseen(log(spark, seat_rows("old", "CD", "DD")), path, "load-0")

@@ -158,7 +158,9 @@ def reciprocity(totals: DataFrame) -> DataFrame:
 def llm_vs_coded(board: DataFrame, seed: DataFrame) -> DataFrame:
     """Each persona beside the agent that is its rule equivalent, if that agent played.
 
-    The right side is the whole leaderboard: an equivalent may be any agent.
+    An equivalent may be any agent of the leaderboard. Every agent stands for itself as a
+    rule, and a persona also under its equivalent; the two meet per rule. That reads the
+    leaderboard once, where a join of it with itself would compute it twice.
     """
     measures = {
         "score_moyen": "score_moyen_par_tour",
@@ -167,21 +169,29 @@ def llm_vs_coded(board: DataFrame, seed: DataFrame) -> DataFrame:
         "riposte": "taux_riposte",
     }
     personas = seed.where("agent_type = 'llm'").selectExpr(
-        "agent_name AS agent", "coded_equivalent"
+        "agent_name AS agent", "coded_equivalent", "true AS is_persona"
     )
-    llm = board.join(personas, "agent").selectExpr(
-        "agent AS persona",
-        "coded_equivalent",
-        *[f"{column} AS {name}_persona" for name, column in measures.items()],
-        "temps_moyen_reponse_s",
-    )
-    coded = board.selectExpr(
-        "agent AS coded_equivalent",
-        *[f"{column} AS {name}_code" for name, column in measures.items()],
-    )
-    sides = [f"{name}_{side}" for name in measures for side in ("persona", "code")]
-    return llm.join(coded, "coded_equivalent", "left").select(
-        "persona", "coded_equivalent", *sides, "temps_moyen_reponse_s"
+    roles = """explode(filter(array(
+        if(agent IS NOT NULL, struct(false AS as_persona, agent AS rule), NULL),
+        if(is_persona, struct(true AS as_persona, coded_equivalent AS rule), NULL)),
+        r -> r IS NOT NULL)) AS role"""
+    code = "max(CASE WHEN NOT role.as_persona THEN {} END) OVER (PARTITION BY role.rule)"
+    columns = {}
+    for name, column in measures.items():
+        columns[f"{name}_persona"] = column
+        columns[f"{name}_code"] = code.format(column)
+    return (
+        board.join(personas, "agent", "left")
+        .selectExpr("*", roles)
+        .selectExpr(
+            "role.as_persona",
+            "agent AS persona",
+            "coded_equivalent",
+            *[f"{text} AS {name}" for name, text in columns.items()],
+            "temps_moyen_reponse_s",
+        )
+        .where("as_persona")
+        .drop("as_persona")
     )
 
 

@@ -29,28 +29,30 @@ def accepted_range(column: str, low: float, high: float) -> list[RowTest]:
     return [("accepted_range", column, f"{column} < {low} OR {column} > {high}")]
 
 
-def row_tests(df: DataFrame, model: str, tests: list[RowTest]) -> DataFrame:
-    """Failing rows of each test, all counted in one pass over the model."""
-    counts = {f"c{i}": f"count_if({failing})" for i, (_, _, failing) in enumerate(tests)}
-    rows = [
-        f"struct('{test}' AS test, '{model}' AS model, '{column}' AS column, c{i} AS failures)"
-        for i, (test, column, _) in enumerate(tests)
-    ]
-    return df.agg(*named(counts)).selectExpr(f"inline(array({', '.join(rows)}))")
-
-
-def _labelled(df: DataFrame, test: str, model: str, column: str, failures: str) -> DataFrame:
-    return df.selectExpr(f"coalesce({failures}, 0) AS failures").selectExpr(
-        f"'{test}' AS test", f"'{model}' AS model", f"'{column}' AS column", "failures"
-    )
-
-
-def unique(df: DataFrame, model: str, column: str) -> DataFrame:
-    """Values that occur more than once; copies of a value meet as partial counts."""
-    counts = (
-        df.where(f"{column} IS NOT NULL").groupBy(column).agg(*named({"n": "count(*)"}))
+def model_tests(
+    df: DataFrame, model: str, rows: list[RowTest], unique: str | None = None
+) -> DataFrame:
+    """Failures of the row tests and of a unique column, all from one pass over the model.
+
+    The unique test counts values that occur more than once, NULL aside. Its grouping also
+    carries the row tests' counts; copies of a value meet as partial counts.
+    """
+    failing = {f"c{i}": f"count_if({text})" for i, (_, _, text) in enumerate(rows)}
+    if unique is None:
+        counts = df.agg(*named(failing))
+    else:
+        values = df.groupBy(unique).agg(*named({"n": "count(*)", **failing}))
+        sums = {c: f"coalesce(sum({c}), 0)" for c in failing}
+        sums["repeated"] = f"count_if(n > 1 AND {unique} IS NOT NULL)"
+        counts = values.agg(*named(sums))
+    results = [(test, column, f"c{i}") for i, (test, column, _) in enumerate(rows)]
+    if unique is not None:
+        results.append(("unique", unique, "repeated"))
+    structs = ", ".join(
+        f"struct('{test}' AS test, '{model}' AS model, '{column}' AS column, {c} AS failures)"
+        for test, column, c in results
     )
-    return _labelled(counts, "unique", model, column, "count_if(n > 1)")
+    return counts.selectExpr(f"inline(array({structs}))")
 
 
 def relationships(
@@ -62,7 +64,9 @@ def relationships(
     )
     known = parent.selectExpr(f"{field} AS {column}").distinct()
     orphans = values.join(known, column, "left_anti")
-    return _labelled(orphans, "relationships", model, column, "sum(n)")
+    return orphans.agg(*named({"failures": "coalesce(sum(n), 0)"})).selectExpr(
+        "'relationships' AS test", f"'{model}' AS model", f"'{column}' AS column", "failures"
+    )
 
 
 def union_tests(tests: list[DataFrame]) -> DataFrame:
@@ -82,10 +86,10 @@ def not_null_tests(
 ) -> DataFrame:
     return union_tests(
         [
-            row_tests(fact, "fct_turns", FACT_KEYS),
-            row_tests(dim, "dim_agent", not_null("agent_name")),
-            row_tests(fidelity, "agg_persona_fidelity", not_null("persona")),
-            row_tests(silver, "silver.turns", not_null("match_id", "player")),
+            model_tests(fact, "fct_turns", FACT_KEYS),
+            model_tests(dim, "dim_agent", not_null("agent_name")),
+            model_tests(fidelity, "agg_persona_fidelity", not_null("persona")),
+            model_tests(silver, "silver.turns", not_null("match_id", "player")),
         ]
     )
 
@@ -93,15 +97,15 @@ def not_null_tests(
 def unique_tests(fact: DataFrame, dim: DataFrame, fidelity: DataFrame) -> DataFrame:
     return union_tests(
         [
-            unique(fact, "fct_turns", "turn_key"),
-            unique(dim, "dim_agent", "agent_name"),
-            unique(fidelity, "agg_persona_fidelity", "persona"),
+            model_tests(fact, "fct_turns", [], "turn_key"),
+            model_tests(dim, "dim_agent", [], "agent_name"),
+            model_tests(fidelity, "agg_persona_fidelity", [], "persona"),
         ]
     )
 
 
 def accepted_values_tests(fact: DataFrame) -> DataFrame:
-    return row_tests(fact, "fct_turns", FACT_VALUES)
+    return model_tests(fact, "fct_turns", FACT_VALUES)
 
 
 def relationship_tests(fact: DataFrame, dim: DataFrame) -> DataFrame:
@@ -109,22 +113,20 @@ def relationship_tests(fact: DataFrame, dim: DataFrame) -> DataFrame:
 
 
 def range_tests(fidelity: DataFrame) -> DataFrame:
-    return row_tests(fidelity, "agg_persona_fidelity", FIDELITY_RANGE)
+    return model_tests(fidelity, "agg_persona_fidelity", FIDELITY_RANGE)
 
 
 def all_tests(
     fact: DataFrame, dim: DataFrame, fidelity: DataFrame, silver: DataFrame
 ) -> DataFrame:
-    """The 13 declared tests; those of single rows take one pass per model."""
+    """The 13 declared tests, one pass per model and one for the relationship."""
+    on_fidelity = [*not_null("persona"), *FIDELITY_RANGE]
     return union_tests(
         [
-            row_tests(fact, "fct_turns", [*FACT_KEYS, *FACT_VALUES]),
-            row_tests(dim, "dim_agent", not_null("agent_name")),
-            row_tests(
-                fidelity, "agg_persona_fidelity", [*not_null("persona"), *FIDELITY_RANGE]
-            ),
-            row_tests(silver, "silver.turns", not_null("match_id", "player")),
-            unique_tests(fact, dim, fidelity),
+            model_tests(fact, "fct_turns", [*FACT_KEYS, *FACT_VALUES], "turn_key"),
+            model_tests(dim, "dim_agent", not_null("agent_name"), "agent_name"),
+            model_tests(fidelity, "agg_persona_fidelity", on_fidelity, "persona"),
+            model_tests(silver, "silver.turns", not_null("match_id", "player")),
             relationship_tests(fact, dim),
         ]
     )

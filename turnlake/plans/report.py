@@ -42,15 +42,18 @@ def presented(mart: DataFrame, name: str) -> DataFrame:
 
 def kpis(totals: DataFrame, board: DataFrame) -> DataFrame:
     """Header numbers: matches, longest match, agents in total and by type."""
-    matches = totals.agg(*named({"n": "count(DISTINCT match_id)"})).scalar()
-    turns = totals.agg(F.max("last_turn")).scalar()
+    log = totals.agg(
+        F.expr("struct(count(DISTINCT match_id) AS n_matches, max(last_turn) AS max_turn)")
+    ).scalar()
     agents = {
         "n_agents": "count(*)",
         "n_llm": "count_if(agent_type = 'llm')",
         "n_coded": "count_if(agent_type = 'coded')",
     }
     return board.agg(*named(agents)).select(
-        matches.alias("n_matches"), turns.alias("max_turn"), *agents
+        log.getField("n_matches").alias("n_matches"),
+        log.getField("max_turn").alias("max_turn"),
+        *agents,
     )
 
 
@@ -96,21 +99,23 @@ def reciprocity_score_corr(mart: DataFrame) -> DataFrame:
 
 def strict_fidelity(fidelity: DataFrame) -> DataFrame:
     """Personas meant to follow a rule strictly, with the most faithful one and the one that
-    least often defects where its rule demands it."""
-    strict = fidelity.where("equivalence = 'stricte'")
-    rate, defects = F.col("fidelite"), F.col("riposte_attendue_respectee")
+    least often defects where its rule demands it.
 
-    def pick(value: Column, order: Column) -> Column:
-        chosen = F.min(F.when(value.isNotNull(), F.struct(order, F.col("persona"))))
-        return strict.agg(chosen.getField("persona")).scalar()
+    The window holds one row per strict persona, all of which the seed lists.
+    """
+
+    def first(value: str, order: str) -> str:
+        ranked = f"CASE WHEN {value} IS NOT NULL THEN struct({order} AS o, persona) END"
+        return f"persona = (min({ranked}) OVER (PARTITION BY equivalence)).persona"
 
-    return strict.select(
+    return fidelity.where("equivalence = 'stricte'").selectExpr(
         "persona",
         "coded_equivalent",
         "fidelite",
         "riposte_attendue_respectee",
-        (F.col("persona") == pick(rate, -rate)).alias("is_most_faithful"),
-        (F.col("persona") == pick(defects, defects)).alias("is_least_retaliating"),
+        first("fidelite", "-fidelite") + " AS is_most_faithful",
+        first("riposte_attendue_respectee", "riposte_attendue_respectee")
+        + " AS is_least_retaliating",
     )
 
 

@@ -84,7 +84,8 @@ def append_unseen(incoming: DataFrame, path: str, load_id: str) -> None:
 
     A load writes a folder of its own. Running it again under its id rebuilds that folder,
     so a load that died half-way is repaired by repeating it. One load runs at a time.
+    Copies of a row within the load are dropped first, before they could meet in one task.
     """
     recorded = existing_match_ids(incoming.sparkSession, path, but_load=load_id)
-    new = unseen(conform(incoming), recorded)
+    new = unseen(conform(incoming).distinct(), recorded)
     overwrite(new, f"{path}/{LOAD.name}={load_id}")
