@@ -134,7 +134,8 @@ def coop_phases(coop_time: DataFrame, phase: int = PHASE_TURNS) -> DataFrame:
     levels = sides.groupBy("agent").agg(
         F.avg("early").alias("coop_debut"), F.avg("late").alias("coop_fin")
     )
-    return levels.dropna().withColumn("derive", F.col("coop_fin") - F.col("coop_debut"))
+    both = levels.dropna(subset=["coop_debut", "coop_fin"])
+    return both.withColumn("derive", F.col("coop_fin") - F.col("coop_debut"))
 
 
 def coop_drift(coop_time: DataFrame, board: DataFrame) -> DataFrame:
@@ -229,7 +230,7 @@ def rank_delta(totals: DataFrame, repeat: int = 1) -> DataFrame:
     scores = totals.groupBy(F.col("player").alias("agent")).agg(*named(measures))
     # Agents in steps of a thousandth of a point, best first, so that no task ranks them all.
     ranked = numbered(
-        scores.unpivot(["agent"], ["one", "all"], "subset", "score").dropna(),
+        scores.unpivot(["agent"], ["one", "all"], "subset", "score").where("score IS NOT NULL"),
         ["subset"],
         [F.col("score").desc(), F.col("agent")],
         F.floor(F.col("score") * -1000),

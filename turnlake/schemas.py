@@ -1,4 +1,4 @@
-"""Declared schemas and the fixed reference values of the turn log."""
+"""Declared schemas and fixed values of the turn log."""
 
 from __future__ import annotations
 
