@@ -104,6 +104,24 @@ def test_silver_shuffles_and_sorts_once(spark, bronze):
     assert "Join" not in plan
 
 
+def test_long_matches_add_no_shuffle_or_sort_of_the_log(spark, bronze):
+    """The log is shuffled and sorted once, the block starts three times at most."""
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"]
+    old = {key: spark.conf.get(key) for key in keys}
+    for key, value in zip(keys, ["-1", "false"]):
+        spark.conf.set(key, value)
+    try:
+        plan = enrich(bronze, 10)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in old.items():
+            spark.conf.set(key, value)
+    log_side, _, start_side = plan.partition("SortMergeJoin")[2].rpartition("\n      +- ")
+    assert "Window [" in log_side and "Window [" in start_side
+    for operator in ("Exchange hashpartitioning", "Sort ["):
+        assert log_side.count(operator) == 1
+        assert start_side.count(operator) <= 3
+
+
 def test_block_starts_read_only_long_matches(bronze):
     plan = enrich(bronze)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PushedFilters: \[Or\(Or\(GreaterThan\(n_turns,100000\)", plan)
