@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from turnlake.llm import exact_dedup, mixing
+from turnlake.llm import exact_dedup, mixing, ngram_join
 
 QUERIES = {
+    "op3_ngram_jaccard_join": ngram_join.op3_ngram_jaccard_join,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 
 ORACLES = {
+    "op3_ngram_jaccard_join": ngram_join.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
 }
