@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from turnlake.llm import exact_dedup, mixing, ngram_join
+from turnlake.llm import bpe_encode, exact_dedup, mixing, ngram_join
 
 QUERIES = {
     "op3_ngram_jaccard_join": ngram_join.op3_ngram_jaccard_join,
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op10_byte_bpe": bpe_encode.op10_byte_bpe,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 
