@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from turnlake.llm import bpe_encode, exact_dedup, mixing, ngram_join
+from turnlake.llm import bpe_encode, exact_dedup, mixing, ngram_join, token_counts
 
 QUERIES = {
     "op3_ngram_jaccard_join": ngram_join.op3_ngram_jaccard_join,
+    "op5_token_counts": token_counts.op5_token_counts,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op10_byte_bpe": bpe_encode.op10_byte_bpe,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
