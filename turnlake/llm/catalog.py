@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from turnlake.llm import bpe_encode, exact_dedup, mixing, ngram_join, token_counts
+from turnlake.llm import bpe_encode, exact_dedup, mixing, ngram_join, token_counts, toxicity
 
 QUERIES = {
     "op3_ngram_jaccard_join": ngram_join.op3_ngram_jaccard_join,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op10_byte_bpe": bpe_encode.op10_byte_bpe,
