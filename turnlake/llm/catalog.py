@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
-from turnlake.llm import bpe_encode, exact_dedup, mixing, ngram_join, token_counts, toxicity
+from turnlake.llm import (
+    bpe_encode,
+    exact_dedup,
+    language_id,
+    mixing,
+    ngram_join,
+    quality,
+    token_counts,
+    toxicity,
+)
 
 QUERIES = {
+    "op1_importance_resampling": quality.op1_importance_resampling,
     "op3_ngram_jaccard_join": ngram_join.op3_ngram_jaccard_join,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op10_byte_bpe": bpe_encode.op10_byte_bpe,
+    "op7_language_id": language_id.op7_language_id,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 

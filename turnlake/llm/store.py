@@ -48,3 +48,12 @@ def named(name: str) -> Column:
 def whole_row(df: DataFrame) -> Column:
     """All columns as one struct, so that added columns never clash with them."""
     return F.struct(*[named(c) for c in df.columns])
+
+
+def hashed_below(hashed: Column, share: float) -> Column:
+    """Whether a 64-bit hash falls into the first ``share`` of all hashes.
+
+    A sample that needs no sort and comes out alike each time. About the share of distinct
+    hashes passes; to bound a sample, take the bound over the number of rows.
+    """
+    return F.pmod(hashed, F.lit(1 << 40)) < int(min(1.0, share) * (1 << 40))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnlake.llm.bpe_encode import small_batches
-from turnlake.llm.store import named, whole_row, written
+from turnlake.llm.store import hashed_below, named, whole_row, written
 from turnlake.llm.textbytes import mixed
 
 # Longest shared n-gram in bytes.
@@ -39,7 +39,7 @@ PASSAGES = (1, 4, 8, 16)
 N_FEATURES = len(PASSAGES) + 2
 # Bytes added to a length, so that a passage of one short word proves little.
 LENGTH_PRIOR = 24
-# Labelled rows per class on which the curve is fitted.
+# Labelled rows per class, about, on which the curve is fitted; a class is taken by its hash.
 CURVE_ROWS = 10_000
 CACHE_WORDS = 500_000
 # A longer run of letters counts as several words.
@@ -257,11 +257,13 @@ def fitted_curve(x: np.ndarray, label: np.ndarray) -> np.ndarray:
     return w
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def training_rows(
+    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, share: float = 1.0
+) -> DataFrame:
     """(_text, _toxic, _kind, _order) of labelled documents outside the held-out fold.
 
     Labels that are null, or not 0 or 1, are no labels; of several for a document the highest
-    counts.
+    counts. ``share`` takes that part of the documents, by hash of the id, before the join.
     """
     known = (
         labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL")
@@ -272,6 +274,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     rows = docs.select(named(id_col).alias("_id"), named(text_col).alias("_text"))
     rows = rows.where(F.crc32(F.col("_id").cast("string")) % 5 != 0)
     order = F.xxhash64("_id")
+    if share < 1:
+        rows = rows.where(hashed_below(order, share))
     return rows.join(known, F.col("_id") == F.col("_label_id")).select(
         "_text", "_toxic", (2 * F.col("_toxic") + F.pmod(order, F.lit(2))).cast("int").alias("_kind"), order.alias("_order")
     )
@@ -297,13 +301,14 @@ def learn(
                 names=[*names, "toxic"],
             )
 
-    rows = [
-        training.where(F.col("_toxic") == toxic).orderBy("_order", "_text").limit(CURVE_ROWS)
-        for toxic in (0, 1)
-    ]
-    rows = rows[0].unionByName(rows[1]).select("_text", "_toxic", "_kind")
+    shares = {k: CURVE_ROWS / n for k, n in training.groupBy("_toxic").count().collect()}
+    picked = F.lit(False)
+    for toxic, share in shares.items():
+        picked = picked | ((F.col("_toxic") == toxic) & hashed_below(F.col("_order"), share))
+    rows = training_rows(docs, labels, id_col, text_col, max(shares.values(), default=1.0))
+    rows = rows.where(picked).select("_text", "_toxic", "_kind")
     schema = ", ".join(f"{n} double" for n in names) + ", toxic int"
-    scored = rows.repartition(16).mapInArrow(score, schema).toArrow()
+    scored = rows.mapInArrow(score, schema).toArrow()
     scored = scored.sort_by([(n, "ascending") for n in scored.schema.names])
     x = np.column_stack([scored[n].to_numpy() for n in names])
     return tables, fitted_curve(x, scored["toxic"].to_numpy().astype(np.float64))
