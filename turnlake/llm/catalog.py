@@ -9,12 +9,14 @@ from turnlake.llm import (
     mixing,
     ngram_join,
     quality,
+    secrets,
     token_counts,
     toxicity,
 )
 
 QUERIES = {
     "op1_importance_resampling": quality.op1_importance_resampling,
+    "op2_secret_scan": secrets.op2_secret_scan,
     "op3_ngram_jaccard_join": ngram_join.op3_ngram_jaccard_join,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_token_counts": token_counts.op5_token_counts,
