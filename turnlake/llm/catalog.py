@@ -5,6 +5,7 @@ from __future__ import annotations
 from turnlake.llm import (
     bpe_encode,
     exact_dedup,
+    hash_search,
     language_id,
     mixing,
     ngram_join,
@@ -24,6 +25,7 @@ QUERIES = {
     "op10_byte_bpe": bpe_encode.op10_byte_bpe,
     "op7_language_id": language_id.op7_language_id,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_hash_search": hash_search.op9_hash_search,
 }
 
 ORACLES = {
