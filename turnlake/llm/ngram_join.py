@@ -22,7 +22,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,18 +62,18 @@ def prefix_size(size, part: int, whole: int):
 
 
 def class_rows(n: int):
-    """(id, text) to (id, size, set): the set's id is null for texts without words."""
+    """(id, mark, text) to (id, mark, size, set); the set's id is null for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [(len(t), set_id(t) if len(t) else None) for t in ngram_sets(batch.column(1), n)]
+            sets = [(len(t), set_id(t) if len(t) else None) for t in ngram_sets(batch.column(2), n)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
+                    *batch.columns[:2],
                     pa.array([s for s, _ in sets], pa.int64()),
                     pa.array([i for _, i in sets], pa.int64()),
                 ],
-                names=["_id", "_n", "_set"],
+                names=["_id", "_mark", "_n", "_set"],
             )
 
     return run
@@ -175,23 +175,22 @@ def joined_cells(bar: tuple[int, int]):
     return run
 
 
-def ngram_classes(
-    docs: DataFrame, n: int, bar: tuple[int, int], id_col: str = "doc_id", text_col: str = "text"
+def linked_rows(
+    docs: DataFrame, n: int, bar: tuple[int, int], id_col: str, text_col: str
 ) -> DataFrame:
-    """One row per document: id, ``n_shingles``, ``component_id`` and ``n_links``.
+    """(_id, _mark, _n, _root, _component, _links) of each row.
 
-    Two documents link when ``bar[1] * |intersection| >= bar[0] * |union|`` of their distinct
-    word ``n``-grams (A-Z in lower case); a text with fewer words is one n-gram. The component
-    is the smallest id that links reach, the document's own included; ``n_links`` counts
-    linked documents, copies too. Texts that are null, empty or blank have no n-grams and no
-    links. Null ids are documents with a null id that count for no minimum; repeated rows are
-    documents that link with each other. Columns but id and text are not read.
+    ``_mark`` hashes the text; ``_root`` names the component and is null without words.
     """
     part, whole = bar
     id_type = docs.select(named(id_col)).schema[0].dataType
     texts = docs.select(named(id_col).alias("_id"), named(text_col).alias("_text"))
-    fields = [T.StructField("_id", id_type), *T._parse_datatype_string("_n long, _set long")]
-    rows = written(texts.mapInArrow(class_rows(n), T.StructType(fields)), "classes")
+    fields = [
+        T.StructField("_id", id_type),
+        *[T.StructField(c, T.LongType()) for c in ("_mark", "_n", "_set")],
+    ]
+    marked = texts.select("_id", F.xxhash64("_text").alias("_mark"), "_text")
+    rows = written(marked.mapInArrow(class_rows(n), T.StructType(fields)), "classes")
     classes = written(
         rows.where("_set IS NOT NULL")
         .groupBy("_set")
@@ -262,13 +261,31 @@ def ngram_classes(
     )
     least = found.groupBy("_root").agg(F.min("_least").alias("_component"))
     found = found.join(least, "_root").select(
-        "_set", "_component", (F.coalesce("_links", F.lit(0)) + F.col("_copies") - 1).alias("_links")
+        "_set",
+        "_root",
+        "_component",
+        (F.coalesce("_links", F.lit(0)) + F.col("_copies") - 1).alias("_links"),
     )
-    # A set with very many copies is one row here and many there: split by id.
-    return rows.join(found, "_set", "left").select(
+    return rows.join(found, "_set", "left").drop("_set")
+
+
+def ngram_classes(
+    docs: DataFrame, n: int, bar: tuple[int, int], id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row per document: id, ``n_shingles``, ``component_id`` and ``n_links``.
+
+    Two documents link when ``bar[1] * |intersection| >= bar[0] * |union|`` of their distinct
+    word ``n``-grams (A-Z in lower case); a text with fewer words is one n-gram. The component
+    is the smallest id that links reach, the document's own included; ``n_links`` counts
+    linked documents, copies too. Texts that are null, empty or blank have no n-grams and no
+    links. Null ids are documents with a null id that count for no minimum; repeated rows are
+    documents that link with each other. Columns but id and text are not read.
+    """
+    own = F.col("_root").isNull()
+    return linked_rows(docs, n, bar, id_col, text_col).select(
         F.col("_id").alias(id_col),
         F.col("_n").alias("n_shingles"),
-        F.when(F.col("_set").isNull(), F.col("_id")).otherwise(F.col("_component")).alias("component_id"),
+        F.when(own, F.col("_id")).otherwise(F.col("_component")).alias("component_id"),
         F.coalesce("_links", F.lit(0)).alias("n_links"),
     )
 
@@ -276,16 +293,27 @@ def ngram_classes(
 def one_per_class(docs: DataFrame, n: int = 5, bar: tuple[int, int] = (4, 5)) -> DataFrame:
     """The rows that stay, with their own columns: of linked documents the smallest doc_id.
 
-    Documents without words are linked with nothing and stay; so do those with a null id,
-    which no class can be named by. Of rows that repeat an id and belong to a class of that
-    id, one stays: the one whose columns hash lowest.
+    Documents without words are linked with nothing, so all of them stay. A null id stays only
+    if its whole group has null ids; of texts that share the smallest id, and of repeated
+    rows, one stays, picked by hash.
     """
-    found = ngram_classes(docs, n, bar)
-    stays = found.where("doc_id IS NULL OR doc_id = component_id OR n_shingles = 0")
-    stays = stays.select(F.col("doc_id").alias("_stay")).distinct()
-    rows = docs.select(whole_row(docs).alias("_row"), named("doc_id").alias("_id"))
-    rows = rows.join(stays, F.col("_id").eqNullSafe(F.col("_stay")), "left_semi")
-    return rows.select("_row.*")
+    found = linked_rows(docs, n, bar, "doc_id", "text")
+    first = F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_mark"))
+    stays = found.where("_root IS NOT NULL").groupBy("_root").agg(first.alias("_first"))
+    stays = stays.select("_first._id", "_first._mark", F.lit(True).alias("_single"))
+    wordless = found.where("_root IS NULL").select("_id", "_mark", F.lit(False).alias("_single"))
+    stays = stays.unionByName(wordless).distinct()
+    rows = docs.select(
+        whole_row(docs).alias("_row"),
+        named("doc_id").alias("_key"),
+        F.xxhash64(named("text")).alias("_text_mark"),
+    )
+    same = F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_text_mark") == F.col("_mark"))
+    place = F.row_number().over(
+        Window.partitionBy("_key", "_text_mark").orderBy(F.xxhash64("_row"))
+    )
+    kept = rows.join(stays, same).withColumn("_place", place)
+    return kept.where("_place = 1 OR NOT _single").select("_row.*")
 
 
 def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
