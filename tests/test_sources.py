@@ -10,7 +10,10 @@ from conftest import FOLDER
 from games import log, random_rows, seat_rows
 from turnlake.operators import schedule
 from turnlake.operators.bronze import build_bronze
-from turnlake.operators.skew import lookup_join, numbered, salted_join
+from turnlake.operators import gold
+from turnlake.operators.quality import accepted_values_tests
+from turnlake.operators.silver import enrich
+from turnlake.operators.skew import numbered, salted_join
 from turnlake.schemas import AGENT_META, AGENTS, SEED, TURNS
 from turnlake.sources import sizing, stage, turn_log
 from turnlake.sources.decisions import paired_decisions
@@ -26,8 +29,32 @@ def same(a, b) -> bool:
 def test_split_users_give_the_same_log(spark):
     events = stage.events(spark, FOLDER)
     whole = build_bronze(paired_decisions(events))
-    assert same(whole, build_bronze(paired_decisions(events, heavy_events=0, slot=10)))
-    assert same(whole, build_bronze(paired_decisions(events, heavy_events=65, slot=7)))
+    assert same(whole, build_bronze(paired_decisions(events, slot_seconds=1)))
+    assert same(whole, build_bronze(paired_decisions(events, slot_seconds=10**10)))
+
+
+def test_zoned_times_read_in_utc(spark):
+    events = stage.events(spark, FOLDER)
+    whole = build_bronze(paired_decisions(events))
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        zoned = events.withColumn("ts", F.expr("to_utc_timestamp(CAST(ts AS TIMESTAMP), 'UTC')"))
+        micros = "unix_micros(CAST(concat(CAST(ts AS STRING), 'Z') AS TIMESTAMP))"
+        zoned = events.withColumn("ts", F.expr(f"timestamp_micros({micros})"))
+        assert same(whole, build_bronze(paired_decisions(zoned)))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+@pytest.mark.parametrize("user", ["id", "xxhash64(id) & 4611686018427387903"])
+def test_blocks_of_users_with_dense_and_hashed_ids(spark, user):
+    from turnlake.sources.decisions import matches
+
+    users = spark.range(4000).selectExpr(f"{user} AS user_id")
+    events = users.distinct().withColumn("e", F.explode(F.sequence(F.lit(1), F.lit(2))))
+    got = matches(events, users_per_block=500)
+    want = got.selectExpr("user_id", "row_number() OVER (PARTITION BY ia, ib ORDER BY user_id) AS repeat")
+    assert same(got.select("user_id", F.col("repeat").cast("int")), want)
 
 
 def test_one_user_with_most_events(spark):
@@ -37,7 +64,7 @@ def test_one_user_with_most_events(spark):
     )
     assert same(
         build_bronze(paired_decisions(hot)),
-        build_bronze(paired_decisions(hot, heavy_events=100, slot=13)),
+        build_bronze(paired_decisions(hot, slot_seconds=60)),
     )
 
 
@@ -63,17 +90,31 @@ def test_salted_join_equals_join(spark):
     assert same(salted_join(rows, table, ["k"], F.col("id")), rows.join(table, "k", "left"))
 
 
-def test_large_lookup_tables_are_not_broadcast(spark, monkeypatch):
-    from turnlake.operators import skew
+def test_unknown_moves_types_and_opponents_stay(spark):
+    from turnlake.operators.bronze import payoff_join
+    from turnlake.plans.catalog import append_relaxed
+
+    rows = [{**r, "player_type": t} for t in (None, "human") for r in seat_rows(f"n{t}", "C", "D")]
+    for r in seat_rows("m", "CC", "DC"):  # a move X in the second turn
+        odd = {("A", 2): {"move": "X"}, ("B", 2): {"opponent_move": "X"}}
+        rows.append({**r, **odd.get((r["seat"], r["turn"]), {})})
+    turns = log(spark, rows)
+    joined = payoff_join(turns.drop("payoff", "opponent_payoff"))
+    assert joined.count() == len(rows) and joined.where("payoff IS NULL").count() == 2
+    fact = gold.fct_turns(enrich(turns), seed_agents(spark))
+    assert sum(r.failures for r in accepted_values_tests(fact).collect()) > 0
+    assert append_relaxed(turns).count() == len(rows)
 
-    rows = spark.range(500).selectExpr("id", "id % 11 AS k")
-    table = spark.range(8).selectExpr("id AS k", "id * 10 AS v")
-    expected = rows.join(table, "k", "left")
-    small = lookup_join(rows, table, ["k"], F.col("id"))
-    assert "_salt" not in small._jdf.queryExecution().toString() and same(small, expected)
-    monkeypatch.setattr(skew, "BROADCAST_ROWS", 5)
-    large = lookup_join(rows, table, ["k"], F.col("id"))
-    assert "_salt" in large._jdf.queryExecution().toString() and same(large, expected)
+
+def test_schedules_of_very_many_repeats_stay_small(spark):
+    agents = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "idx long, agent_name string")
+    planned = schedule.schedule(agents, 10, 400_000_000, limit=3)
+    first = [r.match_id for r in schedule.first_matches(planned, 3).collect()]
+    assert first == [f"a__vs__a__t10__r{r}" for r in (1, 2, 3)]
+    assert schedule.schedule(agents, 10, 250_000).count() == 6 * 250_000
+    for limit in (1, 4, 7):
+        whole = schedule.first_matches(schedule.schedule(agents, 10, 2), limit).collect()
+        assert schedule.first_matches(schedule.schedule(agents, 10, 2, limit), limit).collect() == whole
 
 
 def test_schedule_pairs_every_agent_with_itself_and_later_ones(spark):
@@ -148,7 +189,7 @@ def test_repeating_a_load_repairs_it(spark, tmp_path):
     turn_log.append_unseen(log(spark, seat_rows("old", "CD", "DD")), path, "load-0")
     rows = random_rows(4)
     # What a load that died half-way may leave: some turns of a match.
-    turn_log.overwrite(log(spark, rows[:5]), f"{path}/load_id=load-1")
+    turn_log.write_load(log(spark, rows[:5]), path, "load-1")
     turn_log.append_unseen(log(spark, rows), path, "load-1")
     turn_log.append_unseen(log(spark, rows), path, "load-1")
     got = turn_log.scan_turns(spark, path)
@@ -167,11 +208,51 @@ def test_append_takes_logs_with_other_columns(spark, tmp_path):
     assert same(got, turn_log.union_relaxed(old, new))
 
 
-def test_unseen_over_blocks_of_one_long_match(spark):
-    rows = seat_rows("long", "CD" * 40, "DD" * 40) + seat_rows("old", "CD", "DD")
-    recorded = spark.createDataFrame([("old",)], "match_id string")
-    got = turn_log.unseen(log(spark, rows), recorded, block_turns=6)
-    assert same(got, log(spark, seat_rows("long", "CD" * 40, "DD" * 40)))
+def test_append_after_overwrite_reads_both(spark, tmp_path):
+    path = str(tmp_path / "log")
+    first, second = seat_rows("a", "CD", "DD"), seat_rows("b", "CD", "DD")
+    turn_log.overwrite(log(spark, first), path)
+    turn_log.append_unseen(log(spark, second), path, "x")
+    assert same(turn_log.scan_turns(spark, path), log(spark, first + second))
+    assert {r.match_id for r in turn_log.existing_match_ids(spark, path).collect()} == {"a", "b"}
+    turn_log.overwrite(log(spark, second), path)
+    assert same(turn_log.scan_turns(spark, path), log(spark, second))
+
+
+def test_files_beside_load_folders_are_an_error(spark, tmp_path):
+    path = str(tmp_path / "log")
+    log(spark, seat_rows("a", "C", "D")).write.parquet(path)
+    assert turn_log.scan_turns(spark, path).count() == 2
+    turn_log.append_unseen(log(spark, seat_rows("b", "C", "D")), path, "x")
+    with pytest.raises(ValueError, match="both files and load folders"):
+        turn_log.scan_turns(spark, path)
+
+
+def test_late_turns_of_a_match_come_in(spark, tmp_path):
+    path, rows = str(tmp_path / "log"), seat_rows("m", "CDCD", "DDCC")
+    turn_log.append_unseen(log(spark, [r for r in rows if r["turn"] < 3]), path, "a")
+    turn_log.append_unseen(log(spark, [r for r in rows if r["turn"] > 1]), path, "b")
+    assert same(turn_log.scan_turns(spark, path), log(spark, rows))
+
+
+def test_a_new_checkpoint_under_an_old_name_loses_nothing(spark, tmp_path):
+    path, rows = str(tmp_path / "log"), []
+    for name in ("a", "b"):
+        new = seat_rows(name, "CD", "DD")
+        log(spark, new).write.parquet(str(tmp_path / f"in-{name}"))
+        load_arrivals(
+            spark, str(tmp_path / f"in-{name}"), path, str(tmp_path / f"ck-{name}"), "same"
+        ).awaitTermination()
+        rows += new
+    assert same(turn_log.scan_turns(spark, path), log(spark, rows))
+
+
+def test_changed_events_make_a_new_log(spark, tmp_path):
+    events = stage.events(spark, FOLDER)
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    first = stage.bronze(spark, str(tmp_path)).count()
+    events.where("user_id % 2 = 0").write.mode("overwrite").parquet(str(tmp_path / "events.parquet"))
+    assert stage.bronze(spark, str(tmp_path)).count() < first
 
 
 def test_turns_without_an_id_load_once(spark, tmp_path):
@@ -216,19 +297,20 @@ def test_layers(spark, tmp_path):
     for expected in (5, 3):
         table = as_table(spark.range(expected), "marts_test", "t", str(tmp_path))
         assert table.count() == expected
-    assert (tmp_path / "marts_test" / "t" / "_SUCCESS").exists()
+    assert len(list((tmp_path / "marts_test" / "t").iterdir())) == 1
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        as_table(spark.range(3).selectExpr("1 div (id - 2) AS id"), "marts_test", "t", str(tmp_path))
+    assert spark.table("marts_test.t").count() == 3
     drop_tables(spark, "marts_test", ["t"])
 
 
 def test_shuffle_width_follows_the_input(spark, tmp_path, monkeypatch):
     gib, tib = 1 << 30, 1 << 40
     assert sizing.settings(gib, 200) == {}
-    assert sizing.settings(300 * gib, 200) == {sizing.INITIAL_PARTITIONS: "300"}
-    assert sizing.settings(300 * gib, 400) == {}
-    assert sizing.settings(100 * tib, 200) == {
-        sizing.INITIAL_PARTITIONS: "100000",
-        sizing.SPLIT_BYTES: str(512 << 20),
-    }
+    assert sizing.settings(300 * gib, 200) == {sizing.INITIAL_PARTITIONS: "2400"}
+    assert sizing.settings(300 * gib, 2400) == {}
+    assert sizing.settings(300 * gib, 200, gib) == {sizing.INITIAL_PARTITIONS: "300"}
+    assert sizing.settings(100 * tib, 200) == {sizing.INITIAL_PARTITIONS: "819200"}
     path = str(tmp_path / "log")
     turn_log.overwrite(spark.range(1000), path)
     monkeypatch.setattr(sizing, "PARTITION_BYTES", 100)

@@ -36,9 +36,13 @@ def tidy_seats(paired: DataFrame) -> DataFrame:
 
 
 def payoff_join(seats: DataFrame) -> DataFrame:
-    """Add both players' gains; the payoff table has four rows and is broadcast."""
+    """Add both players' gains; the payoff table has four rows and is broadcast.
+
+    Turns with a move that the table lacks stay, without gains; the accepted-values test
+    counts them.
+    """
     payoffs = F.broadcast(payoff_table(seats.sparkSession))
-    return seats.join(payoffs, ["move", "opponent_move"], "inner")
+    return seats.join(payoffs, ["move", "opponent_move"], "left")
 
 
 def build_bronze(paired: DataFrame) -> DataFrame:

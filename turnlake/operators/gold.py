@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnlake.functions.turns import OUTCOME, named, phi, ratio, surrogate_key
-from turnlake.operators.skew import lookup_join
 from turnlake.schemas import OUTCOMES, TURN_KEY
 
 
@@ -21,9 +20,10 @@ def dim_agent(turns: DataFrame, seed: DataFrame) -> DataFrame:
     return used.join(seed, "agent_name", "left").select(*seed.columns)
 
 
-def with_equivalents(turns: DataFrame, seed: DataFrame, salt: str) -> DataFrame:
-    """Add the player's rule equivalent; the SQL text ``salt`` tells a player's rows apart.
+def with_equivalents(turns: DataFrame, seed: DataFrame) -> DataFrame:
+    """Add the player's rule equivalent.
 
+    Spark broadcasts the seed by its size in bytes, and splits hot players where it does not.
     Joining the seed gives the same rows as joining the dimension, which adds only players
     without attributes, and needs no pass over the log to list the players.
     """
@@ -32,14 +32,14 @@ def with_equivalents(turns: DataFrame, seed: DataFrame, salt: str) -> DataFrame:
         "coded_equivalent AS player_coded_equivalent",
         "equivalence AS player_equivalence",
     )
-    joined = lookup_join(turns, attributes, ["player"], F.expr(salt))
+    joined = turns.join(attributes, "player", "left")
     return joined.select(*turns.columns, *attributes.columns[1:])
 
 
 def fct_turns(silver: DataFrame, seed: DataFrame) -> DataFrame:
     """One row per (match, turn, seat) with its key and the player's rule equivalent."""
     key = surrogate_key(*TURN_KEY) + " AS turn_key"
-    return with_equivalents(silver.selectExpr(key, *silver.columns), seed, "turn_key")
+    return with_equivalents(silver.selectExpr(key, *silver.columns), seed)
 
 
 _MATCH = ["match_id", "seat", "repeat", "player", "player_type", "opponent"]

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 100_000
 SALTS = 64
 
 
@@ -39,19 +38,6 @@ def numbered(
     )
 
 
-def lookup_join(
-    rows: DataFrame, table: DataFrame, on: list[str], salt: Column, how: str = "left"
-) -> DataFrame:
-    """Join many rows to a lookup table on keys of which some hold most of the rows.
-
-    With at most ``BROADCAST_ROWS`` rows, counted first, the table is broadcast. A larger
-    one is repeated once per salt, and the rows spread over the salts.
-    """
-    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(table), on, how)
-    return salted_join(rows, table, on, salt, how)
-
-
 def salted_join(
     rows: DataFrame,
     table: DataFrame,

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnlake.operators.schedule import match_id
-from turnlake.operators.skew import lookup_join, numbered
+from turnlake.operators.skew import numbered
 from turnlake.schemas import AGENTS
 
-# Events of one user that a single task may order; a user with more is split by time.
-HEAVY_EVENTS = 1_000_000
-# Length of the text yyyy-MM-dd HH:mm, which orders events by minute.
-MINUTE = 16
-# User ids per block when a pair's matches are numbered.
+# Length of the time slots in which a user's events are put in order.
+SLOT_SECONDS = 86_400
+EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+# Users per block, about, when a pair's matches are numbered.
 USER_BLOCK = 1 << 20
 
 # Agents by index; those from FIRST_PERSONA on are model-played.
@@ -21,11 +21,12 @@ FIRST_PERSONA = 5
 _NAMES = "array(" + ", ".join(f"'{name}'" for name in AGENTS) + ")"
 
 
-def matches(events: DataFrame) -> DataFrame:
+def matches(events: DataFrame, users_per_block: int = USER_BLOCK) -> DataFrame:
     """One match per user with at least two events: its agents, length, repeat and id.
 
     The ``repeat`` numbers the matches of a pair by user id. All matches fall on 36 pairs,
-    so they are numbered by blocks of ids.
+    so they are numbered by blocks of ids. A block is a part of the range that the ids span, so
+    dense and hashed ids alike make blocks of about ``users_per_block`` users.
     """
     first, second = "user_id % 8", "user_id div 8 % 8"
     users = (
@@ -38,7 +39,12 @@ def matches(events: DataFrame) -> DataFrame:
             f"CAST(greatest({first}, {second}) AS INT) AS ib",
         )
     )
-    block = F.expr(f"user_id div {USER_BLOCK}")
+    ids = users.agg(F.expr("struct(min(user_id) AS low, max(user_id) AS high, count(*) AS n)"))
+    spanned = ids.scalar()
+    low, high = (spanned.getField(k).cast("double") for k in ("low", "high"))
+    blocks = F.ceil(spanned.getField("n") / users_per_block)
+    place = (F.col("user_id").cast("double") - low) / (high - low + 1)
+    block = F.floor(place * blocks)
     named = numbered(users, ["ia", "ib"], [F.col("user_id")], block, "number").selectExpr(
         "user_id",
         "n_events",
@@ -57,28 +63,15 @@ _EVENT = "struct(event_id, ts, event_type, value)"
 _TURN = "CAST((rn + 1) div 2 AS INT) AS turn"
 
 
-def turn_pairs(events: DataFrame) -> DataFrame:
+def turn_pairs(events: DataFrame, slot_seconds: int = SLOT_SECONDS) -> DataFrame:
     """Rows (user_id, turn, a, b): each user's events two by two, by time and event id.
 
-    A trailing odd event has no partner and is dropped. One task orders a user's events.
+    A trailing odd event has no partner and is dropped. Events are numbered by time slot, and
+    the two of a turn meet on (user, turn), so no task orders all events of a user with very
+    many.
     """
-    order = "OVER (PARTITION BY user_id ORDER BY ts, event_id)"
-    return (
-        events.selectExpr("*", f"{_EVENT} AS a")
-        .selectExpr(
-            "user_id", "a", f"row_number() {order} AS rn", f"lead(a) {order} AS b"
-        )
-        .where("rn % 2 = 1 AND b IS NOT NULL")
-        .selectExpr("user_id", _TURN, "a", "b")
-    )
-
-
-def split_turn_pairs(events: DataFrame, slot: int = MINUTE) -> DataFrame:
-    """The same rows for users with very many events: no task orders all of a user's.
-
-    Events are numbered by time slot, and the two of a turn meet on (user, turn).
-    """
-    moment = F.substring(F.col("ts").cast("string"), 1, slot)
+    since = f"CAST(ts - {EPOCH} AS INTERVAL SECOND)"
+    moment = F.expr(f"CAST({since} AS BIGINT) div {slot_seconds}")
     order = [F.col("ts"), F.col("event_id")]
     return (
         numbered(events, ["user_id"], order, moment, "rn")
@@ -121,34 +114,19 @@ def _decision(s: str) -> list[str]:
     return [f"{text.format(s=s)} AS {s}_{name}" for name, text in columns.items()]
 
 
-def paired_decisions(
-    events: DataFrame, heavy_events: int = HEAVY_EVENTS, slot: int = MINUTE
-) -> DataFrame:
+def paired_decisions(events: DataFrame, slot_seconds: int = SLOT_SECONDS) -> DataFrame:
     """One row per turn with both seats' decisions (columns ``a_*`` and ``b_*``).
 
-    Whether any user has more than ``heavy_events`` events is looked up first. Only such
-    users take the split way.
+    Times with a zone are read in UTC, whatever the session's zone is.
     """
+    if events.schema["ts"].dataType == T.TimestampType():
+        seconds = "CAST(unix_micros(ts) AS DECIMAL(18, 0)) / 1000000"
+        events = events.withColumn("ts", F.expr(f"{EPOCH} + make_dt_interval(0, 0, 0, {seconds})"))
     events = events.select("event_id", "ts", "user_id", "event_type", "value").where(
         "user_id IS NOT NULL AND ts IS NOT NULL"
     )
-    played = matches(events)
-    heavy = (
-        events.groupBy("user_id")
-        .agg(F.count(F.lit(1)).alias("n_events"))
-        .where(F.col("n_events") > heavy_events)
-    )
-    if heavy.isEmpty():
-        turns = turn_pairs(events).join(played, "user_id")
-    else:
-        marks = heavy.selectExpr("user_id", "true AS is_heavy")
-        marked = lookup_join(events, marks, ["user_id"], F.col("event_id"))
-        few = turn_pairs(marked.where("is_heavy IS NULL").drop("is_heavy"))
-        many = split_turn_pairs(marked.where("is_heavy").drop("is_heavy"), slot)
-        long = played.where(F.col("n_events") > heavy_events)
-        turns = few.join(played, "user_id").unionByName(
-            lookup_join(many, long, ["user_id"], F.col("turn"), "inner")
-        )
+    # A user with very many turns is one row of the matches: a join that Spark can split.
+    turns = turn_pairs(events, slot_seconds).join(matches(events), "user_id")
     moment = "replace(substring(CAST(a.ts AS STRING), 1, 19), ' ', 'T')"
     return turns.selectExpr(
         "*", *[f"{_INTENDED.format(s=s)} AS {s}_wish" for s in "ab"]

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from turnlake.sources.folders import names_in, remove
+
 
 def as_view(
     spark: SparkSession, schema: str, name: str, columns: list[str], path: str
@@ -20,14 +24,22 @@ def as_view(
 def as_table(df: DataFrame, schema: str, name: str, root: str | None = None) -> DataFrame:
     """Rebuild ``schema.name`` and return it as read back from storage.
 
-    With ``root`` the files lie at ``root/schema/name``, otherwise in the warehouse.
+    The files lie in a folder of this build below ``root/schema/name``, by default below the
+    warehouse. The table changes over once they are complete, so a build that fails leaves the
+    old table; the folders of earlier builds go after that.
     """
     spark = df.sparkSession
     spark.sql(f"CREATE SCHEMA IF NOT EXISTS {schema}")
-    writer = df.write.format("parquet").mode("overwrite")
-    if root is not None:
-        writer = writer.option("path", f"{root}/{schema}/{name}")
-    writer.saveAsTable(f"{schema}.{name}")
+    if root is None:
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tables"
+    top, build = f"{root}/{schema}/{name}", uuid.uuid4().hex
+    earlier = names_in(spark, top)
+    df.write.parquet(f"{top}/{build}")
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    spark.sql(f"DROP TABLE IF EXISTS {schema}.{name}")
+    spark.sql(f"CREATE TABLE {schema}.{name} ({columns}) USING parquet LOCATION '{top}/{build}'")
+    for old in earlier:
+        remove(spark, f"{top}/{old}")
     return spark.table(f"{schema}.{name}")
 
 

@@ -10,15 +10,9 @@ from pyspark.sql import SparkSession
 
 INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 DEFAULT_PARTITIONS = "spark.sql.shuffle.partitions"
-SPLIT_BYTES = "spark.sql.files.maxPartitionBytes"
 
-# Stored bytes per shuffle partition, and the most partitions that a shuffle is given.
-PARTITION_BYTES = 1 << 30
-MAX_PARTITIONS = 100_000
-# From this much input on, scan tasks read larger splits, which keeps the number of shuffle
-# blocks (scan tasks times partitions) in reach.
-LARGE_BYTES = 1 << 40
-LARGE_SPLIT = 512 << 20
+# Stored bytes per shuffle partition.
+PARTITION_BYTES = 128 << 20
 
 
 def stored_bytes(spark: SparkSession, path: str) -> int:
@@ -27,27 +21,27 @@ def stored_bytes(spark: SparkSession, path: str) -> int:
     return files.getContentSummary(location).getLength()
 
 
-def settings(n_bytes: int, partitions: int) -> dict[str, str]:
+def settings(
+    n_bytes: int, partitions: int, partition_bytes: int | None = None
+) -> dict[str, str]:
     """What to set for that much input where ``partitions`` is the present width."""
-    width = min(ceil(n_bytes / PARTITION_BYTES), MAX_PARTITIONS)
-    wanted = {}
-    if width > partitions:
-        wanted[INITIAL_PARTITIONS] = str(width)
-    if n_bytes >= LARGE_BYTES:
-        wanted[SPLIT_BYTES] = str(LARGE_SPLIT)
-    return wanted
+    width = ceil(n_bytes / (partition_bytes or PARTITION_BYTES))
+    return {INITIAL_PARTITIONS: str(width)} if width > partitions else {}
 
 
 @contextmanager
-def sized_for(spark: SparkSession, path: str) -> Iterator[None]:
+def sized_for(
+    spark: SparkSession, path: str, partition_bytes: int | None = None
+) -> Iterator[None]:
     """Within the block, shuffles are wide enough for the data at ``path``.
 
     Adaptive execution joins partitions that turn out small but never splits one, so a large
     input needs many from the start. A wider present setting stays. The session's settings
-    come back at the end, so the block must run its jobs, not only plan them.
+    come back at the end, so the block must run its jobs, not only plan them, and one build
+    runs at a time in a session.
     """
     present = spark.conf.get(INITIAL_PARTITIONS, None) or spark.conf.get(DEFAULT_PARTITIONS)
-    wanted = settings(stored_bytes(spark, path), int(present))
+    wanted = settings(stored_bytes(spark, path), int(present), partition_bytes)
     before = {key: spark.conf.get(key, None) for key in wanted}
     for key, value in wanted.items():
         spark.conf.set(key, value)

@@ -8,7 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from turnlake.operators.bronze import build_bronze
 from turnlake.sources.decisions import paired_decisions
-from turnlake.sources.folders import checkpoint_folder, path_exists
+from turnlake.sources.folders import (
+    checkpoint_folder,
+    fingerprint,
+    path_exists,
+    remove_at_end,
+)
 from turnlake.sources.sizing import sized_for
 from turnlake.sources.turn_log import overwrite, scan_turns
 
@@ -21,14 +26,18 @@ def bronze_path(spark: SparkSession, folder: str) -> str:
     """Where this application keeps the turn log of ``folder``, building it if needed.
 
     Queries on the turn log start from this table, as they would from a recorded log, so
-    their lineage is short and a lost executor costs a re-read and not the mapping.
+    their lineage is short and a lost executor costs a re-read and not the mapping. The path
+    follows the state of the events' files, so changed events make a new log; the logs go when
+    the application ends.
     """
-    name = hashlib.md5(folder.encode()).hexdigest()
+    state = fingerprint(spark, f"{folder}/events.parquet")
+    name = hashlib.md5(state.encode()).hexdigest()
     app = spark.sparkContext.applicationId
     path = f"{checkpoint_folder(spark)}/turnlake/{app}/{name}/bronze"
     if not path_exists(spark, f"{path}/_SUCCESS"):
         with sized_for(spark, f"{folder}/events.parquet"):
             overwrite(build_bronze(paired_decisions(events(spark, folder))), path)
+        remove_at_end(spark, path)
     return path
 
 

@@ -6,19 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnlake.operators.history import BLOCK_TURNS
-from turnlake.schemas import TURNS
-from turnlake.sources.folders import path_exists
+from turnlake.schemas import TURN_KEY, TURNS
+from turnlake.sources.folders import names_in, path_exists
 
-
-# Appended logs hold one folder per load.
+# A log holds one folder per load; a log written as a whole is the load ``BASE``.
 LOAD = T.StructField("load_id", T.StringType())
+BASE = "base"
 
 
 def scan_turns(
     spark: SparkSession, path: str, schema: T.StructType = TURNS
 ) -> DataFrame:
-    """The log with its declared schema: no inference, columns a file lacks read as NULL."""
+    """The log with its declared schema: no inference, columns a file lacks read as NULL.
+
+    Files beside load folders would be passed over by the reader, so they are an error.
+    """
+    names = names_in(spark, path)
+    if any(n.startswith(f"{LOAD.name}=") for n in names) and any(
+        n.endswith(".parquet") for n in names
+    ):
+        raise ValueError(f"{path} holds both files and load folders")
     return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
@@ -27,23 +34,37 @@ def typed(turns: DataFrame) -> DataFrame:
     return turns.withColumn("played_at", F.to_timestamp("played_at"))
 
 
-def existing_match_ids(
-    spark: SparkSession, path: str, but_load: str | None = None
+def recorded_keys(
+    spark: SparkSession, path: str, columns: list[str], but_load: str | None = None
 ) -> DataFrame:
-    """The matches a log holds, from that one column; none where there is no log yet.
+    """Distinct values of key columns in a log; none where there is no log yet.
 
     ``but_load`` leaves out what that load wrote.
     """
     if not path_exists(spark, path):
-        return spark.createDataFrame([], TURNS).select("match_id")
+        return spark.createDataFrame([], TURNS).select(*columns)
     log = spark.read.schema(T.StructType([*TURNS.fields, LOAD])).parquet(path)
     if but_load is not None:
         log = log.where(~F.col(LOAD.name).eqNullSafe(but_load))
-    return log.select("match_id").distinct()
+    return log.select(*columns).distinct()
+
+
+def existing_match_ids(
+    spark: SparkSession, path: str, but_load: str | None = None
+) -> DataFrame:
+    """The matches a log holds, from that one column."""
+    return recorded_keys(spark, path, ["match_id"], but_load)
 
 
 def overwrite(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+    """Replace the whole log by these rows, as one load."""
+    rows = df.withColumn(LOAD.name, F.lit(BASE))
+    rows.write.mode("overwrite").partitionBy(LOAD.name).parquet(path)
+
+
+def write_load(df: DataFrame, path: str, load_id: str) -> None:
+    """Write, or write again, the folder of one load."""
+    df.write.mode("overwrite").parquet(f"{path}/{LOAD.name}={load_id}")
 
 
 def conform(turns: DataFrame) -> DataFrame:
@@ -62,30 +83,29 @@ def union_relaxed(recorded: DataFrame, incoming: DataFrame) -> DataFrame:
     return conform(recorded).unionByName(conform(incoming))
 
 
-def unseen(
-    incoming: DataFrame, recorded_ids: DataFrame, block_turns: int = BLOCK_TURNS
-) -> DataFrame:
-    """The incoming turns of matches that are not recorded yet.
+def without_copies(turns: DataFrame) -> DataFrame:
+    """One of equal rows. They meet by key and hash, not by their whole content."""
+    rows = turns.withColumn("_content", F.xxhash64(*turns.columns))
+    return rows.dropDuplicates([*TURN_KEY, "_content"]).drop("_content")
+
+
+def unseen(incoming: DataFrame, recorded: DataFrame) -> DataFrame:
+    """The incoming turns that are not recorded yet, by match, turn and seat.
 
-    The ids are compared once per match and block of turns. The turns then look up their
-    (match, block), so the turns of one very long match spread over its blocks.
+    So late turns of a match that is recorded in part come in, too. Turns are compared one by
+    one and spread by their whole key; missing parts of a key compare as equal.
     """
-    rows = incoming.withColumn("_block", F.expr(f"turn div {block_turns}")).alias("rows")
-    keys = rows.select("match_id", "_block").distinct().alias("keys")
-    ids = recorded_ids.select("match_id").distinct().alias("ids")
-    # Null-safe, so that turns without an id are kept once, too.
-    new = keys.join(ids, F.expr("keys.match_id <=> ids.match_id"), "left_anti").alias("new")
-    match = F.expr("rows.match_id <=> new.match_id AND rows._block <=> new._block")
-    return rows.join(new, match, "left_semi").select(*incoming.columns)
+    rows, keys = incoming.alias("rows"), recorded.select(*TURN_KEY).alias("keys")
+    same = " AND ".join(f"rows.{c} <=> keys.{c}" for c in TURN_KEY)
+    return rows.join(keys, F.expr(same), "left_anti").select(*incoming.columns)
 
 
 def append_unseen(incoming: DataFrame, path: str, load_id: str) -> None:
-    """Append the matches the log lacks; loading the same turns again adds nothing.
+    """Append the turns the log lacks; loading the same turns again adds nothing.
 
     A load writes a folder of its own. Running it again under its id rebuilds that folder,
     so a load that died half-way is repaired by repeating it. One load runs at a time.
-    Copies of a row within the load are dropped first, before they could meet in one task.
+    Copies of a row within the load are dropped first.
     """
-    recorded = existing_match_ids(incoming.sparkSession, path, but_load=load_id)
-    new = unseen(conform(incoming).distinct(), recorded)
-    overwrite(new, f"{path}/{LOAD.name}={load_id}")
+    recorded = recorded_keys(incoming.sparkSession, path, TURN_KEY, but_load=load_id)
+    write_load(unseen(without_copies(conform(incoming)), recorded), path, load_id)
