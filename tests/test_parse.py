@@ -58,6 +58,14 @@ ANSWERS = {
     "éC": None,
     "Cé": None,
     "C²": None,
+    '{"move":"defect","x":NaN}': "D",
+    '{"x":[Infinity, -Infinity],"move":"defect"}': "D",
+    '{"move":NaN}': None,
+    '{"move":"defect","x":"a, NaN, b"}': "D",
+    '{"move":"defect","x":"\\", NaN, \\""}': "D",
+    '{"move":"defect","x":NaNs}': None,
+    '{"move":"defect","x":- Infinity}': None,
+    '{NaN:1,"move":"defect"}': None,
     "C, puis D": "C",
     "«D»": "D",
     "JE VAIS COOPÉRER": "C",

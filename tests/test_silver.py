@@ -95,12 +95,12 @@ def test_missing_n_turns_still_gives_block_starts(spark):
     assert by_key(enrich(log(spark, rows), 4)) == brute_force(rows)
 
 
-def test_turn_beyond_declared_length_fails(spark):
-    rows = [{**r, "n_turns": 2} for r in seat_rows("m", "CCCCC", "DDDDD")]
-    with pytest.raises(Exception, match="turn beyond n_turns"):
-        enrich(log(spark, rows), 3).collect()
-    # Within one block the declared length does not matter.
-    assert enrich(log(spark, rows), 5).count() == 10
+@pytest.mark.parametrize("declared", [None, 0, 2, 3, 5, 900])
+def test_same_rows_whatever_n_turns_says(spark, declared):
+    rows = [{**r, "n_turns": declared} for r in seat_rows("m", "CDCCDCC", "DDDCDDD")]
+    rows += seat_rows("short", "CD", "DD")
+    for block_turns in (2, 3, 100):
+        assert by_key(enrich(log(spark, rows), block_turns)) == brute_force(rows)
 
 
 def test_schema_and_staging_order(spark, bronze):

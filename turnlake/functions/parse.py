@@ -15,6 +15,11 @@ LETTER_PATTERN = r"(?:^|[^\p{L}\p{N}_])([CD])(?:$|[^\p{L}\p{N}_])"
 COOPERATE_PATTERN = "(?iu)coop[ée]r"
 DEFECT_PATTERN = "(?iu)trah"
 DEFAULT_MOVE = "C"
+# NaN and the infinities as values, outside of strings: an even number of quotes follows.
+BARE_NUMBERS = (
+    r"(?<=[\[{:,\s])(?:NaN|-?Infinity)(?=\s*+[,\]}])"
+    r'(?=[^"\\]*+(?:"[^"\\]*+(?:\\.[^"\\]*+)*+"[^"\\]*+)*+$)'
+)
 
 _PAYLOAD = "move variant, justification variant, _corrupt string"
 _STRICT_JSON = {"allowSingleQuotes": "false", "columnNameOfCorruptRecord": "_corrupt"}
@@ -25,9 +30,11 @@ def payload(raw: Column) -> Column:
 
     The JSON functions ignore text after a value. Wrapping the answer as the only element
     of an array, and as the first of two, gives lengths 1 and 2 only when the answer is one
-    whole value. NaN and Infinity, which are no JSON, make an answer invalid. The field
-    ``_corrupt`` is set where the fields could not be read; see ``field``.
+    whole value. NaN, Infinity and -Infinity count as values, which stricter readers refuse;
+    none of them states a move. The field ``_corrupt`` is set where the fields could not be
+    read; see ``field``.
     """
+    raw = F.when(raw.rlike("NaN|Infinity"), F.regexp_replace(raw, BARE_NUMBERS, "null")).otherwise(raw)
     alone = F.json_array_length(F.concat(F.lit("["), raw, F.lit("]")))
     followed = F.json_array_length(F.concat(F.lit("["), raw, F.lit(",0]")))
     is_object = raw.rlike(r"^[ \t\r\n]*\{")

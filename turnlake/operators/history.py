@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.functions import expr
 
 from turnlake.schemas import PERSPECTIVE
@@ -39,10 +40,8 @@ def with_history(turns: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
 
     One shuffle and one sort on (match, seat, block of turns) serve every column. A match of
     up to ``block_turns`` turns is one block. The later blocks of a longer match start from
-    the state its earlier blocks end in; those states come from a second pass that the
-    ``n_turns`` filter restricts to such matches, so a log without any reads nothing there.
-    A turn beyond both the block size and the declared ``n_turns`` contradicts that filter
-    and fails the job rather than give a wrong state.
+    the state its earlier blocks end in; those states come from a second pass over such
+    matches alone. The result does not depend on ``n_turns``, see ``_long_matches``.
     """
     rows = _numbered(turns, block_turns).selectExpr(
         "*",
@@ -64,21 +63,30 @@ def with_history(turns: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
 
 def _numbered(turns: DataFrame, block_turns: int) -> DataFrame:
     """Add each turn's block and its row number there."""
-    beyond = f"turn > {block_turns} AND turn > n_turns"
-    block = (
-        f"CASE WHEN {beyond} THEN CAST(raise_error('turn beyond n_turns') AS BIGINT) "
-        f"ELSE (turn - 1) div {block_turns} END AS _block"
-    )
-    return turns.selectExpr("*", block).selectExpr(
+    return turns.selectExpr("*", f"(turn - 1) div {block_turns} AS _block").selectExpr(
         "*", f"row_number() OVER ({_BLOCK}) AS _row"
     )
 
 
+def _long_matches(turns: DataFrame, block_turns: int) -> DataFrame:
+    """The turns of matches that go beyond one block.
+
+    The declared ``n_turns`` finds them by a filter that reaches the scan. Matches that declare
+    fewer turns than they have are found by such turns; only if the log holds any, which one
+    number looked up at run time says, are the first blocks of all other matches read.
+    """
+    declared = f"n_turns > {block_turns} OR n_turns IS NULL OR turn > {block_turns}"
+    undeclared = turns.where(f"turn > {block_turns} AND n_turns <= {block_turns}")
+    found = undeclared.agg(F.count("*")).scalar() > 0
+    rest = turns.where(f"NOT ({declared})").where(found)
+    ids = undeclared.select("match_id").distinct()
+    return turns.where(declared).unionByName(rest.join(ids, "match_id", "left_semi"))
+
+
 def _block_starts(turns: DataFrame, block_turns: int) -> DataFrame:
     """State at the start of each block but the first, one row per (match, seat, block)."""
-    several = f"n_turns > {block_turns} OR n_turns IS NULL OR turn > {block_turns}"
     blocks = (
-        _numbered(turns.where(several), block_turns)
+        _numbered(_long_matches(turns, block_turns), block_turns)
         .groupBy(*_AT)
         .agg(
             *map(

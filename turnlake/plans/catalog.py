@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +18,8 @@ from turnlake.plans import report
 from turnlake.schemas import AGENTS, TURN_KEY
 from turnlake.sources import stage, turn_log
 from turnlake.sources.decisions import paired_decisions
-from turnlake.sources.folders import checkpoint_folder
+from turnlake.sources.folders import checkpoint_folder, remove, remove_at_end
+from turnlake.sources.layers import as_table
 from turnlake.sources.seed import seed_agents
 from turnlake.streaming.ingest import load_arrivals
 
@@ -94,8 +95,7 @@ class Layers:
 
     @cached_property
     def expected(self) -> DataFrame:
-        salt = "concat(match_id, seat, turn)"
-        return fidelity.expected_move(gold.with_equivalents(self.bronze, self.seed, salt))
+        return fidelity.expected_move(gold.with_equivalents(self.bronze, self.seed))
 
     @cached_property
     def followed(self) -> DataFrame:
@@ -109,11 +109,14 @@ class Layers:
     def fidelity_opp(self) -> DataFrame:
         return fidelity.fidelity_by_opponent(self.followed)
 
-    @cached_property
-    def scheduled(self) -> DataFrame:
+    def schedule(self, limit: int | None = None) -> DataFrame:
         repeats = self.bronze.agg(F.max("repeat")).scalar()
         agents = schedule.agent_order(self.bronze)
-        return schedule.schedule(agents, SCHEDULE_TURNS, repeats)
+        return schedule.schedule(agents, SCHEDULE_TURNS, repeats, limit)
+
+    @cached_property
+    def scheduled(self) -> DataFrame:
+        return self.schedule()
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -125,31 +128,100 @@ def keyed(df: DataFrame, *columns: str | Column) -> DataFrame:
 
 
 def append_relaxed(turns: DataFrame) -> DataFrame:
-    """A log of rule agents that lacks the model columns, with one of model-played seats."""
-    rules = turns.where("player_type = 'coded'").drop("response_time", "raw_output")
+    """A log that lacks the model columns, with one of model-played seats."""
+    rules = turns.where("NOT player_type <=> 'llm'").drop("response_time", "raw_output")
     return turn_log.union_relaxed(rules, turns.where("player_type = 'llm'"))
 
 
 def incremental_load(turns: DataFrame) -> DataFrame:
     """What a load of the whole log adds to a log that holds the first repeats."""
-    recorded = turns.where("repeat = 1").select("match_id").distinct()
-    return turn_log.unseen(turns, recorded)
+    return turn_log.unseen(turns, turns.where("repeat = 1"))
 
 
-def stream_load(layers: Layers) -> DataFrame:
-    """The log read as arriving files and loaded twice; the second load adds nothing."""
-    spark = layers.spark
-    target = f"{checkpoint_folder(spark)}/turnlake/stream-{uuid.uuid4().hex}"
-    for load in ("first", "second"):
-        load_arrivals(
-            spark, layers.bronze_path, f"{target}/bronze", f"{target}/{load}", load
-        ).awaitTermination()
-    loaded = turn_log.scan_turns(spark, f"{target}/bronze")
-    return loaded.groupBy("match_id").agg(
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The rows as written beside the staged log, until the application ends."""
+    path = f"{checkpoint_folder(df.sparkSession)}/turnlake/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    remove_at_end(df.sparkSession, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def per_match(turns: DataFrame) -> DataFrame:
+    return turns.groupBy("match_id").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("payoff").alias("payoff")
     )
 
 
+def in_scratch_log(layers: Layers, load: Callable[[str], None]) -> DataFrame:
+    """Counts per match of a log that ``load`` writes; the log itself goes at once."""
+    spark = layers.spark
+    target = f"{checkpoint_folder(spark)}/turnlake/loads-{uuid.uuid4().hex}"
+    try:
+        load(target)
+        return kept(per_match(turn_log.scan_turns(spark, f"{target}/bronze")), "loaded")
+    finally:
+        remove(spark, target)
+
+
+def stream_load(layers: Layers) -> DataFrame:
+    """The log read as arriving files and loaded twice; the second load adds nothing."""
+
+    def load(target: str) -> None:
+        for number in ("first", "second"):
+            load_arrivals(
+                layers.spark, layers.bronze_path, f"{target}/bronze", f"{target}/{number}", "s"
+            ).awaitTermination()
+
+    return in_scratch_log(layers, load)
+
+
+def append_after_overwrite(layers: Layers) -> DataFrame:
+    """A log written whole from the first repeats, and then extended by the whole log."""
+
+    def load(target: str) -> None:
+        turn_log.overwrite(layers.bronze.where("repeat = 1"), f"{target}/bronze")
+        turn_log.append_unseen(layers.bronze, f"{target}/bronze", "all")
+
+    return in_scratch_log(layers, load)
+
+
+def late_turns(layers: Layers) -> DataFrame:
+    """A log whose matches arrive in two loads, odd turns first."""
+
+    def load(target: str) -> None:
+        for number, turns in (("odd", "turn % 2 = 1"), ("even", "turn % 2 = 0")):
+            turn_log.append_unseen(layers.bronze.where(turns), f"{target}/bronze", number)
+
+    return in_scratch_log(layers, load)
+
+
+def typed_turns(turns: DataFrame) -> DataFrame:
+    """The typed view, its timestamp shown as seconds."""
+    return keyed(turn_log.typed(turns), F.unix_timestamp("played_at").alias("played_at_s"))
+
+
+def mart_read_back(layers: Layers) -> DataFrame:
+    """The matchup mart rebuilt as a table and read back through a view."""
+    root = f"{checkpoint_folder(layers.spark)}/turnlake/marts-{uuid.uuid4().hex}"
+    remove_at_end(layers.spark, root)
+    table = as_table(layers.matchup, "turnlake_check", "matchup", root)
+    return kept(table, "matchup")
+
+
+def presented_marts(layers: Layers) -> DataFrame:
+    """Each mart's rows by their place in the order of presentation."""
+    marts = {
+        "agg_agent_leaderboard": (layers.board, ["agent"]),
+        "agg_matchup_matrix": (layers.matchup, ["player", "opponent"]),
+        "agg_cooperation_over_time": (layers.coop_time, ["agent", "agent_type", "turn"]),
+        "agg_persona_fidelity": (layers.fidelity, ["persona"]),
+        "agg_persona_fidelity_by_opponent": (layers.fidelity_opp, ["persona", "opponent"]),
+        "agg_reciprocity": (layers.reciprocity, ["agent", "agent_type"]),
+    }
+    parts = [report.placed(mart, name, row) for name, (mart, row) in marts.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def match_sample(turns: DataFrame) -> DataFrame:
     """About one match in four, always the same ones."""
     kept = schedule.sample_matches(turns, SAMPLE_SEED, 1, 4)
@@ -168,10 +240,17 @@ QUERIES: dict[str, Callable[[Layers], DataFrame]] = {
     "append_relaxed": lambda x: append_relaxed(x.bronze),
     "incremental_load": lambda x: incremental_load(x.bronze),
     "stream_load": stream_load,
+    "append_after_overwrite": append_after_overwrite,
+    "late_turns": late_turns,
+    "typed_turns": lambda x: typed_turns(x.bronze),
+    "mart_read_back": mart_read_back,
     # Relation builders
     "match_schedule": lambda x: x.scheduled,
-    "match_schedule_limit": lambda x: schedule.first_matches(x.scheduled, SCHEDULE_LIMIT),
+    "match_schedule_limit": lambda x: schedule.first_matches(
+        x.schedule(SCHEDULE_LIMIT), SCHEDULE_LIMIT
+    ),
     "pending_matches": lambda x: schedule.pending(x.scheduled, x.bronze),
+    "pending_repeats": lambda x: schedule.pending_repeats(x.scheduled, x.bronze),
     "match_sample": lambda x: match_sample(x.bronze),
     "tidy_seats": lambda x: bronze.tidy_seats(x.paired),
     "payoff_join": lambda x: keyed(
@@ -238,6 +317,7 @@ QUERIES: dict[str, Callable[[Layers], DataFrame]] = {
     "match_replay": match_replay,
     "move_sequence": lambda x: report.move_sequence(x.bronze),
     "matchup_pivot": lambda x: report.matchup_pivot(x.matchup, AGENTS),
+    "presented_marts": presented_marts,
     "fidelity_heatmap": lambda x: report.fidelity_heatmap(x.fidelity_opp),
     "llm_vs_coded_gap": lambda x: report.persona_gaps(x.versus),
     "coop_unpivot": lambda x: report.coop_unpivot(x.versus),

@@ -215,6 +215,8 @@ def _sql(select: str) -> str:
 
 
 _KEY = "match_id, turn, seat"
+_PER_MATCH = """SELECT match_id, count(*) AS n_rows, CAST(sum(payoff) AS BIGINT) AS payoff
+  FROM bronze GROUP BY match_id"""
 
 
 def _schedule(n_turns: int) -> str:
@@ -238,7 +240,30 @@ def _scheduled(n_turns: int, select: str) -> str:
 
 def _pivot(row: str, column: str, value: str, table: str) -> str:
     cells = ", ".join(f"max({value}) FILTER ({column} = '{a}') AS {a}" for a in AGENTS)
-    return f"SELECT {row}, {cells} FROM {table} GROUP BY {row}"
+    listed = ", ".join(f"'{a}'" for a in AGENTS)
+    others = (
+        f"string_agg({column} || '=' || {value}, ', ' ORDER BY {column})"
+        f" FILTER ({column} NOT IN ({listed})) AS others"
+    )
+    return f"SELECT {row}, {cells}, {others} FROM {table} GROUP BY {row}"
+
+
+# CRC-32 of ASCII text: the byte table from its polynomial, then one look-up per byte.
+_CRC_TABLE = """crc_table AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)),
+    lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))) AS t)"""
+_CRC = """xor(4294967295, list_reduce(
+  list_concat([4294967295],
+    list_transform(range(1, length({text}) + 1), lambda i: CAST(ascii(({text})[i]) AS BIGINT))),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"""
+
+
+def _place(mart: str, table: str, row: list[str], order: str) -> str:
+    label = " || '/' || ".join(f"CAST({c} AS VARCHAR)" for c in row)
+    return (
+        f"SELECT '{mart}' AS mart, {label} AS row, "
+        f"CAST(row_number() OVER (ORDER BY {order}) AS INT) AS place FROM {table}"
+    )
 
 
 def _failures(test: str, model: str, column: str, condition: str, table: str) -> str:
@@ -315,7 +340,9 @@ _PHASES = """
   GROUP BY agent HAVING derive IS NOT NULL"""
 
 
-def oracle_sql(schedule_turns: int, schedule_limit: int, shown_agents: list[str]) -> dict[str, str]:
+def oracle_sql(
+    schedule_turns: int, schedule_limit: int, shown_agents: list[str], sample_seed: int
+) -> dict[str, str]:
     shown = ", ".join(map(_literal, shown_agents))
     log = ", ".join(TURNS.names)
     kept = [c for c in TURNS.names if c not in ("response_time", "raw_output")]
@@ -329,9 +356,41 @@ def oracle_sql(schedule_turns: int, schedule_limit: int, shown_agents: list[str]
                 FROM bronze"""
         ),
         "incremental_load": _sql(f"SELECT {log} FROM bronze WHERE repeat > 1"),
-        "stream_load": _sql(
-            """SELECT match_id, count(*) AS n_rows, CAST(sum(payoff) AS BIGINT) AS payoff
-               FROM bronze GROUP BY match_id"""
+        "stream_load": _sql(_PER_MATCH),
+        "append_after_overwrite": _sql(_PER_MATCH),
+        "late_turns": _sql(_PER_MATCH),
+        "typed_turns": _sql(
+            f"""SELECT {_KEY}, CAST(epoch(CAST(substr(played_at, 1, 19) AS TIMESTAMP)) AS BIGINT)
+                  AS played_at_s FROM bronze"""
+        ),
+        "mart_read_back": _sql("SELECT * FROM matchup"),
+        "match_sample": "WITH" + ",".join([*_LAYERS, "\n" + _CRC_TABLE]) + f"""
+            SELECT match_id, count(*) AS n_rows FROM bronze, crc_table
+            WHERE {_CRC.format(text=f"'{sample_seed}:' || match_id")} % 4 < 1
+            GROUP BY match_id""",
+        "pending_repeats": _scheduled(
+            schedule_turns,
+            """SELECT * FROM scheduled s WHERE NOT EXISTS (SELECT 1 FROM bronze b
+               WHERE b.seat = 'A' AND b.player = s.a_player AND b.opponent = s.b_player
+                 AND b.repeat = s.repeat)""",
+        ),
+        "presented_marts": _sql(
+            " UNION ALL ".join(
+                [
+                    _place("agg_agent_leaderboard", "board", ["agent"],
+                           "score_moyen_par_tour DESC NULLS LAST, agent"),
+                    _place("agg_matchup_matrix", "matchup", ["player", "opponent"],
+                           "player, score_moyen_par_tour DESC NULLS LAST, opponent"),
+                    _place("agg_cooperation_over_time", "overtime", ["agent", "agent_type", "turn"],
+                           "agent, turn, agent_type"),
+                    _place("agg_persona_fidelity", "fidelity", ["persona"],
+                           "fidelite DESC NULLS LAST, persona"),
+                    _place("agg_persona_fidelity_by_opponent", "fidelity_opp",
+                           ["persona", "opponent"], "persona, fidelite NULLS LAST, opponent"),
+                    _place("agg_reciprocity", "recip", ["agent", "agent_type"],
+                           "reciprocite DESC NULLS LAST, agent, agent_type"),
+                ]
+            )
         ),
         "match_schedule": _scheduled(schedule_turns, "SELECT * FROM scheduled"),
         "match_schedule_limit": _scheduled(

@@ -27,12 +27,10 @@ def build_silver(
 
 
 def marts(
-    fact: DataFrame, totals: DataFrame, followed: DataFrame, seed: DataFrame
+    fact: DataFrame, totals: DataFrame, followed: DataFrame, board: DataFrame, seed: DataFrame
 ) -> dict[str, DataFrame]:
-    """The seven marts, from the fact and the two tables of counts."""
-    board = gold.leaderboard(totals, seed)
+    """The other six marts, from the fact, the two tables of counts and the leaderboard."""
     return {
-        "agg_agent_leaderboard": board,
         "agg_matchup_matrix": gold.matchup_matrix(totals),
         "agg_cooperation_over_time": gold.coop_over_time(fact),
         "agg_llm_vs_coded": gold.llm_vs_coded(board, seed),
@@ -64,7 +62,9 @@ def build_gold(
         tables = {"fct_turns": fact}
         # The totals list every player of the log.
         tables["dim_agent"] = table(gold.dim_agent(totals, seed), "dim_agent")
-        for name, mart in marts(fact, totals, followed, seed).items():
+        board = table(gold.leaderboard(totals, seed), "agg_agent_leaderboard")
+        tables["agg_agent_leaderboard"] = board
+        for name, mart in marts(fact, totals, followed, board, seed).items():
             tables[name] = table(mart, name)
     return tables
 

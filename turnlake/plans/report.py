@@ -6,7 +6,7 @@ compares its rows with are scalar subqueries, not joins.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnlake.functions.turns import named, ratio
@@ -30,14 +30,30 @@ PRESENTATION = {
 }
 
 
-def presented(mart: DataFrame, name: str) -> DataFrame:
-    """The mart in its order of presentation, rows without the measure last."""
-
+def _presentation(name: str) -> list[Column]:
     def order(key: str) -> Column:
         column = F.col(key.removesuffix(" DESC"))
         return column.desc_nulls_last() if key.endswith(" DESC") else column.asc_nulls_last()
 
-    return mart.orderBy(*map(order, PRESENTATION[name]))
+    return [order(key) for key in PRESENTATION[name]]
+
+
+def presented(mart: DataFrame, name: str) -> DataFrame:
+    """The mart in its order of presentation, rows without the measure last."""
+    return mart.orderBy(*_presentation(name))
+
+
+def placed(mart: DataFrame, name: str, row: list[str]) -> DataFrame:
+    """(mart, row, place): the columns ``row`` as text, and their place in the presentation.
+
+    A mart is a report of a few rows per agent, so one task numbers it.
+    """
+    order = Window.orderBy(*_presentation(name))
+    return mart.select(
+        F.lit(name).alias("mart"),
+        F.concat_ws("/", *[F.col(c).cast("string") for c in row]).alias("row"),
+        F.row_number().over(order).alias("place"),
+    )
 
 
 def kpis(totals: DataFrame, board: DataFrame) -> DataFrame:
@@ -188,10 +204,19 @@ def move_sequence(turns: DataFrame, segment_turns: int = 100_000) -> DataFrame:
 
 
 def matchup_pivot(mart: DataFrame, opponents: list[str] | None = None) -> DataFrame:
-    """Mean scores with one column per opponent; all opponents of the mart by default."""
-    return mart.groupBy("player").pivot("opponent", opponents).agg(
-        F.first("score_moyen_par_tour")
-    )
+    """Mean scores with one column per opponent; all opponents of the mart by default.
+
+    With a list, scores against opponents outside it are not lost: the column ``others`` holds
+    them as text, "opponent=score" by name, NULL where there are none.
+    """
+    score = "score_moyen_par_tour"
+    if opponents is None:
+        return mart.groupBy("player").pivot("opponent").agg(F.first(score))
+    columns = [F.max(F.when(F.col("opponent") == o, F.col(score))).alias(o) for o in opponents]
+    pair = F.concat("opponent", F.lit("="), F.col(score).cast("string"))
+    outside = F.collect_list(F.when(~F.col("opponent").isin(opponents), pair))
+    others = F.nullif(F.array_join(F.array_sort(outside), ", "), F.lit(""))
+    return mart.groupBy("player").agg(*columns, others.alias("others"))
 
 
 def fidelity_heatmap(mart: DataFrame) -> DataFrame:
