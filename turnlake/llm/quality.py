@@ -1,7 +1,8 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text.
 
 Words and pairs of words are hashed to ``BUCKETS``. Two bag models count them: the target model
-over documents labelled good, the raw model over all documents. A document's log importance
+over documents labelled good (at most about ``TARGET_ROWS``, by hash of the id), the raw model
+over all documents. A document's log importance
 weight is the log-likelihood ratio of its n-grams. Adding Gumbel noise to the weights and
 taking the k largest samples k documents without replacement, in proportion to their weights.
 
@@ -20,10 +21,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnlake.llm.store import named, written
+from turnlake.llm.store import hashed_below, named, written
 from turnlake.llm.textbytes import shingle_hashes, text_chunks, word_hashes
 
 BUCKETS = 10_000
+# Good labels, about, whose documents make the target model: their ids are broadcast.
+TARGET_ROWS = 100_000
 # Count that every bucket has beforehand.
 SMOOTHING = 1.0
 # Share of the documents that the sample holds.
@@ -113,21 +116,20 @@ def resampled(
 ) -> DataFrame:
     """One row per document: id, ``n_grams``, ``log_weight``, ``score``, ``sample_key``, ``selected``.
 
-    The target is the text of documents with label quality 1, the raw text that of all
-    documents. ``log_weight`` is the sum of log ratios, ``score`` (0 to 1) the logistic of 10
+    The target is the text of documents with label quality 1 (a sample of ``TARGET_ROWS`` where
+    there are more), the raw text that of all documents. ``log_weight`` is the sum of log ratios, ``score`` (0 to 1) the logistic of 10
     times their mean. Selected are the ``ceil(keep * documents)`` largest keys, weight plus
     Gumbel noise, and every row that ties with the last of them. Null, empty and blank texts
     have weight 0 and score 0.5. Of several labels for an id the highest
     counts; without good ones all ratios are those of the smoothing. Repeated rows get equal
     keys, as the noise is a hash of id and text. Other columns are not read. No rows, no rows.
     """
-    good = (
-        labels.where("quality = 1 AND doc_id IS NOT NULL")
-        .select(F.col("doc_id").alias("_label_id"), F.lit(True).alias("_good"))
-        .distinct()
-    )
+    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
+    good = written(good.withColumnRenamed("doc_id", "_label_id"), "good")
+    few = hashed_below(F.xxhash64("_label_id"), TARGET_ROWS / max(1, good.count()))
+    target = F.broadcast(good.where(few).withColumn("_good", F.lit(True)))
     rows = docs.select(named(id_col).alias("_id"), named(text_col).alias("_text"))
-    marked = rows.join(good, F.col("_id") == F.col("_label_id"), "left").select(
+    marked = rows.join(target, F.col("_id") == F.col("_label_id"), "left").select(
         "_text", F.coalesce("_good", F.lit(False)).alias("_good")
     )
     ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(marked))
