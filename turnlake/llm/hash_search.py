@@ -72,8 +72,10 @@ def on_sphere(x: np.ndarray, scale: float) -> np.ndarray:
 
 
 def codes_of(z: np.ndarray, rotations: np.ndarray) -> np.ndarray:
-    """(vector, substring) bytes."""
+    """(vector, substring) bytes; whole words of 64 bits where there are as many."""
     bits = np.concatenate([z @ r > 0 for r in rotations], axis=1)
+    if bits.shape[1] >= 64:
+        bits = bits[:, : bits.shape[1] // 64 * 64]
     return np.packbits(bits, axis=1)
 
 
@@ -83,7 +85,9 @@ def query_points(x: np.ndarray) -> np.ndarray:
 
 
 def hamming(codes: np.ndarray, code: np.ndarray) -> np.ndarray:
-    return _ONES[codes ^ code].sum(axis=1, dtype=np.int64)
+    if codes.shape[1] % 8 == 0 and codes.flags.c_contiguous:
+        codes, code = codes.view(np.uint64), np.ascontiguousarray(code).view(np.uint64)
+    return np.bitwise_count(codes ^ code).sum(axis=1, dtype=np.int64)
 
 
 def learn(spark: SparkSession, rows: DataFrame) -> dict:
@@ -118,24 +122,24 @@ class Index:
     def __init__(self, ids: np.ndarray, x: np.ndarray, model: dict):
         self.ids, self.x, self.radius = ids, x, model["radius"]
         self.codes = codes_of(on_sphere(x, model["scale"]), model["rotations"])
-        self.order = np.argsort(self.codes, axis=0, kind="stable").T  # by substring, then value
-        counts = np.stack([np.bincount(c, minlength=256) for c in self.codes.T])
-        self.ends = np.cumsum(counts, axis=1)
-        self.starts = self.ends - counts
+        # All tables in one array: by substring, then value.
+        self.order = np.argsort(self.codes, axis=0, kind="stable").T.ravel()
+        self.counts = np.concatenate([np.bincount(c, minlength=256) for c in self.codes.T])
+        self.starts = np.cumsum(self.counts) - self.counts
         # Substrings 0..extra are probed one bit farther than the rest, which is enough.
-        self.near, self.extra = divmod(self.radius, self.codes.shape[1])
+        near, extra = divmod(self.radius, self.codes.shape[1])
+        reach = [min(near if j <= extra else near - 1, 8) for j in range(self.codes.shape[1])]
+        probes = [_NEAR[: _WITHIN[r] if r >= 0 else 0] for r in reach]
+        self.table = np.repeat(np.arange(len(probes)), [len(p) for p in probes])
+        self.flips = np.concatenate(probes)
 
     def within(self, code: np.ndarray) -> np.ndarray:
         """Places of all codes within the radius, by probing every table."""
+        bucket = self.table * 256 + (self.flips ^ code[self.table])
+        n = self.counts[bucket]
+        at = np.repeat(self.starts[bucket] - np.cumsum(n) + n, n) + np.arange(n.sum())
         hit = np.zeros(len(self.ids), bool)
-        for j, value in enumerate(code):
-            bits = self.near if j <= self.extra else self.near - 1
-            if bits < 0:
-                continue
-            probes = _NEAR[: _WITHIN[min(bits, 8)]] ^ value
-            starts, n = self.starts[j, probes], self.ends[j, probes] - self.starts[j, probes]
-            at = np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum())
-            hit[self.order[j, at]] = True
+        hit[self.order[at]] = True
         places = np.flatnonzero(hit)
         return places[hamming(self.codes[places], code) <= self.radius]
 
