@@ -8,8 +8,10 @@ document's scores are the ratio per byte of its most toxic passages of 1, 4, 8 a
 of the whole text, so long clean stretches do not hide an insult. A logistic curve, fitted on
 scores by models that did not see the document, makes them a probability.
 
-All labelled training rows are counted. The model travels as sums by hash bin, at most
-``BINS`` per table, whatever the corpus; only the curve is fitted on a bounded sample.
+The class counts come from at most about ``TRAINING_ROWS`` labelled rows per class, by hash of
+the id, and the shared continuation counts from all documents, labelled or not. The model
+travels as sums by hash bin, at most ``BINS`` per table, whatever the corpus. Beginnings whose
+counts the discount removes whole are left out: they change no probability.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ PASSAGES = (1, 4, 8, 16)
 N_FEATURES = len(PASSAGES) + 2
 # Bytes added to a length, so that a passage of one short word proves little.
 LENGTH_PRIOR = 24
+# Labelled rows per class, about, that are counted: their ids are broadcast.
+TRAINING_ROWS = 100_000
 # Labelled rows per class, about, on which the curve is fitted; a class is taken by its hash.
 CURVE_ROWS = 10_000
 CACHE_WORDS = 500_000
@@ -66,7 +70,7 @@ def gram_keys(data: np.ndarray) -> list[np.ndarray]:
     keys = [np.zeros(len(data), np.int64)]
     for n in range(1, ORDER + 2):
         key = keys[-1].copy()
-        key[n - 1 :] |= data[: len(data) - n + 1] << (8 * (n - 1))
+        key[n - 1 :] |= data[: max(0, len(data) - n + 1)] << (8 * (n - 1))
         keys.append(key)
     return keys
 
@@ -120,20 +124,38 @@ def count_beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def distinct_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word) to (key, n): the byte n-grams of the words, each once per batch."""
+    """(text) to (key, n): the byte n-grams of the texts' words, mostly once per task."""
+    told = [np.zeros(0, np.int64) for _ in range(ORDER + 2)]
+    words: set[str] = set()
+    read: set[str] = set()
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        data, place, _ = positions(list(words))
+        keys = gram_keys(data)
+        for n in range(2, ORDER + 2):
+            new = np.setdiff1d(keys[n][place >= n - 1], told[n])
+            told[n] = np.union1d(told[n], new) if len(told[n]) < CACHE_WORDS else new
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(new), pa.array(np.full(len(new), n, np.int32))], names=["_key", "_n"]
+            )
+
     for batch in batches:
-        for part in small_batches(batch, 50_000):
-            data, place, _ = positions(part.column(0).to_pylist())
-            keys = gram_keys(data)
-            for n in range(2, ORDER + 2):
-                key = np.unique(keys[n][place >= n - 1])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(np.full(len(key), n, np.int32))], names=["_key", "_n"]
-                )
+        for part in small_batches(batch):
+            for text in part.column(0).to_pylist():
+                words.update(words_of(text or ""))
+            words -= read
+            if len(words) > 50_000:
+                yield from flush()
+                read = words if len(read) > CACHE_WORDS else read | words
+                words = set()
+    yield from flush()
+
 
+def model_tables(training: DataFrame, texts: DataFrame) -> dict[str, tuple]:
+    """Class counts of ``training`` (_text, _kind) and continuation counts of ``texts`` (_text).
 
-def model_tables(training: DataFrame) -> dict[str, np.ndarray]:
-    """Counts of (_text, _kind); kind is 2 * toxic + half. At most ``BINS`` rows per table."""
+    The kind is 2 * toxic + half. At most ``BINS`` rows per table.
+    """
     counts = [f"_{k}" for k in range(4)]
     sums = [F.sum(c).alias(c) for c in counts]
     words = training.select("_text", "_kind").mapInArrow(
@@ -143,7 +165,7 @@ def model_tables(training: DataFrame) -> dict[str, np.ndarray]:
     schema = "_key long, _context long, _0 long, _1 long, _2 long, _3 long"
     top = words.mapInArrow(count_beginnings, schema).groupBy("_key", "_context").agg(*sums)
     top = written(top, "beginnings")
-    grams = words.select("_word").mapInArrow(distinct_grams, "_key long, _n int").distinct()
+    grams = texts.select("_text").mapInArrow(distinct_grams, "_key long, _n int").distinct()
     shared = (
         grams.withColumn("_key", F.expr("_key & (shiftleft(1L, 8 * (_n - 1)) - 1)"))
         .withColumn("_n", F.col("_n") - 1)
@@ -151,45 +173,55 @@ def model_tables(training: DataFrame) -> dict[str, np.ndarray]:
         .agg(F.count("*").alias("_0"))
     )
     shared = written(shared, "continuations")
-    # Counts by half and together, then the mass that the discount leaves to the backoff.
-    split = ["_0", "_1", "_0 + _1", "_2", "_3", "_2 + _3"]
-    left = [f"least({c}, {CLASS_DISCOUNT})" for c in split]
+    # What the discount leaves to the backoff: by half and together.
+    left = [f"least({c}, {CLASS_DISCOUNT})" for c in ("_0", "_1", "_0 + _1", "_2", "_3", "_2 + _3")]
+    # A context none of whose counts exceeds the discount backs off whole, as an unseen one does.
+    above = f"greatest(_0 + _1, _2 + _3) > {CLASS_DISCOUNT}"
     parts = {
-        "top": (top, bins(F.col("_key"), F.lit(0)), split),
-        "context": (top, bins(F.col("_context"), F.lit(0)), split + left),
+        "top": (top.where(above), bins(F.col("_key"), F.lit(0)), counts),
+        "context": (top, bins(F.col("_context"), F.lit(0)), [*counts, *left, f"int({above})"]),
         "shared": (shared, bins(F.col("_key"), F.col("_n")), ["_0"]),
         "shared_context": (shared, bins(F.shiftright("_key", 8), F.col("_n")), ["_0", "1"]),
     }
     tables = {}
     for name, (rows, where, values) in parts.items():
-        totals = [F.sum(F.expr(v)).cast("double").alias(f"v{i}") for i, v in enumerate(values)]
-        table = rows.groupBy(where.alias("bin")).agg(*totals).toArrow().sort_by("bin")
-        tables[name] = np.stack([c.to_numpy().astype(np.float64) for c in table.columns])
+        totals = [F.sum(F.expr(v)).cast("float").alias(f"v{i}") for i, v in enumerate(values)]
+        table = rows.groupBy(where.cast("int").alias("bin")).agg(*totals)
+        if name == "context":
+            table = table.where(f"v{len(values) - 1} > 0").drop(f"v{len(values) - 1}")
+        columns = table.toArrow().sort_by("bin").columns
+        tables[name] = (columns[0].to_numpy(), np.stack([c.to_numpy() for c in columns[1:]]))
     return tables
 
 
 class Table:
     """Values by bin; bins that were never counted have 0."""
 
-    def __init__(self, table: np.ndarray):
-        self.bins = table[0].astype(np.int64)
-        self.values = table[1:]
+    def __init__(self, table: tuple[np.ndarray, np.ndarray]):
+        self.bins, self.values = table
 
     def at(self, wanted: np.ndarray) -> np.ndarray:
         if not len(self.bins):
             return np.zeros((len(self.values), len(wanted)))
         index = np.minimum(np.searchsorted(self.bins, wanted), len(self.bins) - 1)
-        return np.where(self.bins[index] == wanted, self.values[:, index], 0.0)
+        found = self.values[:, index].astype(np.float64)
+        return np.where(self.bins[index] == wanted, found, 0.0)
 
 
 class Models:
     """Both models. ``half``: count training rows of that half only; None: all."""
 
-    def __init__(self, tables: dict[str, np.ndarray], half: int | None = None):
+    def __init__(self, tables: dict[str, tuple], half: int | None = None):
         self.tables = {name: Table(tables[name]) for name in TABLES}
-        self.pick = 2 if half is None else half
+        self.half = half
         self.cache: dict[str, float] = {}
 
+    def _classes(self, values: np.ndarray) -> list[np.ndarray]:
+        """Counts of the ordinary and of the toxic class from those of the four kinds."""
+        if self.half is None:
+            return [values[0] + values[1], values[2] + values[3]]
+        return [values[self.half], values[2 + self.half]]
+
     def ratios(self, words: list[str]) -> np.ndarray:
         """log p(word | toxic) - log p(word | ordinary) of each word."""
         data, place, word = positions(words)
@@ -206,29 +238,32 @@ class Models:
         keys = prefix_keys(data, place)
         seen = self.tables["top"].at(bins(keys[at], 0))
         context = self.tables["context"].at(bins(keys[at - 1], 0))
+        totals = self._classes(context)
+        split = 2 if self.half is None else self.half
         logs = []
-        for k in (self.pick, self.pick + 3):
-            share = np.maximum(seen[k] - CLASS_DISCOUNT, 0) + context[6 + k] * p
-            own = share / np.maximum(context[k], 1)
-            logs.append(np.log(np.where(context[k] > 0, own, p) + 1e-12))
+        for k, (count, total) in enumerate(zip(self._classes(seen), totals, strict=True)):
+            left = context[4 + split + 3 * k]
+            own = (np.maximum(count - CLASS_DISCOUNT, 0) + left * p) / np.maximum(total, 1)
+            logs.append(np.log(np.where(total > 0, own, p) + 1e-12))
         return np.bincount(word[at], logs[1] - logs[0], len(words))
 
-    def features(self, text: str) -> list[float]:
-        """Ratio per byte of the most toxic passage of each length, and of the whole text.
+    def features(self, texts: list[str]) -> list[list[float]]:
+        """Of each text: ratio per byte of its most toxic passage of each length, and of it all.
 
         The logarithm of the number of words follows: the maximum over more passages is
         higher by chance, and the curve takes that off.
         """
-        words = words_of(text)
-        if not words:
-            return [0.0] * N_FEATURES
+        split = [words_of(t) for t in texts]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        cache = self.cache
-        new = list(set(words).difference(cache))
-        if new:
-            cache.update(zip(new, self.ratios(new).tolist(), strict=True))
-        ratio = np.fromiter(map(cache.__getitem__, words), np.float64, len(words))
+        new = list(set().union(*split).difference(self.cache))
+        self.cache.update(zip(new, self.ratios(new).tolist(), strict=True))
+        return [self._features(words) for words in split]
+
+    def _features(self, words: list[str]) -> list[float]:
+        if not words:
+            return [0.0] * N_FEATURES
+        ratio = np.fromiter(map(self.cache.__getitem__, words), np.float64, len(words))
         size = np.fromiter(map(len, words), np.float64, len(words)) + 1
         found = []
         for n in PASSAGES:
@@ -257,61 +292,70 @@ def fitted_curve(x: np.ndarray, label: np.ndarray) -> np.ndarray:
     return w
 
 
-def training_rows(
-    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, share: float = 1.0
-) -> DataFrame:
-    """(_text, _toxic, _kind, _order) of labelled documents outside the held-out fold.
+def training_labels(labels: DataFrame) -> DataFrame:
+    """(_label_id, _toxic) outside the held-out fold, one row per document.
 
     Labels that are null, or not 0 or 1, are no labels; of several for a document the highest
-    counts. ``share`` takes that part of the documents, by hash of the id, before the join.
+    counts.
     """
-    known = (
-        labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL")
-        .groupBy(F.col("doc_id").alias("_label_id"))
-        .agg(F.max("toxic").cast("int").alias("_toxic"))
-        .where(F.crc32(F.col("_label_id").cast("string")) % 5 != 0)
-    )
-    rows = docs.select(named(id_col).alias("_id"), named(text_col).alias("_text"))
-    rows = rows.where(F.crc32(F.col("_id").cast("string")) % 5 != 0)
-    order = F.xxhash64("_id")
-    if share < 1:
-        rows = rows.where(hashed_below(order, share))
-    return rows.join(known, F.col("_id") == F.col("_label_id")).select(
-        "_text", "_toxic", (2 * F.col("_toxic") + F.pmod(order, F.lit(2))).cast("int").alias("_kind"), order.alias("_order")
+    known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL")
+    known = known.groupBy(F.col("doc_id").alias("_label_id")).agg(
+        F.max("toxic").cast("int").alias("_toxic")
     )
+    return known.where(F.crc32(F.col("_label_id").cast("string")) % 5 != 0)
 
 
-def learn(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text"
-) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """The count tables and the curve's weights."""
-    training = training_rows(docs, labels, id_col, text_col)
-    tables = model_tables(training)
+def some_of_each(known: DataFrame, rows: dict[int, int], bound: int) -> DataFrame:
+    """About ``bound`` labels of each class, by hash of the id; ``rows``: how many there are."""
+    picked = F.lit(False)
+    for toxic, n in rows.items():
+        few = hashed_below(F.xxhash64("_label_id"), bound / n)
+        picked = picked | ((F.col("_toxic") == toxic) & few)
+    return known.where(picked)
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
+    """(broadcast count tables, the curve's weights)."""
+    known = written(training_labels(labels), "labels")
+    n_rows = dict(map(tuple, known.groupBy("_toxic").count().collect()))
+    texts = docs.select(named(id_col).alias("_id"), named(text_col).alias("_text"))
+    half = F.pmod(F.xxhash64(F.lit(1), F.col("_label_id")), F.lit(2))
+
+    def labelled(bound: int) -> DataFrame:
+        # At most twice the bound in ids, so no text has to be shuffled to meet its label.
+        few = F.broadcast(some_of_each(known, n_rows, bound))
+        kind = (2 * F.col("_toxic") + half).cast("int").alias("_kind")
+        return texts.join(few, F.col("_id") == F.col("_label_id")).select("_text", "_toxic", kind)
+
+    tables = model_tables(labelled(TRAINING_ROWS), texts)
     shared = docs.sparkSession.sparkContext.broadcast(tables)
-
     names = [f"f{k}" for k in range(N_FEATURES)]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         other = [Models(shared.value, 1), Models(shared.value, 0)]
         for batch in batches:
-            texts, _, kinds = (c.to_pylist() for c in batch.columns)
-            found = [other[k % 2].features(t or "") for t, k in zip(texts, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*[pa.array([f[k] for f in found], pa.float64()) for k in range(len(names))], batch.column(1)],
-                names=[*names, "toxic"],
-            )
+            for part in small_batches(batch):
+                texts, toxic, kinds = (c.to_pylist() for c in part.columns)
+                found, labels = [], []
+                for half in (0, 1):  # each half by the model that counts the other
+                    own = [i for i, kind in enumerate(kinds) if kind % 2 == half]
+                    found += other[half].features([texts[i] or "" for i in own])
+                    labels += [toxic[i] for i in own]
+                columns = [pa.array([f[k] for f in found], pa.float64()) for k in range(len(names))]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(labels, pa.int32())], names=[*names, "toxic"]
+                )
 
-    shares = {k: CURVE_ROWS / n for k, n in training.groupBy("_toxic").count().collect()}
-    picked = F.lit(False)
-    for toxic, share in shares.items():
-        picked = picked | ((F.col("_toxic") == toxic) & hashed_below(F.col("_order"), share))
-    rows = training_rows(docs, labels, id_col, text_col, max(shares.values(), default=1.0))
-    rows = rows.where(picked).select("_text", "_toxic", "_kind")
     schema = ", ".join(f"{n} double" for n in names) + ", toxic int"
-    scored = rows.mapInArrow(score, schema).toArrow()
+    scored = labelled(CURVE_ROWS).mapInArrow(score, schema).toArrow()
     scored = scored.sort_by([(n, "ascending") for n in scored.schema.names])
     x = np.column_stack([scored[n].to_numpy() for n in names])
-    return tables, fitted_curve(x, scored["toxic"].to_numpy().astype(np.float64))
+    curve = fitted_curve(x, scored["toxic"].to_numpy().astype(np.float64))
+    if len(n_rows) == 2:
+        # The sample may hold a larger part of the toxic rows; the curve is for all of them.
+        part = {k: min(1.0, CURVE_ROWS / n) for k, n in n_rows.items()}
+        curve[0] += np.log(part[0] / part[1])
+    return shared, curve
 
 
 def toxicity(
@@ -337,16 +381,14 @@ def toxicity(
 
 def scorer(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, whole: bool):
     """A mapInArrow function from (any columns..., text) to (the columns before it, score)."""
-    tables, curve = learn(docs, labels, id_col, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast((tables, curve))
+    shared, curve = learn(docs, labels, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, curve = shared.value
-        models = Models(tables)
+        models = Models(shared.value)
         for batch in batches:
             for part in small_batches(batch):
                 texts = part.column(part.num_columns - 1).to_pylist()
-                x = np.array([models.features(t or "") for t in texts])
+                x = np.array(models.features([t or "" for t in texts]))
                 z = curve[0] + x @ curve[1:]
                 score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
                 columns = [*part.columns, pa.array(score)] if whole else [*part.columns[:-1], pa.array(score)]
