@@ -145,6 +145,8 @@ def test_language_edges(spark):
     assert len(rows) == docs.count()
     assert all(r.lang_pred == "und" and r.score == 0 for r in rows if r.doc_id in (3, 4, 5))
     assert {r.lang_pred for r in rows} <= {"en", "fr", "es", "de", "und"}
+    signs = docs.limit(1).withColumn("text", F.lit("12 ² ½ _ !")).unionByName(docs)
+    assert language_id.languages_of(signs.withColumn("doc_id", F.lit(8))).where("lang_pred = 'und'").count() == 4
     assert language_id.languages_of(no_docs(spark)).count() == 0
     unknown = language_id.languages_of(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r.lang_pred for r in unknown} == {"und"}

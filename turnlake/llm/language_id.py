@@ -9,11 +9,11 @@ bytes alone, so tasks keep those of runs they have seen.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +35,7 @@ SEED = 7
 CACHE_RUNS = 400_000
 # Positions whose evidence counts as independent: of this many neighbours, one.
 POOL = 4.0
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def runs_of(text: str) -> list[bytes]:
