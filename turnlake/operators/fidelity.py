@@ -24,12 +24,18 @@ def grim_state(turns: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
     )
 
 
-# The rule equivalent's move on the same history, NULL where it is not determined.
-RULE_MOVE = """CASE player_coded_equivalent
-  WHEN 'tit_for_tat' THEN if(turn = 1, 'C', opponent_last_move)
-  WHEN 'grim_trigger' THEN if(opp_defected_before = 1, 'D', 'C')
-  WHEN 'always_cooperate' THEN 'C'
-  WHEN 'always_defect' THEN 'D' END"""
+# What makes each rule defect. A rule cooperates wherever that is false, and its
+# move is not determined (NULL) where the history leaves it open.
+DEFECTS_IF = {
+    "always_cooperate": "false",
+    "always_defect": "true",
+    "grim_trigger": "opp_defected_before = 1",
+    "tit_for_tat": "turn > 1 AND opponent_last_move = 'D'",
+}
+_DEFECTS = " ".join(f"WHEN '{rule}' THEN {reason}" for rule, reason in DEFECTS_IF.items())
+RULE_MOVE = (
+    f"CASE (CASE player_coded_equivalent {_DEFECTS} END) WHEN true THEN 'D' WHEN false THEN 'C' END"
+)
 
 
 def expected_move(turns: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:

@@ -8,7 +8,6 @@ rates are exact quotients of counts.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from turnlake.functions.turns import OUTCOME, named, phi, ratio, surrogate_key
 from turnlake.schemas import OUTCOMES, TURN_KEY

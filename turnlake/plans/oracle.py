@@ -119,13 +119,12 @@ replay AS (
            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS opp_defected_before
   FROM fact WHERE player_type = 'llm'),
 expected AS (
-  SELECT *, CASE
-           WHEN player_coded_equivalent = 'tit_for_tat' AND turn = 1 THEN 'C'
-           WHEN player_coded_equivalent = 'tit_for_tat' THEN opponent_last_move
-           WHEN player_coded_equivalent = 'grim_trigger' AND opp_defected_before = 1 THEN 'D'
-           WHEN player_coded_equivalent IN ('grim_trigger', 'always_cooperate') THEN 'C'
-           WHEN player_coded_equivalent = 'always_defect' THEN 'D' END AS expected_move
-  FROM replay),
+  SELECT replay.*, CASE memory WHEN 'none' THEN opening
+           WHEN 'last' THEN CASE turn WHEN 1 THEN opening ELSE opponent_last_move END
+           WHEN 'all' THEN if(opp_defected_before > 0, 'D', opening) END AS expected_move
+  FROM replay LEFT JOIN (VALUES ('always_cooperate', 'C', 'none'), ('always_defect', 'D', 'none'),
+    ('tit_for_tat', 'C', 'last'), ('grim_trigger', 'C', 'all')) rules(rule, opening, memory)
+    ON rule = player_coded_equivalent),
 board AS (
   SELECT f.player AS agent, d.agent_type, count(*) AS n_turns_joues,
          count(DISTINCT match_id) AS n_matches, avg(payoff) AS score_moyen_par_tour,
