@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnlake.llm.pieces import splitter
-from turnlake.llm.store import named
+from turnlake.llm.store import named, text_batches
 
 # Rank of a pair that does not merge.
 NEVER = np.int32(2**31 - 1)
 # Pieces that a worker remembers, and ids of theirs.
-CACHE_PIECES = 500_000
-CACHE_IDS = 8_000_000
+CACHE_PIECES = 300_000
+CACHE_IDS = 4_000_000
 # Texts are encoded together up to this many characters.
 BATCH_CHARS = 1 << 19
 # Leaves of the trees that are worked on side by side.
@@ -229,6 +229,7 @@ def encode(
     Null counts as empty and gives an empty array. The text of special tokens is ordinary
     text. Null and repeated ids are kept as they are; other columns are not read.
     """
+    text_batches(docs.sparkSession)
     spark = docs.sparkSession
     vocab = spark.sparkContext.broadcast(vocabulary(path))
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnlake.llm.bpe_encode import small_batches
-from turnlake.llm.store import hashed_below, named
+from turnlake.llm.store import hashed_below, named, text_batches
 
 # Labelled rows per language that training reads, and runs of text that it draws from each.
 SAMPLE_ROWS = 1000
@@ -247,6 +247,7 @@ def languages_of(
     every text if nothing can be learned. A null id is not held out. Ties go to the language
     that sorts first. Repeated rows get equal results; other columns are not read.
     """
+    text_batches(docs.sparkSession)
     spark = docs.sparkSession
     weights, languages = learn(training_sample(docs, id_col, text_col, lang_col))
     shared = spark.sparkContext.broadcast({"weights": weights, "languages": languages, "cache": {}})

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from turnlake.llm.components import connected
 from turnlake.llm.prefix_trie import join_sets
-from turnlake.llm.store import named, whole_row, written
+from turnlake.llm.store import named, text_batches, whole_row, written
 from turnlake.llm.textbytes import shingle_hashes, text_chunks, word_hashes
 
 # Prefix tokens that a counting task gets, and tokens of the sets in a block of a family.
@@ -182,6 +182,7 @@ def linked_rows(
 
     ``_mark`` hashes the text; ``_root`` names the component and is null without words.
     """
+    text_batches(docs.sparkSession)
     part, whole = bar
     id_type = docs.select(named(id_col)).schema[0].dataType
     texts = docs.select(named(id_col).alias("_id"), named(text_col).alias("_text"))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnlake.llm.store import hashed_below, named, written
+from turnlake.llm.store import hashed_below, named, text_batches, written
 from turnlake.llm.textbytes import shingle_hashes, text_chunks, word_hashes
 
 BUCKETS = 10_000
@@ -124,6 +124,7 @@ def resampled(
     counts; without good ones all ratios are those of the smoothing. Repeated rows get equal
     keys, as the noise is a hash of id and text. Other columns are not read. No rows, no rows.
     """
+    text_batches(docs.sparkSession)
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
     good = written(good.withColumnRenamed("doc_id", "_label_id"), "good")
     few = hashed_below(F.xxhash64("_label_id"), TARGET_ROWS / max(1, good.count()))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnlake.llm.bpe_encode import small_batches
-from turnlake.llm.store import named
+from turnlake.llm.store import named, text_batches
 
 # Fixed: the base patterns and the least length of a match (of group 2, for assign).
 ASSIGN = re.compile(
@@ -194,6 +194,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Positions are code points, the end exclusive. Null counts as empty and has none. Null and
     repeated ids are kept as they are, and other columns are not read.
     """
+    text_batches(docs.sparkSession)
     span = T.StructType(
         [
             T.StructField("start", T.LongType()),

@@ -40,6 +40,18 @@ def _remove(spark: SparkSession, path: str) -> None:
         location.getFileSystem(spark._jsc.hadoopConfiguration()).delete(location, True)
 
 
+# Rows that travel to a Python worker at once. Texts may be long, and a batch is held whole by
+# the JVM and by the worker.
+BATCH_ROWS = "1000"
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Let this session hand texts to Python workers in batches of ``BATCH_ROWS`` at most."""
+    if int(spark.conf.get(BATCH_SETTING)) > int(BATCH_ROWS):
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
+
+
 def named(name: str) -> Column:
     """A column by its exact name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")

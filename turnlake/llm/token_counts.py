@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from turnlake.llm.bpe_encode import small_batches
 from turnlake.llm.pieces import splitter
-from turnlake.llm.store import named
+from turnlake.llm.store import named, text_batches
 
 # Pieces and token pairs that a worker remembers.
 CACHE_PIECES = 500_000
@@ -215,6 +215,7 @@ def truncated_count(counts: np.ndarray, characters: int) -> int:
 
 
 def _counted(docs: DataFrame, path: str, id_col: str, text_col: str, column: T.StructField, of):
+    text_batches(docs.sparkSession)
     vocab = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

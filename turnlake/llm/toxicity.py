@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnlake.llm.bpe_encode import small_batches
-from turnlake.llm.store import hashed_below, named, whole_row, written
+from turnlake.llm.store import hashed_below, named, text_batches, whole_row, written
 from turnlake.llm.textbytes import mixed
 
 # Longest shared n-gram in bytes.
@@ -45,7 +45,8 @@ LENGTH_PRIOR = 24
 TRAINING_ROWS = 100_000
 # Labelled rows per class, about, on which the curve is fitted; a class is taken by its hash.
 CURVE_ROWS = 10_000
-CACHE_WORDS = 500_000
+# Words that a worker remembers.
+CACHE_WORDS = 250_000
 # A longer run of letters counts as several words.
 WORD = re.compile(r"[^\W\d_]{1,40}")
 TABLES = ("top", "context", "shared", "shared_context")
@@ -203,9 +204,26 @@ class Table:
     def at(self, wanted: np.ndarray) -> np.ndarray:
         if not len(self.bins):
             return np.zeros((len(self.values), len(wanted)))
-        index = np.minimum(np.searchsorted(self.bins, wanted), len(self.bins) - 1)
-        found = self.values[:, index].astype(np.float64)
-        return np.where(self.bins[index] == wanted, found, 0.0)
+        # Words share their beginnings, so each bin is looked up once.
+        asked, back = np.unique(wanted, return_inverse=True)
+        index = np.minimum(np.searchsorted(self.bins, asked), len(self.bins) - 1)
+        found = np.where(self.bins[index] == asked, self.values[:, index], np.float32(0))
+        return found.astype(np.float64)[:, back]
+
+
+class Words(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+        self.ratio = np.zeros(0)
+        self.size = np.zeros(0)
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = number = len(self)
+        return number
 
 
 class Models:
@@ -214,7 +232,7 @@ class Models:
     def __init__(self, tables: dict[str, tuple], half: int | None = None):
         self.tables = {name: Table(tables[name]) for name in TABLES}
         self.half = half
-        self.cache: dict[str, float] = {}
+        self.words = Words()
 
     def _classes(self, values: np.ndarray) -> list[np.ndarray]:
         """Counts of the ordinary and of the toxic class from those of the four kinds."""
@@ -253,25 +271,27 @@ class Models:
         The logarithm of the number of words follows: the maximum over more passages is
         higher by chance, and the curve takes that off.
         """
-        split = [words_of(t) for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        new = list(set().union(*split).difference(self.cache))
-        self.cache.update(zip(new, self.ratios(new).tolist(), strict=True))
-        return [self._features(words) for words in split]
-
-    def _features(self, words: list[str]) -> list[float]:
-        if not words:
+        if len(self.words) > CACHE_WORDS:
+            self.words = Words()
+        known = self.words
+        number = known.__getitem__
+        split = [np.array(list(map(number, words_of(t))), np.int64) for t in texts]
+        if known.new:
+            known.ratio = np.concatenate([known.ratio, self.ratios(known.new)])
+            known.size = np.concatenate([known.size, [len(w) + 1.0 for w in known.new]])
+            known.new = []
+        return [self._features(known.ratio[n], known.size[n]) for n in split]
+
+    def _features(self, ratio: np.ndarray, size: np.ndarray) -> list[float]:
+        if not len(ratio):
             return [0.0] * N_FEATURES
-        ratio = np.fromiter(map(self.cache.__getitem__, words), np.float64, len(words))
-        size = np.fromiter(map(len, words), np.float64, len(words)) + 1
         found = []
         for n in PASSAGES:
-            at = np.arange(0, len(words), n)
+            at = np.arange(0, len(ratio), n)
             per_byte = np.add.reduceat(ratio, at) / (np.add.reduceat(size, at) + LENGTH_PRIOR)
             found.append(float(per_byte.max()))
         whole = float(ratio.sum() / (size.sum() + LENGTH_PRIOR))
-        return [*found, whole, float(np.log1p(len(words)))]
+        return [*found, whole, float(np.log1p(len(ratio)))]
 
 
 def fitted_curve(x: np.ndarray, label: np.ndarray) -> np.ndarray:
@@ -316,6 +336,7 @@ def some_of_each(known: DataFrame, rows: dict[int, int], bound: int) -> DataFram
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
     """(broadcast count tables, the curve's weights)."""
+    text_batches(docs.sparkSession)
     known = written(training_labels(labels), "labels")
     n_rows = dict(map(tuple, known.groupBy("_toxic").count().collect()))
     texts = docs.select(named(id_col).alias("_id"), named(text_col).alias("_text"))
