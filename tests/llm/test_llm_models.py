@@ -126,6 +126,24 @@ def test_kneser_ney_like_brute_force(spark):
     assert model.ratios(words) == pytest.approx(want, abs=1e-6)
 
 
+def test_toxic_passages_begin_at_any_word():
+    models = toxicity.Models({name: (np.zeros(0, np.int64), np.zeros((11, 0))) for name in toxicity.TABLES})
+    rng = np.random.default_rng(3)
+    ratio, size = rng.normal(2, 1, 16), rng.integers(2, 9, 16) + 1.0
+    alone = models._features(ratio, size)[: len(toxicity.PASSAGES)]
+    for n in range(1, 16):
+        words = np.concatenate([np.full(n, -3.0), ratio]), np.concatenate([np.full(n, 5.0), size])
+        shifted = models._features(*words)[: len(toxicity.PASSAGES)]
+        assert all(b >= a - 1e-9 for a, b in zip(alone, shifted, strict=True))
+    for length in (1, 3, 7, 16, 50):
+        ratio, size = rng.normal(0, 1, length), rng.integers(2, 9, length) + 1.0
+        for n, got in zip(toxicity.PASSAGES, models._features(ratio, size), strict=False):
+            n = min(n, length)
+            spans = [slice(i, i + n) for i in range(length - n + 1)]
+            want = max(ratio[s].sum() / (size[s].sum() + toxicity.LENGTH_PRIOR) for s in spans)
+            assert got == pytest.approx(want, abs=1e-9)
+
+
 # Language
 
 

@@ -4,8 +4,9 @@ The toxic and the ordinary model each hold their own counts of every beginning o
 next byte given the whole word so far. What they back off to are continuation counts of short
 byte n-grams, shared by both, so an expression too rare to tell the classes apart gets nearly
 the same probability from either. A word's score is the log-likelihood ratio of its bytes. A
-document's scores are the ratio per byte of its most toxic passages of 1, 4, 8 and 16 words and
-of the whole text, so long clean stretches do not hide an insult. A logistic curve, fitted on
+document's scores are the ratio per byte of its most toxic passages of 1, 4, 8 and 16 words,
+wherever they begin, and of the whole text, so long clean stretches do not hide an insult. A text
+of fewer words than a passage is one passage. A logistic curve, fitted on
 scores by models that did not see the document, makes them a probability.
 
 The class counts come from at most about ``TRAINING_ROWS`` labelled rows per class, by hash of
@@ -286,11 +287,12 @@ class Models:
         if not len(ratio):
             return [0.0] * N_FEATURES
         found = []
+        ratios, sizes = (np.concatenate([[0.0], np.cumsum(x)]) for x in (ratio, size))
         for n in PASSAGES:
-            at = np.arange(0, len(ratio), n)
-            per_byte = np.add.reduceat(ratio, at) / (np.add.reduceat(size, at) + LENGTH_PRIOR)
+            n = min(n, len(ratio))
+            per_byte = (ratios[n:] - ratios[:-n]) / (sizes[n:] - sizes[:-n] + LENGTH_PRIOR)
             found.append(float(per_byte.max()))
-        whole = float(ratio.sum() / (size.sum() + LENGTH_PRIOR))
+        whole = float(ratios[-1] / (sizes[-1] + LENGTH_PRIOR))
         return [*found, whole, float(np.log1p(len(ratio)))]
 
 
