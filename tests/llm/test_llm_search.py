@@ -81,6 +81,15 @@ def test_literals_by_name(text, literals):
     assert [text[a:b] for a, b, _ in secrets.literal_spans(text)] == literals
 
 
+def test_literals_of_any_length():
+    for text in ('{"a": "%s", "client_pwd": "Zk3j:8s@q1xY"}' % ("word " * 2000), '{"client_pwd": "%s"}' % ("Zk3j:8s@q1xY" * 1000)):
+        literals = [text[a:b] for a, b, _ in secrets.literal_spans(text)]
+        assert literals and set(literals) <= {"Zk3j:8s@q1xY", "Zk3j:8s@q1xY" * 1000}
+    # Time in proportion to the length, also where no quote on the line is ever closed.
+    text = 'client_pwd = "Zk3j:8s@q1xY" x = ' + "\\\"'\\\\\\'" * 10**5 + "\\"
+    assert [text[a:b] for a, b, _ in secrets.literal_spans(text)] == ["Zk3j:8s@q1xY"]
+
+
 def test_secret_edges(spark):
     rows = secrets.secret_spans(edge_docs(spark)).collect()
     assert sorted(str(r.doc_id) for r in rows) == sorted(str(i) for i, *_ in TEXTS)

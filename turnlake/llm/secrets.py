@@ -48,13 +48,15 @@ LITERAL_LENGTH = 8
 
 LEXER = re.compile(
     r"""
-    (?P<string>"(?:[^"\\\n]|\\.){0,4096}"|'(?:[^'\\\n]|\\.){0,4096}')
+    (?P<string>"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+')
   | (?P<tag></?[A-Za-z_][\w.-]*>)
   | (?P<op>=>|:=|==|!=|<=|>=|[=:+,;(){}\[\]<])
   | (?P<word>--?[A-Za-z][\w-]*|[A-Za-z_$][\w.$-]*|[\w.$/+-]+)
     """,
     re.VERBOSE,
 )
+# Quotes behind an even number of backslashes.
+PLAIN_QUOTE = {q: re.compile(rf"(?<!\\)(?:\\\\)*+{q}") for q in "\"'"}
 # What a line with an assignment holds at least.
 CANDIDATE = re.compile(r"^.*(?:[=:]|--[A-Za-z]|</).*$", re.MULTILINE)
 NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -96,15 +98,33 @@ def randomness(literal: str) -> float:
     return min(1.0, bits / math.log2(max(2, min(n, 64)))) * min(1.0, (kinds + 1) / 3)
 
 
+def without_open_quotes(text: str) -> str:
+    """The text with quotes that cannot begin a string replaced by NUL, in their places.
+
+    A string ends at the next quote of its kind on the line that is not escaped. Each quote behind
+    the last of those would be followed to the end of the line in vain.
+    """
+    if '\\"' not in text and "\\'" not in text:
+        return text
+    lines = text.split("\n")
+    for i, line in enumerate(lines):
+        for quote, plain in PLAIN_QUOTE.items():
+            last = max((m.end() for m in plain.finditer(line)), default=0)
+            line = line[:last] + line[last:].replace(quote, "\0")
+        lines[i] = line
+    return "\n".join(lines)
+
+
 def assignments(text: str) -> Iterator[tuple[str, list[tuple[str, int, int, bool]]]]:
     """(name, parts of the value) line by line; a part is (text, start, end, whether a literal).
 
     Parts joined by + are one value.
     """
+    lexed = without_open_quotes(text)
     for line in CANDIDATE.finditer(text):
         tokens = [
-            (m.lastgroup, m.group(), line.start() + m.start(), line.start() + m.end())
-            for m in LEXER.finditer(line.group())
+            (m.lastgroup, text[m.start() : m.end()], m.start(), m.end())
+            for m in LEXER.finditer(lexed, line.start(), line.end())
         ]
         closings: dict[str, list[int]] = {}  # where each closing tag begins
         for kind, value, start, _ in tokens:
