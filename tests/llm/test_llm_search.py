@@ -90,6 +90,15 @@ def test_literals_of_any_length():
     assert [text[a:b] for a, b, _ in secrets.literal_spans(text)] == ["Zk3j:8s@q1xY"]
 
 
+@pytest.mark.parametrize(
+    "use",
+    ['url = "https://api.example.com/?k=" + AUTH', 'dsn = "host=db user=a pass " + AUTH', 'auth = "see example " + AUTH', ""],
+)
+def test_a_later_use_only_adds_spans(use):
+    text = f'AUTH = "Zk3jR8sPq1xY"\n{use}'
+    assert "Zk3jR8sPq1xY" in [text[a:b] for a, b, _ in secrets.literal_spans(text)]
+
+
 def test_secret_edges(spark):
     rows = secrets.secret_spans(edge_docs(spark)).collect()
     assert sorted(str(r.doc_id) for r in rows) == sorted(str(i) for i, *_ in TEXTS)

@@ -5,7 +5,8 @@ configuration text: names, operators and literals become name-literal pairs for
 ``name = "x"``, ``"name": "x"``, ``name => x``, ``export NAME=x``, ``--name x`` and
 ``<name>x</name>``. A name whose value is another name takes the literal assigned to that name
 before (constant propagation, also through concatenation of literals). A literal is a secret
-when the sensitivity of the names it reaches and its own randomness score enough together.
+when, in any of its uses, the sensitivity of the name and the randomness of the value score
+enough together.
 """
 
 from __future__ import annotations
@@ -172,8 +173,7 @@ def assignments(text: str) -> Iterator[tuple[str, list[tuple[str, int, int, bool
 def literal_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, "literal") of the literals that sensitive names lead to."""
     held: dict[str, list[tuple[str, int, int]]] = {}
-    names: dict[tuple[int, int], float] = {}
-    values: dict[tuple[int, int], str] = {}
+    found: dict[tuple[int, int, str], None] = {}
     for name, parts in assignments(text):
         literals = []
         for value, start, end, quoted in parts:
@@ -187,18 +187,19 @@ def literal_spans(text: str) -> list[tuple[int, int, str]]:
         score = name_score(name)
         joined = "".join(v for v, _, _ in literals)
         for value, start, end in literals:
-            values[start, end] = joined if len(joined) >= LITERAL_LENGTH else value
-            names[start, end] = max(names.get((start, end), 0.0), score)
-    found = []
-    for (start, end), score in names.items():
-        literal = values[start, end]
-        if len(literal) < LITERAL_LENGTH or score <= 0 or PLACEHOLDER.search(literal):
-            continue
-        if re.search(r"\s", literal.strip()):
-            continue
-        if score + randomness(literal) >= BAR:
-            found.append((start, end, "literal"))
-    return found
+            # Each use is judged by its own value, so another use of the literal only adds spans.
+            if is_secret(joined if len(joined) >= LITERAL_LENGTH else value, score):
+                found[start, end, "literal"] = None
+    return list(found)
+
+
+def is_secret(literal: str, score: float) -> bool:
+    """Whether a literal that reaches a name of that score is a secret."""
+    if len(literal) < LITERAL_LENGTH or score <= 0 or PLACEHOLDER.search(literal):
+        return False
+    if re.search(r"\s", literal.strip()):
+        return False
+    return score + randomness(literal) >= BAR
 
 
 def spans_of(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
