@@ -103,6 +103,14 @@ def test_same_rows_whatever_n_turns_says(spark, declared):
         assert by_key(enrich(log(spark, rows), block_turns)) == brute_force(rows)
 
 
+@pytest.mark.parametrize("early, late", [(1, 7), (1, None), (7, 1), (None, 1), (2, 3)])
+def test_same_rows_where_turns_of_a_match_declare_different_lengths(spark, early, late):
+    rows = seat_rows("m", "CDCCDCC", "DDDCDDD") + seat_rows("short", "CD", "DD")
+    for block_turns in (2, 3):
+        own = [{**r, "n_turns": early if r["turn"] <= block_turns else late} for r in rows]
+        assert by_key(enrich(log(spark, own), block_turns)) == brute_force(own)
+
+
 def test_schema_and_staging_order(spark, bronze):
     silver = enrich(bronze)
     assert [(f.name, f.dataType) for f in silver.schema] == [

@@ -71,15 +71,16 @@ def _numbered(turns: DataFrame, block_turns: int) -> DataFrame:
 def _long_matches(turns: DataFrame, block_turns: int) -> DataFrame:
     """The turns of matches that go beyond one block.
 
-    The declared ``n_turns`` finds them by a filter that reaches the scan. Matches that declare
-    fewer turns than they have are found by such turns; only if the log holds any, which one
-    number looked up at run time says, are the first blocks of all other matches read.
+    Rows that declare such a length are found by a filter that reaches the scan. The rows of one
+    match may disagree, or all declare fewer turns than there are, so the other rows of the first
+    blocks are taken by the ids of matches with later turns; only if the log holds any, which one
+    number looked up at run time says, are those rows read.
     """
     declared = f"n_turns > {block_turns} OR n_turns IS NULL OR turn > {block_turns}"
-    undeclared = turns.where(f"turn > {block_turns} AND n_turns <= {block_turns}")
-    found = undeclared.agg(F.count("*")).scalar() > 0
+    later = turns.where(f"turn > {block_turns}")
+    found = later.agg(F.count("*")).scalar() > 0
     rest = turns.where(f"NOT ({declared})").where(found)
-    ids = undeclared.select("match_id").distinct()
+    ids = later.select("match_id").distinct()
     return turns.where(declared).unionByName(rest.join(ids, "match_id", "left_semi"))
 
 
