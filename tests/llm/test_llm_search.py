@@ -192,3 +192,35 @@ def test_a_third_of_the_vectors_alike(spark):
     for q in want:
         assert [s for _, s in got[q]] == pytest.approx([s for _, s in want[q]])
         assert got[q][:5] == want[q][:5]
+
+
+@pytest.mark.parametrize("norm", [1e-5, 1.0, 1e4, 12345.678])
+@pytest.mark.parametrize("crowd", [0, 300])
+def test_best_by_score_and_id_whatever_the_norms(norm, crowd):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(500, 16))
+    x[:, 0] += 4
+    x *= norm / np.linalg.norm(x, axis=1, keepdims=True)
+    x[100 : 100 + crowd] = x[100]
+    x[450:] = x[450] * (1 + np.arange(50)[:, None] * 1e-13)  # near ties
+    ids = rng.permutation(500)
+    scale = float(np.linalg.norm(x, axis=1).max())
+    model = {"scale": scale, "rotations": hash_search.learn_rotations(x, scale), "radius": 0}
+    model["radius"] = hash_search.codes_of(x[:1] @ np.eye(16, 17), model["rotations"]).shape[1] * 8
+    index = hash_search.Index(ids, x, model)
+    codes = hash_search.codes_of(hash_search.query_points(x), model["rotations"])
+    for i in (0, 1, 100, 450, 499):
+        want = sorted((-inner(x[i], x[j]), ids[j]) for j in range(500) if j != i)[:20]
+        assert sorted(ids[index.best(ids[i], x[i], codes[i], 20)]) == sorted(j for _, j in want)
+
+
+def test_small_and_large_vectors_have_the_same_neighbours(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 16))
+    x[200:400] = x[200]
+    found = []
+    for power in (0, -17, 14):  # powers of two round alike
+        rows = [(i, (v * 2.0**power).tolist()) for i, v in enumerate(x)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        found.append({q: [i for i, _ in v] for q, v in told(hash_search.neighbours(df)).items()})
+    assert found[0] == found[1] == found[2]

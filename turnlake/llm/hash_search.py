@@ -122,6 +122,8 @@ class Index:
     def __init__(self, ids: np.ndarray, x: np.ndarray, model: dict):
         self.ids, self.x, self.radius = ids, x, model["radius"]
         self.codes = codes_of(on_sphere(x, model["scale"]), model["rotations"])
+        # Two sums of d products, in any order, differ by less than this times the query's norm.
+        self.rounding = 4 * (x.shape[1] + 2) * np.finfo(np.float64).eps * np.linalg.norm(x, axis=1)
         # All tables in one array: by substring, then value.
         self.order = np.argsort(self.codes, axis=0, kind="stable").T.ravel()
         self.counts = np.concatenate([np.bincount(c, minlength=256) for c in self.codes.T])
@@ -144,7 +146,7 @@ class Index:
         return places[hamming(self.codes[places], code) <= self.radius]
 
     def best(self, query_id: int, query: np.ndarray, code: np.ndarray, k: int) -> np.ndarray:
-        """Places of the k best of the retrieved vectors; all within reach of the k-th in score.
+        """Places of the k best of the retrieved vectors by score, then by id.
 
         Where fewer than k are retrieved, the whole block is ranked, so that a query never
         lacks neighbours.
@@ -153,17 +155,22 @@ class Index:
         places = places[self.ids[places] != query_id]
         if len(places) < k:
             places = np.flatnonzero(self.ids != query_id)
-        product = self.x[places] @ query
         if len(places) > k:
-            # Rounding may differ from the final score's, so near ties come along.
-            bar = np.partition(product, -k)[-k]
-            places = places[product >= bar - 1e-9 * (1 + abs(bar))]
-            if len(places) > 4 * k:  # a crowd of equal scores: the smallest ids win
-                exact = np.round(self.x[places] @ query, 9)
-                places = places[np.lexsort((self.ids[places], -exact))[: 4 * k]]
+            # The product and the final score round differently: by this much at most.
+            product = self.x[places] @ query
+            error = self.rounding[places] * np.linalg.norm(query)
+            bar = np.partition(product - error, -k)[-k]
+            places = places[product + error >= bar]
+            score = in_order(self.x[places], query)
+            places = places[np.lexsort((self.ids[places], -score))[:k]]
         return places
 
 
+def in_order(x: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products summed from the first component to the last, as the final score is."""
+    return np.cumsum(x * query, axis=1)[:, -1]
+
+
 def cell_search(model: dict, k: int):
     """Rows sorted by cell, vectors before queries, to (query, vector) candidates."""
 
