@@ -99,6 +99,35 @@ def test_a_later_use_only_adds_spans(use):
     assert "Zk3jR8sPq1xY" in [text[a:b] for a, b, _ in secrets.literal_spans(text)]
 
 
+@pytest.mark.parametrize(
+    ("text", "literals"),
+    [
+        ("client_auth: |\n  Zk3jR8sPq1xY\nnext: 1", ["Zk3jR8sPq1xY"]),
+        ("a:\n  client_auth: >-\n    Zk3jR8sP\n\n    q1xYw7\n  b: 2", ["Zk3jR8sP", "q1xYw7"]),
+        ('client_pwd =\n    "Zk3jR8sPq1xY"', ["Zk3jR8sPq1xY"]),
+        ("client_pwd:\r\n  Zk3jR8sPq1xY\r\n", ["Zk3jR8sPq1xY"]),
+        ('client_pwd = (\n  "Zk3jR8"\n  "sPq1xY"\n)', ["Zk3jR8", "sPq1xY"]),
+        ('client_pwd = "Zk3jR8" +\n  "sPq1xY"', ["Zk3jR8", "sPq1xY"]),
+        ('client_pwd = "Zk3jR8"\n  + "sPq1xY";', ["Zk3jR8", "sPq1xY"]),
+        ('client_pwd = """\nZk3jR8sPq1xY\n"""', ["Zk3jR8sPq1xY"]),
+        ("client_pwd = '''Zk3jR8sPq1xY'''", ["Zk3jR8sPq1xY"]),
+        ("<client_pwd>\n  Zk3jR8sPq1xY\n</client_pwd>", ["Zk3jR8sPq1xY"]),
+        ("run --client-pwd \\\n  Zk3jR8sPq1xY", ["Zk3jR8sPq1xY"]),
+        ('client_pwd = DEFAULT\nDEFAULT = "Zk3jR8sPq1xY"', ["Zk3jR8sPq1xY"]),
+        ('client_pwd = A\nB = "Zk3jR8sPq1xY"\nA = C\nC = B', ["Zk3jR8sPq1xY"]),
+        ('CONFIG = """\nclient_pwd = "Zk3j:8s@q1xY"\n"""', ["Zk3j:8s@q1xY"]),
+        # What is no value of the name on the line before.
+        ("client_pwd:\n  v1beta2x9Q: 3", []),
+        ('client_pwd =\n"v1beta2x9Q": 3', []),
+        ("client_pwd:\n  see Zk3jR8sPq1xY there", []),
+        ("client_pwd = a\na = client_pwd", []),
+        ('+client_pwd = "Zk3jR8sPq1xY"\n+text = "two words"', ["Zk3jR8sPq1xY"]),
+    ],
+)
+def test_literals_over_lines(text, literals):
+    assert [text[a:b] for a, b, _ in secrets.literal_spans(text)] == literals
+
+
 def test_secret_edges(spark):
     rows = secrets.secret_spans(edge_docs(spark)).collect()
     assert sorted(str(r.doc_id) for r in rows) == sorted(str(i) for i, *_ in TEXTS)

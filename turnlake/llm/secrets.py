@@ -1,10 +1,12 @@
 """Secret scans by assignment-aware lexing.
 
-Three fixed patterns give the base spans. Beyond them, each line is lexed as source or
+Three fixed patterns give the base spans. Beyond them, the text is lexed as source or
 configuration text: names, operators and literals become name-literal pairs for the forms
 ``name = "x"``, ``"name": "x"``, ``name => x``, ``export NAME=x``, ``--name x`` and
-``<name>x</name>``. A name whose value is another name takes the literal assigned to that name
-before (constant propagation, also through concatenation of literals). A literal is a secret
+``<name>x</name>``. A value may begin on a later line than its name and go on over lines: behind
+``+``, in parentheses, in triple quotes, in a YAML block, in an element. A name whose value is
+another name takes the literal assigned to that name last before, or else first after it (constant
+propagation, also through concatenation of literals). A literal is a secret
 when, in any of its uses, the sensitivity of the name and the randomness of the value score
 enough together.
 """
@@ -52,14 +54,20 @@ LEXER = re.compile(
     (?P<string>"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+')
   | (?P<tag></?[A-Za-z_][\w.-]*>)
   | (?P<op>=>|:=|==|!=|<=|>=|[=:+,;(){}\[\]<])
+  | (?P<block>[|>][-+0-9]{0,2}[\t ]*+(?:\#[^\n]*+)?\r?(?=\n))
+  | (?P<joined>\\\r?\n)
+  | (?P<line>\n)
   | (?P<word>--?[A-Za-z][\w-]*|[A-Za-z_$][\w.$-]*|[\w.$/+-]+)
     """,
     re.VERBOSE,
 )
+ASSIGNS = {("op", o) for o in ("=", ":", ":=", "=>")}
 # Quotes behind an even number of backslashes.
 PLAIN_QUOTE = {q: re.compile(rf"(?<!\\)(?:\\\\)*+{q}") for q in "\"'"}
-# What a line with an assignment holds at least.
-CANDIDATE = re.compile(r"^.*(?:[=:]|--[A-Za-z]|</).*$", re.MULTILINE)
+# What a text with an assignment holds at least.
+CANDIDATE = re.compile(r"[=:]|--[A-Za-z]|</")
+TRIPLE = {q: re.compile(rf"(?<!\\)(?:\\\\)*+({q * 3})") for q in "\"'"}
+LINE = re.compile(r"[^\n]+")
 NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 PLACEHOLDER = re.compile(r"(?i)x{4,}|\*{3,}|<.*>|\$\{.*\}|example|changeme|placeholder|your[_-]")
 
@@ -116,74 +124,211 @@ def without_open_quotes(text: str) -> str:
     return "\n".join(lines)
 
 
-def assignments(text: str) -> Iterator[tuple[str, list[tuple[str, int, int, bool]]]]:
-    """(name, parts of the value) line by line; a part is (text, start, end, whether a literal).
+Part = tuple[str, int, int, bool]
 
-    Parts joined by + are one value.
-    """
-    lexed = without_open_quotes(text)
-    for line in CANDIDATE.finditer(text):
-        tokens = [
-            (m.lastgroup, text[m.start() : m.end()], m.start(), m.end())
-            for m in LEXER.finditer(lexed, line.start(), line.end())
+
+class Lexed:
+    """The tokens of a text: (kind, text, start, end)."""
+
+    def __init__(self, text: str):
+        self.text = text
+        found = LEXER.finditer(without_open_quotes(text))
+        self.tokens = [
+            (m.lastgroup, text[m.start() : m.end()], m.start(), m.end()) for m in found if m.lastgroup != "joined"
         ]
-        closings: dict[str, list[int]] = {}  # where each closing tag begins
-        for kind, value, start, _ in tokens:
-            if kind == "tag" and value.startswith("</"):
-                closings.setdefault(value[2:-1], []).append(start)
-        i = 0
-        while i < len(tokens):
-            kind, value, _, end = tokens[i]
-            i += 1
-            if kind == "tag":
-                ends = closings.get(value[1:-1], [])
-                nearest = bisect_left(ends, end)
-                if nearest < len(ends):
-                    stop = ends[nearest]
-                    yield value[1:-1], [(text[end:stop], end, stop, True)]
-                continue
-            if kind not in ("string", "word"):
-                continue
-            name = value.strip("\"'")
-            flag = kind == "word" and value.startswith("-")
-            if i < len(tokens) and tokens[i][0] == "op" and tokens[i][1] in ("=", ":", ":=", "=>"):
-                at = i + 1
-            elif flag:
-                at = i
-            else:
-                continue
-            parts = []
-            while at < len(tokens) and tokens[at][0] in ("string", "word"):
-                kind, value, start, end = tokens[at]
-                if kind == "string":
-                    parts.append((value[1:-1], start + 1, end - 1, True))
-                else:
-                    parts.append((value, start, end, False))
-                at += 1
-                if at + 1 < len(tokens) and tokens[at][:2] == ("op", "+"):
+        self.triples: dict[str, list[int]] = {}
+
+    def kind(self, at: int) -> str:
+        return self.tokens[at][0] if at < len(self.tokens) else "line"
+
+    def op(self, at: int) -> str:
+        """The operator at a place, or nothing."""
+        return self.tokens[at][1] if self.kind(at) == "op" else ""
+
+    def assigns(self, at: int) -> bool:
+        return self.tokens[at : at + 1] != [] and self.tokens[at][:2] in ASSIGNS
+
+    def behind_lines(self, at: int) -> int:
+        while at < len(self.tokens) and self.tokens[at][0] == "line":
+            at += 1
+        return at
+
+    def lines(self, start: int, stop: int) -> list[Part]:
+        """The lines of a stretch of text without the space around them."""
+        out = []
+        for m in LINE.finditer(self.text, start, stop):
+            if value := m.group().strip():
+                begin = m.start() + m.group().index(value)
+                out.append((value, begin, begin + len(value), True))
+        return out
+
+    def triple_end(self, start: int, empty: str) -> int:
+        """Where the triple-quoted string ends of which an empty string is the beginning; or 0."""
+        if empty not in ('""', "''") or self.text[start + 2 : start + 3] != empty[0]:
+            return 0
+        quote = empty[0]
+        if quote not in self.triples:
+            self.triples[quote] = [m.start(1) for m in TRIPLE[quote].finditer(self.text)]
+        ends = self.triples[quote]
+        nearest = bisect_left(ends, start + 3)
+        return ends[nearest] + 3 if nearest < len(ends) else 0
+
+    def block(self, at: int) -> list[Part]:
+        """The lines behind a block's sign that are indented more than the line of the sign."""
+        _, _, start, end = self.tokens[at]
+        first = self.text.rfind("\n", 0, start) + 1
+        indent = first
+        while self.text[indent] in " \t":
+            indent += 1
+        stop = end
+        for m in LINE.finditer(self.text, end):
+            line = m.group()
+            if line.strip() and len(line) - len(line.lstrip(" \t")) <= indent - first:
+                break
+            stop = m.end()
+        return self.lines(end, stop)
+
+    def value(self, at: int, lines: bool) -> tuple[list[Part], list[Part], int]:
+        """(parts of the value that begins at a token, those on its own line, the token behind it).
+
+        ``lines``: the value may go on over lines. Parts joined by + are one value, as are strings
+        side by side in parentheses.
+        """
+        parts: list[Part] = []
+        own: list[Part] | None = None
+        if self.kind(at) == "block":
+            return (self.block(at) if lines else []), [], at
+        depth = 0
+        here = at
+        while lines:
+            behind = self.behind_lines(at)
+            if self.op(behind) != "(":
+                break
+            depth += 1
+            at = behind + 1
+        if lines and self.kind(at) == "line":
+            behind = self.behind_lines(at)
+            # Of the words of a later line only one that stands alone is a value; a name is none.
+            alone = self.kind(behind) == "string" or depth or self.kind(behind + 1) == "line" or self.op(behind + 1) in (",", ";")
+            if alone and not self.assigns(behind + 1):
+                at = behind
+        if at != here:
+            own = []
+        while self.kind(at) in ("string", "word") and at < len(self.tokens):
+            kind, value, start, end = self.tokens[at]
+            at += 1
+            stop = self.triple_end(start, value) if kind == "string" and lines else 0
+            if stop:
+                own = parts[:] if own is None else own
+                parts += self.lines(start + 3, stop - 3)
+                while at < len(self.tokens) and self.tokens[at][2] < stop:
                     at += 1
-                else:
-                    break
-            if parts:
-                yield name, parts
-                # A value may be the name of a next pair (a = b = "x"), so go on from there.
+            elif kind == "string":
+                parts.append((value[1:-1], start + 1, end - 1, True))
+            else:
+                parts.append((value, start, end, False))
+            plus = self.behind_lines(at) if lines else at
+            if self.op(plus) == "+":
+                behind = self.behind_lines(plus + 1) if lines else plus + 1
+            elif depth and self.kind(plus) == "string":
+                behind = plus
+            else:
+                break
+            crossed = "line" in (self.kind(at), self.kind(plus + 1)) or behind == plus
+            if self.kind(behind) not in ("string", "word") or (crossed and self.assigns(behind + 1)):
+                break
+            own = parts[:] if crossed and own is None else own
+            at = behind
+        return parts, parts if own is None else own, at
+
+
+def assignments(text: str) -> Iterator[tuple[str, list[Part]]]:
+    """(name, parts of the value); a part is (text, start, end, whether a literal).
+
+    Of a value that goes on over lines, what its own line holds comes first, as a value by itself.
+    """
+    if not CANDIDATE.search(text):
+        return
+    lexed = Lexed(text)
+    tokens = lexed.tokens
+    tags = [t for t in tokens if t[0] == "tag"]
+    n_tags = i = 0
+    while i < len(tokens):
+        kind, value, _, end = tokens[i]
+        i += 1
+        if kind == "tag":
+            n_tags += 1
+            closing = tags[n_tags] if n_tags < len(tags) else None
+            if closing and closing[1] == f"</{value[1:-1]}>":
+                stop = closing[2]
+                inner = text[end:stop]
+                yield value[1:-1], lexed.lines(end, stop) if "\n" in inner else [(inner, end, stop, True)]
+            continue
+        if kind not in ("string", "word"):
+            continue
+        name = value.strip("\"'")
+        flag = kind == "word" and value.startswith("-")
+        if lexed.assigns(i):
+            parts, own, at = lexed.value(i + 1, True)
+        elif flag:
+            parts, own, at = lexed.value(i, False)
+        else:
+            continue
+        if own and own != parts:
+            yield name, own
+        if parts:
+            yield name, parts
+            # A value may be the name of a next pair (a = b = "x"), and texts of several lines may
+            # hold pairs of their own.
+            if own == parts:
                 i = max(i, at - 1)
 
 
+def literals_of(pairs: list[tuple[str, list[Part]]]) -> list[list[tuple[str, int, int]]]:
+    """The literals that each pair's value leads to; a name that leads to itself has none."""
+    places: dict[str, list[int]] = {}
+    for i, (name, _) in enumerate(pairs):
+        places.setdefault(name, []).append(i)
+
+    def source(word: str, i: int) -> int:
+        """The pair that gives a name its value: the last before the i-th, or the first after."""
+        at = places.get(word, [])
+        k = bisect_left(at, i)
+        if k:
+            return at[k - 1]
+        k += at[:1] == [i]
+        return at[k] if k < len(at) else -1
+
+    found: list[list[tuple[str, int, int]] | None] = [None] * len(pairs)
+    begun: set[int] = set()
+    for first in range(len(pairs)):
+        stack = [first]
+        while stack:
+            i = stack[-1]
+            if found[i] is not None:
+                stack.pop()
+                continue
+            begun.add(i)
+            parts = [(p, -1 if p[3] else source(p[0], i)) for p in pairs[i][1]]
+            wanted = [k for _, k in parts if k >= 0 and found[k] is None and k not in begun]
+            if wanted:
+                stack += wanted
+                continue
+            literals = []
+            for (value, start, end, quoted), k in parts:
+                if known := found[k] if k >= 0 else None:
+                    literals += known
+                elif quoted or any(c.isdigit() for c in value):
+                    literals.append((value, start, end))
+            found[i] = list(dict.fromkeys(literals))
+    return found
+
+
 def literal_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, "literal") of the literals that sensitive names lead to."""
-    held: dict[str, list[tuple[str, int, int]]] = {}
+    pairs = list(assignments(text))
     found: dict[tuple[int, int, str], None] = {}
-    for name, parts in assignments(text):
-        literals = []
-        for value, start, end, quoted in parts:
-            known = held.get(value) if not quoted else None
-            if known:
-                literals += known
-            elif quoted or any(c.isdigit() for c in value):
-                literals.append((value, start, end))
-        literals = list(dict.fromkeys(literals))
-        held[name] = literals
+    for (name, _), literals in zip(pairs, literals_of(pairs), strict=True):
         score = name_score(name)
         joined = "".join(v for v, _, _ in literals)
         for value, start, end in literals:
