@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from edges import edge_docs, no_docs
 
@@ -80,6 +81,19 @@ def test_families_beyond_a_cell_are_compared_in_blocks(spark, monkeypatch):
     assert told(docs, 4, (85, 100)) == brute_force(rows, 4, (85, 100))
 
 
+@pytest.mark.parametrize("block", [0, 1])
+def test_a_cell_with_an_empty_block_has_no_pairs(block):
+    tokens = np.arange(100, dtype=np.uint64).tobytes()
+    names = ["_family", "_i", "_j", "_set", "_block", "_n", "_copies", "_tokens"]
+
+    def links(i, j):
+        rows = [(7, i, j, s, block, 100, 1, tokens) for s in (1, 2, 3)]
+        batch = pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])
+        return [b.column(2).to_pylist() for b in ngram_join.joined_cells((85, 100))(iter([batch]))]
+
+    assert links(block, block) == [[2, 2, 2]] and links(0, 1) == [[0, 0, 0]]
+
+
 def test_edges(spark):
     docs = edge_docs(spark)
     rows = [(r.doc_id, r.text) for r in docs.collect()]

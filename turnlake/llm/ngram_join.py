@@ -155,7 +155,7 @@ def joined_cells(bar: tuple[int, int]):
         i, j = rows[0][1:3]
         side = np.array([int(i != j and r[4] == j) for r in rows])
         root, links = join_sets(
-            sets, np.array([r[5] for r in rows]), np.array([r[6] for r in rows]), side, bar
+            sets, np.array([r[5] for r in rows]), np.array([r[6] for r in rows]), side, bar, bool(i != j)
         )
         return pa.RecordBatch.from_arrays(
             [pa.array(ids), pa.array(ids[root]), pa.array(links)], names=["_set", "_root", "_links"]

@@ -138,13 +138,19 @@ class Components:
 
 
 def join_sets(
-    sets: list[np.ndarray], sizes: np.ndarray, copies: np.ndarray, side: np.ndarray, bar: tuple[int, int]
+    sets: list[np.ndarray],
+    sizes: np.ndarray,
+    copies: np.ndarray,
+    side: np.ndarray,
+    bar: tuple[int, int],
+    two_sided: bool | None = None,
 ) -> tuple[np.ndarray, np.ndarray]:
     """(component, linked documents) of each set.
 
-    ``sets``: distinct 64-bit tokens of each set; ``side`` holds 0 and 1, and only pairs of
-    unlike sides are compared, unless all sides are 0: then all pairs are. ``copies``: the
-    documents behind each set.
+    ``sets``: distinct 64-bit tokens of each set; ``side`` holds 0 and 1. If ``two_sided``, only
+    pairs of unlike sides are compared, of which there are none where a side is empty; else all
+    pairs are. Where it is not told, it is whether any side is 1. ``copies``: the documents behind
+    each set.
     """
     n = len(sets)
     owner = np.repeat(np.arange(n), [len(s) for s in sets])
@@ -164,7 +170,7 @@ def join_sets(
         band = sizes.astype(np.int64)
     else:
         band = np.floor(np.log(np.maximum(sizes, 1)) / np.log(whole / part)).astype(np.int64)
-    two_sided = bool(side.any())
+    two_sided = bool(side.any()) if two_sided is None else two_sided
     components, links = Components(n), np.zeros(n, np.int64)
     mask = np.zeros(len(seen), bool)
     tries = {}
