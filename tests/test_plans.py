@@ -232,6 +232,22 @@ def test_presentation_of_every_mart(spark):
         assert "".join(r[label] for r in shown.collect()) == order
 
 
+def test_places_of_large_marts_are_numbered_in_blocks(spark):
+    marts = {
+        "agg_matchup_matrix": ("player string, score_moyen_par_tour double, opponent string", [("y", 1.0, "b"), ("y", 2.0, "c"), ("x", None, "a"), ("x", 0.5, "d"), (None, 3.0, "e")], "dacbe"),
+        "agg_cooperation_over_time": ("agent string, turn int, agent_type string", [("b", 1, "t"), ("a", 250_000, "r"), ("a", 100_000, "s"), ("a", 99_999, "q"), ("a", None, "n"), (None, 1, "z")], "qsrntz"),
+        "agg_persona_fidelity_by_opponent": ("persona string, fidelite double, opponent string", [("q", 0.0, "b"), ("p", None, "z"), ("p", 0.9, "a"), ("p", 0.1, "c")], "cazb"),
+        "agg_reciprocity": ("reciprocite double, agent_type string, agent string", [(None, "t", "a"), (0.1, "t", "c"), (0.1, "t", "b")], "bca"),
+    }
+    for name, (schema, rows, order) in marts.items():
+        mart = spark.createDataFrame(rows, schema)
+        places = report.placed(mart, name, [mart.columns[-1]])
+        assert sorted((r.place, r.row) for r in places.collect()) == list(enumerate(order, 1))
+        if name in report.BLOCKS:
+            windows = re.findall(r"row_number\(\)[^\n]*", places._jdf.queryExecution().analyzed().toString())
+            assert windows and all("windowspecdefinition(_block" in w for w in windows)
+
+
 def test_ranks_follow_score_then_name(spark):
     rows = []
     for repeat, moves in ((1, ("CC", "DD")), (2, ("DD", "CC"))):

@@ -43,16 +43,33 @@ def presented(mart: DataFrame, name: str) -> DataFrame:
     return mart.orderBy(*_presentation(name))
 
 
+# What cuts the order of marts with more than a row per agent into blocks: leading columns of it.
+BLOCKS = {
+    "agg_matchup_matrix": {"player": "player"},
+    "agg_cooperation_over_time": {"agent": "agent", "turn": "turn div 100000"},
+    "agg_persona_fidelity_by_opponent": {"persona": "persona"},
+}
+
+
 def placed(mart: DataFrame, name: str, row: list[str]) -> DataFrame:
     """(mart, row, place): the columns ``row`` as text, and their place in the presentation.
 
-    A mart is a report of a few rows per agent, so one task numbers it.
+    A task numbers one agent's rows, or 100,000 turns of them; in a mart with a row per agent, all.
     """
-    order = Window.orderBy(*_presentation(name))
-    return mart.select(
+    order = _presentation(name)
+    block = []
+    for column, value in BLOCKS.get(name, {}).items():
+        # Nulls come last. A struct that holds none is equal to itself in a join.
+        least = F.lit("" if value == column else 0)
+        block += [F.col(column).isNull().alias(f"{column}_null"), F.coalesce(F.expr(value), least).alias(column)]
+    if block:
+        rows = numbered(mart, [], order, F.struct(*block), "place")
+    else:
+        rows = mart.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    return rows.select(
         F.lit(name).alias("mart"),
         F.concat_ws("/", *[F.col(c).cast("string") for c in row]).alias("row"),
-        F.row_number().over(order).alias("place"),
+        F.col("place").cast("int").alias("place"),
     )
 
 
