@@ -98,7 +98,7 @@ def test_ids_are_the_library_s_and_decode(stages):
 def test_registered():
     queries = entry.queries()
     assert "pipeline" in queries and corpus_pipeline.ORACLE_SQL is None
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in queries) == 1
     assert set(entry.oracle_sql()) <= set(queries)
 

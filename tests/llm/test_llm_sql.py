@@ -14,7 +14,8 @@ from turnlake.llm import catalog
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_is_its_sql(spark, name):
     with duckdb.connect() as db:
-        db.execute(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
+        for table in ("documents", "embeddings"):
+            db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
         found = db.execute(catalog.ORACLES[name])
         columns = [d[0] for d in found.description]
         want = Counter(found.fetchall())

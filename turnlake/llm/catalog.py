@@ -7,12 +7,15 @@ from turnlake.llm import (
     exact_dedup,
     hash_search,
     language_id,
+    mixed_packing,
     mixing,
     ngram_join,
     quality,
     secrets,
+    source_audit,
     token_counts,
     toxicity,
+    vector_codes,
 )
 
 QUERIES = {
@@ -26,9 +29,14 @@ QUERIES = {
     "op7_language_id": language_id.op7_language_id,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_hash_search": hash_search.op9_hash_search,
+    "op11_source_divergence": source_audit.op11_source_divergence,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_mixed_packing": mixed_packing.op13_mixed_packing,
 }
 
 ORACLES = {
     "op3_ngram_jaccard_join": ngram_join.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
+    "op11_source_divergence": source_audit.ORACLE,
+    "op12_vector_codes": vector_codes.ORACLE,
 }

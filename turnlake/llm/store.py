@@ -31,7 +31,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{top}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    return table
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a table that ``written`` made; nothing may read it any more."""
+    _remove(df.sparkSession, df._written_at)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
