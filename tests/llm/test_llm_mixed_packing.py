@@ -130,6 +130,10 @@ HARD = [
     "\n\t a\r\nb\x0b\x0cc  ",
     "",
     "x" * 500 + " " + "ab1!" * 100,
+    "'s 'd ''s !'s a'sb c'll'd 'rex 'lx 'vE x'",
+    "'",
+    "".join(map(chr, range(256))),
+    "'S".join(map(chr, range(33, 256))),
 ]
 
 
@@ -148,6 +152,22 @@ def test_ids_of_any_text(texts):
     assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [ids_of(library, t) for t in texts]
 
 
+def test_long_texts_are_cut_in_stretches(monkeypatch, library):
+    monkeypatch.setattr(packing, "STRETCH", 7)
+    text = "alpha beta's gamma  delta\n\nepsilonzeta 'll eta 日本 theta"
+    ids, sizes = packing.WordIds(PATH).encode(pa.array([text, "", text]))
+    want = ids_of(library, text)
+    assert ids.tolist() == want + [packing.END_ID] + want and sizes.tolist() == [len(want), 1, len(want)]
+
+
+def test_ids_of_another_tokenizer():
+    path = P.path("byte_bpe_50k.json")
+    words, library = packing.WordIds(path), Tokenizer.from_file(path)
+    ids, sizes = words.encode(pa.array(HARD))
+    assert not words.by_piece
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [ids_of(library, t) for t in HARD]
+
+
 def test_words_are_forgotten_beyond_a_number(monkeypatch, library):
     monkeypatch.setattr(packing, "CACHE_WORDS", 3)
     words = packing.WordIds(PATH)

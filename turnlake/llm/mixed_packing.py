@@ -17,12 +17,18 @@ is padded.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 from collections.abc import Iterator
 from fractions import Fraction
+from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,69 +44,228 @@ WHOLE = 1 << 40
 # Chunks whose sizes are summed in one task.
 CHUNK_BLOCK = 1 << 16
 # Texts are encoded together up to this many bytes; a longer text is taken alone.
-CHUNK_BYTES = 2 << 20
-# Ids, and words, that a worker remembers.
+CHUNK_BYTES = 4 << 20
+# Characters that are cut into pieces at a time.
+STRETCH = 4 << 20
+# The normaliser and the cutting of words that pieces are made for.
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+STEPS = {
+    "type": "Sequence",
+    "normalizers": [
+        {"type": "NFC"},
+        {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+        {"type": "Lowercase"},
+    ],
+}
+CUTS = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": PIECE}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+WORDS = re.compile("[^\x20\x09-\x0d]+").findall
+SPACE = re.compile("[\x20\x09-\x0d]").search
+# Kinds of Latin-1 characters, and their lower case.
+OTHER, LETTER, NUMBER, SPACE_KIND = range(4)
+KINDS = np.array(
+    [
+        next((k for k, p in enumerate((r"\p{L}", r"\p{N}", r"\s"), 1) if regex.match(p, chr(c))), OTHER)
+        for c in range(256)
+    ],
+    np.uint8,
+)
+LOWER = bytes(ord(chr(c).lower()) for c in range(256))
+# Ids, and strings, that a worker remembers.
 CACHE_IDS = 1 << 22
 CACHE_WORDS = 1 << 19
 
 
+class Places(dict):
+    """The places of strings in a table of ids; strings without one get the next."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str | bytes] = []
+
+    def __missing__(self, key: str | bytes) -> int:
+        self[key] = place = len(self)
+        self.fresh.append(key)
+        return place
+
+
+def cut_pieces(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the matches of ``PIECE`` in Latin-1 text in lower case."""
+    text = np.frombuffer(data, np.uint8)
+    kind = KINDS[text]
+    edge = np.ones(len(text) + 1, bool)
+    edge[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
+    # An apostrophe that begins a match takes the letters of a contraction along.
+    quote = np.flatnonzero((text == 39) & edge[:-1])
+    after = np.concatenate([text, np.zeros(2, np.uint8)])
+    first, second = after[quote + 1], after[quote + 2]
+    two = np.zeros(len(quote), bool)
+    for a, b in (b"re", b"ve", b"ll"):
+        two |= (first == a) & (second == b)
+    one = np.isin(first, np.frombuffer(b"stmd", np.uint8))
+    edge[quote[one | two] + 1] = False
+    edge[quote[one] + 2] = True
+    edge[quote[two] + 2] = False
+    edge[quote[two] + 3] = True
+    starts = np.flatnonzero(edge[:-1] & (kind != SPACE_KIND))
+    bounds = np.flatnonzero(edge)
+    return starts, bounds[np.searchsorted(bounds, starts, "right")]
+
+
 class WordIds:
-    """The ids of texts, from those of their words.
+    """The ids of texts, from those of their pieces, each of which the library encodes once.
 
-    A word ends at ASCII white space, over which the tokenizer neither joins nor normalises
-    anything, so each distinct word is encoded once by the library.
+    A tokenizer with the normaliser ``STEPS`` and the pattern ``PIECE`` neither joins nor
+    normalises anything over ASCII white space, so its words may be encoded one by one. Where a
+    text holds Latin-1 characters only, which the normaliser just puts in lower case, and no
+    special token's string, the pattern cuts the words further, into fewer different strings.
+    Texts for other tokenizers are encoded as they are.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        # Spark's tasks take all cores; threads of the library would only add memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.width = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        parts = json.loads(self.library.to_str())
+        self.by_piece = (parts["normalizer"], parts["pre_tokenizer"]) == (STEPS, CUTS)
+        self.byte_names = {}
+        if self.by_piece:
+            named_as = self.library.pre_tokenizer[1].pre_tokenize_str
+            self.byte_names = {c: named_as(chr(c))[0][0] for c in range(256) if KINDS[c] != SPACE_KIND}
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, self.width)
-        self.starts = np.zeros(1 << 14, np.int64)
-        self.sizes = np.zeros(1 << 14, np.int64)
-        self.used = 0
-
-    def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 10_000):
-            part = words[at : at + 10_000]
-            for word, found in zip(part, self.library.encode_batch(part, add_special_tokens=False)):
-                ids, place = found.ids, len(self.known)
-                while self.used + len(ids) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                if place == len(self.starts):
-                    self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-                    self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-                self.ids[self.used : self.used + len(ids)] = ids
-                self.starts[place], self.sizes[place] = self.used, len(ids)
-                self.used += len(ids)
-                self.known[word] = place
+        self.known = Places()
+        self.ids = np.zeros(0, self.width)
+        self.starts = np.zeros(0, np.int64)
+        self.sizes = np.zeros(0, np.int64)
+
+    def _learn(self) -> None:
+        """Encode the strings that have got a place since the last call; pieces are bytes."""
+        if not self.known.fresh:
+            return
+        fresh, tokenize, number = self.known.fresh, self.library.model.tokenize, attrgetter("id")
+        pieces = [k for k in fresh if isinstance(k, bytes)]
+        spelled = b" ".join(pieces).decode("latin-1").translate(self.byte_names).split(" ")
+        found = [list(map(number, tokenize(x))) for x in spelled] if pieces else []
+        if len(pieces) < len(fresh):
+            of_pieces = iter(found)
+            found = [
+                next(of_pieces)
+                if isinstance(k, bytes)
+                else self.library.encode(k, add_special_tokens=False).ids
+                for k in fresh
+            ]
+        sizes = np.array([len(ids) for ids in found], np.int64)
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        more = np.fromiter(chain.from_iterable(found), self.width, int(sizes.sum()))
+        self.ids = np.concatenate([self.ids, more])
+        self.known.fresh = []
+
+    def _places(self, strings: pa.Array) -> np.ndarray:
+        coded = strings.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        places = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        return places[coded.indices.to_numpy()]
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts; how many each text has)."""
+        if len(self.ids) > CACHE_IDS or len(self.known) > CACHE_WORDS:
+            self._forget()
+        plain, other, other_rows = [], [], []
+        for row, text in enumerate(texts):
+            special = not self.by_piece or any(s in text for s in self.special)
+            data = None if special else latin1(text)
+            if data is None:
+                words = WORDS(text) if self.by_piece else [text]
+                other += words
+                other_rows += [row] * len(words)
+            plain.append(data or b"")
+        data = b" ".join(plain).translate(LOWER)
+        starts, ends = cut_pieces(data)
+        row_ends = np.cumsum([len(p) + 1 for p in plain])
+        rows = np.searchsorted(row_ends, starts, "right")
+        # Pieces as slices of the text: those between them are left out.
+        offsets = np.stack([starts, ends], axis=1).ravel().astype(np.int32)
+        slices = pa.Array.from_buffers(
+            pa.binary(),
+            max(0, len(offsets) - 1),
+            [None, pa.py_buffer(offsets if len(offsets) else np.zeros(1, np.int32)), pa.py_buffer(data)],
+        )
+        at = self._places(slices.take(pa.array(np.arange(0, max(0, len(offsets) - 1), 2))))
+        if other:
+            at = np.concatenate([at, self._places(pa.array(other, pa.string()))])
+            rows = np.concatenate([rows, other_rows])
+            order = np.argsort(rows, kind="stable")
+            at, rows = at[order], rows[order]
+        self._learn()
+        sizes, firsts = self.sizes[at], self.starts[at]
+        before = np.cumsum(sizes) - sizes
+        out = self.ids[np.arange(int(sizes.sum())) + (firsts - before).repeat(sizes)]
+        return out, np.bincount(rows, sizes, len(texts)).astype(np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with ``END_ID`` behind it; how many each text has)."""
-        lists = pc.ascii_split_whitespace(texts)
-        rows = pc.list_parent_indices(lists).to_numpy()
-        coded = pc.list_flatten(lists).dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if self.used > CACHE_IDS or len(self.known) > CACHE_WORDS:
-            self._forget()
-        self._learn([w for w in words if w not in self.known])
-        places = np.fromiter((self.known[w] for w in words), np.int64, len(words))
-        at = places[coded.indices.to_numpy()]
-        sizes, starts = self.sizes[at], self.starts[at]
-        counts = np.bincount(rows, sizes, len(texts)).astype(np.int64) + 1
-        # An id's place: the ids of earlier words, and one end per earlier text.
-        firsts = np.cumsum(sizes) - sizes + rows
-        out = np.full(int(counts.sum()), END_ID, self.width)
-        within = np.arange(int(sizes.sum())) - (np.cumsum(sizes) - sizes).repeat(sizes)
-        out[firsts.repeat(sizes) + within] = self.ids[starts.repeat(sizes) + within]
-        return out, counts
+        counts, found = np.zeros(len(texts), np.int64), [self.ids[:0]]
+        rows, group, held = [], [], 0
+
+        def flush() -> None:
+            ids, sizes = self._encode(group)
+            np.add.at(counts, rows, sizes)
+            found.append(ids)
+
+        for row, text in enumerate(texts.to_pylist()):
+            for part in stretches(text) if self.by_piece else [text]:
+                if held and held + len(part) > STRETCH:
+                    flush()
+                    rows, group, held = [], [], 0
+                rows.append(row)
+                group.append(part)
+                held += len(part)
+        if group:
+            flush()
+        return np.insert(np.concatenate(found), np.cumsum(counts), END_ID), counts + 1
+
+
+def latin1(text: str) -> bytes | None:
+    try:
+        return text.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+
+
+def stretches(text: str) -> Iterator[str]:
+    """A long text in stretches that end at ASCII white space."""
+    at = 0
+    while len(text) - at > STRETCH:
+        space = SPACE(text, at + STRETCH)
+        if not space:
+            break
+        yield text[at : space.start()]
+        at = space.start()
+    yield text[at:] if at else text
+
+
+ENCODERS: dict[str, WordIds] = {}
+
+
+def encoder(path: str) -> WordIds:
+    """This worker's encoder, which remembers pieces from one task to the next."""
+    if path not in ENCODERS:
+        ENCODERS[path] = WordIds(path)
+    return ENCODERS[path]
 
 
 def binaries(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -120,7 +285,7 @@ def queued_tokens(docs: DataFrame, path: str, id_col: str, text_col: str, source
     text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen = WordIds(path), {}
+        words, seen = encoder(path), {}
         part = TaskContext.get().partitionId()
         for batch in batches:
             texts = batch.column("_text").fill_null("")
