@@ -3,6 +3,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import public_tokenizers as P
@@ -19,9 +20,14 @@ from turnlake.llm import mixed_packing as packing
 PATH = P.path("word_bpe_49k.json")
 
 
+@cache
+def tokenizer(path=PATH):
+    return Tokenizer.from_file(path)
+
+
 @pytest.fixture(scope="module")
 def library():
-    return Tokenizer.from_file(PATH)
+    return tokenizer()
 
 
 def ids_of(library, text):
@@ -147,7 +153,7 @@ def test_ids_are_the_library_s(spark, library):
 @given(st.lists(st.text(st.sampled_from("aB é́ \n'sD<|>endoftxt1٣!\x1cΣİ"), max_size=30), min_size=1, max_size=5))
 @settings(max_examples=80, deadline=None)
 def test_ids_of_any_text(texts):
-    words, library = packing.WordIds(PATH), Tokenizer.from_file(PATH)
+    words, library = packing.encoder(PATH), tokenizer()
     ids, sizes = words.encode(pa.array(texts))
     assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [ids_of(library, t) for t in texts]
 
@@ -162,7 +168,7 @@ def test_long_texts_are_cut_in_stretches(monkeypatch, library):
 
 def test_ids_of_another_tokenizer():
     path = P.path("byte_bpe_50k.json")
-    words, library = packing.WordIds(path), Tokenizer.from_file(path)
+    words, library = packing.WordIds(path), tokenizer(path)
     ids, sizes = words.encode(pa.array(HARD))
     assert not words.by_piece
     assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [ids_of(library, t) for t in HARD]

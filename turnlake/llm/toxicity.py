@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -392,7 +392,16 @@ def toxicity(
     """
     rows = docs.select(named(id_col).alias("_id"), named(text_col).alias("_text"))
     fields = [T.StructField("_id", rows.schema[0].dataType), T.StructField("_score", T.DoubleType())]
-    scored = rows.mapInArrow(scorer(docs, labels, id_col, text_col, whole=False), T.StructType(fields))
+    score = scorer(docs, labels, id_col, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = score()
+        for batch in batches:
+            for part in small_batches(batch):
+                scores = of(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), scores], names=["_id", "_score"])
+
+    scored = rows.mapInArrow(run, T.StructType(fields))
     fold = F.crc32(F.col("_id").cast("string")) % 5
     return scored.select(
         F.col("_id").alias(id_col),
@@ -402,30 +411,40 @@ def toxicity(
     )
 
 
-def scorer(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, whole: bool):
-    """A mapInArrow function from (any columns..., text) to (the columns before it, score)."""
+def scorer(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str):
+    """What a task calls to get a function from texts to their scores."""
     shared, curve = learn(docs, labels, id_col, text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start() -> Callable[[list[str | None]], pa.Array]:
         models = Models(shared.value)
-        for batch in batches:
-            for part in small_batches(batch):
-                texts = part.column(part.num_columns - 1).to_pylist()
-                x = np.array(models.features([t or "" for t in texts]))
-                z = curve[0] + x @ curve[1:]
-                score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                columns = [*part.columns, pa.array(score)] if whole else [*part.columns[:-1], pa.array(score)]
-                names = [*part.schema.names, "_score"] if whole else [*part.schema.names[:-1], "_score"]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return run
+        def scores(texts: list[str | None]) -> pa.Array:
+            x = np.array(models.features([t or "" for t in texts]))
+            z = curve[0] + x @ curve[1:]
+            return pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+        return scores
+
+    return start
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents not predicted toxic, with their own columns."""
-    rows = docs.select(whole_row(docs).alias("_row"), named("text").alias("_text"))
-    schema = T.StructType([*rows.schema.fields, T.StructField("_score", T.DoubleType())])
-    scored = rows.mapInArrow(scorer(docs, labels, "doc_id", "text", whole=True), schema)
+    """The documents not predicted toxic, with their own columns.
+
+    Only texts go to Python and only scores come back, so rows stay where they are. Rows without
+    words have the score of a text without evidence; null ids and repeated rows are rows like
+    others. No rows give no rows.
+    """
+    start = scorer(docs, labels, "doc_id", "text")
+
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        of = start()
+        for batch in texts:
+            parts = [of(batch.slice(at, 256).to_pylist()) for at in range(0, len(batch), 256)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.float64())
+
+    scored = docs.select(whole_row(docs).alias("_row"), score(named("text")).alias("_score"))
     return scored.where("_score < 0.5").select("_row.*")
 
 
