@@ -7,17 +7,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from turnlake.sources.folders import names_in, remove
+from turnlake.sources.snapshots import live_folders
 
 
 def as_view(
     spark: SparkSession, schema: str, name: str, columns: list[str], path: str
 ) -> DataFrame:
-    """Define ``schema.name`` as those columns of the Parquet files at ``path``."""
+    """Define ``schema.name`` as those columns of the log at ``path``, or of its Parquet files.
+
+    The view shows the log as it is now. It is readable until the log has changed twice.
+    """
     spark.sql(f"CREATE SCHEMA IF NOT EXISTS {schema}")
-    spark.sql(
-        f"CREATE OR REPLACE VIEW {schema}.{name} AS "
-        f"SELECT {', '.join(columns)} FROM parquet.`{path}`"
-    )
+    folders = live_folders(spark, path) or [path]
+    parts = [f"SELECT {', '.join(columns)} FROM parquet.`{folder}`" for folder in folders]
+    spark.sql(f"CREATE OR REPLACE VIEW {schema}.{name} AS {' UNION ALL '.join(parts)}")
     return spark.table(f"{schema}.{name}")
 
 

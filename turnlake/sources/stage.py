@@ -11,10 +11,10 @@ from turnlake.sources.decisions import paired_decisions
 from turnlake.sources.folders import (
     checkpoint_folder,
     fingerprint,
-    path_exists,
     remove_at_end,
 )
 from turnlake.sources.sizing import sized_for
+from turnlake.sources.snapshots import has_snapshot
 from turnlake.sources.turn_log import overwrite, scan_turns
 
 
@@ -34,7 +34,7 @@ def bronze_path(spark: SparkSession, folder: str) -> str:
     name = hashlib.md5(state.encode()).hexdigest()
     app = spark.sparkContext.applicationId
     path = f"{checkpoint_folder(spark)}/turnlake/{app}/{name}/bronze"
-    if not path_exists(spark, f"{path}/_SUCCESS"):
+    if not has_snapshot(spark, path):
         with sized_for(spark, f"{folder}/events.parquet"):
             overwrite(build_bronze(paired_decisions(events(spark, folder))), path)
         remove_at_end(spark, path)

@@ -1,4 +1,4 @@
-"""Turn logs in Parquet: scan, overwrite, append."""
+"""Turn logs in Parquet: scan, overwrite, append, compact."""
 
 from __future__ import annotations
 
@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnlake.schemas import TURN_KEY, TURNS
-from turnlake.sources.folders import names_in, path_exists
+from turnlake.sources import snapshots
+from turnlake.sources.folders import names_in, remove
+from turnlake.sources.key_index import recorded_runs, without_recorded, write_index
+from turnlake.sources.snapshots import Conflict, Entry
 
-# A log holds one folder per load; a log written as a whole is the load ``BASE``.
-LOAD = T.StructField("load_id", T.StringType())
+# The load id of a log written as a whole.
 BASE = "base"
+# How often a writer starts again because another one was faster.
+TRIES = 20
 
 
 def scan_turns(
@@ -19,14 +23,23 @@ def scan_turns(
 ) -> DataFrame:
     """The log with its declared schema: no inference, columns a file lacks read as NULL.
 
-    Files beside load folders would be passed over by the reader, so they are an error.
+    It is the state that the log has now. Files beside its folders would be passed over by the
+    reader, so they are an error.
     """
     names = names_in(spark, path)
-    if any(n.startswith(f"{LOAD.name}=") for n in names) and any(
+    if any(n.startswith((snapshots.BUILD, snapshots.LOAD)) for n in names) and any(
         n.endswith(".parquet") for n in names
     ):
         raise ValueError(f"{path} holds both files and load folders")
-    return spark.read.schema(schema).parquet(path).select(*schema.names)
+    return _read(spark, path, schema, snapshots.latest(spark, path).entries)
+
+
+def _read(
+    spark: SparkSession, path: str, schema: T.StructType, entries: list[Entry]
+) -> DataFrame:
+    # Without a log this fails, as reading any path that is not there does.
+    folders = [f"{path}/{e.folder}".rstrip("/") for e in entries] or [path]
+    return spark.read.schema(schema).parquet(*folders).select(*schema.names)
 
 
 def typed(turns: DataFrame) -> DataFrame:
@@ -34,37 +47,42 @@ def typed(turns: DataFrame) -> DataFrame:
     return turns.withColumn("played_at", F.to_timestamp("played_at"))
 
 
-def recorded_keys(
-    spark: SparkSession, path: str, columns: list[str], but_load: str | None = None
-) -> DataFrame:
-    """Distinct values of key columns in a log; none where there is no log yet.
+def existing_match_ids(spark: SparkSession, path: str) -> DataFrame:
+    """The matches a log holds, from that one column; none where there is no log yet."""
+    entries = snapshots.latest(spark, path).entries
+    if not entries:
+        return spark.createDataFrame([], TURNS).select("match_id")
+    return _read(spark, path, TURNS, entries).select("match_id").distinct()
 
-    ``but_load`` leaves out what that load wrote.
-    """
-    if not path_exists(spark, path):
-        return spark.createDataFrame([], TURNS).select(*columns)
-    log = spark.read.schema(T.StructType([*TURNS.fields, LOAD])).parquet(path)
-    if but_load is not None:
-        log = log.where(~F.col(LOAD.name).eqNullSafe(but_load))
-    return log.select(*columns).distinct()
 
+def write_load(df: DataFrame, path: str, load_id: str | None) -> Entry:
+    """Write the folder of a load. It is no part of the log until a snapshot names it."""
+    entry = Entry(load_id, snapshots.new_folder())
+    df.write.parquet(f"{path}/{entry.folder}")
+    return entry
 
-def existing_match_ids(
-    spark: SparkSession, path: str, but_load: str | None = None
-) -> DataFrame:
-    """The matches a log holds, from that one column."""
-    return recorded_keys(spark, path, ["match_id"], but_load)
 
+def _drop(spark: SparkSession, path: str, *entries: Entry) -> None:
+    for entry in entries:
+        for folder in filter(None, (entry.folder, entry.keys)):
+            remove(spark, f"{path}/{folder}")
 
-def overwrite(df: DataFrame, path: str) -> None:
-    """Replace the whole log by these rows, as one load."""
-    rows = df.withColumn(LOAD.name, F.lit(BASE))
-    rows.write.mode("overwrite").partitionBy(LOAD.name).parquet(path)
 
+def overwrite(df: DataFrame, path: str, derived_from: list[str] | None = None) -> None:
+    """Replace the whole log by these rows, as one load.
 
-def write_load(df: DataFrame, path: str, load_id: str) -> None:
-    """Write, or write again, the folder of one load."""
-    df.write.mode("overwrite").parquet(f"{path}/{LOAD.name}={load_id}")
+    The rows are complete before the log changes over, so a job that dies leaves the old log. The
+    state before stays readable until the next change.
+    """
+    spark = df.sparkSession
+    entry = write_load(df, path, BASE)
+    for _ in range(TRIES):
+        state = snapshots.latest(spark, path)
+        try:
+            return snapshots.publish(spark, path, state.next([entry], derived_from or []))
+        except Conflict:
+            continue
+    raise Conflict(path)
 
 
 def conform(turns: DataFrame) -> DataFrame:
@@ -100,12 +118,55 @@ def unseen(incoming: DataFrame, recorded: DataFrame) -> DataFrame:
     return rows.join(keys, F.expr(same), "left_anti").select(*incoming.columns)
 
 
+def indexed(spark: SparkSession, path: str, entries: list[Entry]) -> list[Entry]:
+    """The entries with an index each; folders that were written without one get it now."""
+    return [e if e.keys else write_index(spark, path, e) for e in entries]
+
+
 def append_unseen(incoming: DataFrame, path: str, load_id: str) -> None:
     """Append the turns the log lacks; loading the same turns again adds nothing.
 
-    A load writes a folder of its own. Running it again under its id rebuilds that folder,
-    so a load that died half-way is repaired by repeating it. One load runs at a time.
-    Copies of a row within the load are dropped first.
+    The load looks its turns up in the buckets of the log's key index that its matches fall into,
+    so its cost follows its own rows. It writes a folder of its own and publishes the log with it;
+    if another load was faster, it looks again at the log as it is then. Running a load again
+    under its id puts its folder anew, which repairs one that died half-way. Copies of a row
+    within the load are dropped first.
+    """
+    spark = incoming.sparkSession
+    rows = without_copies(conform(incoming))
+    for _ in range(TRIES):
+        state = snapshots.latest(spark, path)
+        others = indexed(spark, path, [e for e in state.entries if e.load_id != load_id])
+        runs = recorded_runs(rows, path, others)
+        entry = write_load(without_recorded(rows, runs), path, load_id)
+        entry = write_index(spark, path, entry)
+        try:
+            return snapshots.publish(spark, path, state.next([*others, entry]))
+        except Conflict:
+            _drop(spark, path, entry)
+    raise Conflict(path)
+
+
+def compact(spark: SparkSession, path: str, schema: T.StructType = TURNS) -> None:
+    """Fold the folders of a log into one, with one index.
+
+    Loads that come in meanwhile stay beside it. Repeating a load that was folded in adds nothing.
     """
-    recorded = recorded_keys(incoming.sparkSession, path, TURN_KEY, but_load=load_id)
-    write_load(unseen(without_copies(conform(incoming)), recorded), path, load_id)
+    state = snapshots.latest(spark, path)
+    if len(state.entries) < 2:
+        return
+    folded = {e.folder for e in state.entries}
+    entry = write_load(_read(spark, path, schema, state.entries), path, BASE)
+    entry = write_index(spark, path, entry)
+    for _ in range(TRIES):
+        now = snapshots.latest(spark, path)
+        present = {e.folder for e in now.entries}
+        if not folded <= present:  # a rebuild or a repeated load was faster
+            break
+        rest = [e for e in now.entries if e.folder not in folded]
+        try:
+            return snapshots.publish(spark, path, now.next([entry, *rest]))
+        except Conflict:
+            continue
+    _drop(spark, path, entry)
+    raise Conflict(path)
