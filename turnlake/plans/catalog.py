@@ -8,13 +8,16 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import suppress
 from functools import cached_property, reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnlake.operators import answers, bronze, fidelity, gold, quality, schedule, silver
-from turnlake.plans import report
+from turnlake.plans import pipeline, report
 from turnlake.schemas import AGENTS, TURN_KEY
 from turnlake.sources import stage, turn_log
 from turnlake.sources.decisions import paired_decisions
@@ -195,6 +198,69 @@ def late_turns(layers: Layers) -> DataFrame:
     return in_scratch_log(layers, load)
 
 
+def rebuild_after_failure(layers: Layers) -> DataFrame:
+    """Counts per match of a log while a rebuild of it has died, and after one that worked."""
+    spark, bronze = layers.spark, layers.bronze
+    target = f"{checkpoint_folder(spark)}/turnlake/loads-{uuid.uuid4().hex}"
+    dying = F.expr("if(turn > 1, CAST(raise_error('the rebuild dies') AS INT), payoff)")
+    try:
+        turn_log.overwrite(bronze.where("repeat = 1"), target)
+        with suppress(PySparkException):
+            turn_log.overwrite(bronze.withColumn("payoff", dying), target)
+        after = kept(per_match(turn_log.scan_turns(spark, target)), "died")
+        turn_log.overwrite(bronze, target)
+        rebuilt = kept(per_match(turn_log.scan_turns(spark, target)), "rebuilt")
+    finally:
+        remove(spark, target)
+    states = (("died", after), ("rebuilt", rebuilt))
+    return reduce(DataFrame.unionByName, [df.withColumn("state", F.lit(n)) for n, df in states])
+
+
+def concurrent_loads(layers: Layers) -> DataFrame:
+    """A log that two loads, which share half of their turns, extend at once."""
+
+    def load(target: str) -> None:
+        parts = {"low": "turn % 4 < 3", "high": "turn % 4 > 0"}
+        with ThreadPoolExecutor(len(parts)) as pool:
+            loads = [
+                pool.submit(
+                    turn_log.append_unseen, layers.bronze.where(turns), f"{target}/bronze", name
+                )
+                for name, turns in parts.items()
+            ]
+            for each in loads:
+                each.result()
+
+    return in_scratch_log(layers, load)
+
+
+def compacted_log(layers: Layers) -> DataFrame:
+    """A log of three loads that is folded into one, one of them repeated after that."""
+
+    def load(target: str) -> None:
+        for k in (0, 1, 2, 1):
+            part = layers.bronze.where(f"turn % 3 = {k}")
+            turn_log.append_unseen(part, f"{target}/bronze", f"load-{k}")
+            if k == 2:
+                turn_log.compact(layers.spark, f"{target}/bronze")
+
+    return in_scratch_log(layers, load)
+
+
+def silver_by_load(layers: Layers) -> DataFrame:
+    """Silver brought up load by load, with new matches in the second and late turns in the third."""
+    spark = layers.spark
+    target = f"{checkpoint_folder(spark)}/turnlake/loads-{uuid.uuid4().hex}"
+    parts = ["repeat = 1 AND turn % 5 > 0", "repeat > 1", "repeat = 1 AND turn % 5 = 0"]
+    try:
+        for k, turns in enumerate(parts):
+            turn_log.append_unseen(layers.bronze.where(turns), f"{target}/bronze", f"load-{k}")
+            rows = pipeline.update_silver(spark, f"{target}/bronze", f"{target}/silver")
+        return kept(rows, "silver")
+    finally:
+        remove(spark, target)
+
+
 def typed_turns(turns: DataFrame) -> DataFrame:
     """The typed view, its timestamp shown as seconds."""
     return keyed(turn_log.typed(turns), F.unix_timestamp("played_at").alias("played_at_s"))
@@ -242,6 +308,10 @@ QUERIES: dict[str, Callable[[Layers], DataFrame]] = {
     "stream_load": stream_load,
     "append_after_overwrite": append_after_overwrite,
     "late_turns": late_turns,
+    "rebuild_after_failure": rebuild_after_failure,
+    "concurrent_loads": concurrent_loads,
+    "compacted_log": compacted_log,
+    "silver_by_load": silver_by_load,
     "typed_turns": lambda x: typed_turns(x.bronze),
     "mart_read_back": mart_read_back,
     # Relation builders

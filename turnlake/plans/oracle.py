@@ -358,6 +358,17 @@ def oracle_sql(
         "stream_load": _sql(_PER_MATCH),
         "append_after_overwrite": _sql(_PER_MATCH),
         "late_turns": _sql(_PER_MATCH),
+        "concurrent_loads": _sql(_PER_MATCH),
+        "compacted_log": _sql(_PER_MATCH),
+        "rebuild_after_failure": _sql(
+            """SELECT match_id, count(*) AS n_rows, CAST(sum(payoff) AS BIGINT) AS payoff,
+                 'died' AS state
+               FROM bronze WHERE repeat = 1 GROUP BY match_id
+               UNION ALL
+               SELECT match_id, count(*), CAST(sum(payoff) AS BIGINT), 'rebuilt'
+               FROM bronze GROUP BY match_id"""
+        ),
+        "silver_by_load": _sql("SELECT * FROM silver"),
         "typed_turns": _sql(
             f"""SELECT {_KEY}, CAST(epoch(CAST(substr(played_at, 1, 19) AS TIMESTAMP)) AS BIGINT)
                   AS played_at_s FROM bronze"""

@@ -31,12 +31,13 @@ def scan_turns(
         n.endswith(".parquet") for n in names
     ):
         raise ValueError(f"{path} holds both files and load folders")
-    return _read(spark, path, schema, snapshots.latest(spark, path).entries)
+    return read_entries(spark, path, schema, snapshots.latest(spark, path).entries)
 
 
-def _read(
+def read_entries(
     spark: SparkSession, path: str, schema: T.StructType, entries: list[Entry]
 ) -> DataFrame:
+    """The rows of some of a log's folders."""
     # Without a log this fails, as reading any path that is not there does.
     folders = [f"{path}/{e.folder}".rstrip("/") for e in entries] or [path]
     return spark.read.schema(schema).parquet(*folders).select(*schema.names)
@@ -52,7 +53,7 @@ def existing_match_ids(spark: SparkSession, path: str) -> DataFrame:
     entries = snapshots.latest(spark, path).entries
     if not entries:
         return spark.createDataFrame([], TURNS).select("match_id")
-    return _read(spark, path, TURNS, entries).select("match_id").distinct()
+    return read_entries(spark, path, TURNS, entries).select("match_id").distinct()
 
 
 def write_load(df: DataFrame, path: str, load_id: str | None) -> Entry:
@@ -62,14 +63,14 @@ def write_load(df: DataFrame, path: str, load_id: str | None) -> Entry:
     return entry
 
 
-def _drop(spark: SparkSession, path: str, *entries: Entry) -> None:
+def drop_entries(spark: SparkSession, path: str, *entries: Entry) -> None:
     for entry in entries:
         for folder in filter(None, (entry.folder, entry.keys)):
             remove(spark, f"{path}/{folder}")
 
 
 def overwrite(df: DataFrame, path: str, derived_from: list[str] | None = None) -> None:
-    """Replace the whole log by these rows, as one load.
+    """Replace the whole log by these rows, as one load; ``derived_from`` notes their sources.
 
     The rows are complete before the log changes over, so a job that dies leaves the old log. The
     state before stays readable until the next change.
@@ -143,7 +144,7 @@ def append_unseen(incoming: DataFrame, path: str, load_id: str) -> None:
         try:
             return snapshots.publish(spark, path, state.next([*others, entry]))
         except Conflict:
-            _drop(spark, path, entry)
+            drop_entries(spark, path, entry)
     raise Conflict(path)
 
 
@@ -156,7 +157,7 @@ def compact(spark: SparkSession, path: str, schema: T.StructType = TURNS) -> Non
     if len(state.entries) < 2:
         return
     folded = {e.folder for e in state.entries}
-    entry = write_load(_read(spark, path, schema, state.entries), path, BASE)
+    entry = write_load(read_entries(spark, path, schema, state.entries), path, BASE)
     entry = write_index(spark, path, entry)
     for _ in range(TRIES):
         now = snapshots.latest(spark, path)
@@ -168,5 +169,5 @@ def compact(spark: SparkSession, path: str, schema: T.StructType = TURNS) -> Non
             return snapshots.publish(spark, path, now.next([entry, *rest]))
         except Conflict:
             continue
-    _drop(spark, path, entry)
+    drop_entries(spark, path, entry)
     raise Conflict(path)
