@@ -2,9 +2,12 @@
 
 Each source is a stream of words, cut into blocks of ``BLOCK_WORDS``. The mix is a sequence of
 slots in output shards of ``SHARD_SLOTS``. A shard gives each source the whole part of its
-share and draws the remaining slots from the multinomial of the fractional parts. The slots of
-a source, numbered through all shards, map to its blocks by a pseudorandom permutation per
-pass, and blocks join the slots by (source, index). All draws are hashes, so reruns agree.
+share and draws the remaining slots from the multinomial of the fractional parts. What the draws
+of all shards give a source too much or too little is corrected behind its last slot, whose block
+is cut where the target is reached, so every source gets its target to the word. The slots of a
+source, numbered through all shards, map to its blocks by a pseudorandom permutation per pass
+(a shorter last block stays the last), and blocks join the slots by (source, index). All draws are
+hashes, so reruns agree.
 
 Everything is DataFrame functions. Joins are on (source, block) or (source, bucket), so a hot
 source spreads over its blocks; running offsets are taken per bucket of documents first.
@@ -87,18 +90,25 @@ def source_targets(rows: DataFrame) -> DataFrame:
         if raised <= level:
             break
         level = raised
-    blocks = F.ceil(F.col("source_size") / BLOCK_WORDS)
     target = F.least(F.col("_weight") * level, cap)
+    # The words to take: whole passes, and in the last pass as many words from its start.
+    words = F.least(F.round(target).cast("long"), F.col("source_size") * MAX_PASSES)
     return sources.select(
         "_source",
         "_s",
         "source_size",
         target.alias("target"),
-        blocks.alias("_blocks"),
-        # Blocks that hold the target, given how full the source's blocks are.
-        F.when(F.col("source_size") > 0, target * blocks / F.col("source_size"))
-        .otherwise(0.0)
-        .alias("_slots"),
+        F.expr(f"(source_size + {BLOCK_WORDS - 1}) div {BLOCK_WORDS}").alias("_blocks"),
+        F.when(F.col("source_size") > 0, words).otherwise(0).alias("_take"),
+    ).selectExpr(
+        "*",
+        "CASE WHEN source_size > 0 THEN _take div source_size ELSE 0L END AS _passes",
+        "CASE WHEN source_size > 0 THEN _take % source_size ELSE 0L END AS _rest",
+    ).selectExpr(
+        "* EXCEPT (_passes, _rest)",
+        f"_passes * _blocks + (_rest + {BLOCK_WORDS - 1}) div {BLOCK_WORDS} AS _slots",
+        # Words of the last slot's block.
+        f"CASE WHEN _rest % {BLOCK_WORDS} > 0 THEN _rest % {BLOCK_WORDS} ELSE {BLOCK_WORDS} END AS _limit",
     )
 
 
@@ -127,52 +137,77 @@ def placed(rows: DataFrame) -> DataFrame:
     )
 
 
-def numbers(first: Column, n: Column, name: str, df: DataFrame, step: int = 4096) -> DataFrame:
-    """Repeat each row for first..first+n-1, through arrays of at most about ``step`` numbers."""
+def numbers(
+    first: Column, n: Column, name: str, df: DataFrame, step: int = 4096, spread: bool = False
+) -> DataFrame:
+    """Repeat each row for first..first+n-1, through arrays of at most about ``step`` numbers.
+
+    ``spread`` deals the arrays of a row out to many tasks before their numbers are made.
+    """
     out = df.withColumn("_n0", first.cast("long")).withColumn("_n1", F.col("_n0") + n - 1)
     chunks = F.expr(f"sequence(0L, (_n1 - _n0) div {step})")
     out = out.where("_n1 >= _n0").withColumn("_c", F.explode(chunks))
+    if spread:
+        out = out.repartition(*[F.xxhash64(c) for c in df.columns], "_c")
     low = F.col("_n0") + F.col("_c") * step
     high = F.least(F.col("_n1"), low + step - 1)
     return out.withColumn(name, F.explode(F.sequence(low, high))).drop("_n0", "_n1", "_c")
 
 
+def drawn(sources: DataFrame, shards: DataFrame, n_sources: int, slots: int, total: int) -> DataFrame:
+    """(_shard, _s, _count): the fractional slots of these shards, drawn by the fractional parts.
+
+    The unit interval is cut into as many buckets as there are sources, and a draw meets the
+    sources whose intervals touch its bucket: about two, whatever their number.
+    """
+    rest = F.expr(f"(_slots * {slots}D / {total}) - floor(_slots * {slots}D / {total})")
+    rising = Window.orderBy("_s")
+    upto = sources.select("_s", rest.alias("_rest")).withColumn("_upto", F.sum("_rest").over(rising))
+    left, end = upto.agg(F.sum("_rest"), F.max("_upto")).first()
+    left = round(left or 0)
+    ranges = upto.where("_rest > 0").select(
+        "_s",
+        ((F.col("_upto") - F.col("_rest")) / F.lit(end or 1.0)).alias("_low"),
+        (F.col("_upto") / F.lit(end or 1.0)).alias("_high"),
+    )
+    # Each interval begins where the one before it ends, to the last digit.
+    before = F.coalesce(F.lag("_high").over(rising), F.lit(0.0))
+    ranges = ranges.withColumn("_low", before)
+    touched = F.sequence(F.floor(F.col("_low") * n_sources), F.floor(F.col("_high") * n_sources))
+    ranges = ranges.withColumn("_bucket", F.explode(touched))
+    draws = numbers(F.lit(0), F.lit(left), "_draw", shards, spread=True)
+    draws = draws.withColumn("_at", uniform(F.col("_shard"), F.col("_draw")))
+    draws = draws.withColumn("_bucket", F.floor(F.col("_at") * n_sources))
+    inside = draws.join(ranges, "_bucket").where("_low <= _at AND _at < _high")
+    return inside.groupBy("_shard", "_s").agg(F.count("*").alias("_count"))
+
+
 def drawn_slots(sources: DataFrame) -> DataFrame:
-    """(_shard, _s, _count): how many slots of each shard each source gets."""
+    """(_shard, _s, _first, _count): which slots of a source each shard gets."""
     spark = sources.sparkSession
-    total = sources.agg(F.sum("_slots")).first()[0] or 0.0
-    n_slots = round(total)
-    n_shards = -(-n_slots // SHARD_SLOTS)
-    last = n_slots - (n_shards - 1) * SHARD_SLOTS
-    width = F.when(F.col("_shard") == n_shards - 1, last).otherwise(SHARD_SLOTS)
-    share = F.col("_slots") / F.lit(total or 1.0)
-    every = numbers(F.lit(0), F.lit(n_shards), "_shard", sources)
-    whole = every.select("_shard", "_s", F.floor(share * width).alias("_count"))
-    # The remaining slots, drawn by the fractional parts; both kinds of shard have their own.
-    parts = []
-    for kind, slots in (("full", SHARD_SLOTS), ("last", last if n_shards else 0)):
-        rest = share * slots - F.floor(share * slots)
-        rising = Window.orderBy("_s")
-        bounds = (
-            sources.select("_s", rest.alias("_rest"))
-            .select("_s", F.sum("_rest").over(rising).alias("_upto"))
-            .agg(F.array_sort(F.collect_list(F.struct("_upto", "_s"))).alias("_bounds"))
-            .scalar()
-        )
-        left = slots - (sources.agg(F.sum(F.floor(share * slots))).first()[0] or 0)
-        shards = spark.range(n_shards).select(F.col("id").alias("_shard"))
-        shards = shards.where(
-            F.col("_shard") == n_shards - 1 if kind == "last" else F.col("_shard") < n_shards - 1
-        )
-        draws = numbers(F.lit(0), F.lit(left), "_draw", shards)
-        draws = draws.withColumn("_bounds", bounds)
-        at = uniform(F.col("_shard"), F.col("_draw")) * F.element_at("_bounds", -1)["_upto"]
-        draws = draws.withColumn("_at", at)
-        index = F.size(F.filter("_bounds", lambda b: b["_upto"] <= F.col("_at")))
-        picked = F.get("_bounds", F.least(index, F.size("_bounds") - 1))["_s"]
-        parts.append(draws.select("_shard", picked.alias("_s"), F.lit(1).cast("long").alias("_count")))
-    union = whole.unionByName(parts[0]).unionByName(parts[1])
-    return union.groupBy("_shard", "_s").agg(F.sum("_count").alias("_count")).where("_count > 0")
+    total, n_sources = sources.agg(F.sum("_slots"), F.count("*")).first()
+    total = total or 0
+    n_shards = max(1, -(-total // SHARD_SLOTS))
+    last = total - (n_shards - 1) * SHARD_SLOTS
+    some = sources.where("_slots > 0").select("_s", "_slots")
+    width = F.when(F.col("_shard") == n_shards - 1, last).otherwise(SHARD_SLOTS).cast("double")
+    every = numbers(F.lit(0), F.lit(n_shards), "_shard", some, spread=True)
+    whole = F.floor(F.col("_slots") * width / F.lit(max(1, total))).alias("_count")
+    union = every.select("_shard", "_s", whole)
+    if total:
+        for first, n, slots in ((0, n_shards - 1, SHARD_SLOTS), (n_shards - 1, 1, last)):
+            shards = spark.range(first, first + n).select(F.col("id").alias("_shard"))
+            union = union.unionByName(drawn(some, shards, n_sources, slots, total))
+    counts = union.groupBy("_shard", "_s").agg(F.sum("_count").alias("_count"))
+    earlier = Window.partitionBy("_s").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_first", F.coalesce(F.sum("_count").over(earlier), F.lit(0)))
+    # Beyond a source's slots, draws have no effect; slots that no draw gave are in the last shard.
+    counts = counts.join(some, "_s").withColumn(
+        "_count",
+        F.when(F.col("_shard") == n_shards - 1, F.col("_slots") - F.col("_first"))
+        .otherwise(F.least("_count", F.col("_slots") - F.col("_first"))),
+    )
+    return counts.where("_count > 0").select("_shard", "_s", "_first", "_count")
 
 
 def permuted(index: Column, n: Column, source: Column, turn: Column) -> Column:
@@ -182,7 +217,9 @@ def permuted(index: Column, n: Column, source: Column, turn: Column) -> Column:
     turned = F.concat(F.slice(primes, pick + 1, len(PRIMES)), F.slice(primes, 1, pick))
     prime = F.get(F.filter(turned, lambda p: n % p != 0), F.lit(0))
     shift = F.pmod(F.xxhash64(F.lit(SEED + 2), source, turn), n)
-    return (index * prime + shift) % n
+    # Products beyond a long are computed as decimals.
+    wide = (index.cast("decimal(20,0)") * prime.cast("decimal(12,0)") + shift) % n.cast("decimal(20,0)")
+    return F.when(n < 1 << 33, (index * prime + shift) % n).otherwise(wide.cast("long"))
 
 
 def mix(
@@ -191,9 +228,9 @@ def mix(
     """The mix of all documents.
 
     A document's size is its number of words (null or blank text: 0; such documents have a
-    source but no part in the mix). Null is a source of its own, the last. Each source's
-    words come within a few blocks of its target, and none of its documents is used more
-    than ``MAX_PASSES`` times. Null ids and repeated rows are documents like others. Names of
+    source but no part in the mix). Null is a source of its own, the last. Each source gives
+    its target, rounded to words, and none of its documents is used more than ``MAX_PASSES``
+    times. Null ids and repeated rows are documents like others. Names of
     further columns cannot clash. No rows, or no words, give no spans.
     """
     rows = written(sized(docs, id_col, text_col, source_col), "sized")
@@ -204,21 +241,21 @@ def mix(
     ).drop("_name")
     rows = written(placed(numbered), "placed")
 
-    shards = Window.partitionBy("_s").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
-    counts = drawn_slots(sources).withColumn(
-        "_first", F.coalesce(F.sum("_count").over(shards), F.lit(0))
-    )
-    counts = counts.join(sources.select("_s", "_blocks"), "_s")
-    slots = numbers(F.col("_first"), F.col("_count"), "_slot", counts)
-    turn = F.expr("_slot div _blocks")
-    slots = slots.where(turn < MAX_PASSES).select(
+    counts = drawn_slots(sources).join(sources.select("_s", "_blocks", "_slots", "_limit"), "_s")
+    slots = numbers(F.col("_first"), F.col("_count"), "_slot", counts, spread=True)
+    turn, index = F.expr("_slot div _blocks"), F.expr("_slot % _blocks")
+    inner = F.greatest(F.lit(1), F.col("_blocks") - 1)
+    slots = slots.select(
         "_shard",
         "_s",
         "_slot",
         turn.alias("_pass"),
-        permuted(F.col("_slot") % F.col("_blocks"), F.col("_blocks"), F.col("_s"), turn).alias(
-            "_block"
-        ),
+        F.when(index == F.col("_blocks") - 1, index)
+        .otherwise(permuted(index, inner, F.col("_s"), turn))
+        .alias("_block"),
+        F.when(F.col("_slot") == F.col("_slots") - 1, F.col("_limit"))
+        .otherwise(BLOCK_WORDS)
+        .alias("_words"),
     )
     parts = numbers(
         F.expr(f"_start div {BLOCK_WORDS}"),
@@ -234,8 +271,11 @@ def mix(
         "_size",
         F.greatest(F.lit(0), F.col("_block") * BLOCK_WORDS - F.col("_start")).alias("_from"),
         F.least(F.col("_size"), (F.col("_block") + 1) * BLOCK_WORDS - F.col("_start")).alias("_to"),
+        (F.col("_block") * BLOCK_WORDS - F.col("_start")).alias("_block_at"),
     )
-    return Mix(rows, sources, slots.join(parts, ["_s", "_block"]))
+    spans = slots.join(parts, ["_s", "_block"])
+    spans = spans.withColumn("_to", F.least("_to", F.col("_block_at") + F.col("_words")))
+    return Mix(rows, sources, spans.where("_from < _to").drop("_block_at", "_words"))
 
 
 def taken_words(docs: DataFrame) -> DataFrame:
@@ -256,7 +296,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     In each pass, the taken words of a document that follow each other are one row. A row
     that holds a whole document repeats it unchanged; a part holds those words with the
-    space behind them, and its ``n_chars``, where there is such a column, is its own.
+    space behind them, and its ``n_chars``, where there is such a column, is its own. Null
+    and blank texts have no words and do not occur; null ids and repeated rows are documents
+    like others; no rows give no rows.
     """
     m = mix(docs)
     block = Window.partitionBy("_rid", "_pass").orderBy("_from")
