@@ -148,7 +148,9 @@ def numbers(
     chunks = F.expr(f"sequence(0L, (_n1 - _n0) div {step})")
     out = out.where("_n1 >= _n0").withColumn("_c", F.explode(chunks))
     if spread:
-        out = out.repartition(*[F.xxhash64(c) for c in df.columns], "_c")
+        # A fixed width: the rows are few and small before their numbers are made.
+        width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        out = out.repartition(width, *df.columns, "_c")
     low = F.col("_n0") + F.col("_c") * step
     high = F.least(F.col("_n1"), low + step - 1)
     return out.withColumn(name, F.explode(F.sequence(low, high))).drop("_n0", "_n1", "_c")
@@ -257,6 +259,8 @@ def mix(
         .otherwise(BLOCK_WORDS)
         .alias("_words"),
     )
+    # Written, so that the join knows how many slots there are.
+    slots = written(slots, "slots")
     parts = numbers(
         F.expr(f"_start div {BLOCK_WORDS}"),
         F.expr(f"(_start + _size - 1) div {BLOCK_WORDS} - _start div {BLOCK_WORDS} + 1"),
