@@ -40,6 +40,7 @@ LOADS = {
     "append_after_overwrite",
     "late_turns",
     "mart_read_back",
+    "presented_marts",
     "rebuild_after_failure",
     "concurrent_loads",
     "compacted_log",
@@ -250,11 +251,11 @@ def test_places_of_large_marts_are_numbered_in_blocks(spark):
     }
     for name, (schema, rows, order) in marts.items():
         mart = spark.createDataFrame(rows, schema)
-        places = report.placed(mart, name, [mart.columns[-1]])
-        assert sorted((r.place, r.row) for r in places.collect()) == list(enumerate(order, 1))
-        if name in report.BLOCKS:
-            windows = re.findall(r"row_number\(\)[^\n]*", places._jdf.queryExecution().analyzed().toString())
-            assert windows and all("windowspecdefinition(_block" in w for w in windows)
+        for range_rows in (1, 1000):
+            places = report.placed(mart, name, [mart.columns[-1]], range_rows)
+            assert sorted((r.place, r.row) for r in places.collect()) == list(enumerate(order, 1))
+        windows = re.findall(r"row_number\(\)[^\n]*", places._jdf.queryExecution().analyzed().toString())
+        assert windows and all("windowspecdefinition(_block" in w for w in windows)
 
 
 def test_ranks_follow_score_then_name(spark):

@@ -13,7 +13,7 @@ from turnlake.operators.bronze import build_bronze
 from turnlake.operators import gold
 from turnlake.operators.quality import accepted_values_tests
 from turnlake.operators.silver import enrich
-from turnlake.operators.skew import numbered, salted_join
+from turnlake.operators.skew import numbered, numbered_by_range, with_range
 from turnlake.schemas import AGENT_META, AGENTS, SEED, TURNS
 from turnlake.sources import sizing, stage, turn_log
 from turnlake.sources.decisions import paired_decisions
@@ -29,8 +29,8 @@ def same(a, b) -> bool:
 def test_split_users_give_the_same_log(spark):
     events = stage.events(spark, FOLDER)
     whole = build_bronze(paired_decisions(events))
-    assert same(whole, build_bronze(paired_decisions(events, slot_seconds=1)))
-    assert same(whole, build_bronze(paired_decisions(events, slot_seconds=10**10)))
+    assert same(whole, build_bronze(paired_decisions(events, range_rows=1)))
+    assert same(whole, build_bronze(paired_decisions(events, range_rows=50)))
 
 
 def test_zoned_times_read_in_utc(spark):
@@ -64,7 +64,7 @@ def test_one_user_with_most_events(spark):
     )
     assert same(
         build_bronze(paired_decisions(hot)),
-        build_bronze(paired_decisions(hot, slot_seconds=60)),
+        build_bronze(paired_decisions(hot, range_rows=20)),
     )
 
 
@@ -84,10 +84,68 @@ def test_numbered_equals_row_number(spark, width):
     assert same(got.select("id", "v", "k", "n"), expected)
 
 
-def test_salted_join_equals_join(spark):
-    rows = spark.range(500).selectExpr("id", "if(id % 3 = 0, 0, id % 11) AS k")
-    table = spark.range(8).selectExpr("id AS k", "id * 10 AS v")
-    assert same(salted_join(rows, table, ["k"], F.col("id")), rows.join(table, "k", "left"))
+def most_in_a_range(df, order, range_rows: int) -> int:
+    sizes = with_range(df, order, "r", range_rows).groupBy("r").count()
+    return sizes.agg(F.max("count")).first()[0]
+
+
+@pytest.mark.parametrize("range_rows", [1, 50, 10**6])
+def test_numbered_by_range_equals_row_number(spark, range_rows):
+    """Ties, nulls, negative zeros, and a key with a third of all rows."""
+    df = spark.range(400).selectExpr(
+        "id",
+        "if(id % 7 = 0, NULL, if(id % 2 = 0, 1.5, if(id % 3 = 0, -0.0, id * 7919 % 401))) AS v",
+        "if(id % 3 = 0, 0, id % 5) AS k",
+    )
+    got = numbered_by_range(df, ["k"], [F.col("v"), F.col("id")], "n", range_rows)
+    number = "CAST(row_number() OVER (PARTITION BY k ORDER BY v, id) AS BIGINT) AS n"
+    assert same(got.select("id", "k", "n"), df.selectExpr("id", "k", number))
+
+
+def test_equal_rows_are_numbered_and_share_a_range(spark):
+    df = spark.range(300).selectExpr("if(id < 200, 7, id) AS v", "0 AS k")
+    got = numbered_by_range(df, ["k"], [F.col("v")], "n", 10)
+    assert sorted(r.n for r in got.collect()) == list(range(1, 301))
+    assert {r.n for r in got.where("v = 7").collect()} == set(range(1, 201))
+    empty = numbered_by_range(df.where("v < 0"), ["k"], [F.col("v")], "n", 10)
+    assert empty.collect() == []
+
+
+@pytest.mark.parametrize(
+    "values",
+    [
+        # Names that share a long prefix, equal scores, one moment, and values far apart.
+        ["concat('agent_with_a_long_name_', id)"],
+        ["1.0D", "concat('a', id)"],
+        ["TIMESTAMP '2024-01-01 00:00:00'", "id"],
+        ["CAST(pow(10, id % 300) AS DOUBLE)", "id"],
+    ],
+)
+def test_ranges_hold_about_as_many_rows_however_values_lie(spark, values):
+    order = [F.expr(v) for v in values]
+    assert most_in_a_range(spark.range(20_000).toDF("id"), order, 500) < 1500
+
+
+def test_pair_means_come_from_one_reading(spark, bronze):
+    from turnlake.operators.gold import match_totals
+    from turnlake.plans.report import match_outliers
+
+    got = match_outliers(match_totals(bronze))
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") == 1 and "Generate" not in plan
+
+
+def test_pair_means_of_matches_without_a_name(spark):
+    from turnlake.plans.report import match_outliers
+
+    rows = [("m1", "A", None, "b", 4, 2), ("m2", "A", None, "b", 1, 1), ("m3", "A", "a", "b", 0, 0)]
+    totals = spark.createDataFrame(
+        rows, "match_id string, seat string, player string, opponent string, payoff long, n_payoff long"
+    )
+    got = {r.match_id: (r.score_match, r.ecart) for r in match_outliers(totals).collect()}
+    assert got["m3"] == (None, None) and got["m1"][0] == 2.0
+    assert abs(got["m1"][1] - 1 / 3) < 1e-9 and abs(got["m2"][1] + 2 / 3) < 1e-9
 
 
 def test_unknown_moves_types_and_opponents_stay(spark):
@@ -119,7 +177,9 @@ def test_schedules_of_very_many_repeats_stay_small(spark):
 
 def test_schedule_pairs_every_agent_with_itself_and_later_ones(spark):
     rows = [r for a in AGENTS for r in seat_rows("m", "C", "C", a=a, b=a)]
-    agents = schedule.agent_order(log(spark, [*rows, *seat_rows("m", "C", "C", a="zz", b="aa")]))
+    turns = log(spark, [*rows, *seat_rows("m", "C", "C", a="zz", b="aa")])
+    agents = schedule.agent_order(turns)
+    assert same(agents, schedule.agent_order(turns, range_rows=2))
     order = [*AGENTS, "aa", "zz"]
     assert [r.agent_name for r in agents.orderBy("idx").collect()] == order
     planned = schedule.schedule(agents, 100, 3)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnlake.operators.skew import numbered
+from turnlake.operators.skew import RANGE_ROWS, numbered_by_range
 from turnlake.schemas import AGENTS
 
 
@@ -25,8 +25,11 @@ def match_id(a: Column, b: Column, n_turns: Column, repeat: Column) -> Column:
     )
 
 
-def agent_order(players: DataFrame) -> DataFrame:
-    """Distinct players of a log with their place: the known agents first, in their order."""
+def agent_order(players: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Distinct players of a log with their place: the known agents first, in their order.
+
+    A task orders about ``range_rows`` names, whatever they begin with.
+    """
     rank = F.coalesce(
         *[F.when(F.col("agent_name") == name, i) for i, name in enumerate(AGENTS)],
         F.lit(len(AGENTS)),
@@ -36,10 +39,7 @@ def agent_order(players: DataFrame) -> DataFrame:
         .where(F.col("agent_name").isNotNull())
         .distinct()
     )
-    # Names that share their first two letters form a block.
-    block = F.concat(F.lpad(rank.cast("string"), 2, "0"), F.substring("agent_name", 1, 2))
-    order = [rank, F.col("agent_name")]
-    return numbered(agents, [], order, block, "idx")
+    return numbered_by_range(agents, [], [rank, F.col("agent_name")], "idx", range_rows)
 
 
 def counted(df: DataFrame, first: Column, last: Column, name: str) -> DataFrame:

@@ -1,11 +1,17 @@
-"""Orders and joins that keep a key with very many rows out of a single task."""
+"""Orders that keep a key with very many rows out of a single task."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 64
+# Rows of a range, about, how many keys are sampled for each, and how many ranges there are at
+# most: their bounds are one array.
+RANGE_ROWS = 1 << 20
+RANGE_KEYS = 16
+MOST_RANGES = 1 << 16
+# Steps of a binary search among the bounds.
+_STEPS = [1 << k for k in range(16, -1, -1)]
 
 
 def numbered(
@@ -38,19 +44,51 @@ def numbered(
     )
 
 
-def salted_join(
-    rows: DataFrame,
-    table: DataFrame,
-    on: list[str],
-    salt: Column,
-    how: str = "left",
-    salts: int = SALTS,
+def with_range(
+    df: DataFrame, order: list[Column], name: str, range_rows: int = RANGE_ROWS
 ) -> DataFrame:
-    """Join on ``on``, with each key's rows spread over ``salts`` tasks.
+    """Add ``name``: the number of the range of ``order``, ascending, that a row falls into.
 
-    ``salt`` tells the rows of a key apart.
+    Ranges hold about ``range_rows`` rows each, however the values lie: their bounds are quantiles
+    of a sample of the keys, at most ``RANGE_KEYS * MOST_RANGES`` of them. The sample is taken by
+    hash, so every reading of the same rows gives the same ranges. Rows that are equal in all of
+    ``order`` share a range. Nulls come first; up to ``range_rows`` rows are one range.
     """
-    left = rows.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(salts)))
-    numbers = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
-    right = table.withColumn("_salt", F.explode(numbers))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
+    keys = df.select(key.alias("_key"))
+    n = keys.agg(F.count(F.lit(1))).scalar()
+    ranges = F.least(F.ceil(n / range_rows), F.lit(MOST_RANGES))
+    share = F.when(n > range_rows, ranges * RANGE_KEYS / n).otherwise(0.0)
+    sampled = keys.where(F.pmod(F.xxhash64("_key"), F.lit(1 << 40)) < share * float(1 << 40))
+    bounds = sampled.distinct().agg(
+        F.filter(
+            F.sort_array(F.collect_list("_key")),
+            lambda _, at: at % RANGE_KEYS == RANGE_KEYS - 1,
+        )
+    )
+    steps = ", ".join(str(step) for step in _STEPS)
+    # The bounds are looked up once: a second mention would copy them into every row.
+    search = f"""aggregate(array({steps}), 0, (at, step) ->
+        if(get(_bounds, at + step - 1) <= _key, at + step, at))"""
+    return (
+        df.withColumn("_key", key)
+        .withColumn("_bounds", bounds.scalar())
+        .withColumn(name, F.expr(search))
+        .drop("_key", "_bounds")
+    )
+
+
+def numbered_by_range(
+    df: DataFrame,
+    keys: list[str],
+    order: list[Column],
+    name: str,
+    range_rows: int = RANGE_ROWS,
+) -> DataFrame:
+    """``numbered`` for any values of ``order``, which is ascending with nulls first.
+
+    Ranges run through ``keys`` and ``order`` together, so a key with many rows falls into many
+    ranges, whether its rows lie close together or far apart.
+    """
+    ranged = with_range(df, [*[F.col(k) for k in keys], *order], "_range", range_rows)
+    return numbered(ranged, keys, order, F.col("_range"), name).drop("_range")

@@ -275,7 +275,10 @@ def mart_read_back(layers: Layers) -> DataFrame:
 
 
 def presented_marts(layers: Layers) -> DataFrame:
-    """Each mart's rows by their place in the order of presentation."""
+    """Each mart's rows by their place in the order of presentation.
+
+    Numbering reads a mart several times, so the marts are written first, as the pipeline does.
+    """
     marts = {
         "agg_agent_leaderboard": (layers.board, ["agent"]),
         "agg_matchup_matrix": (layers.matchup, ["player", "opponent"]),
@@ -284,7 +287,7 @@ def presented_marts(layers: Layers) -> DataFrame:
         "agg_persona_fidelity_by_opponent": (layers.fidelity_opp, ["persona", "opponent"]),
         "agg_reciprocity": (layers.reciprocity, ["agent", "agent_type"]),
     }
-    parts = [report.placed(mart, name, row) for name, (mart, row) in marts.items()]
+    parts = [report.placed(kept(mart, name), name, row) for name, (mart, row) in marts.items()]
     return reduce(DataFrame.unionByName, parts)
 
 

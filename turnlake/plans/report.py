@@ -6,12 +6,12 @@ compares its rows with are scalar subqueries, not joins.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnlake.functions.turns import named, ratio
 from turnlake.operators.gold import MEAN_PAYOFF
-from turnlake.operators.skew import numbered, salted_join
+from turnlake.operators.skew import RANGE_ROWS, numbered_by_range
 
 PHASE_TURNS = 10
 # Rule agents that the drift report shows beside the personas.
@@ -43,29 +43,18 @@ def presented(mart: DataFrame, name: str) -> DataFrame:
     return mart.orderBy(*_presentation(name))
 
 
-# What cuts the order of marts with more than a row per agent into blocks: leading columns of it.
-BLOCKS = {
-    "agg_matchup_matrix": {"player": "player"},
-    "agg_cooperation_over_time": {"agent": "agent", "turn": "turn div 100000"},
-    "agg_persona_fidelity_by_opponent": {"persona": "persona"},
-}
-
-
-def placed(mart: DataFrame, name: str, row: list[str]) -> DataFrame:
+def placed(
+    mart: DataFrame, name: str, row: list[str], range_rows: int = RANGE_ROWS
+) -> DataFrame:
     """(mart, row, place): the columns ``row`` as text, and their place in the presentation.
 
-    A task numbers one agent's rows, or 100,000 turns of them; in a mart with a row per agent, all.
+    A task numbers about ``range_rows`` rows of the mart.
     """
-    order = _presentation(name)
-    block = []
-    for column, value in BLOCKS.get(name, {}).items():
-        # Nulls come last. A struct that holds none is equal to itself in a join.
-        least = F.lit("" if value == column else 0)
-        block += [F.col(column).isNull().alias(f"{column}_null"), F.coalesce(F.expr(value), least).alias(column)]
-    if block:
-        rows = numbered(mart, [], order, F.struct(*block), "place")
-    else:
-        rows = mart.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    order = []
+    for key in PRESENTATION[name]:
+        column = F.col(key.removesuffix(" DESC"))
+        order += [column.isNull(), -column if key.endswith(" DESC") else column]
+    rows = numbered_by_range(mart, [], order, "place", range_rows)
     return rows.select(
         F.lit(name).alias("mart"),
         F.concat_ws("/", *[F.col(c).cast("string") for c in row]).alias("row"),
@@ -262,21 +251,25 @@ def repeat_stddev(totals: DataFrame) -> DataFrame:
     return per_repeat.groupBy(F.col("player").alias("agent")).agg(*named(spread))
 
 
-def rank_delta(totals: DataFrame, repeat: int = 1) -> DataFrame:
-    """Each agent's score and rank in one repeat and in all of them, and the changes."""
+def rank_delta(
+    totals: DataFrame, repeat: int = 1, range_rows: int = RANGE_ROWS
+) -> DataFrame:
+    """Each agent's score and rank in one repeat and in all of them, and the changes.
+
+    A task ranks about ``range_rows`` agents, however many have the same score.
+    """
 
     def in_one(column: str) -> str:
         return f"sum(CASE WHEN repeat = {repeat} THEN {column} END)"
 
     measures = {"one": ratio(in_one("payoff"), in_one("n_payoff")), "all": MEAN_PAYOFF}
     scores = totals.groupBy(F.col("player").alias("agent")).agg(*named(measures))
-    # Agents in steps of a thousandth of a point, best first, so that no task ranks them all.
-    ranked = numbered(
+    ranked = numbered_by_range(
         scores.unpivot(["agent"], ["one", "all"], "subset", "score").where("score IS NOT NULL"),
         ["subset"],
-        [F.col("score").desc(), F.col("agent")],
-        F.floor(F.col("score") * -1000),
+        [-F.col("score"), F.col("agent")],
         "rank",
+        range_rows,
     )
 
     def of(subset: str, value: str) -> str:
@@ -298,13 +291,18 @@ def rank_delta(totals: DataFrame, repeat: int = 1) -> DataFrame:
 def match_outliers(totals: DataFrame) -> DataFrame:
     """Mean score of each seat in each match, and its distance from the mean of that pair.
 
-    A few pairs hold all matches, so the pair means are joined with salt.
+    The totals are made once and serve both grains. A few pairs hold all matches: Spark broadcasts
+    the pair means where it finds them small, and else splits the hot pairs of the join.
     """
     mean = named({"score_paire": MEAN_PAYOFF})
     pairs = totals.groupBy("player", "opponent").agg(*mean)
     names = ["match_id", "seat", "player", "opponent"]
     matches = totals.selectExpr(*names, ratio("payoff", "n_payoff") + " AS score_match")
-    joined = salted_join(matches, pairs, ["player", "opponent"], F.col("match_id"))
+    # Without a condition on nulls, which would give the two sides different readings of the log.
+    same = F.expr("matches.player <=> pairs.player AND matches.opponent <=> pairs.opponent")
+    joined = matches.alias("matches").join(pairs.alias("pairs"), same, "left").select(
+        "matches.*", "score_paire"
+    )
     return joined.selectExpr(
         *names, "score_match", "score_paire", "score_match - score_paire AS ecart"
     )

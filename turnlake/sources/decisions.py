@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnlake.operators.schedule import match_id
-from turnlake.operators.skew import numbered
+from turnlake.operators.skew import RANGE_ROWS, numbered, numbered_by_range
 from turnlake.schemas import AGENTS
 
-# Length of the time slots in which a user's events are put in order.
-SLOT_SECONDS = 86_400
 EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
 # Users per block, about, when a pair's matches are numbered.
 USER_BLOCK = 1 << 20
@@ -63,18 +61,16 @@ _EVENT = "struct(event_id, ts, event_type, value)"
 _TURN = "CAST((rn + 1) div 2 AS INT) AS turn"
 
 
-def turn_pairs(events: DataFrame, slot_seconds: int = SLOT_SECONDS) -> DataFrame:
+def turn_pairs(events: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Rows (user_id, turn, a, b): each user's events two by two, by time and event id.
 
-    A trailing odd event has no partner and is dropped. Events are numbered by time slot, and
-    the two of a turn meet on (user, turn), so no task orders all events of a user with very
-    many.
+    A trailing odd event has no partner and is dropped. Events are numbered by ranges of user,
+    time and id, and the two of a turn meet on (user, turn), so no task orders all events of a
+    user with very many, nor those of one moment.
     """
-    since = f"CAST(ts - {EPOCH} AS INTERVAL SECOND)"
-    moment = F.expr(f"CAST({since} AS BIGINT) div {slot_seconds}")
     order = [F.col("ts"), F.col("event_id")]
     return (
-        numbered(events, ["user_id"], order, moment, "rn")
+        numbered_by_range(events, ["user_id"], order, "rn", range_rows)
         .selectExpr("user_id", _TURN, "rn % 2 = 1 AS is_a", f"{_EVENT} AS event")
         .groupBy("user_id", "turn")
         .agg(
@@ -114,7 +110,7 @@ def _decision(s: str) -> list[str]:
     return [f"{text.format(s=s)} AS {s}_{name}" for name, text in columns.items()]
 
 
-def paired_decisions(events: DataFrame, slot_seconds: int = SLOT_SECONDS) -> DataFrame:
+def paired_decisions(events: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """One row per turn with both seats' decisions (columns ``a_*`` and ``b_*``).
 
     Times with a zone are read in UTC, whatever the session's zone is.
@@ -126,7 +122,7 @@ def paired_decisions(events: DataFrame, slot_seconds: int = SLOT_SECONDS) -> Dat
         "user_id IS NOT NULL AND ts IS NOT NULL"
     )
     # A user with very many turns is one row of the matches: a join that Spark can split.
-    turns = turn_pairs(events, slot_seconds).join(matches(events), "user_id")
+    turns = turn_pairs(events, range_rows).join(matches(events), "user_id")
     moment = "replace(substring(CAST(a.ts AS STRING), 1, 19), ' ', 'T')"
     return turns.selectExpr(
         "*", *[f"{_INTENDED.format(s=s)} AS {s}_wish" for s in "ab"]
