@@ -132,6 +132,61 @@ def test_logs_without_snapshots_go_on(spark, tmp_path):
     assert same(turn_log.scan_turns(spark, path), log(spark, rows))
 
 
+def rows_read(df) -> int:
+    """What the scan hands on, after row groups and pages that cannot match are skipped."""
+    df.collect()
+    leaf = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return leaf.metrics().apply("numOutputRows").value()
+
+
+def many_turns(spark, n_matches: int, n_turns: int):
+    turns = spark.range(n_matches * n_turns).selectExpr(
+        f"md5(CAST(id div {n_turns} AS STRING)) AS match_id",
+        f"CAST(1 + id % {n_turns} AS INT) AS turn",
+        "'A' AS seat",
+        "'C' AS move",
+    )
+    return turn_log.conform(turns)
+
+
+@pytest.mark.parametrize("compacted", [False, True])
+def test_a_match_is_looked_up_in_few_rows(spark, tmp_path, compacted):
+    path, turns = str(tmp_path / "log"), many_turns(spark, 4000, 50)
+    for k in range(2):
+        part = turns.where(f"crc32(match_id) % 2 = {k}")
+        turn_log.append_unseen(part.repartition(8), path, f"load-{k}")
+    if compacted:
+        turn_log.compact(spark, path)
+    match = turns.first().match_id
+    found = turn_log.scan_match(spark, path, match)
+    assert same(found, turns.where(F.col("match_id") == match))
+    assert len({f.rsplit("/", 2)[1] for f in found.inputFiles()}) == 1  # one folder
+    assert rows_read(found) <= (20_000 if compacted else 100_000)
+    assert turn_log.scan_match(spark, path, "8" * 32).isEmpty()
+
+
+def test_files_tell_that_they_lack_a_match(spark, tmp_path):
+    """No index, and ids that lie between those of every file."""
+    path, turns = str(tmp_path / "log"), many_turns(spark, 60_000, 2)
+    turn_log.overwrite(turns.repartition(4, "match_id"), path)
+    assert rows_read(turn_log.scan_match(spark, path, "8" * 32)) == 0
+    match = turns.first().match_id
+    found = turn_log.scan_match(spark, path, match)
+    assert found.count() == 2 and rows_read(found) <= 30_000
+
+
+def test_look_up_of_turns_without_an_id(spark, tmp_path):
+    path, rows = str(tmp_path / "log"), seat_rows("m", "CD", "DD")
+    rows += [{**r, "match_id": None} for r in rows]
+    turn_log.append_unseen(log(spark, rows), path, "a")
+    for match, other in (("m", None), (None, "m")):
+        found = turn_log.scan_match(spark, path, match)
+        assert found.count() == 4 and found.schema == turn_log.TURNS
+        assert found.where(F.col("match_id").eqNullSafe(other)).isEmpty()
+    with pytest.raises(Exception):  # no log at all, as for any scan
+        turn_log.scan_match(spark, str(tmp_path / "none"), "m").collect()
+
+
 def test_compaction_keeps_rows_and_what_is_known(spark, tmp_path):
     path, rows = str(tmp_path / "log"), random_rows(14, gaps=True)
     for k in range(4):

@@ -41,6 +41,7 @@ LOADS = {
     "late_turns",
     "mart_read_back",
     "presented_marts",
+    "match_from_log",
     "rebuild_after_failure",
     "concurrent_loads",
     "compacted_log",

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from turnlake.operators import answers, bronze, fidelity, gold, quality, schedule, silver
 from turnlake.plans import pipeline, report
-from turnlake.schemas import AGENTS, TURN_KEY
+from turnlake.schemas import AGENTS, SILVER, TURN_KEY
 from turnlake.sources import stage, turn_log
 from turnlake.sources.decisions import paired_decisions
 from turnlake.sources.folders import checkpoint_folder, remove, remove_at_end
@@ -302,6 +302,21 @@ def match_replay(layers: Layers) -> DataFrame:
     return report.match_replay(layers.silver, match)
 
 
+def match_from_log(layers: Layers) -> DataFrame:
+    """The replay of a match that is looked up in a written silver log of two loads."""
+    spark = layers.spark
+    target = f"{checkpoint_folder(spark)}/turnlake/loads-{uuid.uuid4().hex}"
+    match = report.default_match(layers.bronze).first()[0]
+    try:
+        for load, turns in (("first", "repeat = 1"), ("rest", "NOT repeat <=> 1")):
+            turn_log.append_unseen(layers.bronze.where(turns), f"{target}/bronze", load)
+            pipeline.update_silver(spark, f"{target}/bronze", f"{target}/silver")
+        found = turn_log.scan_match(spark, f"{target}/silver", match, SILVER)
+        return kept(report.match_replay(found, F.lit(match)), "match")
+    finally:
+        remove(spark, target)
+
+
 QUERIES: dict[str, Callable[[Layers], DataFrame]] = {
     # Sources and loading
     "scan_turns": lambda x: x.bronze,
@@ -388,6 +403,7 @@ QUERIES: dict[str, Callable[[Layers], DataFrame]] = {
     "match_list": lambda x: report.match_list(x.bronze),
     "default_match": lambda x: report.default_match(x.bronze),
     "match_replay": match_replay,
+    "match_from_log": match_from_log,
     "move_sequence": lambda x: report.move_sequence(x.bronze),
     "matchup_pivot": lambda x: report.matchup_pivot(x.matchup, AGENTS),
     "presented_marts": presented_marts,

@@ -338,6 +338,12 @@ _PHASES = """
   FROM overtime, (SELECT max(turn) AS top FROM overtime)
   GROUP BY agent HAVING derive IS NOT NULL"""
 
+_REPLAY = """SELECT match_id, seat, player, turn, move, opponent_move, payoff,
+    own_cum_score, round_outcome,
+    CASE player_type WHEN 'llm' THEN raw_output END AS raw_output
+  FROM fact WHERE match_id = (SELECT coalesce(
+    min(match_id) FILTER (contains(match_id, 'persona')), min(match_id)) FROM bronze)"""
+
 
 def oracle_sql(
     schedule_turns: int, schedule_limit: int, shown_agents: list[str], sample_seed: int
@@ -568,14 +574,8 @@ def oracle_sql(
             """SELECT coalesce(min(match_id) FILTER (contains(match_id, 'persona')),
                                min(match_id)) AS match_id FROM bronze"""
         ),
-        "match_replay": _sql(
-            """SELECT match_id, seat, player, turn, move, opponent_move, payoff,
-                 own_cum_score, round_outcome,
-                 CASE player_type WHEN 'llm' THEN raw_output END AS raw_output
-               FROM fact WHERE match_id = (SELECT coalesce(
-                 min(match_id) FILTER (contains(match_id, 'persona')), min(match_id))
-                 FROM bronze)"""
-        ),
+        "match_replay": _sql(_REPLAY),
+        "match_from_log": _sql(_REPLAY),
         "move_sequence": _sql(
             """SELECT match_id, seat, CAST((turn - 1) // 100000 AS BIGINT) AS segment,
                  string_agg(move, '' ORDER BY turn) AS sequence

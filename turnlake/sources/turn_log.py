@@ -10,10 +10,16 @@ from turnlake.schemas import TURN_KEY, TURNS
 from turnlake.sources import snapshots
 from turnlake.sources.folders import names_in, remove
 from turnlake.sources.key_index import recorded_runs, without_recorded, write_index
+from turnlake.sources.sizing import sized_for
 from turnlake.sources.snapshots import Conflict, Entry
 
 # The load id of a log written as a whole.
 BASE = "base"
+# Files say by themselves whether they hold a match, with filters as large as their matches need.
+MATCH_FILTERS = {
+    "parquet.bloom.filter.enabled#match_id": "true",
+    "parquet.bloom.filter.adaptive.enabled": "true",
+}
 # How often a writer starts again because another one was faster.
 TRIES = 20
 
@@ -43,6 +49,26 @@ def read_entries(
     return spark.read.schema(schema).parquet(*folders).select(*schema.names)
 
 
+def scan_match(
+    spark: SparkSession, path: str, match_id: str | None, schema: T.StructType = TURNS
+) -> DataFrame:
+    """The rows of one match, at the cost of that match rather than of the log.
+
+    The key index names the folders that hold it; folders without an index are all looked into.
+    In those, statistics and filters of the files leave few row groups to read. The match of null
+    is the turns without an id; a match that the log lacks has no rows.
+    """
+    entries = snapshots.latest(spark, path).entries
+    same = F.col("match_id").eqNullSafe(F.lit(match_id).cast("string"))
+    wanted = spark.range(1).select(F.lit(match_id).cast("string").alias("match_id"))
+    runs = recorded_runs(wanted, path, [e for e in entries if e.keys])
+    hit = {r.folder for r in runs.where(same).select("folder").distinct().collect()}
+    held = [e for e in entries if not e.keys or e.folder in hit]
+    if entries and not held:
+        return spark.createDataFrame([], schema)
+    return read_entries(spark, path, schema, held).where(same)
+
+
 def typed(turns: DataFrame) -> DataFrame:
     """The log with ``played_at`` as a timestamp."""
     return turns.withColumn("played_at", F.to_timestamp("played_at"))
@@ -57,9 +83,13 @@ def existing_match_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_load(df: DataFrame, path: str, load_id: str | None) -> Entry:
-    """Write the folder of a load. It is no part of the log until a snapshot names it."""
+    """Write the folder of a load, each file in the order of its matches.
+
+    It is no part of the log until a snapshot names it.
+    """
     entry = Entry(load_id, snapshots.new_folder())
-    df.write.parquet(f"{path}/{entry.folder}")
+    rows = df.sortWithinPartitions("match_id")
+    rows.write.options(**MATCH_FILTERS).parquet(f"{path}/{entry.folder}")
     return entry
 
 
@@ -149,16 +179,18 @@ def append_unseen(incoming: DataFrame, path: str, load_id: str) -> None:
 
 
 def compact(spark: SparkSession, path: str, schema: T.StructType = TURNS) -> None:
-    """Fold the folders of a log into one, with one index.
+    """Fold the folders of a log into one, with one index and its files in the order of the matches.
 
-    Loads that come in meanwhile stay beside it. Repeating a load that was folded in adds nothing.
+    Files hold ranges of matches and, of very long matches, ranges of turns. Loads that come in meanwhile stay beside it. Repeating a load that was folded in adds nothing.
     """
     state = snapshots.latest(spark, path)
     if len(state.entries) < 2:
         return
     folded = {e.folder for e in state.entries}
-    entry = write_load(read_entries(spark, path, schema, state.entries), path, BASE)
-    entry = write_index(spark, path, entry)
+    rows = read_entries(spark, path, schema, state.entries).repartitionByRange(*TURN_KEY)
+    with sized_for(spark, path):
+        entry = write_load(rows.sortWithinPartitions(*TURN_KEY), path, BASE)
+        entry = write_index(spark, path, entry)
     for _ in range(TRIES):
         now = snapshots.latest(spark, path)
         present = {e.folder for e in now.entries}
