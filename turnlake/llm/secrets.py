@@ -3,12 +3,14 @@
 Three fixed patterns give the base spans. Beyond them, the text is lexed as source or
 configuration text: names, operators and literals become name-literal pairs for the forms
 ``name = "x"``, ``"name": "x"``, ``name => x``, ``export NAME=x``, ``--name x`` and
-``<name>x</name>``. A value may begin on a later line than its name and go on over lines: behind
+``<name>x</name>``, ``conf["name"] = "x"`` and ``f("name", "x")``; a PEM block is a pair of the label of
+its first line and its body. Strings may have a prefix, as in ``rb"x"``. A value may begin on a later line than its name and go on over lines: behind
 ``+``, in parentheses, in triple quotes, in a YAML block, in an element. A name whose value is
 another name takes the literal assigned to that name last before, or else first after it (constant
 propagation, also through concatenation of literals). A literal is a secret
 when, in any of its uses, the sensitivity of the name and the randomness of the value score
-enough together.
+enough together. A value with blanks is one only as a passphrase: three words or more with a
+digit, without the words of a sentence, under the name of a password.
 """
 
 from __future__ import annotations
@@ -51,7 +53,8 @@ LITERAL_LENGTH = 8
 
 LEXER = re.compile(
     r"""
-    (?P<string>"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+')
+    (?P<string>(?:(?<![\w.$/+-])(?:[bBfFrRuU]|[bBfF][rR]|[rR][bBfF])(?=["']))?
+        (?:"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'))
   | (?P<tag></?[A-Za-z_][\w.-]*>)
   | (?P<op>=>|:=|==|!=|<=|>=|[=:+,;(){}\[\]<])
   | (?P<block>[|>][-+0-9]{0,2}[\t ]*+(?:\#[^\n]*+)?\r?(?=\n))
@@ -62,12 +65,22 @@ LEXER = re.compile(
     re.VERBOSE,
 )
 ASSIGNS = {("op", o) for o in ("=", ":", ":=", "=>")}
+# A bare value: what may follow its first word without a blank.
+BARE = re.compile(r"[\w.$/+&!@\#%^*~?|-]+(?:={1,2}(?![\w=]))?")
+PEM = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{1,64})-----")
+PEM_BREAK = re.compile(r"\n|\\[rn]")
 # Quotes behind an even number of backslashes.
 PLAIN_QUOTE = {q: re.compile(rf"(?<!\\)(?:\\\\)*+{q}") for q in "\"'"}
 # What a text with an assignment holds at least.
-CANDIDATE = re.compile(r"[=:]|--[A-Za-z]|</")
+CANDIDATE = re.compile(r"""[=:]|--[A-Za-z]|</|\([rbfuRBFU]*["']""")
 TRIPLE = {q: re.compile(rf"(?<!\\)(?:\\\\)*+({q * 3})") for q in "\"'"}
 LINE = re.compile(r"[^\n]+")
+# Words of sentences, which a passphrase does without.
+SENTENCE = frozenset(
+    "a an and are at be by can cannot enter for from has have here in is it least may more must no "
+    "not of on only or please should than that the this to was will with your you".split()
+)
+PASSPHRASE_WORDS, PASSPHRASE_NAME = 3, 0.9
 NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 PLACEHOLDER = re.compile(r"(?i)x{4,}|\*{3,}|<.*>|\$\{.*\}|example|changeme|placeholder|your[_-]")
 
@@ -124,7 +137,8 @@ def without_open_quotes(text: str) -> str:
     return "\n".join(lines)
 
 
-Part = tuple[str, int, int, bool]
+# (text, start, end, the name that it may stand for); what is quoted stands for none.
+Part = tuple[str, int, int, str | None]
 
 
 class Lexed:
@@ -132,10 +146,14 @@ class Lexed:
 
     def __init__(self, text: str):
         self.text = text
-        found = LEXER.finditer(without_open_quotes(text))
-        self.tokens = [
-            (m.lastgroup, text[m.start() : m.end()], m.start(), m.end()) for m in found if m.lastgroup != "joined"
-        ]
+        self.tokens = []
+        for m in LEXER.finditer(without_open_quotes(text)):
+            start, end = m.span()
+            if m.lastgroup == "string":
+                while text[start] not in "\"'":  # a prefix
+                    start += 1
+            if m.lastgroup != "joined":
+                self.tokens.append((m.lastgroup, text[start:end], start, end))
         self.triples: dict[str, list[int]] = {}
 
     def kind(self, at: int) -> str:
@@ -159,7 +177,7 @@ class Lexed:
         for m in LINE.finditer(self.text, start, stop):
             if value := m.group().strip():
                 begin = m.start() + m.group().index(value)
-                out.append((value, begin, begin + len(value), True))
+                out.append((value, begin, begin + len(value), None))
         return out
 
     def triple_end(self, start: int, empty: str) -> int:
@@ -173,6 +191,13 @@ class Lexed:
         nearest = bisect_left(ends, start + 3)
         return ends[nearest] + 3 if nearest < len(ends) else 0
 
+    def bare_end(self, start: int) -> int:
+        """Where the unquoted value at a place ends; 0 where what follows makes it an expression."""
+        m = BARE.match(self.text, start)
+        if not m or self.text[m.end() : m.end() + 1] in {"(", "[", "{", "\"", "'", "`", "=", "<"}:
+            return 0
+        return m.end()
+
     def block(self, at: int) -> list[Part]:
         """The lines behind a block's sign that are indented more than the line of the sign."""
         _, _, start, end = self.tokens[at]
@@ -224,9 +249,12 @@ class Lexed:
                 while at < len(self.tokens) and self.tokens[at][2] < stop:
                     at += 1
             elif kind == "string":
-                parts.append((value[1:-1], start + 1, end - 1, True))
+                parts.append((value[1:-1], start + 1, end - 1, None))
             else:
-                parts.append((value, start, end, False))
+                end = max(end, self.bare_end(start))
+                parts.append((self.text[start:end], start, end, value))
+                while at < len(self.tokens) and self.tokens[at][2] < end:
+                    at += 1
             plus = self.behind_lines(at) if lines else at
             if self.op(plus) == "+":
                 behind = self.behind_lines(plus + 1) if lines else plus + 1
@@ -242,11 +270,29 @@ class Lexed:
         return parts, parts if own is None else own, at
 
 
+def pem_blocks(text: str) -> Iterator[tuple[str, list[Part]]]:
+    """(label, lines of the body) of PEM blocks, whose line breaks may be written as escapes."""
+    begin = None
+    for m in PEM.finditer(text):
+        if m[1] == "END" and begin and begin[2] == m[2]:
+            parts: list[Part] = []
+            start = begin.end()
+            for end, behind in [(b.start(), b.end()) for b in PEM_BREAK.finditer(text, start, m.start())] + [(m.start(),) * 2]:
+                line = text[start:end].strip()
+                if line and ":" not in line:
+                    at = text.index(line, start)
+                    parts.append((line, at, at + len(line), None))
+                start = behind
+            yield m[2], parts
+        begin = m if m[1] == "BEGIN" else None
+
+
 def assignments(text: str) -> Iterator[tuple[str, list[Part]]]:
-    """(name, parts of the value); a part is (text, start, end, whether a literal).
+    """(name, parts of the value).
 
     Of a value that goes on over lines, what its own line holds comes first, as a value by itself.
     """
+    yield from pem_blocks(text)
     if not CANDIDATE.search(text):
         return
     lexed = Lexed(text)
@@ -262,7 +308,7 @@ def assignments(text: str) -> Iterator[tuple[str, list[Part]]]:
             if closing and closing[1] == f"</{value[1:-1]}>":
                 stop = closing[2]
                 inner = text[end:stop]
-                yield value[1:-1], lexed.lines(end, stop) if "\n" in inner else [(inner, end, stop, True)]
+                yield value[1:-1], lexed.lines(end, stop) if "\n" in inner else [(inner, end, stop, None)]
             continue
         if kind not in ("string", "word"):
             continue
@@ -272,6 +318,10 @@ def assignments(text: str) -> Iterator[tuple[str, list[Part]]]:
             parts, own, at = lexed.value(i + 1, True)
         elif flag:
             parts, own, at = lexed.value(i, False)
+        elif kind == "string" and lexed.op(i) == "]" and lexed.assigns(i + 1):
+            parts, own, at = lexed.value(i + 2, True)
+        elif kind == "string" and lexed.op(i) == "," and i > 1 and lexed.op(i - 2) == "(":
+            parts, own, at = lexed.value(lexed.behind_lines(i + 1), False)
         else:
             continue
         if own and own != parts:
@@ -309,16 +359,16 @@ def literals_of(pairs: list[tuple[str, list[Part]]]) -> list[list[tuple[str, int
                 stack.pop()
                 continue
             begun.add(i)
-            parts = [(p, -1 if p[3] else source(p[0], i)) for p in pairs[i][1]]
+            parts = [(p, -1 if p[3] is None else source(p[3], i)) for p in pairs[i][1]]
             wanted = [k for _, k in parts if k >= 0 and found[k] is None and k not in begun]
             if wanted:
                 stack += wanted
                 continue
             literals = []
-            for (value, start, end, quoted), k in parts:
+            for (value, start, end, word), k in parts:
                 if known := found[k] if k >= 0 else None:
                     literals += known
-                elif quoted or any(c.isdigit() for c in value):
+                elif word is None or any(c.isdigit() for c in value):
                     literals.append((value, start, end))
             found[i] = list(dict.fromkeys(literals))
     return found
@@ -342,8 +392,10 @@ def is_secret(literal: str, score: float) -> bool:
     """Whether a literal that reaches a name of that score is a secret."""
     if len(literal) < LITERAL_LENGTH or score <= 0 or PLACEHOLDER.search(literal):
         return False
-    if re.search(r"\s", literal.strip()):
-        return False
+    words = literal.split()
+    if len(words) > 1:
+        phrase = len(words) >= PASSPHRASE_WORDS and any(c.isdigit() for c in literal)
+        return phrase and score >= PASSPHRASE_NAME and SENTENCE.isdisjoint(literal.lower().split())
     return score + randomness(literal) >= BAR
 
 
