@@ -75,7 +75,6 @@ def test_like_brute_force(spark, n, bar):
 
 def test_families_beyond_a_cell_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "CELL_TOKENS", 300)
-    monkeypatch.setattr(ngram_join, "PART_TOKENS", 50)
     rows = near_copies(9, families=2, members=30, shared=False)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert told(docs, 4, (85, 100)) == brute_force(rows, 4, (85, 100))
@@ -163,3 +162,18 @@ def test_components(spark):
             root[y] = x
     got = {r.node: r.root for r in connected(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {i: find(i) for i in root}
+
+
+def test_a_set_gives_its_prefix_once_a_batch():
+    texts = ["a b c d e f", "", "x y", "A  b c d e f", None, "a b c d e g"]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(6), pa.int64()), pa.array([0] * 6, pa.int64()), pa.array(texts)],
+        names=["_id", "_mark", "_text"],
+    )
+    (rows,) = ngram_join.class_rows(3, (4, 5))([batch])
+    got = rows.to_pydict()
+    assert got["_n"] == [4, 0, 1, 4, 0, 4] and got["_set"][0] == got["_set"][3]
+    tokens = [t.view(np.int64).tolist() for t in ngram_join.ngram_sets(pa.array(texts), 3)]
+    want = [t[: ngram_join.prefix_size(len(t), 4, 5)] if t else None for t in tokens]
+    want[3] = None
+    assert got["_prefix"] == want

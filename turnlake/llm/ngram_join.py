@@ -2,8 +2,10 @@
 
 1. Each text becomes the set of its n-grams, as 64-bit hashes. Equal sets are one class.
 2. Prefix filter. Two sets of similarity t share at least ``need`` of their
-   ``size - ceil(t * size) + need`` smallest hashes. Only those prefixes are shuffled, packed
-   by range of hashes; a class stays if ``need`` of its prefix occur in another class.
+   ``size - ceil(t * size) + need`` smallest hashes. Only those prefixes are shuffled, one for
+   each class. Tokens are counted with partial sums before the shuffle, and the counts of those
+   in several classes are joined to the prefixes, where Spark can split a token of very many
+   classes; a class stays if ``need`` of its prefix occur in another class.
 3. Of a class's prefix, ordered rarest first, one of the first tokens must occur in each of
    its partners. Classes joined by such tokens are a family: links exist inside families only.
 4. The sets of a family meet in a prefix tree (``prefix_trie``). A family beyond
@@ -31,8 +33,7 @@ from turnlake.llm.prefix_trie import join_sets
 from turnlake.llm.store import named, text_batches, whole_row, written
 from turnlake.llm.textbytes import shingle_hashes, text_chunks, word_hashes
 
-# Prefix tokens that a counting task gets, and tokens of the sets in a block of a family.
-PART_TOKENS = 500_000
+# Tokens of the sets in a block of a family.
 CELL_TOKENS = 2_000_000
 
 
@@ -61,71 +62,40 @@ def prefix_size(size, part: int, whole: int):
     return size - -(-size * part // whole) + need(size, part, whole)
 
 
-def class_rows(n: int):
-    """(id, mark, text) to (id, mark, size, set); the set's id is null for texts without words."""
+def class_rows(n: int, bar: tuple[int, int]):
+    """(id, mark, text) to (id, mark, size, set, prefix).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [(len(t), set_id(t) if len(t) else None) for t in ngram_sets(batch.column(2), n)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns[:2],
-                    pa.array([s for s, _ in sets], pa.int64()),
-                    pa.array([i for _, i in sets], pa.int64()),
-                ],
-                names=["_id", "_mark", "_n", "_set"],
-            )
-
-    return run
-
-
-def packed_prefixes(n: int, bar: tuple[int, int], parts: int):
-    """Texts to (part, tokens, sets): the prefixes of a batch's classes by range of hashes."""
+    The set's id is null for texts without words; the prefix comes with the first row that a batch
+    has of a set.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, owners, seen = [], [], set()
-            for t in ngram_sets(batch.column(0), n):
-                if len(t) and (owner := set_id(t)) not in seen:
-                    seen.add(owner)
-                    t = t[: prefix_size(len(t), *bar)]
-                    tokens.append(t)
-                    owners.append(np.full(len(t), owner, np.int64))
-            if not tokens:
-                continue
-            token, owner = np.concatenate(tokens), np.concatenate(owners)
-            part = ((token >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            token, owner, part = token[order].astype(np.uint32), owner[order], part[order]
-            at = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-            ends = np.append(at[1:], len(part))
+            sizes, sets, prefixes, lengths, seen = [], [], [], [], set()
+            for t in ngram_sets(batch.column(2), n):
+                owner = set_id(t) if len(t) else None
+                first = owner is not None and owner not in seen
+                seen.add(owner)
+                sizes.append(len(t))
+                sets.append(owner)
+                lengths.append(prefix_size(len(t), *bar) if first else 0)
+                prefixes.append(t[: lengths[-1]])
+            ends = np.cumsum([0, *lengths]).astype(np.int32)
+            tokens = np.concatenate([*prefixes, np.empty(0, np.uint64)]).view(np.int64)
+            none = pa.array([length == 0 for length in lengths], pa.bool_())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(part[at], pa.int64()),
-                    pa.array([token[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary()),
-                    pa.array([owner[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary()),
+                    *batch.columns[:2],
+                    pa.array(sizes, pa.int64()),
+                    pa.array(sets, pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens), mask=none),
                 ],
-                names=["_part", "_tokens", "_sets"],
+                names=["_id", "_mark", "_n", "_set", "_prefix"],
             )
 
     return run
 
 
-def shared_tokens(key, table):
-    """Of one part: (set, token, df) for tokens that occur in several classes."""
-    token = np.frombuffer(b"".join(table["_tokens"].to_pylist()), np.uint32)
-    owner = np.frombuffer(b"".join(table["_sets"].to_pylist()), np.int64)
-    order = np.lexsort((owner, token))
-    token, owner = token[order], owner[order]
-    first = np.append(True, (token[1:] != token[:-1]) | (owner[1:] != owner[:-1]))
-    token, owner = token[first], owner[first]
-    _, at, df = np.unique(token, return_inverse=True, return_counts=True)
-    df = df[at]
-    many = df > 1
-    whole = token[many].astype(np.int64) | (key[0].as_py() << 32)
-    return pa.table({"_set": owner[many], "_token": whole, "_df": df[many].astype(np.int64)})
-
-
 def family_sets(n: int):
     """(family, set, size, copies, text) to the same with the set's tokens for the text."""
 
@@ -189,23 +159,25 @@ def linked_rows(
     fields = [
         T.StructField("_id", id_type),
         *[T.StructField(c, T.LongType()) for c in ("_mark", "_n", "_set")],
+        T.StructField("_prefix", T.ArrayType(T.LongType())),
     ]
     marked = texts.select("_id", F.xxhash64("_text").alias("_mark"), "_text")
-    rows = written(marked.mapInArrow(class_rows(n), T.StructType(fields)), "classes")
+    rows = written(marked.mapInArrow(class_rows(n, bar), T.StructType(fields)), "classes")
     classes = written(
         rows.where("_set IS NOT NULL")
         .groupBy("_set")
-        .agg(F.max("_n").alias("_n"), F.min("_id").alias("_least"), F.count("*").alias("_copies")),
+        .agg(
+            F.max("_n").alias("_n"),
+            F.min("_id").alias("_least"),
+            F.count("*").alias("_copies"),
+            F.any_value("_prefix", True).alias("_prefix"),
+        ),
         "sets",
     )
-    pairs_possible = classes.agg(F.sum("_n")).first()[0] or 0
-    parts = 1 + int(2 * pairs_possible * (whole - part) / whole) // PART_TOKENS
-    prefixes = texts.select("_text").mapInArrow(
-        packed_prefixes(n, bar, parts), "_part long, _tokens binary, _sets binary"
-    )
-    shared = prefixes.groupBy("_part").applyInArrow(
-        shared_tokens, "_set long, _token long, _df long"
-    )
+    prefixes = classes.select("_set", F.explode("_prefix").alias("_token"))
+    classes = classes.drop("_prefix")
+    counts = prefixes.groupBy("_token").agg(F.count("*").alias("_df")).where("_df > 1")
+    shared = prefixes.join(counts, "_token")
     wanted = F.greatest(F.lit(1), F.expr(f"_n * {whole - part} div {whole}"))
     kept = (
         shared.groupBy("_set")
@@ -267,7 +239,7 @@ def linked_rows(
         "_component",
         (F.coalesce("_links", F.lit(0)) + F.col("_copies") - 1).alias("_links"),
     )
-    return rows.join(found, "_set", "left").drop("_set")
+    return rows.drop("_prefix").join(found, "_set", "left").drop("_set")
 
 
 def ngram_classes(
