@@ -83,12 +83,12 @@ def existing_match_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_load(df: DataFrame, path: str, load_id: str | None) -> Entry:
-    """Write the folder of a load, each file in the order of its matches.
+    """Write the folder of a load, each file in the order of its matches where rows have any.
 
     It is no part of the log until a snapshot names it.
     """
     entry = Entry(load_id, snapshots.new_folder())
-    rows = df.sortWithinPartitions("match_id")
+    rows = df.sortWithinPartitions("match_id") if "match_id" in df.columns else df
     rows.write.options(**MATCH_FILTERS).parquet(f"{path}/{entry.folder}")
     return entry
 
