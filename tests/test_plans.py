@@ -7,6 +7,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import FOLDER
 from games import log, random_rows, seat_rows
@@ -46,6 +47,7 @@ LOADS = {
     "concurrent_loads",
     "compacted_log",
     "silver_by_load",
+    "match_counts_by_load",
 }
 
 
@@ -224,7 +226,33 @@ def test_pivot_shows_agents_beyond_the_known_ones(spark):
     matrix = gold.matchup_matrix(gold.match_totals(turns))
     assert set(report.matchup_pivot(matrix).columns) == {"player", "newcomer", "random"}
     rows = {r.player: r for r in report.matchup_pivot(matrix, ["random"]).collect()}
-    assert rows["random"].others == "newcomer=3.0" and rows["newcomer"].others is None
+    assert (rows["random"].n_others, rows["newcomer"].n_others) == (1, 0)
+
+
+@pytest.mark.parametrize("width", [1, 7, 1000])
+def test_heat_map_rows_hold_any_number_of_agents(spark, width):
+    agents = [f"agent{k:03}" for k in range(40)]
+    cells = {(a, b): (i * 7 + j) % 11 / 3 for i, a in enumerate(agents) for j, b in enumerate(agents) if (i + j) % 3}
+    cells[agents[0], agents[1]] = None  # a pair without a gain
+    rows = [(a, b, score) for (a, b), score in cells.items()] + [(None, "agent001", 1.0), ("agent001", None, 1.0)]
+    mart = spark.createDataFrame(rows, "player string, opponent string, score_moyen_par_tour double")
+    parts = report.heat_map_rows(mart, width, range_rows=5).collect()
+    assert max(len(r.scores) for r in parts) <= width
+    assert {(r.player, o): s for r in parts for o, s in r.scores.items()} == cells
+    assert all(agents.index(o) // width == r.part for r in parts for o in r.scores)
+    told = report.heat_map_cells(report.heat_map_rows(mart, width)).collect()
+    assert {(r.player, r.opponent): r.score_moyen_par_tour for r in told} == cells
+    assert report.heat_map_rows(mart.limit(0)).count() == 0
+
+
+def test_strict_picks_ignore_missing_values(spark):
+    rows = [("p", "stricte", 0.5, None), ("a", "stricte", 0.9, 0.4), ("b", "stricte", 0.9, 0.1), ("c", "souple", 1.0, 0.0), ("d", "stricte", None, 0.1)]
+    mart = spark.createDataFrame(rows, "persona string, equivalence string, fidelite double, riposte_attendue_respectee double")
+    shown = report.strict_fidelity(mart.withColumn("coded_equivalent", F.lit("r")))
+    got = {r.persona: (r.is_most_faithful, r.is_least_retaliating) for r in shown.collect()}
+    assert got == {"p": (False, False), "a": (True, False), "b": (False, True), "d": (False, False)}
+    nothing = report.strict_fidelity(mart.where("persona = 'p'").withColumn("coded_equivalent", F.lit("r")))
+    assert [(r.is_most_faithful, r.is_least_retaliating) for r in nothing.collect()] == [(True, False)]
 
 
 def test_presentation_of_every_mart(spark):

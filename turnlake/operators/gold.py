@@ -8,8 +8,10 @@ rates are exact quotients of counts.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from turnlake.functions.turns import OUTCOME, named, phi, ratio, surrogate_key
+from turnlake.operators.match_counts import distinct_matches
 from turnlake.schemas import OUTCOMES, TURN_KEY
 
 
@@ -81,12 +83,30 @@ MEAN_PAYOFF = ratio("sum(payoff)", "sum(n_payoff)")
 COOP_RATE = ratio("sum(n_coop)", "sum(n)")
 
 
-def leaderboard(totals: DataFrame, seed: DataFrame) -> DataFrame:
+def _with_matches(
+    totals: DataFrame, keys: list[str], measures: dict[str, str], bitmaps: DataFrame | None
+) -> DataFrame:
+    """Measures per key; matches come from kept bitmaps, or by comparing the ids of the totals."""
+    if bitmaps is None:
+        return totals.groupBy(*keys).agg(*named(measures))
+    rest = {name: text for name, text in measures.items() if name != "n_matches"}
+    rows = totals.groupBy(*keys).agg(*named(rest)).alias("rows")
+    counts = distinct_matches(bitmaps, keys).alias("counts")
+    same = " AND ".join(f"rows.{k} <=> counts.{k}" for k in keys)
+    n = F.coalesce("n_matches", F.lit(0).cast("long")).alias("n_matches")
+    joined = rows.join(counts, F.expr(same), "left").select("rows.*", n)
+    return joined.select(*keys, *measures)
+
+
+def leaderboard(
+    totals: DataFrame, seed: DataFrame, bitmaps: DataFrame | None = None
+) -> DataFrame:
     """Score, cooperation, forgiveness and retaliation per agent.
 
     The type is the seed's, NULL for agents outside it. Aggregating by player first leaves
     one row per agent for the join. A self-play match counts once as a match, and both its
-    seats count as turns.
+    seats count as turns. With ``bitmaps`` of the same log (``sources.match_state``) matches are
+    counted by those, and no match ids are shuffled.
     """
     measures = {
         "n_turns_joues": "sum(n)",
@@ -98,20 +118,21 @@ def leaderboard(totals: DataFrame, seed: DataFrame) -> DataFrame:
         "taux_riposte": ratio("sum(n_retaliated)", "sum(n_betrayed)"),
         "temps_moyen_reponse_s": ratio("sum(response_time)", "sum(n_response_time)"),
     }
-    per_agent = totals.groupBy("player").agg(*named(measures))
+    per_agent = _with_matches(totals, ["player"], measures, bitmaps)
     types = seed.selectExpr("agent_name AS player", "agent_type")
     return per_agent.join(types, "player", "left").selectExpr(
         "player AS agent", "agent_type", *measures
     )
 
 
-def matchup_matrix(totals: DataFrame) -> DataFrame:
+def matchup_matrix(totals: DataFrame, bitmaps: DataFrame | None = None) -> DataFrame:
+    """Matches, score and cooperation per ordered pair; ``bitmaps`` as for the leaderboard."""
     measures = {
         "n_matches": "count(DISTINCT match_id)",
         "score_moyen_par_tour": MEAN_PAYOFF,
         "taux_cooperation": COOP_RATE,
     }
-    return totals.groupBy("player", "opponent").agg(*named(measures))
+    return _with_matches(totals, ["player", "opponent"], measures, bitmaps)
 
 
 def coop_over_time(turns: DataFrame) -> DataFrame:

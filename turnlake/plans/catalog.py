@@ -17,18 +17,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnlake.operators import answers, bronze, fidelity, gold, quality, schedule, silver
+from turnlake.operators.match_counts import distinct_matches
 from turnlake.plans import pipeline, report
 from turnlake.schemas import AGENTS, SILVER, TURN_KEY
 from turnlake.sources import stage, turn_log
 from turnlake.sources.decisions import paired_decisions
 from turnlake.sources.folders import checkpoint_folder, remove, remove_at_end
 from turnlake.sources.layers import as_table
+from turnlake.sources.match_state import update_match_state
 from turnlake.sources.seed import seed_agents
 from turnlake.streaming.ingest import load_arrivals
 
 SCHEDULE_TURNS = 33
 SCHEDULE_LIMIT = 12
 SAMPLE_SEED = 42
+HEAT_MAP_WIDTH = 4
 SHOWN_AGENTS = ["tit_for_tat", "grim_trigger", "persona_calculateur"]
 
 
@@ -261,6 +264,30 @@ def silver_by_load(layers: Layers) -> DataFrame:
         remove(spark, target)
 
 
+def match_counts_by_load(layers: Layers) -> DataFrame:
+    """Distinct matches per pair, per agent and of the log, from bitmaps that three loads add to.
+
+    The third load brings late turns of matches that the first one numbered.
+    """
+    spark = layers.spark
+    target = f"{checkpoint_folder(spark)}/turnlake/loads-{uuid.uuid4().hex}"
+    parts = ["repeat = 1 AND turn % 5 > 0", "repeat > 1", "repeat = 1 AND turn % 5 = 0"]
+    try:
+        for k, turns in enumerate(parts):
+            turn_log.append_unseen(layers.bronze.where(turns), f"{target}/bronze", f"load-{k}")
+            bitmaps = update_match_state(spark, f"{target}/bronze", f"{target}/matches")
+        bitmaps = kept(bitmaps, "matches")
+    finally:
+        remove(spark, target)
+    grains = {"pair": ["player", "opponent"], "agent": ["player"], "log": []}
+    parts = []
+    for grain, keys in grains.items():
+        absent = {c: F.lit(None).cast("string") for c in grains["pair"] if c not in keys}
+        counts = distinct_matches(bitmaps, keys).withColumns({**absent, "grain": F.lit(grain)})
+        parts.append(counts.select("grain", "player", "opponent", "n_matches"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def typed_turns(turns: DataFrame) -> DataFrame:
     """The typed view, its timestamp shown as seconds."""
     return keyed(turn_log.typed(turns), F.unix_timestamp("played_at").alias("played_at_s"))
@@ -330,6 +357,7 @@ QUERIES: dict[str, Callable[[Layers], DataFrame]] = {
     "concurrent_loads": concurrent_loads,
     "compacted_log": compacted_log,
     "silver_by_load": silver_by_load,
+    "match_counts_by_load": match_counts_by_load,
     "typed_turns": lambda x: typed_turns(x.bronze),
     "mart_read_back": mart_read_back,
     # Relation builders
@@ -406,6 +434,9 @@ QUERIES: dict[str, Callable[[Layers], DataFrame]] = {
     "match_from_log": match_from_log,
     "move_sequence": lambda x: report.move_sequence(x.bronze),
     "matchup_pivot": lambda x: report.matchup_pivot(x.matchup, AGENTS),
+    "matchup_heat_map": lambda x: report.heat_map_cells(
+        report.heat_map_rows(x.matchup, HEAT_MAP_WIDTH)
+    ),
     "presented_marts": presented_marts,
     "fidelity_heatmap": lambda x: report.fidelity_heatmap(x.fidelity_opp),
     "llm_vs_coded_gap": lambda x: report.persona_gaps(x.versus),

@@ -240,10 +240,7 @@ def _scheduled(n_turns: int, select: str) -> str:
 def _pivot(row: str, column: str, value: str, table: str) -> str:
     cells = ", ".join(f"max({value}) FILTER ({column} = '{a}') AS {a}" for a in AGENTS)
     listed = ", ".join(f"'{a}'" for a in AGENTS)
-    others = (
-        f"string_agg({column} || '=' || {value}, ', ' ORDER BY {column})"
-        f" FILTER ({column} NOT IN ({listed})) AS others"
-    )
+    others = f"count(*) FILTER ({column} NOT IN ({listed})) AS n_others"
     return f"SELECT {row}, {cells}, {others} FROM {table} GROUP BY {row}"
 
 
@@ -584,6 +581,18 @@ def oracle_sql(
         "matchup_pivot": _sql(
             _pivot("player", "opponent", "score_moyen_par_tour", "matchup")
         ),
+        "matchup_heat_map": _sql(
+            """SELECT player, opponent, (place - 1) // 4 AS part, score_moyen_par_tour
+               FROM matchup JOIN (SELECT opponent, row_number() OVER (ORDER BY opponent) AS place
+                                  FROM (SELECT DISTINCT opponent FROM matchup)) USING (opponent)"""
+        ),
+        "match_counts_by_load": _sql(
+            """SELECT 'pair' AS grain, player, opponent, count(DISTINCT match_id) AS n_matches
+               FROM bronze GROUP BY ALL
+               UNION ALL SELECT 'agent', player, NULL, count(DISTINCT match_id)
+               FROM bronze GROUP BY ALL
+               UNION ALL SELECT 'log', NULL, NULL, count(DISTINCT match_id) FROM bronze"""
+        ),
         "fidelity_heatmap": _sql(
             """SELECT persona, opponent, fidelite FROM fidelity_opp
                WHERE fidelite IS NOT NULL"""

@@ -15,6 +15,7 @@ from turnlake.sources import snapshots
 from turnlake.sources.folders import remove
 from turnlake.sources.key_index import recorded_runs
 from turnlake.sources.layers import as_table, as_view
+from turnlake.sources.match_state import match_state
 from turnlake.sources.seed import seed_agents
 from turnlake.sources.sizing import sized_for
 from turnlake.sources.snapshots import Conflict, Entry
@@ -107,11 +108,16 @@ def _changed_folders(
 
 
 def marts(
-    fact: DataFrame, totals: DataFrame, followed: DataFrame, board: DataFrame, seed: DataFrame
+    fact: DataFrame,
+    totals: DataFrame,
+    followed: DataFrame,
+    board: DataFrame,
+    seed: DataFrame,
+    bitmaps: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """The other six marts, from the fact, the two tables of counts and the leaderboard."""
     return {
-        "agg_matchup_matrix": gold.matchup_matrix(totals),
+        "agg_matchup_matrix": gold.matchup_matrix(totals, bitmaps),
         "agg_cooperation_over_time": gold.coop_over_time(fact),
         "agg_llm_vs_coded": gold.llm_vs_coded(board, seed),
         "agg_persona_fidelity": fidelity.persona_fidelity(followed),
@@ -121,14 +127,21 @@ def marts(
 
 
 def build_gold(
-    spark: SparkSession, silver: str, root: str, seed_path: str | None = None
+    spark: SparkSession,
+    silver: str,
+    root: str,
+    seed_path: str | None = None,
+    match_counts: str | None = None,
 ) -> dict[str, DataFrame]:
     """Rebuild staging view, fact, dimension and marts under ``root``; return the tables.
 
-    The fact is read three times: for the totals per match, for the fidelity counts and for
-    cooperation over time. Everything else reads the written counts.
+    ``match_counts`` is the path of a match state that ``update_match_state`` has brought up to the
+    same log; matches are then counted by its bitmaps. The fact is read three times: for the totals
+    per match, for the fidelity counts and for cooperation over time. Everything else reads the
+    written counts.
     """
     seed = seed_agents(spark, seed_path)
+    bitmaps = match_state(spark, match_counts) if match_counts else None
     turns = as_view(spark, STAGING, "stg_turns", STAGING_COLUMNS, silver)
 
     def table(df: DataFrame, name: str) -> DataFrame:
@@ -142,9 +155,9 @@ def build_gold(
         tables = {"fct_turns": fact}
         # The totals list every player of the log.
         tables["dim_agent"] = table(gold.dim_agent(totals, seed), "dim_agent")
-        board = table(gold.leaderboard(totals, seed), "agg_agent_leaderboard")
+        board = table(gold.leaderboard(totals, seed, bitmaps), "agg_agent_leaderboard")
         tables["agg_agent_leaderboard"] = board
-        for name, mart in marts(fact, totals, followed, board, seed).items():
+        for name, mart in marts(fact, totals, followed, board, seed, bitmaps).items():
             tables[name] = table(mart, name)
     return tables
 

@@ -14,6 +14,8 @@ from turnlake.operators.gold import MEAN_PAYOFF
 from turnlake.operators.skew import RANGE_ROWS, numbered_by_range
 
 PHASE_TURNS = 10
+# Opponents in one part of the heat map's rows.
+HEAT_MAP_COLUMNS = 1024
 # Rule agents that the drift report shows beside the personas.
 DRIFT_RULES = ["tit_for_tat", "grim_trigger"]
 REPLAY_COLUMNS = ["turn", "move", "opponent_move", "payoff", "own_cum_score", "round_outcome"]
@@ -123,21 +125,25 @@ def strict_fidelity(fidelity: DataFrame) -> DataFrame:
     """Personas meant to follow a rule strictly, with the most faithful one and the one that
     least often defects where its rule demands it.
 
-    The window holds one row per strict persona, all of which the seed lists.
+    Both picks come from one row of the mart's minima, so personas are in no common window.
     """
+    strict = fidelity.where("equivalence = 'stricte'")
 
     def first(value: str, order: str) -> str:
-        ranked = f"CASE WHEN {value} IS NOT NULL THEN struct({order} AS o, persona) END"
-        return f"persona = (min({ranked}) OVER (PARTITION BY equivalence)).persona"
+        return f"min(CASE WHEN {value} IS NOT NULL THEN struct({order} AS o, persona) END).persona"
 
-    return fidelity.where("equivalence = 'stricte'").selectExpr(
+    picks = {
+        "faithful": first("fidelite", "-fidelite"),
+        "least": first("riposte_attendue_respectee", "riposte_attendue_respectee"),
+    }
+    found = strict.agg(F.struct(*named(picks))).scalar()
+    return strict.select(
         "persona",
         "coded_equivalent",
         "fidelite",
         "riposte_attendue_respectee",
-        first("fidelite", "-fidelite") + " AS is_most_faithful",
-        first("riposte_attendue_respectee", "riposte_attendue_respectee")
-        + " AS is_least_retaliating",
+        F.col("persona").eqNullSafe(found.getField("faithful")).alias("is_most_faithful"),
+        F.col("persona").eqNullSafe(found.getField("least")).alias("is_least_retaliating"),
     )
 
 
@@ -212,17 +218,41 @@ def move_sequence(turns: DataFrame, segment_turns: int = 100_000) -> DataFrame:
 def matchup_pivot(mart: DataFrame, opponents: list[str] | None = None) -> DataFrame:
     """Mean scores with one column per opponent; all opponents of the mart by default.
 
-    With a list, scores against opponents outside it are not lost: the column ``others`` holds
-    them as text, "opponent=score" by name, NULL where there are none.
+    With a list, ``n_others`` counts the opponents outside it; ``heat_map_rows`` has their scores.
     """
     score = "score_moyen_par_tour"
     if opponents is None:
         return mart.groupBy("player").pivot("opponent").agg(F.first(score))
     columns = [F.max(F.when(F.col("opponent") == o, F.col(score))).alias(o) for o in opponents]
-    pair = F.concat("opponent", F.lit("="), F.col(score).cast("string"))
-    outside = F.collect_list(F.when(~F.col("opponent").isin(opponents), pair))
-    others = F.nullif(F.array_join(F.array_sort(outside), ", "), F.lit(""))
-    return mart.groupBy("player").agg(*columns, others.alias("others"))
+    outside = F.count_if(~F.col("opponent").isin(opponents))
+    return mart.groupBy("player").agg(*columns, outside.alias("n_others"))
+
+
+def heat_map_rows(
+    mart: DataFrame, width: int = HEAT_MAP_COLUMNS, range_rows: int = RANGE_ROWS
+) -> DataFrame:
+    """(player, part, scores): the matchup heat map for any number of agents, as numbers.
+
+    Opponents are numbered by name, and part k holds the scores against those from
+    ``k * width + 1`` on as a map by opponent, the same ones for every player. So a map has at
+    most ``width`` entries however many agents there are. Pairs that never met have no entry,
+    and rows without a player or an opponent are left out.
+    """
+    cells = mart.where("player IS NOT NULL AND opponent IS NOT NULL")
+    opponents = numbered_by_range(
+        cells.select("opponent").distinct(), [], [F.col("opponent")], "_place", range_rows
+    )
+    part = F.expr(f"(_place - 1) div {width}").alias("part")
+    placed = cells.join(opponents.select("opponent", part), "opponent")
+    entry = F.struct("opponent", "score_moyen_par_tour")
+    scores = F.map_from_entries(F.array_sort(F.collect_list(entry)))
+    return placed.groupBy("player", "part").agg(scores.alias("scores"))
+
+
+def heat_map_cells(rows: DataFrame) -> DataFrame:
+    """(player, opponent, part, score_moyen_par_tour): the cells of ``heat_map_rows``, one a row."""
+    cell = F.explode("scores").alias("opponent", "score_moyen_par_tour")
+    return rows.select("player", "part", cell)
 
 
 def fidelity_heatmap(mart: DataFrame) -> DataFrame:
