@@ -320,3 +320,36 @@ def test_small_and_large_vectors_have_the_same_neighbours(spark):
         df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
         found.append({q: [i for i, _ in v] for q, v in told(hash_search.neighbours(df)).items()})
     assert found[0] == found[1] == found[2]
+
+
+def test_radius_holds_the_share_of_neighbours_among_all_rows(spark, monkeypatch):
+    """The few rows asked are compared with every row, in whatever batches those come."""
+    monkeypatch.setattr(hash_search, "SAMPLE_ROWS", 100)
+    monkeypatch.setattr(hash_search, "PROBE_ROWS", 30)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "_id long, _vector array<double>")
+    model = hash_search.learn(spark, df.repartition(5), 10)
+    scale, n = float(np.linalg.norm(x, axis=1).max()), len(x)
+    sample = [r._id for r in df.where(hash_search.hashed_below(hash_search.F.xxhash64("_id"), 100 / n)).orderBy("_id").collect()]
+    asked = sample[:: -(-len(sample) // 30)]
+    stored = hash_search.codes_of(hash_search.on_sphere(x, scale), model["rotations"])
+    codes = hash_search.codes_of(hash_search.query_points(x), model["rotations"])
+    bits = []
+    for q in asked:
+        product = x @ x[q]
+        product[q] = -np.inf
+        bits += hash_search.hamming(stored[np.argsort(-product)[:10]], codes[q]).tolist()
+    assert 20 <= len(asked) <= 30
+    assert model["radius"] == sorted(bits)[int(np.ceil(hash_search.RECALL * len(bits))) - 1]
+
+
+def test_denser_vectors_narrow_the_radius(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(8000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found = []
+    for n in (500, 8000):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:n])], "_id long, _vector array<double>")
+        found.append(hash_search.learn(spark, df)["radius"])
+    assert found[1] < found[0]

@@ -12,8 +12,9 @@ near it in at least one substring, so every code within the radius is retrieved.
 retrieved is checked by its whole code and ranked by the inner product of the original vectors.
 
 Spark deals blocks of queries to blocks of vectors; a cell returns the best of its block for
-each query, so pairs never leave a task. The radius is the one that keeps ``RECALL`` of true
-neighbours in the sample, whose neighbours are farther than those in all rows.
+each query, so pairs never leave a task. The radius is the one that keeps ``RECALL`` of
+the neighbours that a few hundred rows of the sample have among all rows. Those are found by
+comparing the few with every vector, in one reading, so the radius narrows as vectors get denser.
 """
 
 from __future__ import annotations
@@ -32,12 +33,14 @@ SAMPLE_ROWS = 4000
 ROTATIONS = 4
 ITERATIONS = 25
 SUBSTRING = 8
-# Share of the sample's true neighbours that the radius holds.
+# Rows of the sample, at most, whose neighbours among all rows give the radius, and the share of
+# those neighbours that it holds.
+PROBE_ROWS = 400
 RECALL = 0.98
 NEIGHBOURS = 20
 # Vectors in a block of the index, and queries in a block of theirs.
-BLOCK_VECTORS = 8192
-BLOCK_QUERIES = 4096
+BLOCK_VECTORS = 16384
+BLOCK_QUERIES = 32768
 SEED = 5
 
 _VALUES = np.arange(256, dtype=np.uint8)
@@ -90,8 +93,8 @@ def hamming(codes: np.ndarray, code: np.ndarray) -> np.ndarray:
     return np.bitwise_count(codes ^ code).sum(axis=1, dtype=np.int64)
 
 
-def learn(spark: SparkSession, rows: DataFrame) -> dict:
-    """Rotations and radius from a sample of (_id, _vector), by hash of the id."""
+def learn(spark: SparkSession, rows: DataFrame, k: int = NEIGHBOURS) -> dict:
+    """Rotations from a sample of (_id, _vector), by hash of the id; a radius from all rows."""
     n, scale, dims = rows.agg(
         F.count("*"),
         F.max(F.expr("sqrt(aggregate(_vector, 0D, (s, x) -> s + x * x))")),
@@ -100,20 +103,61 @@ def learn(spark: SparkSession, rows: DataFrame) -> dict:
     if not n:
         return {"scale": 1.0, "rotations": np.zeros((1, 1, 1)), "radius": 0}
     sample = rows.where(hashed_below(F.xxhash64("_id"), SAMPLE_ROWS / n) | F.lit(n <= 64))
-    x = np.array(sample.orderBy("_id").toArrow()["_vector"].to_pylist(), np.float64)
+    sample = sample.orderBy("_id").toArrow()
+    x = np.array(sample["_vector"].to_pylist(), np.float64)
     if not len(x):
         x = np.eye(dims)[:1] * scale
-    rotations = learn_rotations(x, scale)
-    codes, probes = codes_of(on_sphere(x, scale), rotations), codes_of(query_points(x), rotations)
-    distances = []
-    for q in range(0, len(x), max(1, len(x) // 400)):
-        product = x @ x[q]
-        product[q] = -np.inf
-        best = np.argsort(-product)[: min(NEIGHBOURS, len(x) - 1)]
-        distances.append(hamming(codes[best], probes[q]))
-    found = np.concatenate(distances) if distances else np.zeros(0)
-    radius = int(np.quantile(found, RECALL)) if len(found) else codes.shape[1] * 8
-    return {"scale": scale, "rotations": rotations, "radius": radius}
+    model = {"scale": scale, "rotations": learn_rotations(x, scale)}
+    model["radius"] = codes_of(x[:1] @ np.eye(dims, dims + 1), model["rotations"]).shape[1] * 8
+    ids = sample["_id"].to_numpy()[:: -(-len(x) // PROBE_ROWS)]
+    asked = x[:: -(-len(x) // PROBE_ROWS)]
+    # Up to k rows a query and task: the distances of its best vectors there.
+    near = rows.mapInArrow(nearest_codes(ids, asked, model, k), "_query int, _product double, _bits int")
+    order = Window.partitionBy("_query").orderBy(F.desc("_product"), "_bits")
+    best = near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k)
+    # Distances are whole numbers of bits, so their counts tell any share exactly.
+    counts = sorted((r["_bits"], r["count"]) for r in best.groupBy("_bits").count().collect())
+    held = 0
+    for bits, count in counts:
+        held += count
+        if held >= RECALL * sum(c for _, c in counts):
+            model["radius"] = bits
+            break
+    return model
+
+
+def nearest_codes(ids: np.ndarray, asked: np.ndarray, model: dict, k: int):
+    """(_id, _vector) to the k largest products of each asked row and the codes' distances."""
+    codes = codes_of(query_points(asked), model["rotations"]) if len(ids) else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = (np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64))
+        for batch in batches:
+            if not batch.num_rows or not len(ids):
+                continue
+            x = matrix_of(batch.column(1))
+            product = asked @ x.T
+            product[ids[:, None] == batch.column(0).to_numpy()] = -np.inf
+            at = np.argpartition(-product, min(k, len(x)) - 1, axis=1)[:, :k]
+            stored = codes_of(on_sphere(x, model["scale"]), model["rotations"])
+            bits = np.array([hamming(stored[p], c) for p, c in zip(at, codes, strict=True)])
+            product = np.hstack([held[0], np.take_along_axis(product, at, 1)])
+            bits = np.hstack([held[1], bits])
+            at = np.argsort(-product, axis=1, kind="stable")[:, :k]
+            held = np.take_along_axis(product, at, 1), np.take_along_axis(bits, at, 1)
+        keep = np.isfinite(held[0])
+        query = np.broadcast_to(np.arange(len(ids), dtype=np.int32)[:, None], keep.shape)
+        columns = [query[keep], held[0][keep], held[1][keep].astype(np.int32)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c) for c in columns], names=["_query", "_product", "_bits"]
+        )
+
+    return run
+
+
+def matrix_of(column: pa.Array) -> np.ndarray:
+    """Vectors of one length, none of them null, as (row, component)."""
+    return column.flatten().to_numpy().reshape(len(column), -1)
 
 
 class Index:
@@ -174,42 +218,53 @@ def in_order(x: np.ndarray, query: np.ndarray) -> np.ndarray:
 def cell_search(model: dict, k: int):
     """Rows sorted by cell, vectors before queries, to (query, vector) candidates."""
 
-    def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        vectors = [r for r in rows if not r[2]]
-        queries = [r for r in rows if r[2]]
-        if not vectors or not queries:
+    def solve(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        is_query = np.concatenate([p.column(2).to_numpy(zero_copy_only=False) for p in parts])
+        if is_query.all() or not is_query.any():
             return
-        index = Index(
-            np.array([r[3] for r in vectors], np.int64), np.array([r[4] for r in vectors], np.float64), model
-        )
-        x = np.array([r[4] for r in queries], np.float64)
+        ids = np.concatenate([p.column(3).to_numpy() for p in parts])
+        x = np.concatenate([matrix_of(p.column(4)) for p in parts])
+        index = Index(ids[~is_query], x[~is_query], model)
+        asked, x = ids[is_query], x[is_query]
         codes = codes_of(query_points(x), model["rotations"])
-        for row, query, code in zip(queries, x, codes, strict=True):
-            places = index.best(row[3], query, code, k)
+        for query_id, query, code in zip(asked, x, codes, strict=True):
+            places = index.best(query_id, query, code, k)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.full(len(places), row[3], np.int64)),
+                    pa.array(np.full(len(places), query_id, np.int64)),
                     pa.array(index.ids[places]),
-                    pa.array([row[4]] * len(places), pa.list_(pa.float64())),
-                    pa.array(list(index.x[places]), pa.list_(pa.float64())),
+                    list_of(np.broadcast_to(query, (len(places), len(query)))),
+                    list_of(index.x[places]),
                 ],
                 names=["_query", "_found", "_q", "_v"],
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
+        parts: list[pa.RecordBatch] = []
+        cell = None
         for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if rows and row[:2] != rows[0][:2]:
-                    yield from solve(rows)
-                    rows = []
-                rows.append(row)
-        if rows:
-            yield from solve(rows)
+            block, part = (batch.column(i).to_numpy() for i in (0, 1))
+            new = np.flatnonzero((np.diff(block) != 0) | (np.diff(part) != 0)) + 1
+            for start, end in zip([0, *new], [*new, batch.num_rows], strict=True):
+                if start == end:
+                    continue
+                if parts and (block[start], part[start]) != cell:
+                    yield from solve(parts)
+                    parts = []
+                cell = (block[start], part[start])
+                parts.append(batch.slice(start, end - start))
+        if parts:
+            yield from solve(parts)
 
     return run
 
 
+def list_of(x: np.ndarray) -> pa.Array:
+    """(row, component) as an array of lists."""
+    at = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.ascontiguousarray(x).ravel()))
+
+
 def neighbours(
     vectors: DataFrame,
     every: int = 20,
@@ -235,7 +290,7 @@ def neighbours(
     rows = written(rows.groupBy("_id").agg(F.min("_vector").alias("_vector")), "vectors")
     sizes = rows.groupBy(F.size("_vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
     rows = rows.where(F.size("_vector") == (sizes["n"] if sizes else 0))
-    model = learn(spark, rows)
+    model = learn(spark, rows, k)
     n = rows.count()
     blocks = max(1, -(-n // BLOCK_VECTORS))
     query_blocks = max(1, -(-n // every // BLOCK_QUERIES))
