@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -163,3 +165,43 @@ def test_components(spark):
             root[y] = x
     got = {r.node: r.root for r in connected(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {i: find(i) for i in root}
+
+
+@pytest.mark.parametrize(("sampled", "least"), [(1, 2), (1, 12), (4, 8)])
+def test_frequent_tokens_change_no_link(spark, monkeypatch, sampled, least):
+    monkeypatch.setattr(ngram_join, "SAMPLED", sampled)
+    monkeypatch.setattr(ngram_join, "HOT_ROWS", least)
+    monkeypatch.setattr(ngram_join, "PART_TOKENS", 200)
+    rows = near_copies(21)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts, bar = docs.select(docs.text.alias("_text")), (85, 100)
+    tokens, estimates = ngram_join.frequent_tokens(texts, 4, bar, 10**6)
+    sets = {t.tobytes(): t for t in ngram_join.ngram_sets(pa.array([t for _, t in rows]), 4) if len(t)}
+    df = Counter(x for t in sets.values() for x in t[: ngram_join.prefix_size(len(t), *bar)].tolist())
+    assert len(tokens) and (np.diff(tokens.astype(object)) > 0).all()
+    assert all(df[t] > 1 for t in tokens.tolist())
+    if sampled == 1:
+        assert dict(zip(tokens.tolist(), estimates.tolist(), strict=True)) == {t: k for t, k in df.items() if k >= least}
+    assert told(docs, 4, bar) == brute_force(rows, 4, bar)
+
+
+def test_a_token_of_all_prefixes_lies_in_many_parts():
+    """Rows of one part stay few, though every class holds the same rare hashes."""
+    words = " ".join(f"s{i}" for i in range(40))
+    texts = pa.array([f"{words} " + " ".join(f"u{k}x{i}" for i in range(20)) for k in range(2000)])
+    bar, parts = (85, 100), 16
+    tokens, _ = ngram_join.class_prefixes(texts, 4, bar)
+    values, counts = np.unique(tokens, return_counts=True)
+    hot = values[counts >= 100], counts[counts >= 100]
+    assert hot[1].max() == 2000  # in every prefix
+
+    def rows_by_part(frequent):
+        listed = SimpleNamespace(value=frequent)
+        batch = pa.RecordBatch.from_arrays([texts], names=["_text"])
+        (packed,) = ngram_join.packed_prefixes(4, bar, parts, listed)(iter([batch]))
+        return {p: len(s.as_py()) // 8 for p, s in zip(packed[0].to_pylist(), packed[2], strict=True)}
+
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    before, after = rows_by_part(none), rows_by_part(hot)
+    assert sum(before.values()) == sum(after.values()) == len(tokens)
+    assert max(after.values()) < max(before.values()) / 2 and len(after) > len(before)

@@ -3,7 +3,9 @@
 1. Each text becomes the set of its n-grams, as 64-bit hashes. Equal sets are one class.
 2. Prefix filter. Two sets of similarity t share at least ``need`` of their
    ``size - ceil(t * size) + need`` smallest hashes. Only those prefixes are shuffled, packed
-   by range of hashes; a class stays if ``need`` of its prefix occur in another class.
+   by range of hashes; a class stays if ``need`` of its prefix occur in another class. Tokens
+   that a sample shows to be in very many prefixes need no counting, as they are shared for
+   certain: their rows are packed by class, so no range holds all rows of such a token.
 3. Of a class's prefix, ordered rarest first, one of the first tokens must occur in each of
    its partners. Classes joined by such tokens are a family: links exist inside families only.
 4. The sets of a family meet in a prefix tree (``prefix_trie``). A family beyond
@@ -28,12 +30,17 @@ from pyspark.sql import types as T
 
 from turnlake.llm.components import connected
 from turnlake.llm.prefix_trie import join_sets
-from turnlake.llm.store import named, text_batches, whole_row, written
+from turnlake.llm.store import hashed_below, named, text_batches, whole_row, written
 from turnlake.llm.textbytes import shingle_hashes, text_chunks, word_hashes
 
 # Prefix tokens that a counting task gets, and tokens of the sets in a block of a family.
 PART_TOKENS = 500_000
 CELL_TOKENS = 2_000_000
+# A token in about so many prefixes, or in one of so many of all prefix tokens, is frequent: the
+# frequent ones are a bounded list that each worker gets. One text in so many is sampled for them.
+HOT_ROWS = PART_TOKENS // 16
+MOST_HOT = 1 << 20
+SAMPLED = 256
 
 
 def ngram_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -79,22 +86,71 @@ def class_rows(n: int):
     return run
 
 
-def packed_prefixes(n: int, bar: tuple[int, int], parts: int):
-    """Texts to (part, tokens, sets): the prefixes of a batch's classes by range of hashes."""
+def class_prefixes(texts: pa.Array, n: int, bar: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, sets): the prefixes of the classes among the texts, each class once."""
+    tokens, owners = {}, []
+    for t in ngram_sets(texts, n):
+        if len(t) and (owner := set_id(t)) not in tokens:
+            tokens[owner] = t[: prefix_size(len(t), *bar)]
+            owners.append(np.full(len(tokens[owner]), owner, np.int64))
+    if not tokens:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(list(tokens.values())), np.concatenate(owners)
+
+
+def frequent_tokens(
+    texts: DataFrame, n: int, bar: tuple[int, int], total: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, estimates): tokens in ``HOT_ROWS`` prefixes or more, ascending, and in how many.
+
+    Copies of a text are sampled together and count once. Where fewer than ``HOT_ROWS`` tokens are
+    in all prefixes, none can be frequent. The estimates only have to put the tokens in an order
+    that is the same for all classes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, owners, seen = [], [], set()
-            for t in ngram_sets(batch.column(0), n):
-                if len(t) and (owner := set_id(t)) not in seen:
-                    seen.add(owner)
-                    t = t[: prefix_size(len(t), *bar)]
-                    tokens.append(t)
-                    owners.append(np.full(len(t), owner, np.int64))
-            if not tokens:
+            tokens, owners = class_prefixes(batch.column(0), n, bar)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(tokens.view(np.int64)), pa.array(owners)], names=["_token", "_set"]
+            )
+
+    least = max(HOT_ROWS, total // MOST_HOT)
+    if total < least:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    sample = texts.where(hashed_below(F.xxhash64("_text"), 1 / SAMPLED)).select("_text")
+    pairs = sample.mapInArrow(run, "_token long, _set long").distinct()
+    # Two classes in the sample are the proof that the token is shared.
+    counts = pairs.groupBy("_token").count().where(F.col("count") >= max(2, least // SAMPLED))
+    found = counts.toArrow()
+    tokens = found["_token"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], found["count"].to_numpy()[order] * SAMPLED
+
+
+def part_of(tokens: np.ndarray, parts: int) -> np.ndarray:
+    """The range of hashes, of ``parts``, that each token falls into."""
+    return ((tokens >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def packed_prefixes(n: int, bar: tuple[int, int], parts: int, hot):
+    """Texts to (part, tokens, sets): the prefixes of a batch's classes by range of hashes.
+
+    Frequent tokens, as places in the broadcast list ``hot``, go to ``parts`` further parts by set.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = hot.value[0]
+        for batch in batches:
+            token, owner = class_prefixes(batch.column(0), n, bar)
+            if not len(token):
                 continue
-            token, owner = np.concatenate(tokens), np.concatenate(owners)
-            part = ((token >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            part = part_of(token, parts)
+            if len(frequent):
+                place = np.minimum(np.searchsorted(frequent, token), len(frequent) - 1)
+                is_hot = frequent[place] == token
+                token = np.where(is_hot, place.astype(np.uint64), token)
+                part = np.where(is_hot, parts + owner % parts, part)
             order = np.argsort(part, kind="stable")
             token, owner, part = token[order].astype(np.uint32), owner[order], part[order]
             at = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
@@ -111,19 +167,28 @@ def packed_prefixes(n: int, bar: tuple[int, int], parts: int):
     return run
 
 
-def shared_tokens(key, table):
+def shared_tokens(parts: int, hot):
     """Of one part: (set, token, df) for tokens that occur in several classes."""
-    token = np.frombuffer(b"".join(table["_tokens"].to_pylist()), np.uint32)
-    owner = np.frombuffer(b"".join(table["_sets"].to_pylist()), np.int64)
-    order = np.lexsort((owner, token))
-    token, owner = token[order], owner[order]
-    first = np.append(True, (token[1:] != token[:-1]) | (owner[1:] != owner[:-1]))
-    token, owner = token[first], owner[first]
-    _, at, df = np.unique(token, return_inverse=True, return_counts=True)
-    df = df[at]
-    many = df > 1
-    whole = token[many].astype(np.int64) | (key[0].as_py() << 32)
-    return pa.table({"_set": owner[many], "_token": whole, "_df": df[many].astype(np.int64)})
+
+    def run(key, table):
+        token = np.frombuffer(b"".join(table["_tokens"].to_pylist()), np.uint32)
+        owner = np.frombuffer(b"".join(table["_sets"].to_pylist()), np.int64)
+        order = np.lexsort((owner, token))
+        token, owner = token[order], owner[order]
+        first = np.append(True, (token[1:] != token[:-1]) | (owner[1:] != owner[:-1]))
+        token, owner = token[first], owner[first]
+        part = key[0].as_py()
+        if part >= parts:
+            frequent, df = hot.value[0][token], hot.value[1][token]
+            low = (frequent & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            return pa.table({"_set": owner, "_token": low | part_of(frequent, parts) << 32, "_df": df})
+        _, at, df = np.unique(token, return_inverse=True, return_counts=True)
+        df = df[at]
+        many = df > 1
+        whole = token[many].astype(np.int64) | (part << 32)
+        return pa.table({"_set": owner[many], "_token": whole, "_df": df[many].astype(np.int64)})
+
+    return run
 
 
 def family_sets(n: int):
@@ -199,12 +264,14 @@ def linked_rows(
         "sets",
     )
     pairs_possible = classes.agg(F.sum("_n")).first()[0] or 0
-    parts = 1 + int(2 * pairs_possible * (whole - part) / whole) // PART_TOKENS
+    total = int(2 * pairs_possible * (whole - part) / whole)
+    parts = 1 + total // PART_TOKENS
+    hot = docs.sparkSession.sparkContext.broadcast(frequent_tokens(texts, n, bar, total))
     prefixes = texts.select("_text").mapInArrow(
-        packed_prefixes(n, bar, parts), "_part long, _tokens binary, _sets binary"
+        packed_prefixes(n, bar, parts, hot), "_part long, _tokens binary, _sets binary"
     )
     shared = prefixes.groupBy("_part").applyInArrow(
-        shared_tokens, "_set long, _token long, _df long"
+        shared_tokens(parts, hot), "_set long, _token long, _df long"
     )
     wanted = F.greatest(F.lit(1), F.expr(f"_n * {whole - part} div {whole}"))
     kept = (
