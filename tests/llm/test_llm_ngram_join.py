@@ -205,3 +205,11 @@ def test_a_token_of_all_prefixes_lies_in_many_parts():
     before, after = rows_by_part(none), rows_by_part(hot)
     assert sum(before.values()) == sum(after.values()) == len(tokens)
     assert max(after.values()) < max(before.values()) / 2 and len(after) > len(before)
+
+
+def test_parts_are_about_equal():
+    """Prefixes hold the smallest hashes of their sets, and still fill every part."""
+    texts = pa.array([" ".join(f"u{k}x{i}" for i in range(60)) for k in range(2000)])
+    tokens, _ = ngram_join.class_prefixes(texts, 4, (85, 100))
+    counts = np.bincount(ngram_join.part_of(tokens, 16), minlength=16)
+    assert len(counts) == 16 and counts.max() < 1.2 * counts.min()

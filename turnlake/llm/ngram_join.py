@@ -3,9 +3,9 @@
 1. Each text becomes the set of its n-grams, as 64-bit hashes. Equal sets are one class.
 2. Prefix filter. Two sets of similarity t share at least ``need`` of their
    ``size - ceil(t * size) + need`` smallest hashes. Only those prefixes are shuffled, packed
-   by range of hashes; a class stays if ``need`` of its prefix occur in another class. Tokens
+   by part of the hashes; a class stays if ``need`` of its prefix occur in another class. Tokens
    that a sample shows to be in very many prefixes need no counting, as they are shared for
-   certain: their rows are packed by class, so no range holds all rows of such a token.
+   certain: their rows are packed by class, so no part holds all rows of such a token.
 3. Of a class's prefix, ordered rarest first, one of the first tokens must occur in each of
    its partners. Classes joined by such tokens are a family: links exist inside families only.
 4. The sets of a family meet in a prefix tree (``prefix_trie``). A family beyond
@@ -41,6 +41,7 @@ CELL_TOKENS = 2_000_000
 HOT_ROWS = PART_TOKENS // 16
 MOST_HOT = 1 << 20
 SAMPLED = 256
+HALF = np.uint64(0xFFFFFFFF)
 
 
 def ngram_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -129,12 +130,15 @@ def frequent_tokens(
 
 
 def part_of(tokens: np.ndarray, parts: int) -> np.ndarray:
-    """The range of hashes, of ``parts``, that each token falls into."""
-    return ((tokens >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    """The part, of ``parts``, that each token falls into by its lower half.
+
+    The upper half would fill some parts only, as prefixes hold the smallest hashes.
+    """
+    return ((tokens & HALF) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
 def packed_prefixes(n: int, bar: tuple[int, int], parts: int, hot):
-    """Texts to (part, tokens, sets): the prefixes of a batch's classes by range of hashes.
+    """Texts to (part, tokens, sets): the prefixes of a batch's classes by part of the hashes.
 
     Frequent tokens, as places in the broadcast list ``hot``, go to ``parts`` further parts by set.
     """
@@ -149,8 +153,10 @@ def packed_prefixes(n: int, bar: tuple[int, int], parts: int, hot):
             if len(frequent):
                 place = np.minimum(np.searchsorted(frequent, token), len(frequent) - 1)
                 is_hot = frequent[place] == token
-                token = np.where(is_hot, place.astype(np.uint64), token)
                 part = np.where(is_hot, parts + owner % parts, part)
+                token = np.where(is_hot, place.astype(np.uint64), token >> np.uint64(32))
+            else:
+                token = token >> np.uint64(32)
             order = np.argsort(part, kind="stable")
             token, owner, part = token[order].astype(np.uint32), owner[order], part[order]
             at = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
@@ -180,8 +186,8 @@ def shared_tokens(parts: int, hot):
         part = key[0].as_py()
         if part >= parts:
             frequent, df = hot.value[0][token], hot.value[1][token]
-            low = (frequent & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            return pa.table({"_set": owner, "_token": low | part_of(frequent, parts) << 32, "_df": df})
+            upper = (frequent >> np.uint64(32)).astype(np.int64)
+            return pa.table({"_set": owner, "_token": upper | part_of(frequent, parts) << 32, "_df": df})
         _, at, df = np.unique(token, return_inverse=True, return_counts=True)
         df = df[at]
         many = df > 1
