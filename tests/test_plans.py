@@ -229,6 +229,14 @@ def test_pivot_shows_agents_beyond_the_known_ones(spark):
     assert (rows["random"].n_others, rows["newcomer"].n_others) == (1, 0)
 
 
+def test_pivot_keeps_the_scores_against_other_opponents(spark):
+    rows = [("p", "random", 2.0), ("p", "b-c", 1.5), ("p", "b", 3.0), ("p", "d", None), ("p", None, 9.0), ("q", "random", 4.0)]
+    mart = spark.createDataFrame(rows, "player string, opponent string, score_moyen_par_tour double")
+    got = {r.player: r for r in report.matchup_pivot(mart, ["random"]).collect()}
+    assert (got["p"].random, got["p"].others, got["p"].n_others) == (2.0, "b=3.0, b-c=1.5", 3)
+    assert (got["q"].random, got["q"].others, got["q"].n_others) == (4.0, None, 0)
+
+
 @pytest.mark.parametrize("width", [1, 7, 1000])
 def test_heat_map_rows_hold_any_number_of_agents(spark, width):
     agents = [f"agent{k:03}" for k in range(40)]

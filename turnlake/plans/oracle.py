@@ -240,8 +240,12 @@ def _scheduled(n_turns: int, select: str) -> str:
 def _pivot(row: str, column: str, value: str, table: str) -> str:
     cells = ", ".join(f"max({value}) FILTER ({column} = '{a}') AS {a}" for a in AGENTS)
     listed = ", ".join(f"'{a}'" for a in AGENTS)
-    others = f"count(*) FILTER ({column} NOT IN ({listed})) AS n_others"
-    return f"SELECT {row}, {cells}, {others} FROM {table} GROUP BY {row}"
+    others = (
+        f"string_agg({column} || '=' || {value}, ', ' ORDER BY {column})"
+        f" FILTER ({column} NOT IN ({listed})) AS others"
+    )
+    n_others = f"count(*) FILTER ({column} NOT IN ({listed})) AS n_others"
+    return f"SELECT {row}, {cells}, {others}, {n_others} FROM {table} GROUP BY {row}"
 
 
 # CRC-32 of ASCII text: the byte table from its polynomial, then one look-up per byte.

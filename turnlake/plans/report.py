@@ -218,14 +218,21 @@ def move_sequence(turns: DataFrame, segment_turns: int = 100_000) -> DataFrame:
 def matchup_pivot(mart: DataFrame, opponents: list[str] | None = None) -> DataFrame:
     """Mean scores with one column per opponent; all opponents of the mart by default.
 
-    With a list, ``n_others`` counts the opponents outside it; ``heat_map_rows`` has their scores.
+    With a list, scores against opponents outside it are not lost: the column ``others`` holds
+    them as text, "opponent=score" by name, NULL where there are none, and ``n_others`` counts
+    them. ``heat_map_rows`` has all scores as numbers.
     """
     score = "score_moyen_par_tour"
     if opponents is None:
         return mart.groupBy("player").pivot("opponent").agg(F.first(score))
     columns = [F.max(F.when(F.col("opponent") == o, F.col(score))).alias(o) for o in opponents]
-    outside = F.count_if(~F.col("opponent").isin(opponents))
-    return mart.groupBy("player").agg(*columns, outside.alias("n_others"))
+    is_other = ~F.col("opponent").isin(opponents)
+    pair = F.concat("opponent", F.lit("="), F.col(score).cast("string"))
+    told = F.collect_list(F.when(is_other, F.struct("opponent", pair.alias("pair"))))
+    others = F.nullif(F.array_join(F.array_sort(told)["pair"], ", "), F.lit(""))
+    return mart.groupBy("player").agg(
+        *columns, others.alias("others"), F.count_if(is_other).alias("n_others")
+    )
 
 
 def heat_map_rows(
