@@ -144,6 +144,29 @@ def test_toxic_passages_begin_at_any_word():
             assert got == pytest.approx(want, abs=1e-9)
 
 
+def test_toxicity_looks_bins_up_in_one_step_and_halves_share_the_tables():
+    rng = np.random.default_rng(4)
+    bins = np.sort(rng.choice(toxicity.BINS, 500, replace=False)).astype(np.int32)
+    bins[0], bins[-1] = 0, toxicity.BINS - 1
+    values = rng.integers(1, 9, (3, 500)).astype(np.float32)
+    known = dict(zip(bins.tolist(), values.T.tolist(), strict=True))
+    wanted = np.concatenate([rng.choice(bins, 300), rng.integers(0, toxicity.BINS, 300), bins[[0, -1]]])
+    got = toxicity.Table((bins, values)).at(wanted.astype(np.int64))
+    assert got.dtype == np.float64 and got.T.tolist() == [known.get(b, [0.0] * 3) for b in wanted.tolist()]
+    models = toxicity.Models({name: (bins, np.ones((11, 500), np.float32)) for name in toxicity.TABLES})
+    halves = [models.of_half(1), models.of_half(0)]
+    assert [m.half for m in (models, *halves)] == [None, 1, 0]
+    assert all(m.tables is models.tables and m.words is not models.words for m in halves)
+
+
+@pytest.mark.parametrize("told", [[], [3], [1, 4, 9], list(range(-5, 12))])
+def test_toxicity_tells_each_gram_once(told):
+    told = np.array(told, np.int64)
+    for keys in ([], [4], [9, 9, 4, 2, 2, 30, -1, 0]):
+        keys = np.array(keys, np.int64)
+        assert toxicity.unread(keys, told).tolist() == np.setdiff1d(keys, told).tolist()
+
+
 # Language
 
 

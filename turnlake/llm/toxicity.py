@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -125,6 +126,17 @@ def count_beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             )
 
 
+def unread(keys: np.ndarray, told: np.ndarray) -> np.ndarray:
+    """The distinct ``keys`` that are not in ``told``, ascending; ``told`` ascends, too."""
+    keys = np.sort(keys)
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    keys = keys[new]
+    if not len(told):
+        return keys
+    return keys[told[np.minimum(np.searchsorted(told, keys), len(told) - 1)] != keys]
+
+
 def distinct_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text) to (key, n): the byte n-grams of the texts' words, mostly once per task."""
     told = [np.zeros(0, np.int64) for _ in range(ORDER + 2)]
@@ -135,8 +147,9 @@ def distinct_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         data, place, _ = positions(list(words))
         keys = gram_keys(data)
         for n in range(2, ORDER + 2):
-            new = np.setdiff1d(keys[n][place >= n - 1], told[n])
-            told[n] = np.union1d(told[n], new) if len(told[n]) < CACHE_WORDS else new
+            new = unread(keys[n][place >= n - 1], told[n])
+            more = len(told[n]) < CACHE_WORDS
+            told[n] = np.sort(np.concatenate([told[n], new])) if more else new
             yield pa.RecordBatch.from_arrays(
                 [pa.array(new), pa.array(np.full(len(new), n, np.int32))], names=["_key", "_n"]
             )
@@ -200,16 +213,18 @@ class Table:
     """Values by bin; bins that were never counted have 0."""
 
     def __init__(self, table: tuple[np.ndarray, np.ndarray]):
-        self.bins, self.values = table
+        bins, self.values = table
+        # The column of each bin: 16 MB, and no search for the bins of a word's every byte.
+        self.column = np.full(BINS, -1, np.int32)
+        self.column[bins] = np.arange(len(bins), dtype=np.int32)
 
     def at(self, wanted: np.ndarray) -> np.ndarray:
-        if not len(self.bins):
-            return np.zeros((len(self.values), len(wanted)))
-        # Words share their beginnings, so each bin is looked up once.
-        asked, back = np.unique(wanted, return_inverse=True)
-        index = np.minimum(np.searchsorted(self.bins, asked), len(self.bins) - 1)
-        found = np.where(self.bins[index] == asked, self.values[:, index], np.float32(0))
-        return found.astype(np.float64)[:, back]
+        column = self.column[wanted]
+        counted = np.flatnonzero(column >= 0)
+        found = np.zeros((len(self.values), len(wanted)))
+        for own, values in zip(found, self.values, strict=True):
+            own[counted] = values[column[counted]]
+        return found
 
 
 class Words(dict):
@@ -235,6 +250,12 @@ class Models:
         self.half = half
         self.words = Words()
 
+    def of_half(self, half: int) -> Models:
+        """The models that count one half, over the same tables."""
+        own = copy(self)
+        own.half, own.words = half, Words()
+        return own
+
     def _classes(self, values: np.ndarray) -> list[np.ndarray]:
         """Counts of the ordinary and of the toxic class from those of the four kinds."""
         if self.half is None:
@@ -355,7 +376,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     names = [f"f{k}" for k in range(N_FEATURES)]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        other = [Models(shared.value, 1), Models(shared.value, 0)]
+        models = Models(shared.value)
+        other = [models.of_half(1), models.of_half(0)]
         for batch in batches:
             for part in small_batches(batch):
                 texts, toxic, kinds = (c.to_pylist() for c in part.columns)
