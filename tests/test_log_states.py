@@ -37,6 +37,35 @@ def test_runs_of_turns(spark):
     }
 
 
+def test_runs_of_turns_are_found_by_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    """Spark would join tasks by their stored bytes, which tell little of keys."""
+    turns, path = log(spark, random_rows(5, n_matches=30, gaps=True)), str(tmp_path / "log")
+    one, many = key_index.key_runs(turns), key_index.key_runs(turns, 7)
+    assert (one.rdd.getNumPartitions(), many.rdd.getNumPartitions()) == (1, 7)
+    assert same(one, many)
+    monkeypatch.setattr(key_index, "TASK_TURNS", turns.count() // 5)
+    turn_log.append_unseen(turns, path, "first")
+    found = key_index.recorded_runs(turns, path, snapshots.latest(spark, path).entries)
+    assert same(found.drop("folder").select(*one.columns), one)
+
+
+def test_appends_neither_broadcast_the_index_nor_sort_what_they_read(spark, tmp_path):
+    path, rows = str(tmp_path / "log"), random_rows(6, n_matches=10)
+    rows += [{**r, "match_id": None} for r in seat_rows("x", "CD", "DD")]
+    turn_log.append_unseen(log(spark, rows[::2]), path, "first")
+    # Read back: a plan over local rows may come out differently.
+    log(spark, rows + rows[:7]).write.parquet(str(tmp_path / "rows"))
+    loaded = turn_log.without_copies(spark.read.parquet(str(tmp_path / "rows")))
+    runs = key_index.recorded_runs(loaded, path, snapshots.latest(spark, path).entries)
+    new = key_index.without_recorded(loaded, runs)
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    plan = loaded._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.rindex("Aggregate") < plan.index("Exchange")
+    for got, want in ((new, rows[1::2]), (loaded, rows)):
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, log(spark, want).collect()))
+
+
 @pytest.mark.parametrize("per_bucket", [1, 3, 10_000])
 def test_appends_find_recorded_turns(spark, tmp_path, monkeypatch, per_bucket):
     monkeypatch.setattr(key_index, "MATCHES_PER_BUCKET", per_bucket)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,9 @@ from turnlake.sources.snapshots import KEYS, Entry
 RUN_TURNS = 256
 MATCHES_PER_BUCKET = 10_000
 MOST_BUCKETS = 1 << 16
+# Turns, about, whose runs one task finds. Keys shrink so much when stored that Spark, which goes by
+# stored bytes, would give a task many more.
+TASK_TURNS = 1 << 18
 BUCKET = "bucket"
 RUNS = "match_id string, seat string, _block long, low int, high int"
 
@@ -29,13 +33,14 @@ def run_block() -> Column:
     return F.expr(f"CAST(turn AS BIGINT) div {RUN_TURNS}")
 
 
-def key_runs(turns: DataFrame) -> DataFrame:
+def key_runs(turns: DataFrame, tasks: int = 1) -> DataFrame:
     """(match_id, seat, _block, low, high): runs of consecutive turns; a null turn is a run."""
     at = ["match_id", "seat", "_block"]
     order = Window.partitionBy(*at).orderBy("turn")
     run = F.col("turn") - F.dense_rank().over(order)
     return (
         turns.select(*TURN_KEY, run_block().alias("_block"))
+        .repartition(tasks, *at)
         .withColumn("_run", run)
         .groupBy(*at, "_run")
         .agg(F.min("turn").cast("int").alias("low"), F.max("turn").cast("int").alias("high"))
@@ -52,13 +57,16 @@ def write_index(spark: SparkSession, path: str, entry: Entry) -> Entry:
     turns = spark.read.schema("match_id string, seat string, turn int").parquet(
         f"{path}/{entry.folder}".rstrip("/")
     )
-    n_matches = turns.agg(F.approx_count_distinct("match_id")).first()[0]
+    n_matches, n_turns = turns.agg(
+        F.approx_count_distinct("match_id"), F.count(F.lit(1))
+    ).first()
     buckets = 1
     while buckets < MOST_BUCKETS and buckets * MATCHES_PER_BUCKET < n_matches:
         buckets *= 2
     keys = f"{KEYS}/{uuid.uuid4().hex}"
-    runs = key_runs(turns).withColumn(BUCKET, bucket_of(buckets))
-    runs = runs.repartition(BUCKET).sortWithinPartitions(BUCKET, "match_id")
+    runs = key_runs(turns, max(1, ceil(n_turns / TASK_TURNS)))
+    runs = runs.withColumn(BUCKET, bucket_of(buckets))
+    runs = runs.repartition(buckets, BUCKET).sortWithinPartitions(BUCKET, "match_id")
     runs.write.partitionBy(BUCKET).parquet(f"{path}/{keys}")
     return Entry(entry.load_id, entry.folder, keys, buckets)
 
@@ -95,9 +103,13 @@ def recorded_runs(rows: DataFrame, path: str, entries: list[Entry]) -> DataFrame
 
 
 def without_recorded(rows: DataFrame, runs: DataFrame) -> DataFrame:
-    """The rows whose turn is in none of the runs; missing parts of a key compare as equal."""
+    """The rows whose turn is in none of the runs; missing parts of a key compare as equal.
+
+    Both sides are shuffled: files of runs are small for what they hold, so those that Spark would
+    broadcast take hundreds of megabytes in every task.
+    """
     left = rows.withColumn("_block", run_block()).alias("rows")
     same = " AND ".join(f"rows.{c} <=> runs.{c}" for c in ("match_id", "seat", "_block"))
     inside = "(rows.turn BETWEEN runs.low AND runs.high OR rows.turn IS NULL AND runs.low IS NULL)"
-    kept = left.join(runs.alias("runs"), F.expr(f"{same} AND {inside}"), "left_anti")
+    kept = left.join(runs.hint("merge").alias("runs"), F.expr(f"{same} AND {inside}"), "left_anti")
     return kept.select(*rows.columns)

@@ -133,8 +133,11 @@ def union_relaxed(recorded: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def without_copies(turns: DataFrame) -> DataFrame:
-    """One of equal rows. They meet by key and hash, not by their whole content."""
-    rows = turns.withColumn("_content", F.xxhash64(*turns.columns))
+    """One of equal rows. They meet by key and hash, not by their whole content.
+
+    They are shuffled as they come: Spark would first sort what each task has read.
+    """
+    rows = turns.withColumn("_content", F.xxhash64(*turns.columns)).repartition(*TURN_KEY)
     return rows.dropDuplicates([*TURN_KEY, "_content"]).drop("_content")
 
 
